@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordlake.llm.decontaminate import find_matches, hit_words
 from recordlake.llm.mixing import mix
 from recordlake.llm.scratch import fresh_path
+from recordlake.llm.secret_scan import scan
 from recordlake.llm.shuffle_shards import write_shuffled
+from recordlake.llm.stable_knn import search
+from recordlake.llm.toxicity import fit, score
 from recordlake.llm.url_filter import filter_urls
 from recordlake.llm.wavelet import document_digests, write_token_shards
 from recordlake.shipping import ship
 
+#: A document of at least this score is toxic.
+TOXIC_SCORE = 0.7
 #: (verdict, host/path) of the URL rules.
 URL_RULES = [
     ("allow", "com/"),
@@ -35,11 +41,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = hit_words(F.col("spans"))
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "longest",
+    )
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     return document_digests(write_token_shards(table(spark, sf_dir, "documents"), path, tokenizer_path()))
@@ -58,11 +77,30 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_stable_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def held_out() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit(documents, table(spark, sf_dir, "labels").filter(~held_out()))
+    scored = score(documents, model, ["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_source_mix": op2_source_mix,
+    "op3_secret_scan": op3_secret_scan,
     "op6_token_shards": op6_token_shards,
     "op7_url_filter": op7_url_filter,
     "op8_shuffle_shards": op8_shuffle_shards,
+    "op9_stable_knn": op9_stable_knn,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
