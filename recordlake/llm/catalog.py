@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlake.llm.decontaminate import find_matches, hit_words
+from recordlake.llm.jaccard_groups import jaccard_components
 from recordlake.llm.mixing import mix
 from recordlake.llm.scratch import fresh_path
 from recordlake.llm.secret_scan import scan
@@ -59,6 +60,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links", "class_id")
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     return document_digests(write_token_shards(table(spark, sf_dir, "documents"), path, tokenizer_path()))
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_source_mix": op2_source_mix,
     "op3_secret_scan": op3_secret_scan,
+    "op4_jaccard_groups": op4_jaccard_groups,
     "op6_token_shards": op6_token_shards,
     "op7_url_filter": op7_url_filter,
     "op8_shuffle_shards": op8_shuffle_shards,
