@@ -12,6 +12,7 @@ writes no shard. Further columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -131,29 +132,91 @@ class WaveletMatrix:
         return [self.select(value, k) for k in range(self.rank(value, self.n))]
 
 
-#: A white-space run that follows an ASCII or Latin-1 letter, digit or mark begins a new piece: no
-#: match of the pre-tokeniser's pattern holds a character other than white space before white space.
-_PIECES = re.compile(r".[^ \n]*(?:(?<![!-~À-ÿ])[ \n][^ \n]*)*", re.S)
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARKS = r"!-/:-@\[-`{-~"
+#: Texts are cut only where every match of the pre-tokeniser's pattern ends: before white space that
+#: follows another character, and between a letter and an ASCII mark or digit. Kinds of pieces: one
+#: run of Latin letters, a run of marks before white space, and whatever else reaches to a cut.
+_PIECES = re.compile(
+    rf" ?[{_LETTERS}]++(?=[\x00-\x7f]|\Z)|[!-&(-/:-@\[-`{{-~]++(?=[ \n]|\Z)"
+    rf"|.(?:(?!(?<=[!-~À-ÿ])[ \n]|(?<=[{_LETTERS}])[{_MARKS}0-9]).)*+",
+    re.S,
+)
+_ONE_WORD = re.compile(rf" ?[{_LETTERS}]+")
+#: Pieces that may be encoded in one string: they begin with white space and end before it.
+_JOINABLE = re.compile(r"[ \n].*[!-~À-ÿ]", re.S)
 
 
-class PieceCache(dict):
-    """Piece to its ids as little-endian bytes; a piece not seen before is encoded by the library."""
+def _byte_alphabet() -> dict[int, str]:
+    """The byte-level models' printable stand-ins: printable Latin-1 stays, other bytes follow from U+0100."""
+    stays = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in stays]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
 
-    LIMIT = 400_000
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+class PieceEncoder:
+    """Encodes texts piece by piece with the library; ids are little-endian 32-bit bytes.
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+    A text that holds an added token's string is encoded whole. Pieces met first stay in a bounded memo. Of a batch's unknown pieces, single words go straight to
+    the library's model; others are encoded in one string and told apart by their tokens' byte lengths.
+    """
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _PIECES.findall(text)))
+    MEMO, MEMO_CHARS, JOIN = 1_000_000, 40, 2_000
+
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.model = self.tokenizer.model
+        size = self.tokenizer.get_vocab_size()
+        self.bits = max(1, (size - 1).bit_length())
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.lengths = np.array([len(added[i].content.encode()) if i in added else len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
+        self.added = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"\Z\A.")
+        self.alphabet = _byte_alphabet()
+        self.memo: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _encode_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        out, joined = {}, []
+        tokenize, alphabet = self.model.tokenize, self.alphabet
+        for p in pieces:
+            if _ONE_WORD.fullmatch(p):
+                ids = [t.id for t in tokenize(p.encode().decode("latin-1").translate(alphabet))]
+                out[p] = struct.pack(f"<{len(ids)}I", *ids)
+            elif _JOINABLE.fullmatch(p):
+                joined.append(p)
+            else:
+                out[p] = self._ids(p).tobytes()
+        for at in range(0, len(joined), self.JOIN):
+            part = joined[at : at + self.JOIN]
+            ids = self._ids("".join(part))
+            ends = np.cumsum(self.lengths[ids])
+            cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in part]), side="left") + 1
+            body, a = ids.tobytes(), 0
+            for p, b in zip(part, (4 * cuts).tolist(), strict=True):
+                out[p] = body[a:b]
+                a = b
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        split = [_PIECES.findall(t) if not self.added.search(t) else [] for t in texts]
+        distinct = set().union(*split)
+        fresh = self._encode_pieces(distinct.difference(self.memo))
+        known = self.memo
+        if len(known) + len(fresh) <= self.MEMO and max(map(len, fresh), default=0) <= self.MEMO_CHARS:
+            known.update(fresh)
+        else:
+            for p, ids in fresh.items():
+                if len(known) < self.MEMO and len(p) <= self.MEMO_CHARS:
+                    known[p] = ids
+            known = {p: fresh[p] if p in fresh else known[p] for p in distinct}
+        return [b"".join(map(known.__getitem__, pieces)) if pieces or not t else self._ids(t).tobytes() for pieces, t in zip(split, texts, strict=True)]
+
+
+_encoders: dict[str, PieceEncoder] = {}
 
 
 def _shard_row(part: int, seq: int, doc_ids: list, chunks: list[bytes], bits: int, end_id: int) -> list:
@@ -170,22 +233,20 @@ def _encode(tokenizer_file: str, end_id: int, shard_tokens: int):
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        cache, bits = PieceCache(tokenizer), max(1, (tokenizer.get_vocab_size() - 1).bit_length())
+        encoder = _encoders.get(tokenizer_file) or _encoders.setdefault(tokenizer_file, PieceEncoder(tokenizer_file))
         part, seq, doc_ids, chunks, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush():
-            row = _shard_row(part, seq, doc_ids, chunks, bits, end_id)
+            row = _shard_row(part, seq, doc_ids, chunks, encoder.bits, end_id)
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
-                for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                texts = [t or "" for t in piece.column(1).to_pylist()]
+                for doc, ids in zip(piece.column(0).to_pylist(), encoder.encode_batch(texts), strict=True):
                     doc_ids.append(doc)
-                    chunks.append(cache.encode(text or ""))
+                    chunks.append(ids)
                     held += len(chunks[-1]) // 4 + 1
                     if held >= shard_tokens:
                         yield flush()
