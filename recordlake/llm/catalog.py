@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordlake.llm.debruijn import remove_repeats
 from recordlake.llm.decontaminate import find_matches, hit_words
 from recordlake.llm.jaccard_groups import jaccard_components
 from recordlake.llm.mixing import mix
@@ -64,6 +65,10 @@ def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links", "class_id")
 
 
+def op5_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     return document_digests(write_token_shards(table(spark, sf_dir, "documents"), path, tokenizer_path()))
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_secret_scan": op3_secret_scan,
     "op4_jaccard_groups": op4_jaccard_groups,
+    "op5_debruijn_dedup": op5_debruijn_dedup,
     "op6_token_shards": op6_token_shards,
     "op7_url_filter": op7_url_filter,
     "op8_shuffle_shards": op8_shuffle_shards,
