@@ -291,4 +291,15 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
 
 def _repeats(texts: DataFrame) -> bool:
     """Whether ids occur more than once."""
-    return not texts.groupBy("id").count().filter("count > 1").isEmpty()
+    return not texts.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty()
+
+
+def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``df`` with one row of each component, that of the smallest id; rows without words or id all stay."""
+    found = jaccard_components(df, key, text, shingle, percent)
+    gone = materialize(found.filter(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
+    small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    left = df.join(F.broadcast(gone) if small else gone, key, "left_anti")
+    if not _repeats(df.select(F.col(key).alias("id"))):
+        return left
+    return left.filter(F.col(key).isNull()).unionByName(left.filter(F.col(key).isNotNull()).dropDuplicates([key]))

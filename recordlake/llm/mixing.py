@@ -75,22 +75,26 @@ def _crossing(rows: DataFrame, need: DataFrame, digit: Column) -> DataFrame:
     return cut.select("key", "digit", (F.col("need") - F.col("upto") + F.col("words")).alias("need"))
 
 
-def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", seed: int = 29) -> DataFrame:
-    """One row per row of ``df``: key, source, size, source_size, target, rate, copies."""
-    order = F.xxhash64(F.col(key), F.lit(seed))
-    sized = materialize(
-        df.select(F.col(key).alias("id"), "source", word_count(F.col("text")).alias("size"), order.alias("u"))
-        .withColumn("key", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))),
-        "sized",
-    )
+def _source_key() -> Column:
+    return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
+
+
+def _digits() -> list[Column]:
+    """The seeded hash ``u`` from its top digit down."""
+    low_bits = 64 - 2 * DIGIT_BITS
+    return [
+        F.shiftrightunsigned("u", 64 - DIGIT_BITS), F.shiftrightunsigned("u", low_bits).bitwiseAND(2**DIGIT_BITS - 1), F.col("u").bitwiseAND(2**low_bits - 1),
+    ]
+
+
+def _source_cuts(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+    """Per source key: source_size, target, rate, whole copies, and the hash digits up to which a row gets one more."""
     rates = newton_rates(source_targets(sized, weights, share, cap))
-    rates = rates.withColumn("key", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))).drop("source")
+    rates = rates.withColumn("key", _source_key()).drop("source")
     rates = rates.withColumn("base", F.floor("rate").cast("long"))
     rates = materialize(rates.withColumn("need", F.when(F.col("rate") > F.col("base"), F.col("target") - F.col("base") * F.col("source_size")).otherwise(0.0)), "rates")
 
-    digit1 = F.shiftrightunsigned("u", 64 - DIGIT_BITS)
-    digit2 = F.shiftrightunsigned("u", 64 - 2 * DIGIT_BITS).bitwiseAND(2**DIGIT_BITS - 1)
-    low = F.col("u").bitwiseAND(2 ** (64 - 2 * DIGIT_BITS) - 1)
+    digit1, digit2, low = _digits()
     first = materialize(_crossing(sized, rates.filter("need > 0").select("key", "need"), digit1), "cut")
     within = sized.join(first.select("key", F.col("digit").alias("d1")), "key").filter(digit1 == F.col("d1"))
     second = materialize(_crossing(within, first.select("key", "need"), digit2), "cut")
@@ -104,8 +108,29 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.
         .join(last, "key", "left")
         .select("key", "source_size", "target", "rate", "base", F.coalesce("d1", F.lit(-1)).alias("d1"), F.coalesce("d2", F.lit(-1)).alias("d2"), F.coalesce("d3", F.lit(-1)).alias("d3"))
     )
-    more = F.struct(digit1.cast("long"), digit2.cast("long"), low.cast("long")) <= F.struct(F.col("d1").cast("long"), F.col("d2").cast("long"), F.col("d3").cast("long"))
-    return (
-        sized.join(materialize(cuts, "cuts"), "key")
-        .select(F.col("id").alias(key), "source", "size", "source_size", "target", "rate", (F.col("base") + F.when(more, 1).otherwise(0)).alias("copies"))
-    )
+    return materialize(cuts, "cuts")
+
+
+def _copies() -> Column:
+    given, cut = F.struct(*(d.cast("long") for d in _digits())), F.struct(*(F.col(c).cast("long") for c in ("d1", "d2", "d3")))
+    return F.col("base") + F.when(given <= cut, 1).otherwise(0)
+
+
+def _sized(df: DataFrame, key: str, seed: int) -> DataFrame:
+    sized = df.select(F.col(key).alias("id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.col(key), F.lit(seed)).alias("u"))
+    return materialize(sized.withColumn("key", _source_key()), "sized")
+
+
+def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", seed: int = 29) -> DataFrame:
+    """One row per row of ``df``: key, source, size, source_size, target, rate, copies."""
+    sized = _sized(df, key, seed)
+    cuts = _source_cuts(sized, weights, share, cap)
+    return sized.join(cuts, "key").select(F.col("id").alias(key), "source", "size", "source_size", "target", "rate", _copies().alias("copies"))
+
+
+def mixed_rows(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", seed: int = 29) -> DataFrame:
+    """The mix itself: every row of ``df`` as often as its copies say, with its columns."""
+    cuts = _source_cuts(_sized(df, key, seed), weights, share, cap)
+    placed = df.select(F.struct(*df.columns).alias("row"), F.col("source"), F.xxhash64(F.col(key), F.lit(seed)).alias("u")).withColumn("key", _source_key())
+    repeated = placed.join(cuts.select("key", "base", "d1", "d2", "d3"), "key").select("row", _copies().alias("copies"))
+    return repeated.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
