@@ -48,7 +48,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     except UnicodeDecodeError as e:
         cut = e.start >= len(head) - 3
         text, encoding = bytes(head).decode("utf-8" if cut else "latin-1", "ignore"), "UTF-8" if cut else "ISO-8859-1"
-    df = spark.read.csv(path, sep=sniff_delimiter(text), header=True, encoding=encoding, multiLine=True, quote='"', escape='"')
+    df = spark.read.csv(path, sep=sniff_delimiter(text), header=True, encoding=encoding, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True)
     return df.select(*(F.trim(F.col(f"`{c}`")).alias(c.strip().lstrip("﻿")) for c in df.columns))
 
 
