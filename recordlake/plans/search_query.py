@@ -111,7 +111,7 @@ class SearchQuery:
         tests = []
         for column, name in ((published, "published"), (updated, "updated")):
             dates = self._dates[name]
-            tests += [column >= dates["from"]] * ("from" in dates) + [column <= dates["to"]] * ("to" in dates)
+            tests += [column >= d if end == "from" else column <= d for end, d in dates.items()]
         return reduce(lambda a, b: a & b, tests, F.lit(True))
 
     def boosted_score(self, **weights: tuple[Column, float]) -> Column:
