@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from recordlake.llm.catalog import TOXIC_SCORE, held_out, table, tokenizer_path
 from recordlake.llm.decontaminate import clean_documents
 from recordlake.llm.jaccard_groups import drop_near_duplicates
 from recordlake.llm.mixing import mixed_rows
 from recordlake.llm.scratch import fresh_path
-from recordlake.llm.toxicity import fit, score
+from recordlake.llm.toxicity import drop_toxic, fit
 from recordlake.llm.wavelet import document_digests, write_token_shards
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,7 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from labels that are not held out."""
     model = fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
-    return score(docs, model, docs.columns).filter(F.col("score") < TOXIC_SCORE).select(*docs.columns)
+    return drop_toxic(docs, model, TOXIC_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,27 +139,37 @@ def fit_rows(features: list[np.ndarray], toxic: np.ndarray, terms: list[np.ndarr
                 swap_sign += [sign] * len(cols)
             swaps += 1
     swap_row, swap_column, swap_sign = np.array(swap_row, np.int64), np.array(swap_column, np.int64), np.array(swap_sign)
-    w, b = np.zeros(len(chosen)), float(np.log(rate / (1 - rate)))
-    ahead, ahead_b, momentum = w.copy(), b, 1.0
-    most = np.bincount(row, minlength=n).max() + 1
-    lipschitz = 0.25 * min(most, 400) + counterfactual * 2 * (len(PREFIXES) + 1) * 2
+
+    def hessian_bound(v: np.ndarray) -> np.ndarray:
+        """An upper bound of the Hessian times ``v`` (last entry: bias)."""
+        across = np.bincount(row, weights=v[column], minlength=n) + v[-1]
+        out = np.append(np.bincount(column, weights=across[row], minlength=len(chosen)), across.sum()) / (4 * n)
+        if swaps:
+            change = np.bincount(swap_row, weights=swap_sign * v[swap_column], minlength=swaps)
+            out[:-1] += 2 * counterfactual / n * np.bincount(swap_column, weights=swap_sign * change[swap_row], minlength=len(chosen))
+        return out
+
+    v = np.ones(len(chosen) + 1)
+    for _ in range(20):
+        v = hessian_bound(v / np.linalg.norm(v))
+    step = 1 / (1.1 * np.linalg.norm(v))
+    x = np.append(np.zeros(len(chosen)), np.log(rate / (1 - rate)))
+    ahead, momentum = x.copy(), 1.0
     for _ in range(steps):
-        logit = np.bincount(row, weights=ahead[column], minlength=n) + ahead_b
+        logit = np.bincount(row, weights=ahead[column], minlength=n) + ahead[-1]
         error = (_sigmoid(logit) - toxic) / n
-        gradient = np.bincount(column, weights=error[row], minlength=len(chosen))
+        gradient = np.append(np.bincount(column, weights=error[row], minlength=len(chosen)), error.sum())
         if swaps:
             change = np.bincount(swap_row, weights=swap_sign * ahead[swap_column], minlength=swaps)
-            gradient += 2 * counterfactual / n * np.bincount(swap_column, weights=swap_sign * change[swap_row], minlength=len(chosen))
-        rate_step = 40.0 / lipschitz
-        new = ahead - rate_step * gradient
-        new = np.sign(new) * np.maximum(np.abs(new) - rate_step * l1, 0)
-        new_b = ahead_b - rate_step * error.sum()
+            gradient[:-1] += 2 * counterfactual / n * np.bincount(swap_column, weights=swap_sign * change[swap_row], minlength=len(chosen))
+        new = ahead - step * gradient
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * l1, 0)
+        if ((ahead - new) * (new - x)).sum() > 0:  # the momentum points uphill
+            momentum = 1.0
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        if ((ahead - new) * (new - w)).sum() > 0:
-            following = 1.0
-        pull = (momentum - 1) / following if following > 1 else 0.0
-        ahead, ahead_b = new + pull * (new - w), new_b + pull * (new_b - b)
-        w, b, momentum = new, new_b, following
+        ahead = new + (momentum - 1) / following * (new - x)
+        x, momentum = new, following
+    w, b = x[:-1], x[-1]
     weights[chosen] = w
     return ToxicityModel(float(b), weights)
 
@@ -190,6 +200,14 @@ def score(documents: DataFrame, model: ToxicityModel, keep: list[str], text: str
     return documents.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{fields}, score double")
 
 
+def drop_toxic(documents: DataFrame, model: ToxicityModel, threshold: float, text: str = "text") -> DataFrame:
+    """``documents`` whose score is below the threshold; all columns are kept."""
+    columns = documents.columns
+    apart = documents.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(columns)))  # one may be named score
+    scored = score(apart, model, apart.columns, f"__k{columns.index(text)}")
+    return scored.filter(F.col("score") < threshold).select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(columns)))
+
+
 def save(model: ToxicityModel, path: str) -> None:
     kept = np.flatnonzero(model.weights)
     with open(path, "w") as out:
