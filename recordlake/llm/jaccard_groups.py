@@ -5,13 +5,20 @@
 2. Sets are partitioned into groups of similar ones. By the pigeonhole principle two sets that reach the
    threshold agree on at least one of ``d + 1`` hashed parts, ``d`` being the most elements they may
    differ in; so sets that share no part signature cannot link. Sets with a common signature get the
-   smallest holder as key, and the sets of a key are dealt by hash to groups of about ``GROUP`` sets.
+   smallest holder as key; the sets of a key are dealt by hash to blocks of bounded size, and a block's
+   sets, ordered by their least token (a min-hash), to groups of ``GROUP``.
 3. Each group's token union with the members of each token is its row of the token-group matrix.
-   Only pairs of groups that share a signature meet. A set is a query to the other group: its overlap
-   with the union bounds its overlap with every member; groups below the bound stay closed.
+   Only blocks of one key, or of keys that share a signature, meet. A set is a query to the groups of
+   the other block: its overlap with the union bounds its overlap with every member; groups below the
+   bound stay closed.
 4. Opened groups are verified exactly (integer arithmetic). Links become components in Spark.
 
-Signatures that stand on less than two tokens are left out where the slack in the number of parts
+Common shingles (a line or passage of many documents) would make unlike sets agree on small parts. A
+bounded list of the most frequent ones, counted over all documents, is left out of the parts of sets
+that hold few of them; sets that hold many are also signed in full. The thresholds overlap, so that two
+sets that link are signed alike at least once: any list gives the same result.
+
+Signatures that stand on no token, or on one, are left out where the slack in the number of parts
 allows, and kept where it doesn't, so no link is lost. A document with fewer words than the shingle is
 one element; one without words (null, empty) is empty, is linked with nothing and is its own component.
 Null ids are not supported as class holders and keep a null component. Rows with equal ids share a row
@@ -33,6 +40,12 @@ from recordlake.llm.wordcode import SPACE_WORDS, mix, slices, split_words, windo
 
 SHINGLE, PERCENT = 4, 85
 GROUP = 48
+#: At most so many common shingles are left out of signatures; a batch reports those of so many of its sets.
+COMMON, COMMON_IN_BATCH = 200_000, 8
+#: Share of common shingles up to which a set is signed without them, in percent.
+COMMON_SHARE = 25
+#: A block holds about so many sets and tokens at most.
+BLOCK_SETS, BLOCK_TOKENS = 512, 1_000_000
 #: Rows of (id, key, block, weight) that may be broadcast: 40 MB.
 BROADCAST_ROWS = 1_000_000
 
@@ -73,19 +86,40 @@ class SizeClasses:
         self.percent = percent
         bounds = [1]
         while bounds[-1] <= largest * 100 // percent + 1:
-            bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 3 // 2)))
+            bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 5 // 4), -(-bounds[-1] * 100 // percent)))  # a partner is in the next class at most
         self.low = np.array(bounds)
         differ = (100 - percent) * 2 * (self.low[1:] - 1) // (100 + percent)
-        self.slack = -(-(differ + 1) * 13 // 100) * (differ > 0)
+        self.slack = -(-(differ + 1) * 20 // 100) * (differ > 0)
         self.parts = differ + 1 + self.slack
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
 
 
-def signatures(tokens: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set row, signature) of all parts to compare."""
+def signatures(tokens: np.ndarray, first: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(set row, signature) of all parts to compare; ``common`` is the sorted list of common codes."""
     sizes = np.diff(first)
+    if common is None or not len(common) or not len(tokens):
+        return _part_signatures(tokens, first, sizes, percent, 0)
+    spot = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+    rare = common[spot] != tokens
+    held = np.concatenate([[0], np.cumsum(~rare)])
+    shared = 100 * (held[first[1:]] - held[first[:-1]])
+    few = shared <= COMMON_SHARE * sizes
+    # a set that links with one beyond the share holds at least (share - (100 - percent)) * percent / 100 per cent
+    many = shared * 100 >= max(0, COMMON_SHARE - (100 - percent)) * percent * sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    out = []
+    for keep, chosen, salt in ((rare & few[owner], few, 1), (many[owner], many, 2)):
+        kept = np.bincount(owner[keep], minlength=len(sizes))
+        rows, found = _part_signatures(tokens[keep], np.concatenate([[0], np.cumsum(kept)]), sizes * chosen, percent, salt)
+        out.append((rows, found))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def _part_signatures(tokens: np.ndarray, first: np.ndarray, sizes: np.ndarray, percent: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets that have ``sizes`` elements in all, from the tokens given."""
+    have = np.diff(first)
     rows = np.flatnonzero(sizes)
     if not len(rows):
         return rows, np.zeros(0, np.uint64)
@@ -96,7 +130,7 @@ def signatures(tokens: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.
     emit_class = np.concatenate([own, own[above] + 1])
     parts = classes.parts[emit_class]
     begin = np.concatenate([[0], np.cumsum(parts)])
-    n = sizes[emit_row]
+    n = have[emit_row]
     which = np.repeat(np.arange(len(emit_row)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[emit_row], n)
     token = tokens[at]
@@ -107,43 +141,60 @@ def signatures(tokens: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.
     sums = np.zeros(begin[-1], np.uint64)
     np.add.at(sums, slot, mix(token, 12))
     slot_emit = np.repeat(np.arange(len(emit_row)), parts)
-    weak = count < 2
-    weak_of = np.add.reduceat(weak.astype(np.int64), begin[:-1])
-    keep = ~weak | (weak_of > classes.slack[emit_class])[slot_emit]
+    # two sets that link agree on more parts than the slack: as many of the poorest kinds as that can be left out
+    spare = classes.slack[emit_class]
+    per = lambda test: np.add.reduceat(test.astype(np.int64), begin[:-1])
+    least = np.where(per(count < 2) <= spare, 2, np.where(per(count < 1) <= spare, 1, 0))
+    keep = count >= least[slot_emit]
     inside = (np.arange(begin[-1]) - begin[slot_emit]).astype(np.uint64)
     place = emit_class[slot_emit].astype(np.uint64) << np.uint64(40) | inside
-    signature = mix(sums + mix(place, 13), 14)
+    signature = mix(sums + mix(place, 13 + salt), 14)
     return emit_row[slot_emit[keep]], signature[keep]
 
 
-def _describe(shingle: int, percent: int):
+def _describe(shingle: int):
+    """Size and digests of each set; then, as rows of negative size, the batch's common shingles and their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "n_shingles", "d1", "d2"]
         for batch in batches:
+            seen: set[tuple[int, int]] = set()
+            held = []
             for at, part in slices(batch.column(1)):
                 tokens, first = shingle_sets(part, shingle)
                 one, two = set_digests(tokens, first)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), pa.array(np.diff(first)), pa.array(one), pa.array(two)], ["id", "n_shingles", "d1", "d2"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(np.diff(first)), pa.array(one), pa.array(two)], names)
+                fresh = _unseen(one, two, seen)
+                held.append(tokens[np.repeat(fresh, np.diff(first))])
+            found, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            often = count >= COMMON_IN_BATCH
+            n = int(often.sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(-count[often]), pa.array(found[often].view(np.int64)), pa.array(np.zeros(n, np.int64))], names)
 
     return run
 
 
-def _sign(shingle: int, percent: int):
+def _unseen(one: np.ndarray, two: np.ndarray, seen: set[tuple[int, int]]) -> np.ndarray:
+    """Which sets are not in ``seen``; adds them."""
+    fresh = np.zeros(len(one), bool)
+    for i, pair in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
+        if pair not in seen:
+            seen.add(pair)
+            fresh[i] = True
+    return fresh
+
+
+def _sign(shingle: int, percent: int, bound):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[tuple[int, int]] = set()
             ids = np.asarray(batch.column(0))
             for at, part in slices(batch.column(1)):
                 tokens, first = shingle_sets(part, shingle)
-                fresh = np.zeros(len(part), bool)
-                for i, pair in enumerate(zip(*(d.tolist() for d in set_digests(tokens, first)), strict=True)):
-                    if pair not in seen and first[i + 1] > first[i]:
-                        seen.add(pair)
-                        fresh[i] = True
+                fresh = _unseen(*set_digests(tokens, first), seen)
                 sizes = np.diff(first) * fresh
                 tokens = tokens[np.repeat(fresh, np.diff(first))]
-                rows, signature = signatures(tokens, np.concatenate([[0], np.cumsum(sizes)]), percent)
+                rows, signature = signatures(tokens, np.concatenate([[0], np.cumsum(sizes)]), percent, bound.value)
                 yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(ids[at + rows])], ["sig", "id"])
 
     return run
@@ -198,7 +249,7 @@ class TokenGroup:
         return np.bincount(self.member[at], minlength=len(self.sizes))
 
 
-def _verify(percent: int):
+def _verify(percent: int, size: int):
     def run(table: pa.Table) -> pa.Table:
         side = np.asarray(table["side"].combine_chunks())
         ids = np.asarray(table["id"].combine_chunks())
@@ -215,13 +266,15 @@ def _verify(percent: int):
                 i = root[i]
             return i
 
-        if len(left) and len(right):
-            group = TokenGroup([sets[i] for i in right])
-            for i in left:
+        right = right[np.argsort([sets[i][0] for i in right], kind="stable")] if len(right) else right
+        parts = [right[at : at + size] for at in range(0, len(right), size)]
+        groups = [TokenGroup([sets[i] for i in part]) for part in parts]
+        for i in left:
+            for part, group in zip(parts, groups, strict=True):
                 common = group.overlaps(sets[i], percent)
                 if common is None:
                     continue
-                hit = right[100 * common >= percent * (len(sets[i]) + group.sizes - common)]
+                hit = part[100 * common >= percent * (len(sets[i]) + group.sizes - common)]
                 hit = hit[hit > i] if alone else hit
                 links[i] += weight[hit].sum()
                 links[hit] += weight[i]
@@ -239,15 +292,18 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
         raise ValueError("percent is from 50 to 100, shingle at least 1")
     spark = df.sparkSession
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    described = texts.mapInArrow(_describe(shingle, percent), "id long, n_shingles long, d1 long, d2 long")
-    described = materialize(described, "sets")
+    found = materialize(texts.mapInArrow(_describe(shingle), "id long, n_shingles long, d1 long, d2 long"), "sets")
+    described = found.filter("n_shingles >= 0")
+    often = found.filter("n_shingles < 0").groupBy("d1").agg(F.sum(-F.col("n_shingles")).alias("n")).orderBy(F.desc("n"), "d1").limit(COMMON)
+    common = np.sort(np.array([r["d1"] for r in often.select("d1").toArrow().to_pylist()], np.int64).view(np.uint64))
+    common = spark.sparkContext.broadcast(common)
     classes = described.filter("n_shingles > 0 and id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
     classed = described.join(classes, ["d1", "d2", "n_shingles"], "left").select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("weight", F.lit(1)).alias("weight"))
     classed = materialize(classed, "classes")
-    holders = classed.filter("n_shingles > 0 and id = class_id").select("id", "weight").distinct()
+    holders = classed.filter("n_shingles > 0 and id = class_id").select("id", "weight", "n_shingles").distinct()
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = texts.filter("id is not null").mapInArrow(_sign(shingle, percent), "sig long, id long")
+    signed = texts.filter("id is not null").mapInArrow(_sign(shingle, percent, common), "sig long, id long")
     repeated = materialize(signed.repartition(partitions, "sig").mapInArrow(_repeated, "sig long, id long"), "repeated")
     to_class = classed.filter("n_shingles > 0").select("id", "class_id").distinct()
     postings = materialize(repeated.join(to_class, "id").select("sig", F.col("class_id").alias("id")).distinct(), "postings")
@@ -255,12 +311,13 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     pivots = postings.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot != last").select("sig", "pivot")
     keys = postings.join(pivots, "sig").groupBy("id").agg(F.min("pivot").alias("key"))
     keys = materialize(keys, "keys")
-    counts = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).cast("int").alias("blocks"))
-    counts = materialize(counts, "blocks")
-    members = keys.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(holders, "id").select("id", "key", "block", "weight")
+    keys = keys.join(holders, "id")
+    blocks_of = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_SETS)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_TOKENS)))
+    counts = materialize(keys.groupBy("key").agg(blocks_of.cast("int").alias("blocks")), "blocks")
+    members = keys.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "key", "block", "weight")
     members = materialize(members, "members")
 
-    held = postings.join(keys, "id").select("sig", "key").distinct()
+    held = postings.join(members, "id").select("sig", "key").distinct()
     several = held.groupBy("sig").agg(F.min("key").alias("k1"), F.max("key").alias("last")).filter("k1 != last")
     meeting = held.join(several.select("sig"), "sig")
     crossing = meeting.select("sig", F.col("key").alias("k1")).join(meeting.select("sig", F.col("key").alias("k2")), "sig").filter("k1 < k2").select("k1", "k2").distinct()
@@ -278,7 +335,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     wanted = wanted.dropDuplicates(["id"]) if _repeats(texts) else wanted
     sets = materialize(wanted.select("id", "key", "block", "weight", "text").mapInArrow(_load_sets(shingle), "id long, key long, block int, weight long, tokens binary"), "tokens")
     met = sides.join(sets, ["key", "block"]).select(*pair, "side", "id", "weight", "tokens")
-    found = materialize(met.groupBy(*pair).applyInArrow(_verify(percent), "id long, links long, root long"), "links")
+    found = materialize(met.groupBy(*pair).applyInArrow(_verify(percent, group), "id long, links long, root long"), "links")
     components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy("id").agg(F.sum("links").alias("links"))
     linked = components.join(degree, components["node"] == degree["id"]).select(F.col("node").alias("class_id"), "component", "links")
