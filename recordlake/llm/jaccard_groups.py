@@ -40,8 +40,9 @@ from recordlake.llm.wordcode import SPACE_WORDS, mix, slices, split_words, windo
 
 SHINGLE, PERCENT = 4, 85
 GROUP = 48
-#: At most so many common shingles are left out of signatures; a batch reports those of so many of its sets.
-COMMON, COMMON_IN_BATCH = 200_000, 8
+#: At most so many common shingles are left out of signatures; of each so many elements counted at a time,
+#: those that so many sets hold are reported.
+COMMON, COUNTED, COMMON_IN_BATCH = 200_000, 2_000_000, 8
 #: Share of common shingles up to which a set is signed without them, in percent.
 COMMON_SHARE = 25
 #: A block holds about so many sets and tokens at most.
@@ -159,21 +160,30 @@ def _describe(shingle: int):
         names = ["id", "n_shingles", "d1", "d2"]
         for batch in batches:
             seen: set[tuple[int, int]] = set()
-            held = []
+            held: list[np.ndarray] = []
             for at, part in slices(batch.column(1)):
                 tokens, first = shingle_sets(part, shingle)
                 one, two = set_digests(tokens, first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(np.diff(first)), pa.array(one), pa.array(two)], names)
                 fresh = _unseen(one, two, seen)
                 held.append(tokens[np.repeat(fresh, np.diff(first))])
-            found, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = count >= COMMON_IN_BATCH
-            n = int(often.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(-count[often]), pa.array(found[often].view(np.int64)), pa.array(np.zeros(n, np.int64))], names)
+                if sum(map(len, held)) >= COUNTED:
+                    yield _common_rows(held, names)
+                    held = []
+            if held:
+                yield _common_rows(held, names)
 
     return run
 
 
+def _common_rows(held: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """The shingles that enough of the sets at hand hold, as rows of negative size."""
+    found, count = np.unique(np.concatenate(held), return_counts=True)
+    often = count >= COMMON_IN_BATCH
+    n = int(often.sum())
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(-count[often]), pa.array(found[often].view(np.int64)), pa.array(np.zeros(n, np.int64))], names)
+
+
 def _unseen(one: np.ndarray, two: np.ndarray, seen: set[tuple[int, int]]) -> np.ndarray:
     """Which sets are not in ``seen``; adds them."""
     fresh = np.zeros(len(one), bool)
