@@ -11,8 +11,8 @@ writes no shard. Further columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recordlake.llm.wordcode import range_hashes, slices, text_buffer
+
 SHARD_TOKENS = 4 << 20
 BLOCK = 512
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, doc_ids binary, ends binary, bits int, zeros binary, planes binary"
@@ -133,99 +135,163 @@ class WaveletMatrix:
 
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_MARKS = r"!-/:-@\[-`{-~"
-#: Texts are cut only where every match of the pre-tokeniser's pattern ends: before white space that
-#: follows another character, and between a letter and an ASCII mark or digit. Kinds of pieces: one
-#: run of Latin letters, a run of marks before white space, and whatever else reaches to a cut.
-_PIECES = re.compile(
-    rf" ?[{_LETTERS}]++(?=[\x00-\x7f]|\Z)|[!-&(-/:-@\[-`{{-~]++(?=[ \n]|\Z)"
-    rf"|.(?:(?!(?<=[!-~À-ÿ])[ \n]|(?<=[{_LETTERS}])[{_MARKS}0-9]).)*+",
-    re.S,
-)
+#: Texts are cut only where every match of the pre-tokeniser's pattern ends: before a space or newline
+#: that follows a visible ASCII or Latin-1 character, and between a Latin letter and an ASCII mark or digit.
 _ONE_WORD = re.compile(rf" ?[{_LETTERS}]+")
 #: Pieces that may be encoded in one string: they begin with white space and end before it.
 _JOINABLE = re.compile(r"[ \n].*[!-~À-ÿ]", re.S)
-
-
-def _byte_alphabet() -> dict[int, str]:
-    """The byte-level models' printable stand-ins: printable Latin-1 stays, other bytes follow from U+0100."""
+_BLANK = np.isin(np.arange(256), [0x20, 0x0A])
+_ASCII_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_MARK = np.array([0x21 <= b <= 0x7E and not chr(b).isalpha() for b in range(256)])
+
+
+def piece_starts(data: np.ndarray, text_at: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the UTF-8 bytes of texts that begin at ``text_at``."""
+    starts = np.zeros(len(data) + 1, bool)
+    starts[text_at] = True
+    starts = starts[:-1]
+    if len(data) > 1:
+        before, now = data[:-1], data[1:]
+        latin = np.zeros(len(before), bool)  # the last byte of a character from U+00C0 to U+00FF
+        latin[1:] = (before[:-1] == 0xC3) & (before[1:] >= 0x80) & (before[1:] <= 0xBF)
+        visible = (before > 0x20) & (before < 0x7F)
+        letter = _ASCII_LETTER[before] | (latin & (before != 0x97) & (before != 0xB7))
+        starts[1:] |= (_BLANK[now] & (visible | latin)) | (_MARK[now] & letter)
+    return np.flatnonzero(starts)
+
+
+def _byte_alphabet() -> str:
+    """The byte-level models' printable stand-ins: printable Latin-1 stays, other bytes follow from U+0100.
+
+    The newline stays itself: it is the cut between words.
+    """
     stays = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = [b for b in range(256) if b not in stays]
-    return {b: chr(256 + i) for i, b in enumerate(others)}
+    return "".join(chr(b) if b in stays or b == 10 else chr(256 + others.index(b)) for b in range(256))
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece with the library; ids are little-endian 32-bit bytes.
+    """Encodes texts piece by piece with the library.
 
-    A text that holds an added token's string is encoded whole. Pieces met first stay in a bounded memo. Of a batch's unknown pieces, single words go straight to
-    the library's model; others are encoded in one string and told apart by their tokens' byte lengths.
+    Pieces are told apart by two 64-bit hashes of their bytes; those met first stay in a bounded memo of
+    sorted hashes and a pool of ids. Unknown pieces are encoded in a few strings and handed their ids by
+    the byte lengths of tokens; single words need no pre-tokeniser but a cut at each line. A text that
+    holds an added token's string is encoded whole, as is a slice in which two pieces share one hash.
     """
 
-    MEMO, MEMO_CHARS, JOIN = 1_000_000, 40, 2_000
+    MEMO, JOIN = 1_000_000, 5_000
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.model = self.tokenizer.model
+        self.lines = Tokenizer(self.tokenizer.model)
+        self.lines.pre_tokenizer = CharDelimiterSplit("\n")
         size = self.tokenizer.get_vocab_size()
         self.bits = max(1, (size - 1).bit_length())
         added = self.tokenizer.get_added_tokens_decoder()
         self.lengths = np.array([len(added[i].content.encode()) if i in added else len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
         self.added = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"\Z\A.")
         self.alphabet = _byte_alphabet()
-        self.memo: dict[str, bytes] = {}
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _encode_pieces(self, pieces: set[str]) -> dict[str, bytes]:
-        out, joined = {}, []
-        tokenize, alphabet = self.model.tokenize, self.alphabet
+        out: dict[str, bytes] = {}
+        words, joined = [], []
         for p in pieces:
             if _ONE_WORD.fullmatch(p):
-                ids = [t.id for t in tokenize(p.encode().decode("latin-1").translate(alphabet))]
-                out[p] = struct.pack(f"<{len(ids)}I", *ids)
+                words.append(p)
             elif _JOINABLE.fullmatch(p):
                 joined.append(p)
             else:
                 out[p] = self._ids(p).tobytes()
+        for at in range(0, len(words), self.JOIN):
+            part = words[at : at + self.JOIN]
+            text, _ = codecs.charmap_decode("\n".join(part).encode(), "strict", self.alphabet)
+            self._deal(part, np.array(self.lines.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"), out)
         for at in range(0, len(joined), self.JOIN):
             part = joined[at : at + self.JOIN]
-            ids = self._ids("".join(part))
-            ends = np.cumsum(self.lengths[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in part]), side="left") + 1
-            body, a = ids.tobytes(), 0
-            for p, b in zip(part, (4 * cuts).tolist(), strict=True):
-                out[p] = body[a:b]
-                a = b
+            self._deal(part, self._ids("".join(part)), out)
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = [_PIECES.findall(t) if not self.added.search(t) else [] for t in texts]
-        distinct = set().union(*split)
-        fresh = self._encode_pieces(distinct.difference(self.memo))
-        known = self.memo
-        if len(known) + len(fresh) <= self.MEMO and max(map(len, fresh), default=0) <= self.MEMO_CHARS:
-            known.update(fresh)
+    def _deal(self, pieces: list[str], ids: np.ndarray, out: dict[str, bytes]) -> None:
+        """Hands the ids of joined pieces to each by their byte lengths."""
+        ends = np.cumsum(self.lengths[ids])
+        cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in pieces]), side="left") + 1
+        body, a = ids.tobytes(), 0
+        for p, b in zip(pieces, (4 * cuts).tolist(), strict=True):
+            out[p] = body[a:b]
+            a = b
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Adds ids to the pool; returns their place."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        self.pool[at : self.used] = ids
+        return at
+
+    def encode_slice(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a null-free large_string array, and the count of each text's."""
+        data, at = text_buffer(column)
+        if self.added.search(body := data.tobytes().decode()):
+            return self._encode_whole(column.to_pylist())
+        del body
+        start = piece_starts(data, at[:-1][np.diff(at) > 0])
+        end = np.append(start[1:], len(data)) if len(start) else start
+        key, check = range_hashes(data, start, end), range_hashes(data, start, end, 1)
+        distinct, lead, of = np.unique(key, return_index=True, return_inverse=True)
+        if not np.array_equal(check, check[lead][of]):
+            return self._encode_whole(column.to_pylist())
+        spot = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
+        known = (self.keys[spot] == distinct) & (self.checks[spot] == check[lead]) if len(self.keys) else np.zeros(len(distinct), bool)
+        place, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        place[known], size[known] = self.place[spot[known]], self.size[spot[known]]
+        new = np.flatnonzero(~known)
+        pieces = [data[a:b].tobytes().decode() for a, b in zip(start[lead[new]].tolist(), end[lead[new]].tolist(), strict=True)]
+        fresh = self._encode_pieces(set(pieces))
+        parts = [fresh[p] for p in pieces]
+        size[new] = [len(x) // 4 for x in parts]
+        mark = self.used
+        place[new] = self._keep(np.frombuffer(b"".join(parts), "<u4")) + np.cumsum(size[new]) - size[new]
+        n = size[of]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.pool[np.arange(total) + np.repeat(place[of] - ends + n, n)]
+        before = np.concatenate([[0], ends])
+        counts = np.diff(before[np.searchsorted(start, at)])
+        if len(self.keys) + len(new) <= self.MEMO:
+            into = np.searchsorted(self.keys, distinct[new])
+            self.keys, self.checks = np.insert(self.keys, into, distinct[new]), np.insert(self.checks, into, check[lead][new])
+            self.place, self.size = np.insert(self.place, into, place[new]), np.insert(self.size, into, size[new])
         else:
-            for p, ids in fresh.items():
-                if len(known) < self.MEMO and len(p) <= self.MEMO_CHARS:
-                    known[p] = ids
-            known = {p: fresh[p] if p in fresh else known[p] for p in distinct}
-        return [b"".join(map(known.__getitem__, pieces)) if pieces or not t else self._ids(t).tobytes() for pieces, t in zip(split, texts, strict=True)]
+            self.used = mark
+        return ids, counts
+
+    def _encode_whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._ids(t) for t in texts]
+        return np.concatenate(found), np.array([len(x) for x in found])
 
 
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def _shard_row(part: int, seq: int, doc_ids: list, chunks: list[bytes], bits: int, end_id: int) -> list:
-    end = np.array([end_id], "<u4").tobytes()
-    ends = np.cumsum([len(c) // 4 + 1 for c in chunks], dtype="<i8")
-    ids = np.frombuffer(end.join([*chunks, b""]), "<u4")
+def _shard_row(part: int, seq: int, doc_ids: list[pa.Array], counts: list[np.ndarray], chunks: list[np.ndarray], bits: int, end_id: int) -> list:
+    """One shard: each text's ids and the end id."""
+    n, flat = np.concatenate(counts), np.concatenate(chunks)
+    ends = np.cumsum(n + 1)
+    ids = np.full(int(ends[-1]), end_id, np.uint32)
+    ids[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
     matrix = WaveletMatrix.build(ids, bits)
-    known = pa.array(doc_ids, pa.int64())
-    return [part, seq, len(doc_ids), len(ids), known.fill_null(0).to_numpy().astype("<i8").tobytes() + known.is_null().to_numpy(zero_copy_only=False).astype("u1").tobytes(), ends.tobytes(), bits, matrix.zeros.astype("<i8").tobytes(), matrix.to_bytes()]
+    known = pa.concat_arrays(doc_ids)
+    missing = known.is_null().to_numpy(zero_copy_only=False)
+    return [part, seq, len(n), len(ids), known.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + missing.astype("u1").tobytes(), ends.astype("<i8").tobytes(), bits, matrix.zeros.astype("<i8").tobytes(), matrix.to_bytes()]
 
 
 def _encode(tokenizer_file: str, end_id: int, shard_tokens: int):
@@ -234,23 +300,22 @@ def _encode(tokenizer_file: str, end_id: int, shard_tokens: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer_file) or _encoders.setdefault(tokenizer_file, PieceEncoder(tokenizer_file))
-        part, seq, doc_ids, chunks, held = TaskContext.get().partitionId(), 0, [], [], 0
+        part, seq, doc_ids, counts, chunks, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush():
-            row = _shard_row(part, seq, doc_ids, chunks, encoder.bits, end_id)
+            row = _shard_row(part, seq, doc_ids, counts, chunks, encoder.bits, end_id)
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                texts = [t or "" for t in piece.column(1).to_pylist()]
-                for doc, ids in zip(piece.column(0).to_pylist(), encoder.encode_batch(texts), strict=True):
-                    doc_ids.append(doc)
-                    chunks.append(ids)
-                    held += len(chunks[-1]) // 4 + 1
-                    if held >= shard_tokens:
-                        yield flush()
-                        seq, doc_ids, chunks, held = seq + 1, [], [], 0
+            for at, texts in slices(batch.column(1)):
+                ids, n = encoder.encode_slice(texts)
+                doc_ids.append(batch.column(0).slice(at, len(texts)))
+                counts.append(n)
+                chunks.append(ids)
+                held += len(ids) + len(n)
+                if held >= shard_tokens:
+                    yield flush()
+                    seq, doc_ids, counts, chunks, held = seq + 1, [], [], [], 0
         if doc_ids:
             yield flush()
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -60,6 +60,15 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash of each byte range; ``which`` 0 and 1 are independent."""
+    n = len(data)
+    up, down = powers(which, n + 1)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_CODES[data if which == 0 else data ^ 0x5A] * up[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64), which)
+
+
 @dataclass
 class Words:
     """Words of a slice of texts; ``first[i]:first[i + 1]`` are those of text ``i``."""
@@ -71,12 +80,7 @@ class Words:
     first: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        up, down = powers(0, n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_CODES[self.data] * up[:n], out=sums[1:])
-        raw = (sums[self.end] - sums[self.start]) * down[self.start]
-        return mix(raw + (self.end - self.start).astype(np.uint64))
+        return range_hashes(self.data, self.start, self.end)
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
