@@ -2,8 +2,8 @@
 
 Each shard of documents gets a suffix array over its words: suffixes that begin with a benchmark word
 are sorted by tripling their ranks (1, 3, 9, 27 words), words that no test text has being one code.
-Every test suffix is binary-searched in it, word by word, all at once; that yields its longest
-verbatim match (as far as the item goes) and, for runs of a whole window, all locations.
+Every test suffix is binary-searched in it, word by word, all at once, for all locations of its window;
+windows that follow each other in text and item are chained to the whole verbatim match, of any length.
 
 A window is ``width`` consecutive item words, or all words of a shorter item that has any. The test
 texts are sent to the shards in blocks of bounded bytes, so a large test set takes more passes, not
@@ -47,15 +47,14 @@ class TestSuffixes:
         vocabulary = np.unique(flat)
         return cls(items, vocabulary, np.searchsorted(vocabulary, flat) + 1, np.array(first))
 
-    def suffixes(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per suffix: its start, the item's end, its item, and the length of the window it begins (0: none)."""
+    def suffixes(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per suffix: its start, its item, and the length of the window it begins (0: none)."""
         sizes = np.diff(self.first)
         start = np.arange(len(self.codes))
         item = np.repeat(np.arange(len(sizes)), sizes)
-        stop = self.first[1:][item]
-        left = stop - start
+        left = self.first[1:][item] - start
         window = np.where(left >= width, width, np.where((sizes[item] < width) & (left == sizes[item]), left, 0))
-        return start, stop, item, window
+        return start, item, window
 
 
 def suffix_array(codes: np.ndarray) -> np.ndarray:
@@ -81,15 +80,14 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
     return starts[order]
 
 
-def match_ranges(codes: np.ndarray, sa: np.ndarray, tests: TestSuffixes, start: np.ndarray, stop: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per test suffix: the range of the suffix array that matches its whole window, and its longest match up to 27 words."""
+def match_ranges(codes: np.ndarray, sa: np.ndarray, tests: TestSuffixes, start: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per test suffix the range of the suffix array that matches its whole window; empty where it doesn't match or has no window."""
     m = len(start)
     low, high = np.zeros(m, np.int64), np.full(m, len(sa), np.int64)
-    longest = np.zeros(m, np.int64)
     found_low, found_high = np.zeros(m, np.int64), np.zeros(m, np.int64)
     live = np.arange(m)
-    for depth in range(27):
-        live = live[start[live] + depth < stop[live]]
+    for depth in range(int(window.max(initial=0))):
+        live = live[window[live] > depth]
         if not len(live):
             break
         wanted = tests.codes[start[live] + depth]
@@ -109,24 +107,41 @@ def match_ranges(codes: np.ndarray, sa: np.ndarray, tests: TestSuffixes, start:
         keep = edge[1] > edge[0]
         live = live[keep]
         low[live], high[live] = edge[0][keep], edge[1][keep]
-        longest[live] = depth + 1
         whole = live[window[live] == depth + 1]
         found_low[whole], found_high[whole] = low[whole], high[whole]
-    return found_low, found_high, longest
+    return found_low, found_high
+
+
+def match_lengths(place: np.ndarray, start: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Words of the verbatim match from ``place`` and test position ``start`` on, given all pairs that match a whole window.
+
+    A match of ``window + k`` words is a run of ``k + 1`` pairs, each one word further in both; it ends
+    with the text, the item or the first word that differs, so the run's last pair matches its window only.
+    """
+    order = np.lexsort((place, place - start))
+    place, start, window = place[order], start[order], window[order]
+    last = np.ones(len(place), bool)
+    last[:-1] = (np.diff(place) != 1) | (np.diff(start) != 1)
+    ends = np.flatnonzero(last)
+    end = ends[np.searchsorted(ends, np.arange(len(place)))]
+    out = np.zeros(len(place), np.int64)
+    out[order] = place[end] - place + window[end]
+    return out
 
 
 def shard_matches(codes: np.ndarray, tests: TestSuffixes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, length, item, longest) of every window occurrence among ``codes``."""
-    start, stop, item, window = tests.suffixes(width)
+    """(position, length, item, whole match) of every window occurrence among ``codes``."""
+    start, item, window = tests.suffixes(width)
     sa = suffix_array(codes) if codes.any() else np.zeros(0, np.int64)
     if not len(sa) or not len(start):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty
-    low, high, longest = match_ranges(codes, sa, tests, start, stop, window)
+    low, high = match_ranges(codes, sa, tests, start, window)
     hit = np.flatnonzero(high > low)
     many = high[hit] - low[hit]
     within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    return sa[np.repeat(low[hit], many) + within], np.repeat(window[hit], many), np.repeat(item[hit], many), np.repeat(longest[hit], many)
+    place, length = sa[np.repeat(low[hit], many) + within], np.repeat(window[hit], many)
+    return place, length, np.repeat(item[hit], many), match_lengths(place, np.repeat(start[hit], many), length)
 
 
 def _doc_codes(words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +207,7 @@ def test_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, item: str
 
 
 def find_matches(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",), text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``keep`` columns with n_words, spans (word positions, flat pairs), items (string ids) and longest match, per row."""
+    """``keep`` columns with n_words, spans (word positions, flat pairs), items (string ids) and its longest match (0 without a window), per row."""
     if not 0 < width <= 27:
         raise ValueError("suffixes are sorted by their first 27 words")
     context = documents.sparkSession.sparkContext
