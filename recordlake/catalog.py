@@ -650,8 +650,8 @@ def export_jsonl_sorted(spark, sf_dir):
 
 @query("export_markdown", with_views("records") + """ SELECT court, string_agg('## ' || id || coalesce(chr(10) || '**Source:** ' || source, '') || chr(10) || '**Case:** ' || case_number, chr(10) || chr(10) ORDER BY id) AS markdown FROM records WHERE position % 50 = 0 GROUP BY court""")
 def export_markdown(spark, sf_dir):
-    rows = view(spark, sf_dir, "records").filter("position % 50 = 0")
-    return export.markdown_page(rows, "court", "id", export.markdown_record(F.col("id"), Source=F.col("source"), Case=F.col("case_number")))
+    rows = view(spark, sf_dir, "records")
+    return export.markdown_pages(rows, "court", "id", export.markdown_record(F.col("id"), Source=F.col("source"), Case=F.col("case_number")))
 
 
 @query("stream_collect_dedup", "SELECT event_type AS source, user_id AS id, count(*) > 0 AS seen FROM events GROUP BY event_type, user_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Column orders of the exports (fixed values).
 MIXED_CSV = [
@@ -17,6 +18,9 @@ DECISION_CSV = [
 PRECEDENT_CSV = ["id", "source", "court", "number", "precedent_type", "status", "question", "thesis", "paradigm_case_count", "rapporteur", "updated_at", "access_status", "extraction_status"]
 DOCUMENT_CSV = ["id", "source", "court", "document_type", "content_type", "title", "url", "sha256", "byte_size", "access_status", "extraction_status", "retrieved_at"]
 
+#: Records of a Markdown page at most.
+PAGE_RECORDS = 1000
+
 
 def ordered(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exactly these columns as strings; those that are missing are empty."""
@@ -48,10 +52,24 @@ def markdown_record(title: Column, **sections: Column) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def markdown_page(df: DataFrame, group: str, order: str, record: Column) -> DataFrame:
-    """Per group one Markdown page, records in order."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), record.alias("m"))))
-    return df.groupBy(group).agg(F.array_join(F.transform(listed, lambda r: r["m"]), "\n\n").alias("markdown"))
+def markdown_pages(df: DataFrame, group: str, order: str, record: Column, size: int = PAGE_RECORDS) -> DataFrame:
+    """(group, page, markdown): per group its records in order, ``size`` to a page, pages from 1.
+
+    Records are ranked within ranges of ``order``, split at values drawn by their hash, and ranges are
+    numbered by their counts, so no group is gathered whole. About 1,000 splits at most for any size.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), record.alias("m"))
+    every = max(10 * size, rows.count() // 1000)
+    splits = rows.filter(F.pmod(F.xxhash64("o"), F.lit(every)) == 0).agg(F.array_sort(F.collect_set("o")).alias("splits"))
+    ranged = rows.crossJoin(F.broadcast(splits)).select("g", "o", "m", F.size(F.filter("splits", lambda s: s <= F.col("o"))).alias("range"))
+    counts = ranged.groupBy("g", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("g").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("g").alias("og"), F.col("range").alias("orange"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("g", "range").orderBy("o", "m"))
+    ranked = ranged.withColumn("rank", rank).join(offsets, F.col("g").eqNullSafe(F.col("og")) & (F.col("range") == F.col("orange")))
+    paged = ranked.withColumn("page", F.floor((F.col("rank") + F.col("before") - 1) / size) + 1)
+    listed = F.array_sort(F.collect_list(F.struct("o", "m")))
+    return paged.groupBy(F.col("g").alias(group), "page").agg(F.array_join(F.transform(listed, lambda r: r["m"]), "\n\n").alias("markdown"))
 
 
 def document_view(df: DataFrame, with_bytes: bool = False) -> DataFrame:

@@ -1,8 +1,10 @@
 """Queries read and return every row and the whole of every text; expectations are stated here, not by SQL."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordlake import catalog
+from recordlake.sinks import export
 
 
 @pytest.fixture
@@ -27,3 +29,27 @@ def test_results_are_searched_whole(spark, tables):
     # thesis and summary of doc-11 are both its text; doc-61 shares its number
     best = {r["id"]: r["score"] for r in catalog.QUERIES["federated_rank_dedup_all"](spark, path).collect()}
     assert best == {"doc-11": 6, "doc-12": 3, "doc-13": 3}
+
+
+def test_markdown_exports_all_records(spark, data):
+    pages = catalog.QUERIES["export_markdown"](spark, data).collect()
+    orders, courts = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("orders", "customer"))
+    want = {}
+    for r in orders.join(courts, orders.o_custkey == courts.c_custkey).select("c_mktsegment", "o_orderkey").collect():
+        want.setdefault(r[0], []).append(f"## r{r[1]}")
+    found = {}
+    for r in sorted(pages, key=lambda r: (r["court"], r["page"])):
+        found.setdefault(r["court"], []).extend(x for x in r["markdown"].split("\n") if x.startswith("## "))
+    assert found == {court: sorted(titles) for court, titles in want.items()}
+
+
+def test_markdown_pages_are_bounded_and_in_order(spark):
+    rows = [("a" if i % 3 else None, f"k{i % 2500:05d}", i) for i in range(3000)] + [("b", None, 1)]
+    df = spark.createDataFrame(rows, "court string, id string, n int").repartition(5)
+    pages = export.markdown_pages(df, "court", "id", export.markdown_record(F.coalesce("id", F.lit("none")), N=F.col("n").cast("string")), size=7).collect()
+    for court in ("a", "b", None):
+        mine = sorted((r for r in pages if r["court"] == court), key=lambda r: r["page"])
+        sizes = [r["markdown"].count("## ") for r in mine]
+        assert [r["page"] for r in mine] == list(range(1, len(mine) + 1)) and set(sizes[:-1]) <= {7} and 0 < sizes[-1] <= 7
+        want = sorted((f"## {k or 'none'}\n**N:** {n}" for c, k, n in rows if c == court), key=lambda m: m)
+        assert "\n\n".join(r["markdown"] for r in mine) == "\n\n".join(want)
