@@ -412,7 +412,7 @@ def source_registry(spark, sf_dir):
   WHEN NOT is_complete THEN 'partial' WHEN is_complete IS NULL THEN 'unknown' ELSE 'ok' END AS status FROM capabilities c LEFT JOIN ev ON c.source = ev.source""")
 def source_status_view(spark, sf_dir):
     n = F.count(F.lit(1))
-    events = view(spark, sf_dir, "evidence").filter("seq % 50 < 3").groupBy("source").agg(F.max("error").alias("error"), n.alias("returned"), F.when(n % 3 == 0, F.lit(None)).otherwise(n % 3 == 1).alias("is_complete"))
+    events = view(spark, sf_dir, "evidence").groupBy("source").agg(F.max("error").alias("error"), n.alias("returned"), F.when(n % 3 == 0, F.lit(None)).otherwise(n % 3 == 1).alias("is_complete"))
     sources = view(spark, sf_dir, "capabilities").select("source", (~F.col("unified")).alias("skipped"))
     return federate.source_status(sources, events).select("source", "status")
 

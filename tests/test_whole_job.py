@@ -53,3 +53,14 @@ def test_markdown_pages_are_bounded_and_in_order(spark):
         assert [r["page"] for r in mine] == list(range(1, len(mine) + 1)) and set(sizes[:-1]) <= {7} and 0 < sizes[-1] <= 7
         want = sorted((f"## {k or 'none'}\n**N:** {n}" for c, k, n in rows if c == court), key=lambda m: m)
         assert "\n\n".join(r["markdown"] for r in mine) == "\n\n".join(want)
+
+
+def test_source_status_reads_all_evidence(spark, tables):
+    path = tables(
+        supplier=("s_suppkey long, s_nationkey int, s_acctbal double", [(k, 0, 1.0) for k in (1, 2, 3, 4, 5)]),
+        nation=("n_nationkey int, n_name string", [(0, "N")]),
+        events=("event_id long, user_id long, event_type string, value double, props string", [(e, u, "x", 1.0, "{}") for e, u in ((10, 0), (11, 1), (16, 1), (51, 2), (55, 2), (57, 2))]),
+    )
+    status = {r["source"]: r["status"] for r in catalog.QUERIES["source_status_view"](spark, path).collect()}
+    # event 10, 11, 16: no error; 51: timeout, 55: SSL, 57: timeout; s4 has no evidence; s5 isn't unified
+    assert status == {"s1": "ok", "s2": "partial", "s3": "ssl_error", "s4": "empty", "s5": "skipped"}
