@@ -275,8 +275,8 @@ def upsert_last_wins(spark, sf_dir):
 
 def _two_key_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     records = view(spark, sf_dir, "records").withColumn("created_at", F.col("position"))
-    base = records.filter("position % 2 = 0").select("kind", "id", F.concat_ws("|", F.lit("k"), "position").alias("canonical_key"), "created_at", "price")
-    fresh = records.filter("position % 3 = 0").select(
+    base = records.filter("position % 3 <> 0").select("kind", "id", F.concat_ws("|", F.lit("k"), "position").alias("canonical_key"), "created_at", "price")
+    fresh = records.filter("position % 3 <> 1").select(
         "kind", F.when(F.col("position") % 4 == 0, F.col("id")).otherwise(F.concat(F.lit("n"), "position")).alias("id"),
         F.concat_ws("|", F.lit("k"), F.when(F.col("position") % 5 == 0, F.col("position") + 2).otherwise(F.col("position"))).alias("canonical_key"), F.lit(10**12).cast("long").alias("created_at"), (F.col("price") + 1).alias("price"), "position",
     )
@@ -613,7 +613,7 @@ def request_cache(spark, sf_dir):
     requests = view(spark, sf_dir, "captures").select("page_id", F.lit("GET").alias("method"), "url", F.lit(None).cast("string").alias("query"), F.lit(None).cast("string").alias("body"))
     key = F.sha2(F.concat_ws("\n", "method", "url", F.lit(""), F.lit("")), 256)
     cache = requests.filter("page_id % 3 = 0").select(key.alias("cache_key"))
-    return discovery.request_cache_misses(requests.withColumn("url", F.col("url")), cache).select("page_id", "cache_key").filter("page_id % 3 > 0")
+    return discovery.request_cache_misses(requests.withColumn("url", F.col("url")), cache).select("page_id", "cache_key")
 
 
 @query("json_records_reader", "SELECT event_id, props AS record, json_extract_string(props, '$.k') AS k FROM events")

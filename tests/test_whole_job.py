@@ -1,5 +1,6 @@
 """Queries read and return every row and the whole of every text; expectations are stated here, not by SQL."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,25 @@ def test_source_status_reads_all_evidence(spark, tables):
     status = {r["source"]: r["status"] for r in catalog.QUERIES["source_status_view"](spark, path).collect()}
     # event 10, 11, 16: no error; 51: timeout, 55: SSL, 57: timeout; s4 has no evidence; s5 isn't unified
     assert status == {"s1": "ok", "s2": "partial", "s3": "ssl_error", "s4": "empty", "s5": "skipped"}
+
+
+@pytest.mark.parametrize("name", ["upsert_two_keys", "upsert_conflicts"])
+def test_upsert_takes_all_records(spark, data, name):
+    base, fresh = catalog._two_key_tables(spark, data)
+    positions = {r[0] for r in base.select("created_at").union(fresh.select("position")).collect()}
+    assert positions == {r[0] for r in spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey").collect()}
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    sql = catalog.ORACLES[name]
+    for cut, whole in (("position % 2 = 0)", "position % 3 <> 0)"), ("position % 3 = 0)", "position % 3 <> 1)")):
+        sql = sql.replace(cut, whole)
+    assert "position % 3 <> 1" in sql and "position % 3 <> 0" in sql
+    rows = catalog.QUERIES[name](spark, data)
+    assert rows.count() > 0
+    assert sorted(map(tuple, rows.collect())) == sorted(con.sql(sql).select(*rows.columns).fetchall())
+
+
+def test_request_cache_shows_what_the_join_lets_through(spark, data, monkeypatch):
+    monkeypatch.setattr(catalog.discovery, "request_cache_misses", lambda requests, cache: requests.withColumn("cache_key", F.lit("k")))
+    assert any(r["page_id"] % 3 == 0 for r in catalog.QUERIES["request_cache"](spark, data).collect())
