@@ -2,7 +2,8 @@
 
 The base kinds are pattern matches over whole texts. For each value that follows a credential word,
 dynamic programming finds the segmentation into common words, dates, repeats, keyboard walks and
-brute-force characters that takes the fewest guesses; a value that still needs ``10**min_log_guesses``
+brute-force characters that takes the fewest guesses; values begin at 7 characters, the fewest that
+can take ``10**12``, and a value that still needs ``10**min_log_guesses``
 is a secret of kind ``guess``. Costs are logarithms, so a segmentation costs the sum of its parts;
 the programme looks back over ``MAX_PART`` characters for structured parts and one for brute force,
 so time is linear in a value's length.
@@ -27,9 +28,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*["']?([^\s"'<>,;]{8,})""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*["']?([^\s"'<>,;]{7,})""",
     re.I | re.A,
 )
+#: A credential word with its plural, quote and separator is no longer than this.
+WORD_REACH = 16
 MAX_PART = 24
 #: Common words of passwords, most frequent first (fixed values).
 COMMON_WORDS = (
@@ -68,6 +71,7 @@ def log_guesses(value: str) -> float:
     for m in _DATE.finditer(value):
         dates.setdefault(m.end(), []).append((m.start(), _LOG_YEAR if len(m[0]) == 4 else _LOG_DATE))
     walk = run = 1
+    same = [0] * (MAX_PART + 1)  # per unit: how many characters up to here equal those a unit before
     for end in range(1, n + 1):
         cost = best[end - 1] + single
         if end > 1 and len(low) == n:
@@ -82,13 +86,10 @@ def log_guesses(value: str) -> float:
             if rank:
                 changed = value[end - size : end] != plain[end - size : end]
                 cost = min(cost, best[end - size] + math.log10(rank * (size + 1 if changed else 1) + 1))
-        for unit in range(2, min(MAX_PART, end // 2) + 1):
-            if value[end - unit : end] == value[end - 2 * unit : end - unit]:
-                times = 2
-                while end - (times + 1) * unit >= 0 and value[end - (times + 1) * unit : end - times * unit] == value[end - unit : end]:
-                    times += 1
-                    if times * unit > 8 * MAX_PART:
-                        break
+        for unit in range(2, min(MAX_PART, end - 1) + 1):
+            same[unit] = same[unit] + 1 if value[end - 1] == value[end - 1 - unit] else 0
+            if same[unit] >= unit:
+                times = same[unit] // unit + 1
                 cost = min(cost, best[end - (times - 1) * unit] + math.log10(times))
         for start, price in dates.get(end, ()):
             cost = min(cost, best[start] + price)
@@ -101,7 +102,13 @@ def scan_text(text: str, min_log_guesses: float = 12.0) -> list[tuple[int, int,
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    found += [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if log_guesses(m[1]) >= min_log_guesses]
+    at = 0
+    while m := CONTEXT.search(text, at):
+        if log_guesses(m[1]) >= min_log_guesses:
+            found.append((m.start(1), 3, m.end(1)))
+            at = m.end()
+        else:  # the value's end may be the credential word of another one
+            at = max(m.start(1), m.end(1) - WORD_REACH)
     return sorted(found)
 
 

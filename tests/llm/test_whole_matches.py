@@ -3,7 +3,7 @@
 import random
 import re
 
-from recordlake.llm import decontaminate
+from recordlake.llm import decontaminate, secret_scan
 
 
 def longest_match(text, item, width):
@@ -32,3 +32,16 @@ def test_op1_longest_is_the_whole_match(spark):
     for block in (decontaminate.BLOCK_BYTES, 100):
         got = decontaminate.find_matches(docs, table, block_bytes=block).orderBy("doc_id").collect()
         assert [r["longest"] for r in got] == want
+
+
+def test_op3_values_of_seven_characters():
+    spans = lambda text: [text[a:b] for a, k, b in secret_scan.scan_text(text) if secret_scan.KINDS[k] == "guess"]
+    assert spans("pwd=kX9#vQ2 passphrase: aB3$xY9 auth=abc12% x") == ["kX9#vQ2", "aB3$xY9"]
+    for word in ("secrets", "auth", "password", "private_keys"):
+        assert spans(f"pwd: {word} = kX9#vQ2!mZ7p") == ["kX9#vQ2!mZ7p"]
+
+
+def test_op3_repeats_are_counted_to_their_end():
+    unit = "kX9#vQ2!mZ7p"
+    whole = secret_scan.log_guesses(unit) + 3
+    assert all(secret_scan.log_guesses(unit * n) <= whole for n in (2, 15, 30, 300, 900))
