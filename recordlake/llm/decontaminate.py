@@ -8,7 +8,9 @@ windows that follow each other in text and item are chained to the whole verbati
 A window is ``width`` consecutive item words, or all words of a shorter item that has any. The test
 texts are sent to the shards in blocks of bounded bytes, so a large test set takes more passes, not
 more memory. Null or empty texts have no words; null ids are kept; rows that repeat are judged alike;
-items with equal ids count once; empty tables leave documents unhit; other columns are ignored.
+items with equal ids are told apart by nothing but their texts and count once; an item without an id hits
+words, but names no item; empty tables leave documents unhit. A kept column named like an output comes
+out with an underscore behind its name; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordlake.llm.scratch import free_name
 from recordlake.llm.wordcode import ALNUM_WORDS, slices, split_words
 
 WIDTH = 10
 BLOCK_BYTES = 8 << 20
+#: Bytes of text of a shard, which gets one suffix array.
+SHARD_BYTES = 2 << 20
+OUTPUTS = ["n_words", "spans", "items", "longest"]
 
 
 @dataclass
@@ -154,35 +160,38 @@ def _doc_codes(words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
     return codes, words.first[:-1] + np.arange(len(words.first) - 1)
 
 
-def _scan(blocks: list, width: int, keep: int):
-    """Scans slices of texts against the broadcast blocks, of which one is in memory at a time."""
+def scan_texts(column: pa.Array, blocks: list, width: int) -> Iterator[tuple[list, list, list, list]]:
+    """n_words, spans, items and longest match of the texts, shard by shard; one of the broadcast blocks is in memory at a time."""
+    for _, part in slices(column, SHARD_BYTES):
+        words = split_words(part, ALNUM_WORDS, lower=True)
+        found, names = [], []
+        for block in blocks:
+            tests: TestSuffixes = block.value if len(blocks) == 1 else block.load_from_path(block._path)
+            codes, begin = _doc_codes(words, tests)
+            place, length, item, best = shard_matches(codes, tests, width)
+            owner = np.searchsorted(begin, place, side="right") - 1
+            found.append(np.array([owner, place - begin[owner] if len(owner) else place, length, item + len(names), best], dtype=np.int64))
+            names += tests.items
+        owner, place, length, item, best = np.concatenate(found, axis=1)
+        order = np.lexsort((place, owner))
+        owner, place, length, item, best = (x[order] for x in (owner, place, length, item, best))
+        cut = np.searchsorted(owner, np.arange(len(part) + 1))
+        pairs = list(zip(cut, cut[1:], strict=False))
+        yield (
+            np.diff(words.first).tolist(), [_union(place[a:b], length[a:b]) for a, b in pairs],
+            [sorted({names[j] for j in np.unique(item[a:b])} - {None}) for a, b in pairs], [int(best[a:b].max(initial=0)) for a, b in pairs],
+        )
+
 
+def _scan(blocks: list, width: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, spans, items, longest = [], [], [], []
-            for _, part in slices(batch.column(keep)):
-                words = split_words(part, ALNUM_WORDS, lower=True)
-                found, names = [], []
-                for block in blocks:
-                    tests: TestSuffixes = block.value if len(blocks) == 1 else block.load_from_path(block._path)
-                    codes, begin = _doc_codes(words, tests)
-                    place, length, item, best = shard_matches(codes, tests, width)
-                    owner = np.searchsorted(begin, place, side="right") - 1
-                    found.append(np.array([owner, place - begin[owner] if len(owner) else place, length, item + len(names), best], dtype=np.int64))
-                    names += tests.items
-                owner, place, length, item, best = np.concatenate(found, axis=1)
-                order = np.lexsort((place, owner))
-                owner, place, length, item, best = (x[order] for x in (owner, place, length, item, best))
-                cut = np.searchsorted(owner, np.arange(len(part) + 1))
-                n_words += np.diff(words.first).tolist()
-                for a, b in zip(cut, cut[1:], strict=False):
-                    spans.append(_union(place[a:b], length[a:b]))
-                    items.append(sorted({names[j] for j in np.unique(item[a:b])}))
-                    longest.append(int(best[a:b].max(initial=0)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:keep], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())],
-                [*batch.schema.names[:keep], "n_words", "spans", "items", "longest"],
-            )
+            columns: tuple[list, list, list, list] = ([], [], [], [])
+            for part in scan_texts(batch.column(keep), blocks, width):
+                for whole, some in zip(columns, part, strict=True):
+                    whole += some
+            kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *map(pa.array, columns, kinds)], [*batch.schema.names[:keep], *OUTPUTS])
 
     return run
 
@@ -198,7 +207,7 @@ def _union(start: np.ndarray, length: np.ndarray) -> list[int]:
 
 def test_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, item: str = "item_id", text: str = "text") -> Iterator[TestSuffixes]:
     """The test items in blocks of about ``block_bytes``, dealt by hash."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).filter("item is not null and text is not null")
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).filter("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for i in range(blocks):
@@ -212,8 +221,10 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH,
         raise ValueError("suffixes are sorted by their first 27 words")
     context = documents.sparkSession.sparkContext
     blocks = [context.broadcast(tests) for tests in test_blocks(benchmark, block_bytes)]
-    fields = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep), "n_words long, spans array<long>, items array<string>, longest long"])
-    return documents.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(_scan(blocks, width, len(keep)), fields)
+    names = [free_name(c, OUTPUTS) for c in keep]
+    fields = ", ".join([*(f"`{n}` {documents.schema[c].dataType.simpleString()}" for c, n in zip(keep, names, strict=True)), "n_words long, spans array<long>, items array<string>, longest long"])
+    kept = (F.col(c).alias(n) for c, n in zip(keep, names, strict=True))
+    return documents.select(*kept, F.col(text).cast("string").alias("__text")).mapInArrow(_scan(blocks, width, len(keep)), fields)
 
 
 def hit_words(spans: Column) -> Column:
@@ -221,9 +232,14 @@ def hit_words(spans: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(spans)), F.lit(0).cast("long"), lambda n, i: n + F.when(i < F.size(spans), F.when(i % 2 == 0, -F.get(spans, i)).otherwise(F.get(spans, i))).otherwise(0))
 
 
-def clean_documents(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text") -> DataFrame:
+def clean_documents(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``documents`` without those that hold a window of a test item; all columns are kept."""
-    columns = documents.columns
-    apart = documents.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(columns)))  # their names may be ours
-    found = find_matches(apart, benchmark, width, tuple(apart.columns), f"__k{columns.index(text)}")
-    return found.filter(F.size("spans") == 0).select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(columns)))
+    context = documents.sparkSession.sparkContext
+    blocks = [context.broadcast(tests) for tests in test_blocks(benchmark, block_bytes)]
+
+    @F.arrow_udf("boolean")
+    def hit(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            yield pa.array([bool(s) for _, spans, _, _ in scan_texts(part, blocks, width) for s in spans], pa.bool_())
+
+    return documents.filter(~hit(F.col(text).cast("string")))

@@ -1,17 +1,17 @@
 """Exact n-gram Jaccard join with a token-group matrix.
 
 1. A document's set is its distinct word shingles (64-bit codes). Equal sets (128-bit digest) form a
-   class, held by its smallest id; copies take no further part.
+   class; the classes are the nodes that links join, copies take no further part.
 2. Sets are partitioned into groups of similar ones. By the pigeonhole principle two sets that reach the
    threshold agree on at least one of ``d + 1`` hashed parts, ``d`` being the most elements they may
-   differ in; so sets that share no part signature cannot link. Sets with a common signature get the
-   smallest holder as key; the sets of a key are dealt by hash to blocks of bounded size, and a block's
-   sets, ordered by their least token (a min-hash), to groups of ``GROUP``.
-3. Each group's token union with the members of each token is its row of the token-group matrix.
-   Only blocks of one key, or of keys that share a signature, meet. A set is a query to the groups of
-   the other block: its overlap with the union bounds its overlap with every member; groups below the
-   bound stay closed.
-4. Opened groups are verified exactly (integer arithmetic). Links become components in Spark.
+   differ in; so sets that share no part signature cannot link. A signature's first set is its pivot,
+   and a set's key is the least pivot of its signatures. The sets of one key meet; of two keys only those
+   meet that share a signature with a set of the other. Each side is dealt by hash to blocks of bounded
+   size, and a block's sets, ordered by their least token (a min-hash), to groups of ``GROUP``.
+3. The groups' token unions are the token-group matrix: a set's overlap with a union bounds its overlap
+   with every member, and groups below the bound stay closed.
+4. Opened groups are verified exactly. Tokens of many sets are columns of a matrix product, the others
+   are met one by one. Links become components in Spark.
 
 Common shingles (a line or passage of many documents) would make unlike sets agree on small parts. A
 bounded list of the most frequent ones, counted over all documents, is left out of the parts of sets
@@ -19,15 +19,20 @@ that hold few of them; sets that hold many are also signed in full. The threshol
 sets that link are signed alike at least once: any list gives the same result.
 
 Signatures that stand on no token, or on one, are left out where the slack in the number of parts
-allows, and kept where it doesn't, so no link is lost. A document with fewer words than the shingle is
-one element; one without words (null, empty) is empty, is linked with nothing and is its own component.
-Null ids are not supported as class holders and keep a null component. Rows with equal ids share a row
-of the result per occurrence. Empty tables give empty results.
+allows, and kept where it doesn't, so no link is lost. Every pair of sets with a signature in common is
+compared once, so a group of ``m`` unlike near copies costs ``m * m / 2`` comparisons, and each of its
+sets is sent to ``m / BLOCK_SETS`` tasks.
+
+A document with fewer words than the shingle is one element; one without words (null, empty) is empty,
+is linked with nothing and is its own component. Rows with a null id take no part: their class and
+component are null, their links 0. Rows with equal ids are rows of their own, each judged by its text.
+Ids are integers; other types are refused. Other columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +40,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordlake.llm.components import connected_components
-from recordlake.llm.scratch import materialize
+from recordlake.llm.scratch import discard, integer_key, materialize
 from recordlake.llm.wordcode import SPACE_WORDS, mix, slices, split_words, window_hashes
 
 SHINGLE, PERCENT = 4, 85
-GROUP = 48
+GROUP = 64
 #: At most so many common shingles are left out of signatures; of each so many elements counted at a time,
 #: those that so many sets hold are reported.
-COMMON, COUNTED, COMMON_IN_BATCH = 200_000, 2_000_000, 8
+COMMON, COUNTED, COMMON_IN_BATCH = 200_000, 1_000_000, 8
 #: Share of common shingles up to which a set is signed without them, in percent.
 COMMON_SHARE = 25
-#: A block holds about so many sets and tokens at most.
-BLOCK_SETS, BLOCK_TOKENS = 512, 1_000_000
-#: Rows of (id, key, block, weight) that may be broadcast: 40 MB.
+#: A block holds about so many sets and tokens at most; a task holds two blocks.
+BLOCK_SETS, BLOCK_TOKENS = 8_192, 1_000_000
+#: Signatures that a task takes in; more of them get more tasks.
+SIGNATURES_A_TASK = 2_000_000
+#: Rows that are worked on at once.
+CHUNK = 500_000
+#: A code counts as a column of the matrix product if a product of it costs at most so many single meetings; columns at a time.
+DENSE, COLUMNS = 256, 512
+#: Rows of (node, id, mark) that may be broadcast: 24 MB.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -154,17 +165,17 @@ def _part_signatures(tokens: np.ndarray, first: np.ndarray, sizes: np.ndarray, p
 
 
 def _describe(shingle: int):
-    """Size and digests of each set; then, as rows of negative size, the batch's common shingles and their counts."""
+    """Size and digests of each set; then, as rows of negative size, common shingles and their counts in what is at hand."""
+    names = ["id", "mark", "n_shingles", "d1", "d2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n_shingles", "d1", "d2"]
         for batch in batches:
             seen: set[tuple[int, int]] = set()
             held: list[np.ndarray] = []
-            for at, part in slices(batch.column(1)):
+            for at, part in slices(batch.column(2)):
                 tokens, first = shingle_sets(part, shingle)
                 one, two = set_digests(tokens, first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(np.diff(first)), pa.array(one), pa.array(two)], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(part)) for i in (0, 1)), pa.array(np.diff(first)), pa.array(one), pa.array(two)], names)
                 fresh = _unseen(one, two, seen)
                 held.append(tokens[np.repeat(fresh, np.diff(first))])
                 if sum(map(len, held)) >= COUNTED:
@@ -181,7 +192,7 @@ def _common_rows(held: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     found, count = np.unique(np.concatenate(held), return_counts=True)
     often = count >= COMMON_IN_BATCH
     n = int(often.sum())
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(-count[often]), pa.array(found[often].view(np.int64)), pa.array(np.zeros(n, np.int64))], names)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(-count[often]), pa.array(found[often].view(np.int64)), pa.array(np.zeros(n, np.int64))], names)
 
 
 def _unseen(one: np.ndarray, two: np.ndarray, seen: set[tuple[int, int]]) -> np.ndarray:
@@ -198,175 +209,284 @@ def _sign(shingle: int, percent: int, bound):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[tuple[int, int]] = set()
-            ids = np.asarray(batch.column(0))
-            for at, part in slices(batch.column(1)):
+            for _, part in slices(batch.column(0)):
                 tokens, first = shingle_sets(part, shingle)
-                fresh = _unseen(*set_digests(tokens, first), seen)
+                one, two = set_digests(tokens, first)
+                fresh = _unseen(one, two, seen)
                 sizes = np.diff(first) * fresh
                 tokens = tokens[np.repeat(fresh, np.diff(first))]
                 rows, signature = signatures(tokens, np.concatenate([[0], np.cumsum(sizes)]), percent, bound.value)
-                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(ids[at + rows])], ["sig", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(one[rows])], ["sig", "node"])
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition (which holds all rows of its signatures) whose signature occurs again."""
-    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
-    if not parts:
-        return
-    sig, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(sig)
-    sig = sig[order]
-    same = sig[1:] == sig[:-1]
-    keep = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
-    for at in range(0, len(keep), 50_000):
-        some = keep[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(sig[some]), pa.array(ids[order[some]])], ["sig", "id"])
+    """(sig, node, pivot) of a partition that holds all rows of its signatures: those that several nodes share.
+
+    The pivot is the first node met. What stays in memory is a node for each signature, dealt by hash;
+    the rows of a signature, however many, pass through.
+    """
+    sigs, pivots, told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    for sig, node in _chunks(batches):
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node = sig[new], node[new]
+        lead = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        own, many = sig[lead], np.diff(np.append(lead, len(sig)))
+        at = np.searchsorted(sigs, own)
+        known = np.zeros(len(own), bool)
+        inside = at < len(sigs)
+        known[inside] = sigs[at[inside]] == own[inside]
+        pivot = node[lead].copy()
+        pivot[known] = pivots[at[known]]
+        apart = node != np.repeat(pivot, many)
+        several = np.add.reduceat(apart.astype(np.int64), lead) > 0
+        before = np.zeros(len(own), bool)
+        before[known] = told[at[known]]
+        first = several & ~before  # these pivots have not been told yet
+        for columns in ((sig[apart], node[apart], np.repeat(pivot, many)[apart]), (own[first], pivot[first], pivot[first])):
+            for low in range(0, len(columns[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 50_000]) for c in columns], ["sig", "node", "pivot"])
+        told[at[known & first]] = True
+        fresh = ~known
+        into = at[fresh]
+        sigs, pivots, told = np.insert(sigs, into, own[fresh]), np.insert(pivots, into, pivot[fresh]), np.insert(told, into, first[fresh])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two columns of the batches, ``CHUNK`` rows or more at a time."""
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+            rows += batch.num_rows
+        if rows >= CHUNK:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, rows = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def _load_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in slices(batch.column(4)):
+            for at, part in slices(batch.column(1)):
                 tokens, first = shingle_sets(part, shingle)
                 sets = [tokens[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(part)) for i in range(4)), pa.array(sets, pa.binary())], ["id", "key", "block", "weight", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(sets, pa.binary())], ["node", "tokens"])
 
     return run
 
 
-class TokenGroup:
-    """A group's token union, and the members that hold each token."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets])
-        flat = np.concatenate(sets)
-        member = np.repeat(np.arange(len(sets)), self.sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, self.member = flat[order], member[order]
-        starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        self.union, self.start = flat[starts], np.append(starts, len(flat))
-
-    def overlaps(self, query: np.ndarray, percent: int) -> np.ndarray | None:
-        """Overlap with each member, or None if the union shows that none can reach the threshold."""
-        spot = np.minimum(np.searchsorted(self.union, query), len(self.union) - 1)
-        spot = spot[self.union[spot] == query]
-        if 100 * len(spot) < percent * len(query):
-            return None
-        low, size = self.start[spot], self.start[spot + 1] - self.start[spot]
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-        return np.bincount(self.member[at], minlength=len(self.sizes))
+@dataclass
+class Sets:
+    """Sets as rows of (code, owner); codes are below ``codes``."""
+
+    code: np.ndarray
+    owner: np.ndarray
+    n: int
+    codes: int
+
+    def pick(self, rows: np.ndarray) -> Sets:
+        place = np.full(self.n, -1)
+        place[rows] = np.arange(len(rows))
+        keep = place[self.owner] >= 0
+        return Sets(self.code[keep], place[self.owner[keep]], len(rows), self.codes)
+
+    def indicator(self, chosen: np.ndarray) -> np.ndarray:
+        place = np.full(self.codes, -1)
+        place[chosen] = np.arange(len(chosen))
+        spot = place[self.code]
+        out = np.zeros((self.n, len(chosen)), np.float32)
+        out[self.owner[spot >= 0], spot[spot >= 0]] = 1
+        return out
+
+
+def overlaps(left: Sets, right: Sets) -> np.ndarray:
+    """How many codes each set on the left has in common with each on the right.
+
+    Codes of many sets are columns of a matrix product, those of few are met one by one.
+    """
+    out = np.zeros((left.n, right.n), np.float32)
+    have = np.bincount(left.code, minlength=left.codes)
+    work = have * np.bincount(right.code, minlength=left.codes)
+    heavy = work * DENSE > left.n * right.n
+    for at in range(0, int(heavy.sum()), COLUMNS):
+        chosen = np.flatnonzero(heavy)[at : at + COLUMNS]
+        out += left.indicator(chosen) @ right.indicator(chosen).T
+    light = ((work > 0) & ~heavy)[right.code]
+    code, owner = right.code[light], right.owner[light]
+    order = np.argsort(left.code, kind="stable")
+    start = np.cumsum(have) - have
+    ends = np.cumsum(have[code])
+    low = 0
+    while low < len(code):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CHUNK, side="right")))
+        n = have[code[low:high]]
+        at = np.arange(n.sum()) + np.repeat(start[code[low:high]] - np.cumsum(n) + n, n)
+        np.add.at(out, (left.owner[order[at]], np.repeat(owner[low:high], n)), 1)
+        low = high
+    return out
+
+
+def _merge(root: np.ndarray, linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Joins the components of what is linked; ``root`` names each row's."""
+    touched = np.unique(root[np.concatenate([left[linked.any(1)], right[linked.any(0)]])])
+    for i in np.flatnonzero(linked.any(1)):
+        if len(touched) <= 1:
+            return
+        own = np.unique(root[np.append(right[linked[i]], left[i])])
+        if len(own) > 1:
+            root[np.isin(root, own)] = own[0]
+            touched = np.setdiff1d(touched, own[1:])
 
 
 def _verify(percent: int, size: int):
+    """Exact links between the left and the right sets of one task (side 0: within one block)."""
+
     def run(table: pa.Table) -> pa.Table:
-        side = np.asarray(table["side"].combine_chunks())
-        ids = np.asarray(table["id"].combine_chunks())
-        weight = np.asarray(table["weight"].combine_chunks())
+        table = table.combine_chunks()
+        side, nodes, weight = (np.asarray(table[c]) for c in ("side", "node", "weight"))
         sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
+        sizes, least = np.array([len(s) for s in sets]), np.array([s[0] for s in sets])
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        alone = bool((side == 0).any())
-        root = np.arange(len(ids))
-        links = np.zeros(len(ids), np.int64)
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        right = right[np.argsort([sets[i][0] for i in right], kind="stable")] if len(right) else right
-        parts = [right[at : at + size] for at in range(0, len(right), size)]
-        groups = [TokenGroup([sets[i] for i in part]) for part in parts]
-        for i in left:
-            for part, group in zip(parts, groups, strict=True):
-                common = group.overlaps(sets[i], percent)
-                if common is None:
+        root, links = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
+        if len(left) and len(right):
+            _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            every = Sets(code, np.repeat(np.arange(len(sets)), sizes), len(sets), len(often))
+            shared = often[code] > 1
+            every.code, every.owner = every.code[shared], every.owner[shared]
+            right = right[np.argsort(least[right], kind="stable")]  # groups of sets alike by min-hash
+            queries, members = every.pick(left), every.pick(right)
+            groups = -(-len(right) // size)
+            union = np.unique(members.owner // size * every.codes + members.code)
+            bound = overlaps(queries, Sets(union % every.codes, union // every.codes, groups, every.codes))
+            opened = 100 * bound >= percent * sizes[left][:, None]
+            for g in range(groups):
+                rows, own = np.flatnonzero(opened[:, g]), np.arange(g * size, min(len(right), (g + 1) * size))
+                if not len(rows):
                     continue
-                hit = part[100 * common >= percent * (len(sets[i]) + group.sizes - common)]
-                hit = hit[hit > i] if alone else hit
-                links[i] += weight[hit].sum()
-                links[hit] += weight[i]
-                for j in hit:
-                    root[find(int(j))] = find(int(i))
+                common = overlaps(queries if len(rows) == len(left) else queries.pick(rows), members.pick(own))
+                a, b = left[rows], right[own]
+                linked = (100 * common >= percent * (sizes[a][:, None] + sizes[b][None, :] - common)) & (a[:, None] != b[None, :])
+                links[a] += linked @ weight[b]
+                if not (side == 0).any():
+                    links[b] += weight[a] @ linked
+                _merge(root, linked, a, b)
         told = np.flatnonzero(links)
-        return pa.table({"id": pa.array(ids[told]), "links": pa.array(links[told]), "root": pa.array(ids[[find(int(i)) for i in told]] if len(told) else ids[told])})
+        return pa.table({"node": pa.array(nodes[told]), "links": pa.array(links[told]), "root": pa.array(nodes[root[told]])})
 
     return run
 
 
-def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
-    """Per row of ``df``: key, n_shingles, class_id (smallest id with an equal set), n_links, component_id."""
+def _tasks(postings: DataFrame, keys: DataFrame, block_sets: int, block_tokens: int) -> DataFrame:
+    """(k1, k2, b1, b2, side, node, weight): which sets meet in which task.
+
+    All sets of one key meet. Of two keys, those that share a signature with a set of the other meet.
+    """
+    keyed = postings.select("sig", "node").join(keys.select("node", "key"), "node")
+    mixed = materialize(keyed.groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a != b").select("sig"), "mixed")
+    meeting = materialize(postings.select("sig", "node").join(mixed, "sig").join(keys.select("node", "key"), "node").select("sig", "node", "key"), "meeting")
+    other = meeting.select("sig", F.col("key").alias("other")).distinct()
+    across = meeting.join(other, "sig").filter("key != other")
+    across = across.select(F.least("key", "other").alias("k1"), F.greatest("key", "other").alias("k2"), F.when(F.col("key") < F.col("other"), 1).otherwise(2).alias("side"), "node").distinct()
+    within = keys.select(F.col("key").alias("k1"), F.col("key").alias("k2"), F.lit(0).alias("side"), "node")
+    rows = materialize(within.union(across).join(keys.select("node", "weight", "n_shingles"), "node"), "rows")
+    count = F.count(F.lit(1))
+    blocks = F.greatest(F.ceil(count / F.lit(block_sets)), F.ceil(F.sum("n_shingles") / F.lit(block_tokens))).cast("int")
+    sizes = rows.groupBy("k1", "k2", "side").agg(blocks.alias("blocks"), count.alias("n")).filter("side > 0 or n > 1").drop("n")
+    sizes = materialize(sizes, "sizes")
+    facing = sizes.select("k1", "k2", F.pmod(3 - F.col("side"), F.lit(3)).alias("side"), F.col("blocks").alias("facing"))
+    dealt = rows.join(sizes.join(facing, ["k1", "k2", "side"]), ["k1", "k2", "side"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("facing") - 1)))
+    alone, own, far = F.col("side") == 0, F.col("block"), F.col("other")
+    placed = met.select(
+        "k1", "k2", F.when(alone, F.least(own, far)).when(F.col("side") == 1, own).otherwise(far).alias("b1"),
+        F.when(alone, F.greatest(own, far)).when(F.col("side") == 1, far).otherwise(own).alias("b2"),
+        F.when(alone, F.when(own == far, 0).when(own < far, 1).otherwise(2)).otherwise(F.col("side")).alias("side"), "node", "weight",
+    )
+    placed = materialize(placed, "placed")
+    discard(mixed, meeting, rows, sizes)
+    return placed
+
+
+def _linked(texts: DataFrame, shingle: int, percent: int, group: int, block_sets: int, block_tokens: int) -> tuple[DataFrame, bool]:
+    """Per row of ``texts(id, mark, text)``: id, mark, n_shingles, class_first, n_links, first, the firsts being
+    (id, mark) of the smallest row of the class and of the component; and whether (id, mark) repeat."""
     if not 50 <= percent <= 100 or shingle < 1:
         raise ValueError("percent is from 50 to 100, shingle at least 1")
-    spark = df.sparkSession
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    found = materialize(texts.mapInArrow(_describe(shingle), "id long, n_shingles long, d1 long, d2 long"), "sets")
+    spark = texts.sparkSession
+    found = materialize(texts.mapInArrow(_describe(shingle), "id long, mark long, n_shingles long, d1 long, d2 long"), "sets")
     described = found.filter("n_shingles >= 0")
     often = found.filter("n_shingles < 0").groupBy("d1").agg(F.sum(-F.col("n_shingles")).alias("n")).orderBy(F.desc("n"), "d1").limit(COMMON)
-    common = np.sort(np.array([r["d1"] for r in often.select("d1").toArrow().to_pylist()], np.int64).view(np.uint64))
-    common = spark.sparkContext.broadcast(common)
-    classes = described.filter("n_shingles > 0 and id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
-    classed = described.join(classes, ["d1", "d2", "n_shingles"], "left").select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("weight", F.lit(1)).alias("weight"))
-    classed = materialize(classed, "classes")
-    holders = classed.filter("n_shingles > 0 and id = class_id").select("id", "weight", "n_shingles").distinct()
-
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = texts.filter("id is not null").mapInArrow(_sign(shingle, percent, common), "sig long, id long")
-    repeated = materialize(signed.repartition(partitions, "sig").mapInArrow(_repeated, "sig long, id long"), "repeated")
-    to_class = classed.filter("n_shingles > 0").select("id", "class_id").distinct()
-    postings = materialize(repeated.join(to_class, "id").select("sig", F.col("class_id").alias("id")).distinct(), "postings")
-
-    pivots = postings.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot != last").select("sig", "pivot")
-    keys = postings.join(pivots, "sig").groupBy("id").agg(F.min("pivot").alias("key"))
-    keys = materialize(keys, "keys")
-    keys = keys.join(holders, "id")
-    blocks_of = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_SETS)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_TOKENS)))
-    counts = materialize(keys.groupBy("key").agg(blocks_of.cast("int").alias("blocks")), "blocks")
-    members = keys.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "key", "block", "weight")
-    members = materialize(members, "members")
-
-    held = postings.join(members, "id").select("sig", "key").distinct()
-    several = held.groupBy("sig").agg(F.min("key").alias("k1"), F.max("key").alias("last")).filter("k1 != last")
-    meeting = held.join(several.select("sig"), "sig")
-    crossing = meeting.select("sig", F.col("key").alias("k1")).join(meeting.select("sig", F.col("key").alias("k2")), "sig").filter("k1 < k2").select("k1", "k2").distinct()
-    blocks = counts.select(F.col("key").alias("k1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b1"))
-    inner = blocks.join(counts.withColumnRenamed("key", "k1"), "k1").select("k1", "b1", F.col("k1").alias("k2"), F.explode(F.sequence(F.col("b1"), F.col("blocks") - 1)).alias("b2"))
-    outer = crossing.join(blocks, "k1").join(counts.withColumnRenamed("key", "k2"), "k2").select("k1", "b1", "k2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b2"))
-    pairs = materialize(inner.unionByName(outer), "pairs")
-    pair = ["k1", "b1", "k2", "b2"]
-    same = (F.col("k1") == F.col("k2")) & (F.col("b1") == F.col("b2"))
-    sides = pairs.select(*pair, F.col("k1").alias("key"), F.col("b1").alias("block"), F.when(same, 0).otherwise(1).alias("side")).union(
-        pairs.filter(~same).select(*pair, F.col("k2").alias("key"), F.col("b2").alias("block"), F.lit(2).alias("side"))
-    )
-    small = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    wanted = texts.join(F.broadcast(members) if small else members, "id")
-    wanted = wanted.dropDuplicates(["id"]) if _repeats(texts) else wanted
-    sets = materialize(wanted.select("id", "key", "block", "weight", "text").mapInArrow(_load_sets(shingle), "id long, key long, block int, weight long, tokens binary"), "tokens")
-    met = sides.join(sets, ["key", "block"]).select(*pair, "side", "id", "weight", "tokens")
-    found = materialize(met.groupBy(*pair).applyInArrow(_verify(percent, group), "id long, links long, root long"), "links")
-    components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    degree = found.groupBy("id").agg(F.sum("links").alias("links"))
-    linked = components.join(degree, components["node"] == degree["id"]).select(F.col("node").alias("class_id"), "component", "links")
-    return classed.join(linked, "class_id", "left").select(
-        F.col("id").alias(key), "n_shingles", "class_id",
-        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-        F.coalesce("component", "class_id").alias("component_id"),
-    )
-
-
-def _repeats(texts: DataFrame) -> bool:
-    """Whether ids occur more than once."""
-    return not texts.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty()
+    common = spark.sparkContext.broadcast(np.sort(np.asarray(often.select("d1").toArrow()["d1"].combine_chunks(), np.int64).view(np.uint64)))
+    sets = described.filter("n_shingles > 0 and id is not null")
+    classes = sets.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("id", "mark")).alias("class_first"), F.count(F.lit(1)).alias("weight"))
+    classes = materialize(classes.withColumn("node", F.col("d1")), "classes")
+    repeats = not described.filter("id is not null").groupBy("id", "mark").count().filter("count > 1").isEmpty()
+
+    expected = (sets.agg(F.sum("n_shingles")).first()[0] or 0) * (100 - percent) // 25
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // SIGNATURES_A_TASK))
+    signed = texts.filter("id is not null").select("text").mapInArrow(_sign(shingle, percent, common), "sig long, node long")
+    postings = materialize(signed.repartition(partitions, "sig").mapInArrow(_repeated, "sig long, node long, pivot long"), "postings")
+    keys = materialize(postings.groupBy("node").agg(F.min("pivot").alias("key")).join(classes.select("node", "weight", "n_shingles", "class_first"), "node"), "keys")
+    placed = _tasks(postings, keys, block_sets, block_tokens)
+    discard(postings)
+
+    holders = keys.select("node", "class_first.id", "class_first.mark")
+    small = holders.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    wanted = texts.join(F.broadcast(holders) if small else holders, ["id", "mark"])
+    wanted = wanted.dropDuplicates(["node"]) if repeats else wanted
+    tokens = materialize(wanted.select("node", "text").mapInArrow(_load_sets(shingle), "node long, tokens binary"), "tokens")
+    task = ["k1", "b1", "k2", "b2"]
+    met = placed.join(tokens, "node").select(*task, "side", "node", "weight", "tokens")
+    links = materialize(met.groupBy(*task).applyInArrow(_verify(percent, group), "node long, links long, root long"), "links")
+    discard(keys, placed, tokens)
+
+    components = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    least = components.join(classes.select("node", "class_first"), "node").groupBy("component").agg(F.min("class_first").alias("first"))
+    linked = components.join(least, "component").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node").select("node", "first", "links")
+    info = materialize(classes.join(linked, "node", "left").drop("node"), "info")
+    discard(classes, links)
+    return described.join(info, ["d1", "d2", "n_shingles"], "left").select(
+        "id", "mark", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("class_first", F.struct("id", "mark"))).alias("class_first"),
+        F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).alias("n_links"),
+        F.when(F.col("id").isNotNull(), F.coalesce("first", "class_first", F.struct("id", "mark"))).alias("first"),
+    ), repeats
+
+
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    whole = F.col(text).cast("string")
+    return df.select(integer_key(df, key).alias("id"), F.xxhash64(whole).alias("mark"), whole.alias("text"))
+
+
+def jaccard_components(
+    df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, group: int = GROUP,
+    block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS,
+) -> DataFrame:
+    """Per row of ``df``: key, n_shingles, class_id (smallest id with an equal set), n_links, component_id."""
+    found, _ = _linked(_texts(df, key, text), shingle, percent, group, block_sets, block_tokens)
+    return found.select(F.col("id").alias(key), "n_shingles", F.col("class_first.id").alias("class_id"), "n_links", F.col("first.id").alias("component_id"))
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``df`` with one row of each component, that of the smallest id; rows without words or id all stay."""
-    found = jaccard_components(df, key, text, shingle, percent)
-    gone = materialize(found.filter(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
+    """``df`` with one row of each component, that of the smallest id; rows without id all stay.
+
+    Each text without words is a component. Where an id occurs more than once in its component, the text of
+    smallest hash stays, once.
+    """
+    found, repeats = _linked(_texts(df, key, text), shingle, percent, GROUP, BLOCK_SETS, BLOCK_TOKENS)
+    own = F.struct("id", "mark")
+    gone = materialize(found.filter((F.col("n_shingles") > 0) & (own != F.col("first"))).select("id", "mark").distinct(), "gone")
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    left = df.join(F.broadcast(gone) if small else gone, key, "left_anti")
-    if not _repeats(df.select(F.col(key).alias("id"))):
+    gone = F.broadcast(gone) if small else gone
+    mark = F.xxhash64(F.col(text).cast("string"))
+    left = df.join(gone, (df[key] == gone["id"]) & (mark == gone["mark"]), "left_anti")
+    if not repeats:
         return left
-    return left.filter(F.col(key).isNull()).unionByName(left.filter(F.col(key).isNotNull()).dropDuplicates([key]))
+    named = left[key].isNotNull()
+    once = left.filter(named).withColumn("__mark", mark).dropDuplicates([key, "__mark"]).drop("__mark")
+    return left.filter(~named).unionByName(once)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,9 +27,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._scratch_path = path
+    return written
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def integer_key(df: DataFrame, key: str) -> Column:
+    """The key as a long; keys of other than integer types are refused."""
+    kind = df.schema[key].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{key} is {kind.simpleString()}: the operator takes integer ids")
+    return F.col(key).cast("long")
+
+
+def free_name(name: str, outputs: list[str]) -> str:
+    """The name under which a kept column comes out: one that is named like an output gets an underscore."""
+    while name in outputs:
+        name += "_"
+    return name

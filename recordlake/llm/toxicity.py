@@ -20,9 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordlake.llm.scratch import free_name
 from recordlake.llm.wordcode import ALNUM_WORDS, Words, mix, powers, slices, split_words, _BYTE_CODES
 
 BITS = 20
@@ -186,26 +187,28 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     return fit_rows(read("features"), rows["toxic"].to_numpy().astype(float), read("terms"))
 
 
-def score(documents: DataFrame, model: ToxicityModel, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and the score of every row's whole text."""
-    bound = documents.sparkSession.sparkContext.broadcast((model.bias, model.weights))
+def toxic_score(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
+    """The score of a text column; only that column goes to Python."""
+    bound = spark.sparkContext.broadcast((model.bias, model.weights))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         loaded = ToxicityModel(*bound.value)
-        for batch in batches:
-            scores = _sigmoid(loaded.logits(batch.column(len(keep))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], [*batch.schema.names[: len(keep)], "score"])
+        for part in parts:
+            yield pa.array(_sigmoid(loaded.logits(part)), pa.float64())
+
+    return scored(text.cast("string"))
 
-    fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return documents.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{fields}, score double")
+
+def score(documents: DataFrame, model: ToxicityModel, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns and the score of every row's whole text; a kept column named score comes out as score_."""
+    kept = (F.col(c).alias(free_name(c, ["score"])) for c in keep)
+    return documents.select(*kept, toxic_score(documents.sparkSession, model, F.col(text)).alias("score"))
 
 
 def drop_toxic(documents: DataFrame, model: ToxicityModel, threshold: float, text: str = "text") -> DataFrame:
     """``documents`` whose score is below the threshold; all columns are kept."""
-    columns = documents.columns
-    apart = documents.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(columns)))  # one may be named score
-    scored = score(apart, model, apart.columns, f"__k{columns.index(text)}")
-    return scored.filter(F.col("score") < threshold).select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(columns)))
+    return documents.filter(toxic_score(documents.sparkSession, model, F.col(text)) < threshold)
 
 
 def save(model: ToxicityModel, path: str) -> None:

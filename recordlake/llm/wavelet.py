@@ -28,6 +28,8 @@ from recordlake.llm.wordcode import range_hashes, slices, text_buffer
 
 SHARD_TOKENS = 4 << 20
 BLOCK = 512
+#: Bytes of text that are encoded at a time.
+SLICE = 2 << 20
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, doc_ids binary, ends binary, bits int, zeros binary, planes binary"
 
 
@@ -307,7 +309,7 @@ def _encode(tokenizer_file: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(1), SLICE):
                 ids, n = encoder.encode_slice(texts)
                 doc_ids.append(batch.column(0).slice(at, len(texts)))
                 counts.append(n)

@@ -205,6 +205,32 @@ def test_op4_edges(spark, docs, texts, empty):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, (_, c, _) in enumerate(brute_components(texts, 5, 80)) if c == i}
     twice = jaccard_groups.drop_near_duplicates(docs.union(docs))
     assert twice.count() == kept.count()
+    # one id on two texts: each is judged by its text; null ids and wordless texts stay
+    long = [" ".join(f"{c}{j}" for j in range(30)) for c in "abc"]
+    rows = [(7, long[0]), (7, long[1]), (8, long[1] + " end"), (9, long[0].upper()), (None, long[0]), (None, long[0]), (3, ""), (4, None), (2, long[2])]
+    few = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_links string")
+    got = sorted((tuple(r)[0] or 0, tuple(r)[1]) for r in jaccard_groups.jaccard_components(few).select("doc_id", "component_id", "n_links").collect() if r[0])
+    assert got == [(2, 2), (3, 3), (4, 4), (7, 7), (7, 7), (8, 7), (9, 7)]
+    kept = jaccard_groups.drop_near_duplicates(few).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(7, long[0]), (7, long[1]), (0, long[0]), (0, long[0]), (3, ""), (4, ""), (2, long[2])])
+    with pytest.raises(TypeError):
+        jaccard_groups.jaccard_components(few.withColumn("doc_id", F.lit("a")))
+
+
+def test_op4_large_group_of_near_copies(spark):
+    """2,000 near copies in blocks of 300 sets: links and components still equal brute force."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 10**6, 40)
+    words = np.tile(base, (2000, 1))
+    words[np.arange(2000), rng.integers(0, 40, 2000)] = rng.integers(10**6, 10**9, 2000)
+    df = spark.createDataFrame([(i, " ".join(map(str, w))) for i, w in enumerate(words.tolist())], "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r for r in jaccard_groups.jaccard_components(df, shingle=2, percent=80, block_sets=300).collect()}
+    pairs = words[:, :-1] * 10**9 + words[:, 1:]
+    for i in (0, 1, 77, 1999):
+        common = (pairs == pairs[i]).sum(1)
+        n_links = int((100 * common >= 80 * (78 - common)).sum()) - 1
+        assert got[i]["n_links"] == n_links > 1000
+    assert {r["component_id"] for r in got.values()} == {0} and {r["n_shingles"] for r in got.values()} == {39}
 
 
 def test_signatures_lose_no_pair():
