@@ -4,11 +4,14 @@
    class; the classes are the nodes that links join, copies take no further part.
 2. Sets are partitioned into groups of similar ones. By the pigeonhole principle two sets that reach the
    threshold agree on at least one of ``d + 1`` hashed parts, ``d`` being the most elements they may
-   differ in; so sets that share no part signature cannot link. A signature's first set is its pivot,
+   differ in; so sets that share no part signature cannot link. Most links share many: how many at
+   least follows from the slack in the number of parts, and a set that shares fewer takes no further
+   part. A signature's first set is its pivot,
    and a set's key is the least pivot of its signatures. The sets of one key meet; of two keys only those
-   meet that share a signature with a set of the other. Each side is dealt by hash to blocks of bounded
+   meet that share enough signatures with sets of the other. Each side is dealt by hash to blocks of bounded
    size, and a block's sets, ordered by their least token (a min-hash), to groups of ``GROUP``.
-3. The groups' token unions are the token-group matrix: a set's overlap with a union bounds its overlap
+3. In each task, sets that are too far from all others by small parity bitmaps (a lower bound of their
+   symmetric difference) leave before any tokens are sent. The groups' token unions are the token-group matrix: a set's overlap with a union bounds its overlap
    with every member, and groups below the bound stay closed.
 4. Opened groups are verified exactly. Tokens of many sets are columns of a matrix product, the others
    are met one by one. Links become components in Spark.
@@ -56,6 +59,8 @@ BLOCK_SETS, BLOCK_TOKENS = 8_192, 1_000_000
 SIGNATURES_A_TASK = 2_000_000
 #: Rows that are worked on at once.
 CHUNK = 500_000
+#: Bits of a tag that name a kind of parts.
+KIND_BITS = 12
 #: A code counts as a column of the matrix product if a product of it costs at most so many single meetings; columns at a time.
 DENSE, COLUMNS = 256, 512
 #: Rows of (node, id, mark) that may be broadcast: 24 MB.
@@ -110,6 +115,12 @@ class SizeClasses:
 
 def signatures(tokens: np.ndarray, first: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(set row, signature) of all parts to compare; ``common`` is the sorted list of common codes."""
+    return tagged_signatures(tokens, first, percent, common)[:2]
+
+
+def tagged_signatures(tokens: np.ndarray, first: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set row, signature, tag). A tag is the kind of parts (size class and choice of tokens), and above
+    ``KIND_BITS`` how many signatures of that kind a set must share with one that it links with."""
     sizes = np.diff(first)
     if common is None or not len(common) or not len(tokens):
         return _part_signatures(tokens, first, sizes, percent, 0)
@@ -124,17 +135,16 @@ def signatures(tokens: np.ndarray, first: np.ndarray, percent: int, common: np.n
     out = []
     for keep, chosen, salt in ((rare & few[owner], few, 1), (many[owner], many, 2)):
         kept = np.bincount(owner[keep], minlength=len(sizes))
-        rows, found = _part_signatures(tokens[keep], np.concatenate([[0], np.cumsum(kept)]), sizes * chosen, percent, salt)
-        out.append((rows, found))
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+        out.append(_part_signatures(tokens[keep], np.concatenate([[0], np.cumsum(kept)]), sizes * chosen, percent, salt))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _part_signatures(tokens: np.ndarray, first: np.ndarray, sizes: np.ndarray, percent: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+def _part_signatures(tokens: np.ndarray, first: np.ndarray, sizes: np.ndarray, percent: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures of sets that have ``sizes`` elements in all, from the tokens given."""
     have = np.diff(first)
     rows = np.flatnonzero(sizes)
     if not len(rows):
-        return rows, np.zeros(0, np.uint64)
+        return rows, np.zeros(0, np.uint64), np.zeros(0, np.int32)
     classes = SizeClasses(percent, int(sizes.max()))
     own = classes.of(sizes[rows])
     above = sizes[rows] * 100 // percent >= classes.low[own + 1]
@@ -156,12 +166,16 @@ def _part_signatures(tokens: np.ndarray, first: np.ndarray, sizes: np.ndarray, p
     # two sets that link agree on more parts than the slack: as many of the poorest kinds as that can be left out
     spare = classes.slack[emit_class]
     per = lambda test: np.add.reduceat(test.astype(np.int64), begin[:-1])
-    least = np.where(per(count < 2) <= spare, 2, np.where(per(count < 1) <= spare, 1, 0))
+    poor = per(count < 2)
+    least = np.where(poor <= spare, 2, np.where(per(count < 1) <= spare, 1, 0))
+    # of the 1 + spare parts that agree, the partner may have left out those that are poor, which are poor here too
+    need = np.minimum(1 + spare - np.minimum(poor, spare), 1 << 18)
+    tag = (need << KIND_BITS | emit_class * 4 + salt).astype(np.int32)
     keep = count >= least[slot_emit]
     inside = (np.arange(begin[-1]) - begin[slot_emit]).astype(np.uint64)
     place = emit_class[slot_emit].astype(np.uint64) << np.uint64(40) | inside
     signature = mix(sums + mix(place, 13 + salt), 14)
-    return emit_row[slot_emit[keep]], signature[keep]
+    return emit_row[slot_emit[keep]], signature[keep], tag[slot_emit[keep]]
 
 
 def _describe(shingle: int):
@@ -215,53 +229,52 @@ def _sign(shingle: int, percent: int, bound):
                 fresh = _unseen(one, two, seen)
                 sizes = np.diff(first) * fresh
                 tokens = tokens[np.repeat(fresh, np.diff(first))]
-                rows, signature = signatures(tokens, np.concatenate([[0], np.cumsum(sizes)]), percent, bound.value)
-                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(one[rows])], ["sig", "node"])
+                rows, signature, tag = tagged_signatures(tokens, np.concatenate([[0], np.cumsum(sizes)]), percent, bound.value)
+                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(one[rows]), pa.array(tag)], ["sig", "node", "tag"])
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, node, pivot) of a partition that holds all rows of its signatures: those that several nodes share.
+    """(sig, node, tag, pivot) of a partition that holds all rows of its signatures: those that several nodes share.
 
     The pivot is the first node met. What stays in memory is a node for each signature, dealt by hash;
     the rows of a signature, however many, pass through.
     """
-    sigs, pivots, told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    for sig, node in _chunks(batches):
+    sigs, pivots, tags, told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+    for sig, node, tag in _chunks(batches):
         order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
+        sig, node, tag = sig[order], node[order], tag[order]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[new], node[new]
+        sig, node, tag = sig[new], node[new], tag[new]
         lead = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         own, many = sig[lead], np.diff(np.append(lead, len(sig)))
         at = np.searchsorted(sigs, own)
         known = np.zeros(len(own), bool)
         inside = at < len(sigs)
         known[inside] = sigs[at[inside]] == own[inside]
-        pivot = node[lead].copy()
-        pivot[known] = pivots[at[known]]
-        apart = node != np.repeat(pivot, many)
+        pivot, lead_tag, before = node[lead].copy(), tag[lead].copy(), np.zeros(len(own), bool)
+        pivot[known], lead_tag[known], before[known] = pivots[at[known]], tags[at[known]], told[at[known]]
+        each = np.repeat(pivot, many)
+        apart = node != each
         several = np.add.reduceat(apart.astype(np.int64), lead) > 0
-        before = np.zeros(len(own), bool)
-        before[known] = told[at[known]]
         first = several & ~before  # these pivots have not been told yet
-        for columns in ((sig[apart], node[apart], np.repeat(pivot, many)[apart]), (own[first], pivot[first], pivot[first])):
+        for columns in ((sig[apart], node[apart], tag[apart], each[apart]), (own[first], pivot[first], lead_tag[first], pivot[first])):
             for low in range(0, len(columns[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 50_000]) for c in columns], ["sig", "node", "pivot"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 50_000]) for c in columns], ["sig", "node", "tag", "pivot"])
         told[at[known & first]] = True
         fresh = ~known
         into = at[fresh]
-        sigs, pivots, told = np.insert(sigs, into, own[fresh]), np.insert(pivots, into, pivot[fresh]), np.insert(told, into, first[fresh])
+        sigs, pivots, tags, told = (np.insert(old, into, late[fresh]) for old, late in ((sigs, own), (pivots, pivot), (tags, lead_tag), (told, first)))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The two columns of the batches, ``CHUNK`` rows or more at a time."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of the batches, ``CHUNK`` rows or more at a time."""
     held, rows = [], 0
     for batch in batches:
         if batch.num_rows:
-            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+            held.append([np.asarray(c) for c in batch.columns])
             rows += batch.num_rows
         if rows >= CHUNK:
             yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
@@ -270,13 +283,68 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """A bitmap of about twice the set's size: each bit is the parity of the tokens that fall on it.
+
+    Bits of two sets differ in no more places than the sets have elements apart. Halves of a bitmap
+    combine by exclusive or into that of half the size.
+    """
+    size = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((mix(tokens, 21) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
 def _load_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in slices(batch.column(1)):
                 tokens, first = shingle_sets(part, shingle)
-                sets = [tokens[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(sets, pa.binary())], ["node", "tokens"])
+                sets = [tokens[a:b] for a, b in zip(first, first[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(part)), pa.array(np.diff(first)), pa.array([parity_bits(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["node", "n_shingles", "bits", "tokens"],
+                )
+
+    return run
+
+
+def near_bits(left: np.ndarray, right: np.ndarray, left_size: np.ndarray, right_size: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs whose bitmaps (rows of 64-bit words) differ in few enough places for a link."""
+    out = np.zeros((len(left), len(right)), bool)
+    step = max(1, 4 * CHUNK // max(1, right.size))
+    for at in range(0, len(left), step):
+        apart = np.bitwise_count(left[at : at + step, None, :] ^ right[None, :, :]).sum(2, dtype=np.int64)
+        out[at : at + step] = apart * (100 + percent) <= (100 - percent) * (left_size[at : at + step, None] + right_size[None, :])
+    return out
+
+
+def _likely(percent: int):
+    """The rows of a task that some other set of it may link with, by their bitmaps.
+
+    Linked sets differ in size by half at most, so their bitmaps by one doubling at most.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side, sizes = np.asarray(table["side"]), np.asarray(table["n_shingles"])
+        bits = [np.frombuffer(x, np.uint64) for x in table["bits"].to_pylist()]
+        words = np.array([len(x) for x in bits])
+        likely = np.zeros(len(side), bool)
+        for width in np.unique(words):
+            same = {w: np.flatnonzero(words == w) for w in (width, 2 * width)}
+            rows = {w: np.array([bits[i] for i in i_s]) for w, i_s in same.items()}
+            for wide in (width, 2 * width):
+                if not len(same[wide]):
+                    continue
+                far = rows[wide] if wide == width else rows[wide][:, :width] ^ rows[wide][:, width:]
+                near = near_bits(rows[width], far, sizes[same[width]], sizes[same[wide]], percent)
+                own, other = side[same[width]], side[same[wide]]
+                near &= (own[:, None] == 0) | (own[:, None] != other[None, :])
+                if wide == width:
+                    np.fill_diagonal(near, False)
+                likely[same[width]] |= near.any(1)
+                likely[same[wide]] |= near.any(0)
+        return table.filter(pa.array(likely)).drop_columns(["n_shingles", "bits"])
 
     return run
 
@@ -382,17 +450,30 @@ def _verify(percent: int, size: int):
     return run
 
 
+def _enough(shared: DataFrame) -> DataFrame:
+    """The postings of sets that share as many signatures of a kind as a link takes."""
+    able = shared.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.shiftright("tag", KIND_BITS)).select("node", "tag")
+    return shared.join(able, ["node", "tag"]).select("sig", "node", "tag", "pivot")
+
+
 def _tasks(postings: DataFrame, keys: DataFrame, block_sets: int, block_tokens: int) -> DataFrame:
     """(k1, k2, b1, b2, side, node, weight): which sets meet in which task.
 
-    All sets of one key meet. Of two keys, those that share a signature with a set of the other meet.
+    All sets of one key meet. Of two keys, those meet that share enough signatures with the other's sets.
+    Signatures of the same sets (told by two sums of hashes) count as one that occurs several times.
     """
-    keyed = postings.select("sig", "node").join(keys.select("node", "key"), "node")
-    mixed = materialize(keyed.groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a != b").select("sig"), "mixed")
-    meeting = materialize(postings.select("sig", "node").join(mixed, "sig").join(keys.select("node", "key"), "node").select("sig", "node", "key"), "meeting")
+    postings = postings.select("sig", "node", "tag")
+    keyed = postings.join(keys.select("node", "key"), "node")
+    hashed, kind = F.xxhash64("node"), F.min(F.col("tag").bitwiseAND(2**KIND_BITS - 1))
+    print_of = [F.sum(F.shiftrightunsigned(hashed, 32)), F.sum(hashed.bitwiseAND(2**32 - 1)), F.count(F.lit(1)), kind, F.min("key"), F.max("key")]
+    mixed = keyed.groupBy("sig").agg(*(c.alias(f"p{i}") for i, c in enumerate(print_of))).filter("p4 != p5")
+    mixed = materialize(mixed.groupBy(*(f"p{i}" for i in range(6))).agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("times")).select("sig", "times"), "mixed")
+    meeting = materialize(keyed.join(mixed, "sig").select("sig", "times", "node", "tag", "key"), "meeting")
     other = meeting.select("sig", F.col("key").alias("other")).distinct()
     across = meeting.join(other, "sig").filter("key != other")
-    across = across.select(F.least("key", "other").alias("k1"), F.greatest("key", "other").alias("k2"), F.when(F.col("key") < F.col("other"), 1).otherwise(2).alias("side"), "node").distinct()
+    across = across.select(F.least("key", "other").alias("k1"), F.greatest("key", "other").alias("k2"), F.when(F.col("key") < F.col("other"), 1).otherwise(2).alias("side"), "node", "tag", "times")
+    across = across.groupBy("k1", "k2", "side", "node", "tag").agg(F.sum("times").alias("n")).filter(F.col("n") >= F.shiftright("tag", KIND_BITS))
+    across = across.select("k1", "k2", "side", "node").distinct()
     within = keys.select(F.col("key").alias("k1"), F.col("key").alias("k2"), F.lit(0).alias("side"), "node")
     rows = materialize(within.union(across).join(keys.select("node", "weight", "n_shingles"), "node"), "rows")
     count = F.count(F.lit(1))
@@ -430,8 +511,10 @@ def _linked(texts: DataFrame, shingle: int, percent: int, group: int, block_sets
 
     expected = (sets.agg(F.sum("n_shingles")).first()[0] or 0) * (100 - percent) // 25
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // SIGNATURES_A_TASK))
-    signed = texts.filter("id is not null").select("text").mapInArrow(_sign(shingle, percent, common), "sig long, node long")
-    postings = materialize(signed.repartition(partitions, "sig").mapInArrow(_repeated, "sig long, node long, pivot long"), "postings")
+    signed = texts.filter("id is not null").select("text").mapInArrow(_sign(shingle, percent, common), "sig long, node long, tag int")
+    shared = materialize(signed.repartition(partitions, "sig").mapInArrow(_repeated, "sig long, node long, tag int, pivot long"), "shared")
+    postings = materialize(_enough(shared), "postings")
+    discard(shared)
     keys = materialize(postings.groupBy("node").agg(F.min("pivot").alias("key")).join(classes.select("node", "weight", "n_shingles", "class_first"), "node"), "keys")
     placed = _tasks(postings, keys, block_sets, block_tokens)
     discard(postings)
@@ -440,11 +523,13 @@ def _linked(texts: DataFrame, shingle: int, percent: int, group: int, block_sets
     small = holders.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = texts.join(F.broadcast(holders) if small else holders, ["id", "mark"])
     wanted = wanted.dropDuplicates(["node"]) if repeats else wanted
-    tokens = materialize(wanted.select("node", "text").mapInArrow(_load_sets(shingle), "node long, tokens binary"), "tokens")
+    tokens = materialize(wanted.select("node", "text").mapInArrow(_load_sets(shingle), "node long, n_shingles long, bits binary, tokens binary"), "tokens")
     task = ["k1", "b1", "k2", "b2"]
-    met = placed.join(tokens, "node").select(*task, "side", "node", "weight", "tokens")
+    bounded = placed.join(tokens.select("node", "n_shingles", "bits"), "node").select(*placed.columns, "n_shingles", "bits")
+    likely = materialize(bounded.groupBy(*task).applyInArrow(_likely(percent), placed.schema), "likely")
+    met = likely.join(tokens.select("node", "tokens"), "node").select(*task, "side", "node", "weight", "tokens")
     links = materialize(met.groupBy(*task).applyInArrow(_verify(percent, group), "node long, links long, root long"), "links")
-    discard(keys, placed, tokens)
+    discard(keys, placed, likely, tokens)
 
     components = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     least = components.join(classes.select("node", "class_first"), "node").groupBy("component").agg(F.min("class_first").alias("first"))

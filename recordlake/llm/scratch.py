@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only where none is named (tests) a local one is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -24,10 +27,19 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files behind it go at once, since nothing else reads them.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    written = spark.read.schema(df.schema).parquet(path)
     written._scratch_path = path
     return written
 

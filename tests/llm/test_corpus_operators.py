@@ -249,6 +249,18 @@ def test_signatures_lose_no_pair():
                     assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
 
 
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for size in (1, 3, 40, 300):
+        a = rng.integers(0, 2**63, size).astype(np.uint64)
+        for keep in (1, 0.9, 0.5, 0):
+            b = np.unique(np.concatenate([a[: int(size * keep)], rng.integers(0, 2**63, size // 5 + 1).astype(np.uint64)]))
+            x, y = (np.frombuffer(jaccard_groups.parity_bits(s), np.uint64) for s in (a, b))
+            while len(x) != len(y):
+                x, y = (s if len(s) == min(len(x), len(y)) else s[: len(s) // 2] ^ s[len(s) // 2 :] for s in (x, y))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(50, 51), (51, 50), (60, 60), (70, 5)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
