@@ -6,13 +6,14 @@
    threshold agree on at least one of ``d + 1`` hashed parts, ``d`` being the most elements they may
    differ in; so sets that share no part signature cannot link. Most links share many: how many at
    least follows from the slack in the number of parts, and a set that shares fewer takes no further
-   part. A signature's first set is its pivot,
-   and a set's key is the least pivot of its signatures. The sets of one key meet; of two keys only those
-   meet that share enough signatures with sets of the other. Each side is dealt by hash to blocks of bounded
-   size, and a block's sets, ordered by their least token (a min-hash), to groups of ``GROUP``.
+   part. Sets agree on keys in a few rounds of majority votes along signatures. The sets of one key
+   meet; of two keys those meet that share enough signatures with sets of the other. Each side is dealt
+   by hash to blocks of bounded size, and a block's sets, ordered by their least token (a min-hash), to
+   groups of ``GROUP``. Keys decide who meets in which task, never whether a pair meets.
 3. In each task, sets that are too far from all others by small parity bitmaps (a lower bound of their
-   symmetric difference) leave before any tokens are sent. The groups' token unions are the token-group matrix: a set's overlap with a union bounds its overlap
-   with every member, and groups below the bound stay closed.
+   symmetric difference) leave before any tokens are sent. The groups' token unions are the token-group
+   matrix: a set's overlap with a union bounds its overlap with every member, and groups below the bound
+   stay closed.
 4. Opened groups are verified exactly. Tokens of many sets are columns of a matrix product, the others
    are met one by one. Links become components in Spark.
 
@@ -59,6 +60,8 @@ BLOCK_SETS, BLOCK_TOKENS = 8_192, 1_000_000
 SIGNATURES_A_TASK = 2_000_000
 #: Rows that are worked on at once.
 CHUNK = 500_000
+#: Rounds in which keys are agreed on.
+ROUNDS = 3
 #: Bits of a tag that name a kind of parts.
 KIND_BITS = 12
 #: A code counts as a column of the matrix product if a product of it costs at most so many single meetings; columns at a time.
@@ -236,37 +239,36 @@ def _sign(shingle: int, percent: int, bound):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, node, tag, pivot) of a partition that holds all rows of its signatures: those that several nodes share.
+    """(sig, node, tag) of a partition that holds all rows of its signatures: those that several nodes share.
 
-    The pivot is the first node met. What stays in memory is a node for each signature, dealt by hash;
-    the rows of a signature, however many, pass through.
+    What stays in memory is a node for each signature, dealt by hash; the rows of a signature, however
+    many, pass through.
     """
-    sigs, pivots, tags, told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+    sigs, leads, tags, told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
     for sig, node, tag in _chunks(batches):
         order = np.lexsort((node, sig))
         sig, node, tag = sig[order], node[order], tag[order]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
         sig, node, tag = sig[new], node[new], tag[new]
-        lead = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        own, many = sig[lead], np.diff(np.append(lead, len(sig)))
-        at = np.searchsorted(sigs, own)
+        at = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        own, many = sig[at], np.diff(np.append(at, len(sig)))
+        place = np.searchsorted(sigs, own)
         known = np.zeros(len(own), bool)
-        inside = at < len(sigs)
-        known[inside] = sigs[at[inside]] == own[inside]
-        pivot, lead_tag, before = node[lead].copy(), tag[lead].copy(), np.zeros(len(own), bool)
-        pivot[known], lead_tag[known], before[known] = pivots[at[known]], tags[at[known]], told[at[known]]
-        each = np.repeat(pivot, many)
-        apart = node != each
-        several = np.add.reduceat(apart.astype(np.int64), lead) > 0
-        first = several & ~before  # these pivots have not been told yet
-        for columns in ((sig[apart], node[apart], tag[apart], each[apart]), (own[first], pivot[first], lead_tag[first], pivot[first])):
+        inside = place < len(sigs)
+        known[inside] = sigs[place[inside]] == own[inside]
+        lead, lead_tag, before = node[at].copy(), tag[at].copy(), np.zeros(len(own), bool)
+        lead[known], lead_tag[known], before[known] = leads[place[known]], tags[place[known]], told[place[known]]
+        apart = node != np.repeat(lead, many)
+        several = np.add.reduceat(apart.astype(np.int64), at) > 0
+        first = several & ~before  # these leads have not been told yet
+        for columns in ((sig[apart], node[apart], tag[apart]), (own[first], lead[first], lead_tag[first])):
             for low in range(0, len(columns[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 50_000]) for c in columns], ["sig", "node", "tag", "pivot"])
-        told[at[known & first]] = True
+                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 50_000]) for c in columns], ["sig", "node", "tag"])
+        told[place[known & first]] = True
         fresh = ~known
-        into = at[fresh]
-        sigs, pivots, tags, told = (np.insert(old, into, late[fresh]) for old, late in ((sigs, own), (pivots, pivot), (tags, lead_tag), (told, first)))
+        into = place[fresh]
+        sigs, leads, tags, told = (np.insert(old, into, late[fresh]) for old, late in ((sigs, own), (leads, lead), (tags, lead_tag), (told, first)))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -453,7 +455,29 @@ def _verify(percent: int, size: int):
 def _enough(shared: DataFrame) -> DataFrame:
     """The postings of sets that share as many signatures of a kind as a link takes."""
     able = shared.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.shiftright("tag", KIND_BITS)).select("node", "tag")
-    return shared.join(able, ["node", "tag"]).select("sig", "node", "tag", "pivot")
+    return shared.join(able, ["node", "tag"]).select("sig", "node", "tag")
+
+
+def _keys(postings: DataFrame, rounds: int) -> DataFrame:
+    """(node, key): every set takes the label that most of its signatures have, a signature the least label of its sets.
+
+    Labels begin as the sets' own. In the first round sets take the least label.
+    """
+    postings = postings.select("sig", "node")
+    keys = postings.select("node", F.col("node").alias("key")).distinct()
+    for turn in range(rounds):
+        labelled = postings if turn == 0 else postings.join(keys, "node")
+        label = F.col("node") if turn == 0 else F.col("key")
+        labels = materialize(labelled.groupBy("sig").agg(F.min(label).alias("label")), "labels")
+        found = postings.join(labels, "sig")
+        if turn == 0:
+            voted = found.groupBy("node").agg(F.min("label").alias("key"))
+        else:
+            votes = found.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+            voted = votes.groupBy("node").agg(F.min(F.struct(-F.col("n"), "label"))["label"].alias("key"))
+        keys = materialize(voted, "labelled")
+        discard(labels)
+    return keys
 
 
 def _tasks(postings: DataFrame, keys: DataFrame, block_sets: int, block_tokens: int) -> DataFrame:
@@ -512,10 +536,10 @@ def _linked(texts: DataFrame, shingle: int, percent: int, group: int, block_sets
     expected = (sets.agg(F.sum("n_shingles")).first()[0] or 0) * (100 - percent) // 25
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // SIGNATURES_A_TASK))
     signed = texts.filter("id is not null").select("text").mapInArrow(_sign(shingle, percent, common), "sig long, node long, tag int")
-    shared = materialize(signed.repartition(partitions, "sig").mapInArrow(_repeated, "sig long, node long, tag int, pivot long"), "shared")
+    shared = materialize(signed.repartition(partitions, "sig").mapInArrow(_repeated, "sig long, node long, tag int"), "shared")
     postings = materialize(_enough(shared), "postings")
     discard(shared)
-    keys = materialize(postings.groupBy("node").agg(F.min("pivot").alias("key")).join(classes.select("node", "weight", "n_shingles", "class_first"), "node"), "keys")
+    keys = materialize(_keys(postings, ROUNDS).join(classes.select("node", "weight", "n_shingles", "class_first"), "node"), "keys")
     placed = _tasks(postings, keys, block_sets, block_tokens)
     discard(postings)
 
