@@ -11,7 +11,7 @@ from recordlake.llm.debruijn import remove_repeats
 from recordlake.llm.decontaminate import find_matches, hit_words
 from recordlake.llm.jaccard_groups import jaccard_components
 from recordlake.llm.mixing import mix
-from recordlake.llm.scratch import fresh_path
+from recordlake.llm.scratch import bound_batches, fresh_path
 from recordlake.llm.secret_scan import scan
 from recordlake.llm.shuffle_shards import write_shuffled
 from recordlake.llm.stable_knn import search
@@ -40,6 +40,7 @@ def tokenizer_path() -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

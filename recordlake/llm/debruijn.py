@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.llm.scratch import materialize
+from recordlake.llm.scratch import materialize, tidy
 from recordlake.llm.wordcode import SPACE_WORDS, mix, slices, split_words, window_hashes
 
 WIDTH, SEED = 20, 8
@@ -235,12 +235,12 @@ def repeated_paths(df: DataFrame, key: str = "doc_id", text: str = "text", width
         raise ValueError("the minimizer's length is from 1 to the width")
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null")
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = texts.mapInArrow(_minimizers(width, seed), "key long, least long, sure int, id long, at long")
-    repeated = materialize(runs.repartition(partitions, "key").mapInArrow(_repeated_runs, "id long, at long"), "runs")
-    regions = materialize(repeated.repartition(partitions, "id").mapInArrow(_merge_regions, "id long, regions array<long>"), "regions")
-    edges = _join_side(texts, regions, "regions", "inner").select("id", "text", "regions").mapInArrow(_edges(width), _EDGE_SCHEMA)
-    closed = materialize(edges.repartition(partitions, "key").mapInArrow(_close_edges, _PATH_SCHEMA), "closed")
-    return materialize(closed.repartition(partitions, "id").mapInArrow(_compact_paths, _PATH_SCHEMA), "paths")
+    runs = texts.mapInArrow(tidy(_minimizers(width, seed)), "key long, least long, sure int, id long, at long")
+    repeated = materialize(runs.repartition(partitions, "key").mapInArrow(tidy(_repeated_runs), "id long, at long"), "runs")
+    regions = materialize(repeated.repartition(partitions, "id").mapInArrow(tidy(_merge_regions), "id long, regions array<long>"), "regions")
+    edges = _join_side(texts, regions, "regions", "inner").select("id", "text", "regions").mapInArrow(tidy(_edges(width)), _EDGE_SCHEMA)
+    closed = materialize(edges.repartition(partitions, "key").mapInArrow(tidy(_close_edges), _PATH_SCHEMA), "closed")
+    return materialize(closed.repartition(partitions, "id").mapInArrow(tidy(_compact_paths), _PATH_SCHEMA), "paths")
 
 
 def _removed_spans(width: int):
@@ -288,13 +288,13 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width
     """Per row: key, ``keep`` columns, n_words, n_removed, kept_sha256 and, if asked for, the kept words by single spaces."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     paths = repeated_paths(df, key, text, width, seed)
-    spans = paths.select("id", "pos", "size").repartition(partitions, "id").mapInArrow(_removed_spans(width), "id long, spans array<long>")
+    spans = paths.select("id", "pos", "size").repartition(partitions, "id").mapInArrow(tidy(_removed_spans(width)), "id long, spans array<long>")
     kept = [key, *(c for c in keep if c != key)]
     names = [f"__k{i}" for i in range(len(kept))]
     texts = df.select(*(F.col(c).alias(n) for c, n in zip(kept, names, strict=True)), F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("__text"))
     joined = _join_side(texts, materialize(spans, "spans"), "spans", "left").select(*names, "__text", "spans")
     fields = ", ".join([*(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in zip(kept, names, strict=True)), "n_words long, n_removed long, kept_sha256 string"])
-    out = joined.mapInArrow(_keep(len(kept), with_text), fields + ", kept_text string" * with_text)
+    out = joined.mapInArrow(tidy(_keep(len(kept), with_text)), fields + ", kept_text string" * with_text)
     return out.withColumnsRenamed(dict(zip(names, kept, strict=True)))
 
 
@@ -325,6 +325,6 @@ def verify_paths(df: DataFrame, paths: DataFrame, key: str = "doc_id", text: str
     )
     pieces = sides.groupBy("id").agg(F.collect_list("piece").alias("pieces"))
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    digests = texts.join(pieces, "id").mapInArrow(_digests(width), "path string, side int, digest binary")
+    digests = texts.join(pieces, "id").mapInArrow(tidy(_digests(width)), "path string, side int, digest binary")
     equal = digests.groupBy("path").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a = b").select("path")
     return named.join(equal, "path").drop("path")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.llm.scratch import free_name
+from recordlake.llm.scratch import free_memory, free_name, tidy
 from recordlake.llm.wordcode import ALNUM_WORDS, slices, split_words
 
 WIDTH = 10
@@ -224,7 +224,7 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     names = [free_name(c, OUTPUTS) for c in keep]
     fields = ", ".join([*(f"`{n}` {documents.schema[c].dataType.simpleString()}" for c, n in zip(keep, names, strict=True)), "n_words long, spans array<long>, items array<string>, longest long"])
     kept = (F.col(c).alias(n) for c, n in zip(keep, names, strict=True))
-    return documents.select(*kept, F.col(text).cast("string").alias("__text")).mapInArrow(_scan(blocks, width, len(keep)), fields)
+    return documents.select(*kept, F.col(text).cast("string").alias("__text")).mapInArrow(tidy(_scan(blocks, width, len(keep))), fields)
 
 
 def hit_words(spans: Column) -> Column:
@@ -241,5 +241,6 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, width: int = WID
     def hit(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
             yield pa.array([bool(s) for _, spans, _, _ in scan_texts(part, blocks, width) for s in spans], pa.bool_())
+        free_memory()
 
     return documents.filter(~hit(F.col(text).cast("string")))

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordlake.llm.components import connected_components
-from recordlake.llm.scratch import discard, integer_key, materialize
+from recordlake.llm.scratch import bound_batches, discard, free_memory, integer_key, materialize, tidy
 from recordlake.llm.wordcode import SPACE_WORDS, mix, slices, split_words, window_hashes
 
 SHINGLE, PERCENT = 4, 85
@@ -55,7 +55,7 @@ COMMON, COUNTED, COMMON_IN_BATCH = 200_000, 1_000_000, 8
 #: Share of common shingles up to which a set is signed without them, in percent.
 COMMON_SHARE = 25
 #: A block holds about so many sets and tokens at most; a task holds two blocks.
-BLOCK_SETS, BLOCK_TOKENS = 8_192, 1_000_000
+BLOCK_SETS, BLOCK_TOKENS = 8_192, 500_000
 #: Signatures that a task takes in; more of them get more tasks.
 SIGNATURES_A_TASK = 2_000_000
 #: Rows that are worked on at once.
@@ -310,14 +310,13 @@ def _load_sets(shingle: int):
     return run
 
 
-def near_bits(left: np.ndarray, right: np.ndarray, left_size: np.ndarray, right_size: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs whose bitmaps (rows of 64-bit words) differ in few enough places for a link."""
-    out = np.zeros((len(left), len(right)), bool)
+def near_bits(left: np.ndarray, right: np.ndarray, left_size: np.ndarray, right_size: np.ndarray, percent: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """For some rows on the left at a time: the pairs whose bitmaps (rows of 64-bit words) differ in few enough places for a link."""
     step = max(1, 4 * CHUNK // max(1, right.size))
     for at in range(0, len(left), step):
-        apart = np.bitwise_count(left[at : at + step, None, :] ^ right[None, :, :]).sum(2, dtype=np.int64)
-        out[at : at + step] = apart * (100 + percent) <= (100 - percent) * (left_size[at : at + step, None] + right_size[None, :])
-    return out
+        rows = slice(at, at + step)
+        apart = np.bitwise_count(left[rows, None, :] ^ right[None, :, :]).sum(2, dtype=np.int64)
+        yield rows, apart * (100 + percent) <= (100 - percent) * (left_size[rows, None] + right_size[None, :])
 
 
 def _likely(percent: int):
@@ -339,13 +338,13 @@ def _likely(percent: int):
                 if not len(same[wide]):
                     continue
                 far = rows[wide] if wide == width else rows[wide][:, :width] ^ rows[wide][:, width:]
-                near = near_bits(rows[width], far, sizes[same[width]], sizes[same[wide]], percent)
-                own, other = side[same[width]], side[same[wide]]
-                near &= (own[:, None] == 0) | (own[:, None] != other[None, :])
-                if wide == width:
-                    np.fill_diagonal(near, False)
-                likely[same[width]] |= near.any(1)
-                likely[same[wide]] |= near.any(0)
+                for part, near in near_bits(rows[width], far, sizes[same[width]], sizes[same[wide]], percent):
+                    own, other = same[width][part], same[wide]
+                    near &= (own[:, None] != other[None, :]) & ((side[own][:, None] == 0) | (side[own][:, None] != side[other][None, :]))
+                    likely[own] |= near.any(1)
+                    likely[other] |= near.any(0)
+        if len(side) > 2_000:
+            free_memory()
         return table.filter(pa.array(likely)).drop_columns(["n_shingles", "bits"])
 
     return run
@@ -447,6 +446,8 @@ def _verify(percent: int, size: int):
                     links[b] += weight[a] @ linked
                 _merge(root, linked, a, b)
         told = np.flatnonzero(links)
+        if len(nodes) > 2_000:
+            free_memory()
         return pa.table({"node": pa.array(nodes[told]), "links": pa.array(links[told]), "root": pa.array(nodes[root[told]])})
 
     return run
@@ -524,7 +525,8 @@ def _linked(texts: DataFrame, shingle: int, percent: int, group: int, block_sets
     if not 50 <= percent <= 100 or shingle < 1:
         raise ValueError("percent is from 50 to 100, shingle at least 1")
     spark = texts.sparkSession
-    found = materialize(texts.mapInArrow(_describe(shingle), "id long, mark long, n_shingles long, d1 long, d2 long"), "sets")
+    bound_batches(spark)
+    found = materialize(texts.mapInArrow(tidy(_describe(shingle)), "id long, mark long, n_shingles long, d1 long, d2 long"), "sets")
     described = found.filter("n_shingles >= 0")
     often = found.filter("n_shingles < 0").groupBy("d1").agg(F.sum(-F.col("n_shingles")).alias("n")).orderBy(F.desc("n"), "d1").limit(COMMON)
     common = spark.sparkContext.broadcast(np.sort(np.asarray(often.select("d1").toArrow()["d1"].combine_chunks(), np.int64).view(np.uint64)))
@@ -535,8 +537,8 @@ def _linked(texts: DataFrame, shingle: int, percent: int, group: int, block_sets
 
     expected = (sets.agg(F.sum("n_shingles")).first()[0] or 0) * (100 - percent) // 25
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // SIGNATURES_A_TASK))
-    signed = texts.filter("id is not null").select("text").mapInArrow(_sign(shingle, percent, common), "sig long, node long, tag int")
-    shared = materialize(signed.repartition(partitions, "sig").mapInArrow(_repeated, "sig long, node long, tag int"), "shared")
+    signed = texts.filter("id is not null").select("text").mapInArrow(tidy(_sign(shingle, percent, common)), "sig long, node long, tag int")
+    shared = materialize(signed.repartition(partitions, "sig").mapInArrow(tidy(_repeated), "sig long, node long, tag int"), "shared")
     postings = materialize(_enough(shared), "postings")
     discard(shared)
     keys = materialize(_keys(postings, ROUNDS).join(classes.select("node", "weight", "n_shingles", "class_first"), "node"), "keys")
@@ -547,7 +549,7 @@ def _linked(texts: DataFrame, shingle: int, percent: int, group: int, block_sets
     small = holders.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = texts.join(F.broadcast(holders) if small else holders, ["id", "mark"])
     wanted = wanted.dropDuplicates(["node"]) if repeats else wanted
-    tokens = materialize(wanted.select("node", "text").mapInArrow(_load_sets(shingle), "node long, n_shingles long, bits binary, tokens binary"), "tokens")
+    tokens = materialize(wanted.select("node", "text").mapInArrow(tidy(_load_sets(shingle)), "node long, n_shingles long, bits binary, tokens binary"), "tokens")
     task = ["k1", "b1", "k2", "b2"]
     bounded = placed.join(tokens.select("node", "n_shingles", "bits"), "node").select(*placed.columns, "n_shingles", "bits")
     likely = materialize(bounded.groupBy(*task).applyInArrow(_likely(percent), placed.schema), "likely")

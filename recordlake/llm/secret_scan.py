@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordlake.llm.scratch import tidy
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -135,4 +137,4 @@ def scan(df: DataFrame, keep: list[str], text: str = "text", min_log_guesses: fl
             )
 
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in counts]
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, ", ".join([*fields, "base_sha256 string, spans string"]))
+    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(tidy(run), ", ".join([*fields, "base_sha256 string, spans string"]))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlake.llm.scratch import free_name
+from recordlake.llm.scratch import free_memory, free_name, tidy
 from recordlake.llm.wordcode import ALNUM_WORDS, Words, mix, powers, slices, split_words, _BYTE_CODES
 
 BITS = 20
@@ -181,7 +181,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     bounded = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("__toxic")).orderBy(order, key).limit(max_rows)
     rows = (
         documents.select(key, text).join(F.broadcast(bounded), key).select("__toxic", text)
-        .mapInArrow(_training_rows, "toxic int, features binary, terms binary").toArrow()
+        .mapInArrow(tidy(_training_rows), "toxic int, features binary, terms binary").toArrow()
     )
     read = lambda name: [np.frombuffer(x, "<i4") for x in rows[name].to_pylist()]
     return fit_rows(read("features"), rows["toxic"].to_numpy().astype(float), read("terms"))
@@ -196,6 +196,7 @@ def toxic_score(spark: SparkSession, model: ToxicityModel, text: Column) -> Colu
         loaded = ToxicityModel(*bound.value)
         for part in parts:
             yield pa.array(_sigmoid(loaded.logits(part)), pa.float64())
+        free_memory()
 
     return scored(text.cast("string"))
 

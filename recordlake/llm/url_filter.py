@@ -23,6 +23,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordlake.llm.scratch import tidy
+
 MAGIC = b"SDA1"
 SCHEMA = "host string, path string, rule string, verdict string"
 
@@ -138,4 +140,4 @@ def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str]], url: str = "url
     spark.sparkContext.addFile(local)
     kept = [df.schema[c] for c in keep]
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), SCHEMA])
-    return df.select(*keep, F.col(url).cast("string").alias("__url")).mapInArrow(_judge(name, default, len(keep)), out)
+    return df.select(*keep, F.col(url).cast("string").alias("__url")).mapInArrow(tidy(_judge(name, default, len(keep))), out)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recordlake.llm.scratch import tidy
 from recordlake.llm.wordcode import range_hashes, slices, text_buffer
 
 SHARD_TOKENS = 4 << 20
@@ -328,7 +329,7 @@ def write_token_shards(df: DataFrame, path: str, tokenizer_file: str, end_id: in
     """Write ``df`` as wavelet shards in ascending key order under ``path``; returns the written table."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.select(F.col(key).cast("long"), F.col(text).cast("string")).repartitionByRange(partitions, F.col(key).asc()).sortWithinPartitions(key, text)
-    ordered.mapInArrow(_encode(tokenizer_file, end_id, shard_tokens), SHARD_SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(tidy(_encode(tokenizer_file, end_id, shard_tokens)), SHARD_SCHEMA).write.option("compression", "none").parquet(path)
     return df.sparkSession.read.schema(SHARD_SCHEMA).parquet(path)
 
 
@@ -350,7 +351,7 @@ def _read_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_digests(shards: DataFrame) -> DataFrame:
     """Per document, decoded from the shards: doc_id, start over the whole corpus, n_tokens, ids_crc32."""
-    docs = shards.mapInArrow(_read_docs, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = shards.mapInArrow(tidy(_read_docs), "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     earlier = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     base = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("base"))
     return docs.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
