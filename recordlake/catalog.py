@@ -132,12 +132,12 @@ def canonical_key(spark, sf_dir):
     return view(spark, sf_dir, "records").select("id", identity.canonical_key(F.col("kind"), F.col("source"), F.col("court"), F.col("case_number"), F.col("subject")).alias("canonical_key"))
 
 
-@query("record_identity", with_views("records") + """ SELECT id, CASE WHEN position % 3 = 0 THEN 'case:' || case_number WHEN position % 3 = 1 THEN concat_ws(':', 'precedent', source, lower(court), id) ELSE concat_ws(':', 'source', source, id) END AS identity,
+@query("record_identity", with_views("records") + """ SELECT id, CASE WHEN position % 3 = 0 THEN 'case:' || case_number WHEN position % 3 = 1 THEN concat_ws(':', 'precedent', court, subject, id) ELSE concat_ws(':', 'source', source, id) END AS identity,
   CASE WHEN position % 2 = 0 THEN concat_ws(':', source, id) ELSE concat_ws(':', source, case_number, kind) END AS collection_identity FROM records""")
 def record_identity(spark, sf_dir):
-    rows = view(spark, sf_dir, "records").withColumns({"cn": F.when(F.col("position") % 3 == 0, F.col("case_number")), "pt": F.when(F.col("position") % 3 == 1, F.col("court")), "cid": F.when(F.col("position") % 2 == 0, F.col("id"))})
+    rows = view(spark, sf_dir, "records").withColumns({"cn": F.when(F.col("position") % 3 == 0, F.col("case_number")), "pt": F.when(F.col("position") % 3 == 1, F.col("subject")), "cid": F.when(F.col("position") % 2 == 0, F.col("id"))})
     null = F.lit(None).cast("string")
-    return rows.select("id", identity.record_identity(F.col("cn"), null, F.col("pt"), F.col("source"), F.col("id")).alias("identity"), identity.collection_identity(F.col("source"), F.col("cid"), F.col("case_number"), F.col("kind")).alias("collection_identity"))
+    return rows.select("id", identity.record_identity(F.col("cn"), null, F.col("pt"), F.col("court"), F.col("source"), F.col("id")).alias("identity"), identity.collection_identity(F.col("source"), F.col("cid"), F.col("case_number"), F.col("kind")).alias("collection_identity"))
 
 
 @query("normalize_dates", """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 7 THEN NULL ELSE substr(CAST(o_orderdate AS VARCHAR), 1, 10) END AS iso FROM orders""")
@@ -207,16 +207,16 @@ def synthetic_ids(spark, sf_dir):
     return orders.select("o_orderkey", text.synthetic_id("rec-", 16, F.col("o_orderkey"), status, F.col("o_orderpriority")).alias("id"), identity.json_fingerprint({"status": F.col("o_orderstatus"), "key": F.col("o_orderkey")}).alias("json_key"))
 
 
-@query("localized_totals", "SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * 1000 AS total FROM orders WHERE o_orderkey > 0")
+@query("localized_totals", "SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * 1000 AS total FROM orders")
 def localized_totals(spark, sf_dir):
     line = F.concat(F.lit("Foram encontrados "), "o_orderkey", F.lit(".000 registros"))
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey > 0").select("o_orderkey", text.localized_total(line, r"encontrados ([\d.]+) registros").alias("total"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.localized_total(line, r"encontrados ([\d.]+) registros").alias("total"))
 
 
-@query("text_cleanup", "SELECT n_nationkey, n_name || ' ' || n_name || ', ok' AS punctuated, n_name AS halved, 'https://x.test/a?q=1' AS url FROM nation WHERE n_name NOT LIKE '% %'")
+@query("text_cleanup", "SELECT n_nationkey, n_name || ' ' || n_name || ', ok' AS punctuated, n_name AS halved, 'https://x.test/a?q=1' AS url FROM nation")
 def text_cleanup(spark, sf_dir):
     n = F.col("n_name")
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").filter(~n.contains(" ")).select(
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(
         "n_nationkey", text.close_punctuation(F.concat_ws(" ", n, n, F.lit(", ok"))).alias("punctuated"), text.collapse_doubled(F.concat_ws(" ", n, n)).alias("halved"), text.strip_session(F.lit("https://x.test/a;jsessionid=1?q=1&token=9")).alias("url"),
     )
 
@@ -283,8 +283,8 @@ def _two_key_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return base, fresh
 
 
-_TWO_KEYS = with_views("records") + """, base AS (SELECT kind, id, 'k|' || position AS canonical_key, position AS created_at, price FROM records WHERE position % 2 = 0),
-  fresh0 AS (SELECT kind, CASE WHEN position % 4 = 0 THEN id ELSE 'n' || position END AS id, 'k|' || CASE WHEN position % 5 = 0 THEN position + 2 ELSE position END AS canonical_key, price + 1 AS price, position FROM records WHERE position % 3 = 0),
+_TWO_KEYS = with_views("records") + """, base AS (SELECT kind, id, 'k|' || position AS canonical_key, position AS created_at, price FROM records WHERE position % 3 <> 0),
+  fresh0 AS (SELECT kind, CASE WHEN position % 4 = 0 THEN id ELSE 'n' || position END AS id, 'k|' || CASE WHEN position % 5 = 0 THEN position + 2 ELSE position END AS canonical_key, price + 1 AS price, position FROM records WHERE position % 3 <> 1),
   fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY position DESC) AS rn FROM fresh0) WHERE rn = 1),
   m AS (SELECT f.*, a.canonical_key AS key_of_id, a.created_at AS born_id, b.id AS id_of_key, b.created_at AS born_key FROM fresh f LEFT JOIN base a ON f.kind = a.kind AND f.id = a.id LEFT JOIN base b ON f.canonical_key = b.canonical_key),
   clash AS (SELECT * FROM m WHERE key_of_id IS NOT NULL AND id_of_key IS NOT NULL AND key_of_id <> canonical_key), clean AS (SELECT * FROM m EXCEPT SELECT * FROM clash)"""
@@ -402,12 +402,13 @@ def default_sources(spark, sf_dir):
     return federate.default_sources(_capabilities(spark, sf_dir), ["court_jurisprudence", "court_catalog"])
 
 
-@query("source_registry")
+@query("source_registry", "SELECT source FROM (VALUES " + ", ".join(f"('{r['source']}', '{r['category']}', {r['unified']})" for r in registry.rows()) + """) AS r(source, category, unified)
+  WHERE unified AND category IN ('administrative_jurisprudence', 'court_jurisprudence', 'court_precedents', 'curated_jurisprudence', 'electoral_jurisprudence', 'jurisprudence', 'qualified_precedents')""")
 def source_registry(spark, sf_dir):
     return federate.default_sources(registry.capabilities(spark), registry.DEFAULT_CATEGORIES)
 
 
-@query("source_status_view", with_views("capabilities", "evidence") + """, ev AS (SELECT source, max(error) AS error, count(*) AS returned, CASE WHEN count(*) % 3 = 0 THEN NULL ELSE count(*) % 3 = 1 END AS is_complete FROM evidence WHERE seq % 50 < 3 GROUP BY source)
+@query("source_status_view", with_views("capabilities", "evidence") + """, ev AS (SELECT source, max(error) AS error, count(*) AS returned, CASE WHEN count(*) % 3 = 0 THEN NULL ELSE count(*) % 3 = 1 END AS is_complete FROM evidence GROUP BY source)
   SELECT c.source, CASE WHEN NOT c.unified THEN 'skipped' WHEN contains(lower(coalesce(error, '')), 'ssl') OR contains(lower(coalesce(error, '')), 'certificate') THEN 'ssl_error' WHEN coalesce(error, '') <> '' THEN 'failed' WHEN coalesce(returned, 0) = 0 THEN 'empty'
   WHEN NOT is_complete THEN 'partial' WHEN is_complete IS NULL THEN 'unknown' ELSE 'ok' END AS status FROM capabilities c LEFT JOIN ev ON c.source = ev.source""")
 def source_status_view(spark, sf_dir):
@@ -648,7 +649,9 @@ def export_jsonl_sorted(spark, sf_dir):
     return rows.select("id", export.json_line(rows, ["source", "id", "court", "case_number"]).alias("line"))
 
 
-@query("export_markdown", with_views("records") + """ SELECT court, string_agg('## ' || id || coalesce(chr(10) || '**Source:** ' || source, '') || chr(10) || '**Case:** ' || case_number, chr(10) || chr(10) ORDER BY id) AS markdown FROM records WHERE position % 50 = 0 GROUP BY court""")
+@query("export_markdown", with_views("records") + """, lines AS (SELECT court, id, '## ' || id || coalesce(chr(10) || '**Source:** ' || source, '') || chr(10) || '**Case:** ' || case_number AS line FROM records),
+  paged AS (SELECT *, (row_number() OVER (PARTITION BY court ORDER BY id, line) - 1) // 1000 + 1 AS page FROM lines)
+  SELECT court, page, string_agg(line, chr(10) || chr(10) ORDER BY id, line) AS markdown FROM paged GROUP BY court, page""")
 def export_markdown(spark, sf_dir):
     rows = view(spark, sf_dir, "records")
     return export.markdown_pages(rows, "court", "id", export.markdown_record(F.col("id"), Source=F.col("source"), Case=F.col("case_number")))
@@ -661,3 +664,119 @@ def stream_collect_dedup(spark, sf_dir):
     return collected_events(spark, sf_dir)
 
 
+
+
+# --- rules on single columns and small tables
+
+@query("find_case_number", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN substr(n, 1, 7) || '-' || substr(n, 8, 2) || '.' || substr(n, 10, 4) || '.' || substr(n, 14, 1) || '.' || substr(n, 15, 2) || '.' || substr(n, 17) END AS number FROM (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 20, '7') AS n FROM orders)")
+def find_case_number(spark, sf_dir):
+    n = F.lpad(F.col("o_orderkey").cast("string"), 20, "7")
+    number = text.normalize_cnj_number(n)
+    line = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("Autos "), number, F.lit(", folha 12-3"))).otherwise(F.concat(F.lit("Autos "), n, F.lit("-00")))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.find_case_number(line).alias("number"))
+
+
+@query("unwrap_partial", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '<p>resultados ' || n_name || '</p>' WHEN 1 THEN '<x><![CDATA[' || n_name || ']]></x>' ELSE 'resultados a' || chr(10) || n_name || ' resultados' END AS markup FROM nation")
+def unwrap_partial(spark, sf_dir):
+    k, n = F.col("n_nationkey") % 3, F.col("n_name")
+    block = lambda c: F.concat(F.lit("<![CDATA["), c, F.lit("]]>"))
+    sent = F.when(k == 0, F.concat(F.lit("<a>"), block(n), block(F.concat(F.lit("<p>resultados "), n, F.lit("</p>"))), F.lit("</a>"))).when(k == 1, F.concat(F.lit("<x>"), block(n), F.lit("</x>")))
+    sent = sent.otherwise(F.concat(block(F.lit("resultados a")), block(F.lit("outro")), block(F.concat(n, F.lit(" resultados")))))
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", text.unwrap_partial(sent).alias("markup"))
+
+
+@query("lenient_decision_type", with_views("results") + " SELECT id, CASE trim(type) WHEN 'Acórdão' THEN 'acordao' WHEN 'sentença' THEN 'sentenca' WHEN 'Decisão Monocrática' THEN 'decisao' END AS decision_type FROM results")
+def lenient_decision_type(spark, sf_dir):
+    return view(spark, sf_dir, "results").select("id", text.lenient_decision_type(F.col("type")).alias("decision_type"))
+
+
+@query("field_keys", """SELECT p_partkey, trim(regexp_replace(lower(p_name || ' (N ' || p_size || ') ' || p_brand), '[^a-z0-9()]+', '_', 'g'), '_') AS key FROM (SELECT p_partkey, p_name, p_size, p_brand FROM part)""")
+def field_keys(spark, sf_dir):
+    label = F.concat("p_name", F.lit(" (N "), "p_size", F.lit(")  "), "p_brand", F.lit(" -"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.ascii_key(label).alias("key"))
+
+
+@query("infer_kind", with_views("results") + " SELECT id, CASE WHEN arrival % 4 = 0 THEN 'document' WHEN arrival % 4 = 1 OR arrival % 11 = 0 THEN 'precedent' ELSE 'decision' END AS kind FROM results")
+def infer_kind(spark, sf_dir):
+    four = F.col("arrival") % 4
+    made = canonical.infer_kind(F.when(four == 0, "pdf"), F.when(four == 1, F.col("number")), F.col("question"), F.col("thesis"))
+    return view(spark, sf_dir, "results").select("id", made.alias("kind"))
+
+
+@query("store_rows", with_views("records") + " SELECT id, coalesce(publication_date, substr(updated_at, 1, 10)) AS publication_date FROM records")
+def store_rows(spark, sf_dir):
+    return canonical.store_rows(view(spark, sf_dir, "records")).select("id", "publication_date")
+
+
+@query("dataset_decisions", """SELECT 'dataset-' || substr(sha256('acordaos:' || o_orderkey), 1, 24) AS id, o_orderstatus AS case_number, nullif(trim(o_orderpriority), '') AS summary, substr(CAST(o_orderdate AS VARCHAR), 1, 10) AS judgment_date FROM orders WHERE o_orderkey % 10 > 0""")
+def dataset_decisions(spark, sf_dir):
+    o, null = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.lit(None).cast("string")
+    rows = o.select(
+        F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderkey").cast("string")).otherwise(" ").alias("id"), F.col("o_orderstatus").alias("numeroProcesso"), null.alias("descricaoClasse"), null.alias("ministroRelator"),
+        null.alias("nomeOrgaoJulgador"), F.col("o_orderpriority").alias("ementa"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("dataDecisao"), null.alias("dataPublicacao"),
+    )
+    return canonical.dataset_decisions(rows, F.lit("acordaos")).select("id", "case_number", "summary", "judgment_date")
+
+
+@query("distinct_routes", with_views("evidence") + " SELECT DISTINCT source || '/' || code AS route FROM evidence WHERE code <> 404")
+def distinct_routes(spark, sf_dir):
+    return discovery.distinct_routes(view(spark, sf_dir, "evidence").select(F.when(F.col("code") != 404, F.concat_ws("/", "source", "code")).alias("route")))
+
+
+@query("secrecy_flags", with_views("results") + """ SELECT id, CASE WHEN arrival % 4 < 3 THEN 'partial' ELSE 'public' END AS access_status, CASE WHEN arrival % 4 IN (1, 2) THEN 'partial' ELSE extraction_status END AS extraction_status FROM results""")
+def secrecy_flags(spark, sf_dir):
+    four = F.col("arrival") % 4
+    note = F.when(four == 0, "Processo em SEGREDO DE JUSTIÇA").when(four == 1, "aguardando publicação").when(four == 2, "Conteúdo pendente")
+    return view(spark, sf_dir, "results").select("id", quality.secrecy_flags(note, F.lit("public"), F.col("extraction_status")).alias("f")).select("id", "f.*")
+
+
+@query("page_echo", with_views("evidence") + " SELECT seq, CASE WHEN seq % 5 = 1 THEN 'source_changed' ELSE status END AS extraction FROM evidence")
+def page_echo(spark, sf_dir):
+    five = F.col("seq") % 5
+    reported = F.when(five == 0, F.lit(None).cast("long")).when(five == 1, F.col("seq") + 1).otherwise(F.col("seq"))
+    return view(spark, sf_dir, "evidence").select("seq", quality.page_echo(F.col("seq"), reported, F.col("status")).alias("extraction"))
+
+
+@query("blocked_pages", "SELECT page_id, contains(lower(html), 'login') AND NOT contains(lower(html), '<table') AS blocked, contains(lower(html), 'login') AS challenged FROM pages")
+def blocked_pages(spark, sf_dir):
+    html_ = F.col("html")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", quality.blocked(html_, "login", "<table").alias("blocked"), quality.blocked(html_, "login", None).alias("challenged"))
+
+
+@query("legal_content", with_views("results") + " SELECT id, trim(coalesce(thesis, '')) <> '' OR trim(coalesce(full_text, '')) <> '' AS legal FROM results")
+def legal_content(spark, sf_dir):
+    return view(spark, sf_dir, "results").select("id", canonical.has_legal_content(F.col("thesis"), F.col("full_text")).alias("legal"))
+
+
+@query("selector_memory_page", """WITH m AS (SELECT n_nationkey AS id, n_nationkey % 4 = 0 OR n_nationkey = 3 AS approved, n_regionkey * 10 AS confidence, n_nationkey % 7 AS matches FROM nation)
+  SELECT id, approved, confidence, matches FROM m WHERE approved ORDER BY approved DESC, confidence DESC, matches, id LIMIT 6""")
+def selector_memory_page(spark, sf_dir):
+    k = F.col("n_nationkey")
+    memory = spark.read.parquet(f"{sf_dir}/nation.parquet").select(k.alias("id"), (k % 4 == 0).alias("approved"), (F.col("n_regionkey") * 10).alias("confidence"), (k % 7).alias("matches"))
+    return store.selector_candidates(store.approve_selector(memory, 3), 6, approved_only=True)
+
+
+@query("manifest_list", with_views("manifest") + " SELECT source, resource_id, size AS synced_at, CAST(NULL AS VARCHAR) AS note FROM manifest")
+def manifest_list(spark, sf_dir):
+    rows = view(spark, sf_dir, "manifest").select("source", F.lit("d").alias("dataset_id"), "resource_id", F.col("size").alias("synced_at"))
+    return store.migrate(store.list_manifests(rows), {"note": "string"}).drop("dataset_id")
+
+
+@query("plan_downloads", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'JSON' ELSE 'pdf' END AS format FROM part WHERE p_partkey % 3 < 2 AND (p_partkey % 7 = 0 OR p_size <= 30) ORDER BY p_partkey LIMIT 500")
+def plan_downloads(spark, sf_dir):
+    three = F.col("p_partkey") % 3
+    resources = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.when(three == 0, "csv").when(three == 1, "JSON").otherwise("pdf").alias("format"), F.when(F.col("p_partkey") % 7 == 0, "n/a").otherwise(F.col("p_size").cast("string")).alias("size"))
+    return readers.plan_downloads(resources, ["CSV", "json"], 30, 500).select("id", "format")
+
+
+@query("read_manifest", "SELECT n_nationkey, 'BNMP' AS base, n_name AS arquivo FROM nation UNION ALL SELECT n_nationkey, 'X', n_name || '.zip' FROM nation")
+def read_manifest(spark, sf_dir):
+    lines = F.concat(F.lit("gerado em 1/1\r\nBase | Arquivo\nBNMP| "), "n_name", F.lit(" \n|\nY|\nX |"), "n_name", F.lit(".zip|extra"))
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.explode(readers.read_manifest(lines)).alias("m"))
+    return rows.select("n_nationkey", F.col("m")["BASE"].alias("base"), F.col("m")["ARQUIVO"].alias("arquivo"))
+
+
+@query("local_window", "SELECT s_suppkey, s_name, 16 AS window_start FROM supplier ORDER BY s_name, s_suppkey LIMIT 15 OFFSET 15")
+def local_window(spark, sf_dir):
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name")
+    return federate.local_window(suppliers, [F.asc("s_name"), F.asc("s_suppkey")], 2, 15).drop("window_size")

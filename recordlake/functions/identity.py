@@ -16,15 +16,12 @@ def canonical_key(*parts: Column) -> Column:
     return F.concat_ws("|", *(F.nullif(F.lower(collapse_space(p.cast("string"))), F.lit("")) for p in parts))
 
 
-def _bare(c: Column) -> Column:
-    return F.nullif(F.regexp_replace(F.lower(c), "[^0-9a-z]", ""), F.lit(""))
-
-
-def record_identity(case_number: Column, number: Column, precedent_type: Column, source: Column, id_: Column) -> Column:
-    """``case:`` of any number; a record without one is a precedent by type, source and id, or the source's id."""
+def record_identity(case_number: Column, number: Column, precedent_type: Column, court: Column, source: Column, id_: Column) -> Column:
+    """``case:`` of a number that is not empty; a precedent (``precedent_type`` is set) without one goes by court, type and id, others by source and id."""
+    chosen = F.coalesce(F.nullif(case_number, F.lit("")), F.nullif(number, F.lit("")))
     return F.coalesce(
-        F.concat(F.lit("case:"), _bare(F.coalesce(F.nullif(case_number, F.lit("")), number))),
-        F.when(precedent_type.isNotNull(), F.concat_ws(":", F.lit("precedent"), source, F.lower(precedent_type), id_)),
+        F.concat(F.lit("case:"), F.regexp_replace(F.lower(chosen), "[^0-9a-z]", "")),
+        F.when(precedent_type.isNotNull(), F.concat_ws(":", F.lit("precedent"), court, precedent_type, id_)),
         F.concat_ws(":", F.lit("source"), source, id_),
     )
 

@@ -11,8 +11,8 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "results": ("documents", {
         "id": "concat('doc-', doc_id)", "source": "source", "court": "upper(lang)", "arrival": "doc_id",
         "type": "CASE doc_id % 5 WHEN 0 THEN 'Acórdão' WHEN 1 THEN 'Decisão Monocrática' WHEN 2 THEN 'Súmula' WHEN 3 THEN ' Despacho ' ELSE 'sentença' END",
-        "number": "lpad(CAST(doc_id % 50 AS VARCHAR(20)), 20, '0')", "summary": "CASE WHEN doc_id % 7 = 0 THEN '' ELSE substr(text, 1, 400) END", "full_text": "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END",
-        "question": "CAST(NULL AS VARCHAR(20))", "thesis": "CASE WHEN doc_id % 11 = 0 THEN substr(text, 1, 80) END", "rapporteur": "concat(' R', doc_id % 9, ' ')",
+        "number": "lpad(CAST(doc_id % 50 AS VARCHAR(20)), 20, '0')", "summary": "CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END", "full_text": "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END",
+        "question": "CAST(NULL AS VARCHAR(20))", "thesis": "CASE WHEN doc_id % 11 = 0 THEN text END", "rapporteur": "concat(' R', doc_id % 9, ' ')",
         "judgment_date": "concat(1 + doc_id % 28, '/', 1 + doc_id % 12, '/', 2000 + doc_id % 25)", "publication_date": "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat(2001 + doc_id % 24, '-0', 1 + doc_id % 9, '-', 10 + doc_id % 18) END",
         "updated_at": "concat(2001 + doc_id % 24, '-0', 1 + doc_id % 9, '-', 10 + doc_id % 18, 'T10:00:00Z')", "access_status": "CASE doc_id % 3 WHEN 0 THEN 'public' WHEN 1 THEN ' ' END", "extraction_status": "CASE WHEN doc_id % 2 = 0 THEN 'complete' ELSE 'partial' END",
     }),
@@ -36,10 +36,6 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "source": "p_brand", "resource_id": "p_partkey", "fingerprint": "concat(p_size, '-', CAST(floor(p_retailprice) AS BIGINT))", "status": "CASE WHEN p_partkey % 3 = 0 THEN 'failed' ELSE 'complete' END", "name": "p_name", "size": "p_size",
     }),
 }
-#: Columns that Spark reads whole where the SQL's view still cuts them to a prefix.
-WHOLE: dict[str, dict[str, str]] = {
-    "results": {"summary": "CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END", "thesis": "CASE WHEN doc_id % 11 = 0 THEN text END"},
-}
 
 
 def view_sql(name: str, dialect: str = "duckdb") -> str:
@@ -61,4 +57,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         left, right = source.split(" ON ")[1].split(" = ")
         other = spark.read.parquet(f"{sf_dir}/{tables[1]}.parquet")
         df = df.join(other, df[left] == other[right])
-    return df.selectExpr(*(f"{e} AS {c}" for c, e in (columns | WHOLE.get(name, {})).items()))
+    return df.selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))

@@ -103,7 +103,7 @@ def sheet_table(df: DataFrame, headers: list[str], content: str = "content") ->
     """Sheet rows as columns; a sheet of other headers gives ``contract_changed`` and no rows."""
     parsed = df.select(F.expr("url") if "url" in df.columns else F.lit(None).cast("string").alias("url"), xlsx_rows(F.col(content)).alias("rows"))
     kept = parsed.withColumn("contract_changed", ~F.col("rows")[0].eqNullSafe(F.array(*map(F.lit, headers))))
-    return kept.filter("not contract_changed").select("url", F.posexplode(F.slice("rows", 2, 1_000_000)).alias("position", "r")).select("url", "position", *(F.get("r", F.lit(i)).alias(h) for i, h in enumerate(headers)))
+    return kept.filter("not contract_changed").select("url", F.posexplode(F.slice("rows", F.lit(2), F.greatest(F.size("rows"), F.lit(1)))).alias("position", "r")).select("url", "position", *(F.get("r", F.lit(i)).alias(h) for i, h in enumerate(headers)))
 
 
 def catalog_datasets(body: Column) -> Column:

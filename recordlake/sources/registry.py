@@ -56,7 +56,7 @@ tst_jurisprudencia|court_jurisprudence|offset|json/html|Y|Y
 #: Categories that federated search includes by default (fixed values).
 DEFAULT_CATEGORIES = [
     "court_jurisprudence", "court_precedents", "qualified_precedents", "curated_jurisprudence",
-    "electoral_jurisprudence", "administrative_jurisprudence", "court_jurisprudence_dataset",
+    "electoral_jurisprudence", "administrative_jurisprudence", "jurisprudence",
 ]
 
 

@@ -47,8 +47,9 @@ def test_keys(spark):
     key = identity.canonical_key(*(F.lit(v) for v in ("decision", "tjsp_cjsg", "TJSP", " 0003938-14.2017.8.26.0323", "", "Acordao")))
     assert one(spark, key) == "decision|tjsp_cjsg|tjsp|0003938-14.2017.8.26.0323|acordao"
     null = F.lit(None).cast("string")
-    assert one(spark, identity.record_identity(F.lit("12-A"), null, null, F.lit("s"), F.lit("1"))) == "case:12a"
-    assert one(spark, identity.record_identity(null, null, F.lit("Tema"), F.lit("s"), F.lit("1"))) == "precedent:s:tema:1"
-    assert one(spark, identity.record_identity(null, null, null, F.lit("s"), F.lit("1"))) == "source:s:1"
+    assert one(spark, identity.record_identity(F.lit("12-A"), null, null, F.lit("C"), F.lit("s"), F.lit("1"))) == "case:12a"
+    assert one(spark, identity.record_identity(null, F.lit(""), F.lit("Tema"), F.lit("C"), F.lit("s"), F.lit("1"))) == "precedent:C:Tema:1"
+    assert one(spark, identity.record_identity(F.lit("--"), null, null, F.lit("C"), F.lit("s"), F.lit("1"))) == "case:"
+    assert one(spark, identity.record_identity(null, null, null, F.lit("C"), F.lit("s"), F.lit("1"))) == "source:s:1"
     assert one(spark, identity.relevance("Dano dano o moral", F.lit("danodano Moral"))) == 5
     assert one(spark, dates.excel_serial_date(F.lit("45000"))) == "2023-03-15"
