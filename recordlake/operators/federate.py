@@ -29,7 +29,7 @@ def rank_dedup(results: DataFrame, text: str, arrival: list[Column]) -> DataFram
     null = F.lit(None).cast("string")
     scored = results.withColumns({
         "score": relevance(text, *(F.col(c) for c in ("question", "thesis", "summary", "case_number", "number") if c in results.columns)),
-        "identity": record_identity(F.col("case_number") if "case_number" in results.columns else null, F.col("number"), F.when(~is_decision(F.col("type")), F.col("type")), F.col("court"), F.col("source"), F.col("id")),
+        "identity": record_identity(F.col("case_number") if "case_number" in results.columns else null, F.col("number"), F.when(~is_decision(F.col("type")), F.col("type")), F.col("court") if "court" in results.columns else null, F.col("source"), F.col("id")),
     })
     window = Window.partitionBy("identity").orderBy(F.desc("score"), *arrival)
     return scored.withColumn("__n", F.row_number().over(window)).filter("__n = 1").drop("__n")
