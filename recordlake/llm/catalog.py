@@ -12,7 +12,7 @@ from recordlake.llm.decontaminate import find_matches, hit_words
 from recordlake.llm.jaccard_groups import jaccard_components
 from recordlake.llm.mixing import mix
 from recordlake.llm.scratch import bound_batches, fresh_path
-from recordlake.llm.secret_scan import scan
+from recordlake.llm.secret_scan import corpus_words, scan
 from recordlake.llm.shuffle_shards import write_shuffled
 from recordlake.llm.stable_knn import search
 from recordlake.llm.toxicity import fit, score
@@ -22,6 +22,8 @@ from recordlake.shipping import ship
 
 #: A document of at least this score is toxic.
 TOXIC_SCORE = 0.7
+#: Most frequent words of the corpus that guess costs know.
+DICTIONARY = 10_000
 #: (verdict, host/path) of the URL rules.
 URL_RULES = [
     ("allow", "com/"),
@@ -59,7 +61,8 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    documents = table(spark, sf_dir, "documents")
+    return scan(documents, ["doc_id"], dictionary=corpus_words(documents, DICTIONARY))
 
 
 def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +119,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE_WORDS, _ALNUM_WORDS = r"'[^\x20\x09-\x0D]+'", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
 ORACLES: dict[str, str] = {
+    "op1_decontaminate": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM_WORDS}) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, {_ALNUM_WORDS}) AS w FROM benchmark),
+starts AS (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+windows AS (SELECT item, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS s FROM starts),
+places AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows)),
+parts AS (SELECT doc_id, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS s FROM places),
+hits AS (SELECT p.doc_id, p.i, p.k, o.item, o.i AS j FROM parts p JOIN windows o ON p.s = o.s AND p.k = o.k),
+runs AS (SELECT doc_id, k, i - row_number() OVER (PARTITION BY doc_id, item, k, j - i ORDER BY i) AS island, item, j - i AS diagonal FROM hits),
+longest AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, count(*) + k - 1 AS n FROM runs GROUP BY doc_id, item, k, diagonal, island) GROUP BY doc_id),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS q FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(longest, 0) AS longest
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN longest USING (doc_id)
+""",
+    "op4_jaccard_groups": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPACE_WORDS}) AS w FROM documents),
+starts AS (SELECT doc_id, w, least(4, len(w)) AS k, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM d WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + k - 1), ' ') AS s FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y, c = p.n AND c = q.n AS equal FROM common JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * c >= 85 * (p.n + q.n - c)),
+walk(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT a, y FROM walk JOIN links ON b = x),
+components AS (SELECT a AS doc_id, min(b) AS component_id FROM walk GROUP BY a),
+degrees AS (SELECT x AS doc_id, count(*) AS n_links, min(CASE WHEN equal THEN y END) AS twin FROM links GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links, least(d.doc_id, coalesce(twin, d.doc_id)) AS class_id
+FROM d JOIN components USING (doc_id) LEFT JOIN sizes USING (doc_id) LEFT JOIN degrees USING (doc_id)
+""",
+    "op5_debruijn_dedup": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACE_WORDS}) AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM again),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+""",
     "op7_url_filter": r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages

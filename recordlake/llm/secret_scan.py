@@ -4,12 +4,13 @@ The base kinds are pattern matches over whole texts. For each value that follows
 dynamic programming finds the segmentation into common words, dates, repeats, keyboard walks and
 brute-force characters that takes the fewest guesses; values begin at 7 characters, the fewest that
 can take ``10**12``, and a value that still needs ``10**min_log_guesses``
-is a secret of kind ``guess``. Costs are logarithms, so a segmentation costs the sum of its parts;
-the programme looks back over ``MAX_PART`` characters for structured parts and one for brute force,
-so time is linear in a value's length.
+is a secret of kind ``guess``. Costs are logarithms, so a segmentation costs the sum of its parts. The
+dictionary is the common words of passwords and, behind them, the corpus's own most frequent words.
+Time grows with the square of a value's length.
 
 Null is an empty text. Offsets are code points, ends exclusive. Rows that repeat are scanned alike,
-an empty table gives an empty result, other columns than those kept are ignored.
+an empty table gives an empty result. A kept column named like an output comes out with an underscore
+behind its name, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.llm.scratch import tidy
+from recordlake.llm.scratch import free_name, tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -35,7 +37,6 @@ CONTEXT = re.compile(
 )
 #: A credential word with its plural, quote and separator is no longer than this.
 WORD_REACH = 16
-MAX_PART = 24
 #: Common words of passwords, most frequent first (fixed values).
 COMMON_WORDS = (
     "password", "qwerty", "dragon", "monkey", "letmein", "football", "baseball", "master", "welcome", "login",
@@ -47,14 +48,16 @@ COMMON_WORDS = (
     "january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december",
     "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "your", "here", "none", "null", "true", "false",
 )
-_RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-_LONGEST = max(map(len, COMMON_WORDS))
 _LEET = str.maketrans("@430157$!", "aaeoistsi")
 _ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _NEXT = {a + b for row in _ROWS for a, b in zip(row, row[1:], strict=False)} | {a + b for up, down in zip(_ROWS, _ROWS[1:], strict=False) for a, b in zip(up, down, strict=False)}
 _NEXT |= {p[::-1] for p in _NEXT}
-_DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
 _LOG_WALK, _LOG_YEAR, _LOG_DATE = math.log10(47), math.log10(130), math.log10(130 * 365)
+_DATES = [
+    (re.compile(r"(?:19|20)\d\d", re.A), _LOG_YEAR),
+    (re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])", re.A), _LOG_DATE),
+    (re.compile(r"(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d", re.A), _LOG_DATE),
+]
 
 
 def _alphabet(value: str) -> float:
@@ -63,35 +66,63 @@ def _alphabet(value: str) -> float:
     return math.log10(max(10, size + 33 * any(not (c.isascii() and c.isalnum()) for c in value)))
 
 
-def log_guesses(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation."""
+def ranks(words: Iterable[str]) -> dict[str, int]:
+    """Ranks of a list of lower-case words, most common first; of repeated words the first counts."""
+    out: dict[str, int] = {}
+    for word in words:
+        out.setdefault(word, len(out) + 1)
+    return out
+
+
+_COMMON = ranks(COMMON_WORDS)
+
+
+def _least(best: list[float], end: int, shortest: int, longest: int, price: Callable) -> float:
+    """The least of ``best[end - n] + price(n)`` over all lengths."""
+    n = np.arange(longest, shortest - 1, -1)
+    return float((np.array(best[end - longest : end - shortest + 1]) + price(n)).min())
+
+
+def log_guesses(value: str, words: dict[str, int] = _COMMON) -> float:
+    """log10 of the guesses of the cheapest segmentation of all; ``words`` are ranks of lower-case words.
+
+    Every part that a kind allows is tried: each stretch of a keyboard walk or of one character, each
+    dictionary word, each date and each number of repeats of each unit.
+    """
     n, single = len(value), _alphabet(value)
-    low = value.lower()
-    plain = low.translate(_LEET) if len(low) == n else low
+    low = value.lower() if len(value.lower()) == n else value
+    plain = low.translate(_LEET)
+    codes = np.array([ord(c) for c in value])
+    longest_word = max(map(len, words), default=0)
     best = [0.0] + [math.inf] * n
     dates = {}
-    for m in _DATE.finditer(value):
-        dates.setdefault(m.end(), []).append((m.start(), _LOG_YEAR if len(m[0]) == 4 else _LOG_DATE))
+    for start in range(n):
+        for pattern, price in _DATES:
+            m = pattern.match(value, start)
+            if m:
+                dates.setdefault(m.end(), []).append((start, price))
     walk = run = 1
-    same = [0] * (MAX_PART + 1)  # per unit: how many characters up to here equal those a unit before
+    same = np.zeros(n, np.int64)  # per unit: how many characters up to here equal those a unit before
+    units = np.arange(n)
     for end in range(1, n + 1):
         cost = best[end - 1] + single
-        if end > 1 and len(low) == n:
+        if end > 1:
             walk = walk + 1 if low[end - 2 : end] in _NEXT else 1
             run = run + 1 if value[end - 1] == value[end - 2] else 1
+            back = same[1:end]
+            equal = codes[end - 2 :: -1][: end - 1] == codes[end - 1]
+            same[1:end] = np.where(equal, back + 1, 0)
         if run >= 3:
-            cost = min(cost, best[end - run] + single + math.log10(run))
+            cost = min(cost, single + _least(best, end, 3, run, np.log10))
         if walk >= 4:
-            cost = min(cost, best[end - walk] + _LOG_WALK + 0.5 * math.log10(walk) * 2)
-        for size in range(3, min(_LONGEST, end) + 1):
-            rank = _RANK.get(plain[end - size : end])
+            cost = min(cost, _LOG_WALK + _least(best, end, 4, walk, np.log10))
+        for size in range(3, min(longest_word, end) + 1):
+            rank = words.get(plain[end - size : end]) or words.get(low[end - size : end])
             if rank:
-                changed = value[end - size : end] != plain[end - size : end]
+                changed = value[end - size : end] not in words
                 cost = min(cost, best[end - size] + math.log10(rank * (size + 1 if changed else 1) + 1))
-        for unit in range(2, min(MAX_PART, end - 1) + 1):
-            same[unit] = same[unit] + 1 if value[end - 1] == value[end - 1 - unit] else 0
-            if same[unit] >= unit:
-                times = same[unit] // unit + 1
+        for unit in np.flatnonzero((same >= units) & (units >= 2)).tolist() if end > 3 else ():
+            for times in range(2, int(same[unit]) // unit + 2):
                 cost = min(cost, best[end - (times - 1) * unit] + math.log10(times))
         for start, price in dates.get(end, ()):
             cost = min(cost, best[start] + price)
@@ -99,14 +130,14 @@ def log_guesses(value: str) -> float:
     return best[n]
 
 
-def scan_text(text: str, min_log_guesses: float = 12.0) -> list[tuple[int, int, int]]:
+def scan_text(text: str, min_log_guesses: float = 12.0, words: dict[str, int] = _COMMON) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of all spans, sorted."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     at = 0
     while m := CONTEXT.search(text, at):
-        if log_guesses(m[1]) >= min_log_guesses:
+        if log_guesses(m[1], words) >= min_log_guesses:
             found.append((m.start(1), 3, m.end(1)))
             at = m.end()
         else:  # the value's end may be the credential word of another one
@@ -118,13 +149,26 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(df: DataFrame, keep: list[str], text: str = "text", min_log_guesses: float = 12.0) -> DataFrame:
-    """``keep`` columns, counts by kind, digest of the base spans and all spans of every row."""
+def corpus_words(df: DataFrame, most: int, text: str = "text") -> list[str]:
+    """The ``most`` most frequent runs of 3 to 20 letters a-z of all texts, lower-cased; ties in order of the words."""
+    found = df.select(F.explode(F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit("(?<![a-z])[a-z]{3,20}(?![a-z])"), F.lit(0))).alias("word"))
+    counted = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    return [r["word"] for r in counted.collect()]
+
+
+def scan(df: DataFrame, keep: list[str], text: str = "text", min_log_guesses: float = 12.0, dictionary: list[str] | None = None) -> DataFrame:
+    """``keep`` columns, counts by kind, digest of the base spans and all spans of every row.
+
+    ``dictionary`` holds further words, most common first, that rank behind the common words of passwords.
+    """
     counts = [f"n_{k}" for k in KINDS]
+    outputs = [*counts, "base_sha256", "spans"]
+    names = [free_name(c, outputs) for c in keep]
+    bound = df.sparkSession.sparkContext.broadcast(ranks([*COMMON_WORDS, *(dictionary or [])]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [scan_text(t.as_py() or "", min_log_guesses) for t in batch.column(len(keep))]
+            rows = [scan_text(t.as_py() or "", min_log_guesses, bound.value) for t in batch.column(len(keep))]
             base = [_join([s for s in spans if s[1] < 3]) for spans in rows]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -133,8 +177,9 @@ def scan(df: DataFrame, keep: list[str], text: str = "text", min_log_guesses: fl
                     pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string()),
                     pa.array([_join(spans) for spans in rows], pa.string()),
                 ],
-                [*batch.schema.names[: len(keep)], *counts, "base_sha256", "spans"],
+                [*batch.schema.names[: len(keep)], *outputs],
             )
 
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in counts]
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(tidy(run), ", ".join([*fields, "base_sha256 string, spans string"]))
+    fields = [f"`{n}` {df.schema[c].dataType.simpleString()}" for c, n in zip(keep, names, strict=True)] + [f"{c} long" for c in counts]
+    kept = (F.col(c).alias(n) for c, n in zip(keep, names, strict=True))
+    return df.select(*kept, F.col(text).cast("string").alias("__text")).mapInArrow(tidy(run), ", ".join([*fields, "base_sha256 string, spans string"]))

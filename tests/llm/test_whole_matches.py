@@ -45,3 +45,57 @@ def test_op3_repeats_are_counted_to_their_end():
     unit = "kX9#vQ2!mZ7p"
     whole = secret_scan.log_guesses(unit) + 3
     assert all(secret_scan.log_guesses(unit * n) <= whole for n in (2, 15, 30, 300, 900))
+
+
+def every_segmentation(value, words):
+    """The least cost over all ways to cut a value, each part priced by itself."""
+    import math
+
+    single = secret_scan._alphabet(value)
+
+    def price(i, j):
+        part, low = value[i:j], value[i:j].lower()
+        out = [single] if j - i == 1 else []
+        if j - i >= 3 and len(set(part)) == 1:
+            out.append(single + math.log10(j - i))
+        if j - i >= 4 and all(low[k : k + 2] in secret_scan._NEXT for k in range(j - i - 1)):
+            out.append(math.log10(47) + math.log10(j - i))
+        for form in {low, low.translate(secret_scan._LEET)}:
+            if form in words and j - i >= 3:
+                out.append(math.log10(words[form] * (j - i + 1 if part not in words else 1) + 1))
+        for pattern, cost in secret_scan._DATES:
+            if pattern.fullmatch(part):
+                out.append(cost)
+        for unit in range(2, i + 1):  # repeats of the unit that ends where the part begins
+            if (j - i) % unit == 0 and part == value[i - unit : i] * ((j - i) // unit):
+                out.append(math.log10((j - i) // unit + 1))
+        return min(out, default=math.inf)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + price(i, j) for i in range(j)))
+    return best[-1]
+
+
+def test_op3_cost_is_the_least_of_all_segmentations():
+    rng = random.Random(8)
+    words = secret_scan.ranks(secret_scan.COMMON_WORDS)
+    pieces = ["pass", "werty", "word", "p4ss", "aaaa", "20231231", "1999", "qwer", "xk", "Z", "31-12-2020", "abcabc", "!", "dragon", "12345"]
+    for _ in range(150):
+        value = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 5)))
+        assert abs(secret_scan.log_guesses(value, words) - every_segmentation(value, words)) < 1e-9
+    cost = secret_scan.log_guesses
+    assert cost("passwerty") <= cost("pass") + cost("werty") + 1e-9
+    unit = "kX9#vQ2!mZ7pLw4@tR8$yB1%nC6^hD"
+    assert cost(unit * 2) < cost(unit) + 1
+    assert cost("elephantchocolate", secret_scan.ranks(["elephant", "chocolate"])) < 2
+
+
+def test_op3_dictionary_and_clashing_names(spark):
+    rows = [(1, "passphrase: elephantchocolate", "x"), (2, None, "y"), (3, "elephant elephant chocolate é elephantine", "z"), (3, "elephant elephant chocolate é elephantine", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    assert secret_scan.corpus_words(docs, 2) == ["elephant", "chocolate"]
+    plain = {r["doc_id"]: r["n_guess"] for r in secret_scan.scan(docs, ["doc_id"]).collect()}
+    known = secret_scan.scan(docs, ["doc_id", "spans"], dictionary=["elephant", "chocolate"])
+    assert known.columns[:2] == ["doc_id", "spans_"] and plain[1] == 1 and {r["n_guess"] for r in known.collect()} == {0}
+    assert known.count() == 4
