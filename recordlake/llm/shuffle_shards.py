@@ -5,8 +5,11 @@ more shard takes records only into itself) and to one of the shard's memory-size
 sorts each bucket, Fisher-Yates shuffles it (``functions.shuffle``, seeded, one bucket after another
 in a fixed partition) and writes it as part of its shard; ``slot`` runs gapless over a shard's buckets.
 
-Null ids and null texts are ordinary values; rows that repeat are kept, each with its own slot; an
-empty table writes no shard. Columns other than the id and payload are not carried.
+The shard follows from the id and the shard count alone, the bucket from the whole row, so an id that
+occurs very often still spreads over its shard's buckets. Null ids and null texts are ordinary values;
+rows that repeat are kept, each with its own slot; an empty table writes no shard. All columns are
+written; one named like an output comes out with an underscore behind its name. Columns of map type
+have no order and are refused.
 """
 
 from __future__ import annotations
@@ -15,7 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKET_BYTES = 64 << 20
+from recordlake.llm.scratch import free_name
+
+BUCKET_BYTES = 16 << 20
+OUTPUTS = ["shard", "slot", "grown_shard"]
 
 
 def consistent_shard(key: Column, shards: int, seed: int) -> Column:
@@ -29,13 +35,14 @@ def consistent_shard(key: Column, shards: int, seed: int) -> Column:
 def write_shuffled(df: DataFrame, path: str, shards: int, key: str = "doc_id", payload: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Write ``df`` under ``path``, a folder per shard, rows in shuffled order; returns the written table.
 
-    The bucket count follows the bytes of the table. Columns: key, payload, shard, slot, grown_shard.
+    The bucket count follows the bytes of the table. Columns: those of ``df``, slot, grown_shard, shard.
     """
     total = df.agg(F.sum(F.coalesce(F.octet_length(payload), F.lit(0)) + 16)).first()[0] or 0
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
-    keyed = df.select(F.col(key), F.col(payload)).withColumns({
-        "shard": consistent_shard(F.col(key), shards, seed),
-        "bucket": F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit("bucket")), F.lit(per_shard)).cast("int"),
+    names = {c: free_name(c, OUTPUTS) for c in [key, *(c for c in df.columns if c != key)]}
+    keyed = df.select(F.struct(*(F.col(c).alias(n) for c, n in names.items())).alias("row")).withColumns({
+        "shard": consistent_shard(F.col("row")[names[key]], shards, seed),
+        "bucket": F.pmod(F.xxhash64("row", F.lit(seed), F.lit("bucket")), F.lit(per_shard)).cast("int"),
     })
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -45,19 +52,16 @@ def write_shuffled(df: DataFrame, path: str, shards: int, key: str = "doc_id", p
     buckets = (
         keyed.repartition(shards * per_shard, "shard", "bucket")
         .groupBy("shard", "bucket")
-        .agg(F.sort_array(F.collect_list(F.struct(key, payload))).alias("rows"))
+        .agg(F.sort_array(F.collect_list("row")).alias("rows"))
         .sortWithinPartitions("shard", "bucket")
         .withColumn("rows", F.shuffle("rows", seed))
     )
     slotted = (
         buckets.join(offsets, ["shard", "bucket"])
         .select("shard", "offset", F.posexplode("rows").alias("pos", "row"))
-        .select(
-            F.col(f"row.{key}").alias(key), F.col(f"row.{payload}").alias(payload), "shard",
-            (F.col("offset") + F.col("pos")).cast("long").alias("slot"),
-        )
-        .withColumn("grown_shard", F.greatest("shard", F.when(F.pmod(F.xxhash64(F.col(key), F.lit(shards), F.lit(seed)), F.lit(shards + 1)) == 0, F.lit(shards))))
+        .select("row.*", "shard", (F.col("offset") + F.col("pos")).cast("long").alias("slot"))
+        .withColumn("grown_shard", F.greatest("shard", F.when(F.pmod(F.xxhash64(F.col(names[key]), F.lit(shards), F.lit(seed)), F.lit(shards + 1)) == 0, F.lit(shards))))
     )
     slotted.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    schema = slotted.select(key, payload, "slot", "grown_shard", "shard").schema
+    schema = slotted.select(*names.values(), "slot", "grown_shard", "shard").schema
     return df.sparkSession.read.schema(schema).parquet(path)
