@@ -5,12 +5,14 @@ twice are made: each edge is filed under its minimizer (the least hash of its ``
 equal edges have equal minimizers, so edges whose minimizer occurs once are left out. The rest meet by
 128-bit hash; a repeated edge gets the coordinate of its first occurrence as source. Consecutive edges
 of a document whose sources are consecutive too form a nonbranching path and compact into one span
-(document, start, edges, source document, source start). Spans are joined back to the texts by their
-document; ``verify_paths`` compares the words at both coordinates of every path.
+(document, start, edges, source document, source start). The words of every path are compared with those
+at its source coordinate, by SHA-256; a path that differs is no repeat. Spans are joined back to the texts.
 
-First means smaller id, or same id and smaller start. Rows with equal ids count as one document, rows
-with a null id are kept whole and are nobody's source. Null or empty texts have no words. An empty
-table gives an empty result; other columns than those kept are ignored.
+First means smaller id, or same id and smaller start. Equal rows count as one document; where one id
+holds different texts, each is a document of its own, in order of the texts' hashes. Rows with a null id
+are kept whole and are nobody's source. Ids are integers; other types are refused. Null or empty texts
+have no words. An empty table gives an empty result. A kept column named like an output comes out with
+an underscore behind its name, other columns are ignored.
 
 No group is gathered: a batch settles among itself all but its first occurrence of an edge or
 minimizer, so a key that occurs everywhere reaches the exchange once a batch.
@@ -26,13 +28,16 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from recordlake.llm.scratch import materialize, tidy
-from recordlake.llm.wordcode import SPACE_WORDS, mix, slices, split_words, window_hashes
+from recordlake.llm.scratch import bound_batches, discard, free_name, integer_key, materialize, tidy
+from recordlake.llm.wordcode import SPACE_WORDS, mix, range_hashes, slices, split_words, window_hashes
 
 WIDTH, SEED = 20, 8
-#: Values of a side table that may be broadcast (64 MB); a larger one is joined by a shuffle.
-BROADCAST_VALUES = 8_000_000
+#: Values of a side table that may be broadcast (32 MB); a larger one is joined by a shuffle.
+BROADCAST_VALUES = 4_000_000
+#: A text with more spans than this is digested in so many groups.
+MANY_SPANS, SPAN_GROUPS = 1_000, 64
 _ONLY = 31
 
 
@@ -174,9 +179,9 @@ def _edges(width: int):
                 inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 pos = inside + np.repeat(flat[:, 0], n)
                 of = np.repeat(of, n)
-                codes = words.hashes()
                 where = pos + words.first[of]
-                found.append((window_hashes(codes, width)[where], window_hashes(codes, width, 1)[where], ids[at + of], pos))
+                one, two = (window_hashes(range_hashes(words.data, words.start, words.end, which), width, which)[where] for which in (0, 1))
+                found.append((one, two, ids[at + of], pos))
             if not found:
                 continue
             h1, h2, doc, pos = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -229,18 +234,41 @@ def _join_side(texts: DataFrame, side: DataFrame, values: str, how: str) -> Data
     return texts.join(F.broadcast(side) if held <= BROADCAST_VALUES else side, "id", how)
 
 
+def _row_texts(df: DataFrame, key: str, text: str, keep: dict[str, str] | None = None) -> DataFrame:
+    """id and text of the rows, and the columns of ``keep`` under new names.
+
+    Where one id holds different texts, ids are spread so that each text has its own, in order of the texts' hashes.
+    """
+    whole = F.col(text).cast("string")
+    texts = df.select(*(F.col(c).alias(n) for c, n in (keep or {}).items()), integer_key(df, key).alias("id"), whole.alias("__text"), F.xxhash64(whole).alias("__mark"))
+    distinct = texts.filter("id is not null").select("id", "__mark").distinct()
+    most = distinct.groupBy("id").count().agg(F.max("count")).first()[0] or 0
+    if most > 1:
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("__mark")) - 1
+        own = distinct.select("id", "__mark", (F.col("id") * (1 << most.bit_length()) + rank).alias("__row"))
+        texts = texts.join(own, ["id", "__mark"], "left").withColumn("id", F.col("__row")).drop("__row")
+    return texts.drop("__mark")
+
+
 def repeated_paths(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(id, pos, size, source, source_pos): compacted paths of repeated edges; positions count words, size counts edges."""
+    return _paths(_row_texts(df, key, text), width, seed)
+
+
+def _paths(texts: DataFrame, width: int, seed: int) -> DataFrame:
     if not 1 <= seed <= width:
         raise ValueError("the minimizer's length is from 1 to the width")
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null")
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bound_batches(texts.sparkSession)
+    texts = texts.select("id", F.col("__text").alias("text")).filter("id is not null")
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = texts.mapInArrow(tidy(_minimizers(width, seed)), "key long, least long, sure int, id long, at long")
     repeated = materialize(runs.repartition(partitions, "key").mapInArrow(tidy(_repeated_runs), "id long, at long"), "runs")
     regions = materialize(repeated.repartition(partitions, "id").mapInArrow(tidy(_merge_regions), "id long, regions array<long>"), "regions")
     edges = _join_side(texts, regions, "regions", "inner").select("id", "text", "regions").mapInArrow(tidy(_edges(width)), _EDGE_SCHEMA)
     closed = materialize(edges.repartition(partitions, "key").mapInArrow(tidy(_close_edges), _PATH_SCHEMA), "closed")
-    return materialize(closed.repartition(partitions, "id").mapInArrow(tidy(_compact_paths), _PATH_SCHEMA), "paths")
+    paths = materialize(closed.repartition(partitions, "id").mapInArrow(tidy(_compact_paths), _PATH_SCHEMA), "paths")
+    discard(repeated, regions, closed)
+    return paths
 
 
 def _removed_spans(width: int):
@@ -287,44 +315,66 @@ def _keep(n_keep: int, with_text: bool):
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """Per row: key, ``keep`` columns, n_words, n_removed, kept_sha256 and, if asked for, the kept words by single spaces."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    paths = repeated_paths(df, key, text, width, seed)
-    spans = paths.select("id", "pos", "size").repartition(partitions, "id").mapInArrow(tidy(_removed_spans(width)), "id long, spans array<long>")
     kept = [key, *(c for c in keep if c != key)]
-    names = [f"__k{i}" for i in range(len(kept))]
-    texts = df.select(*(F.col(c).alias(n) for c, n in zip(kept, names, strict=True)), F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("__text"))
-    joined = _join_side(texts, materialize(spans, "spans"), "spans", "left").select(*names, "__text", "spans")
-    fields = ", ".join([*(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in zip(kept, names, strict=True)), "n_words long, n_removed long, kept_sha256 string"])
+    names = {c: f"__k{i}" for i, c in enumerate(kept)}
+    texts = _row_texts(df, key, text, names)
+    found = _paths(texts, width, seed)
+    paths = materialize(_verified(texts, found, width), "verified")
+    spans = materialize(paths.select("id", "pos", "size").repartition(partitions, "id").mapInArrow(tidy(_removed_spans(width)), "id long, spans array<long>"), "spans")
+    discard(found, paths)
+    joined = _join_side(texts, spans, "spans", "left").select(*names.values(), "__text", "spans")
+    fields = ", ".join([*(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in names.items()), "n_words long, n_removed long, kept_sha256 string"])
     out = joined.mapInArrow(tidy(_keep(len(kept), with_text)), fields + ", kept_text string" * with_text)
-    return out.withColumnsRenamed(dict(zip(names, kept, strict=True)))
+    outputs = ["n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
+    return out.withColumnsRenamed({n: free_name(c, outputs) for c, n in names.items()})
 
 
 def _digests(width: int):
+    """SHA-256 of the words of every piece ``pos, size``, flat in one list."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces = batch.column(2).to_pylist()
+            ids, pieces = np.asarray(batch.column(0)), batch.column(2).to_pylist()
             for at, part in slices(batch.column(1)):
                 words = split_words(part, SPACE_WORDS, lower=False)
                 body = words.data.tobytes()
                 rows = []
                 for i in range(len(part)):
                     a = int(words.first[i])
-                    for piece in pieces[at + i]:
-                        low, high = a + piece["pos"], a + piece["pos"] + piece["size"] + width - 1
-                        joined = b" ".join(body[x:y] for x, y in zip(words.start[low:high].tolist(), words.end[low:high].tolist(), strict=True))
-                        rows.append((piece["path"], piece["side"], hashlib.sha256(joined).digest()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["path", "side", "digest"])
+                    for pos, size in zip(pieces[at + i][::2], pieces[at + i][1::2], strict=True):
+                        low, high = a + pos, a + pos + size + width - 1
+                        joined = b" ".join([body[x:y] for x, y in zip(words.start[low:high].tolist(), words.end[low:high].tolist(), strict=True)])
+                        rows.append((ids[at + i], pos, size, hashlib.sha256(joined).digest()))
+                columns = list(zip(*rows, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["id", "pos", "size", "digest"])
 
     return run
 
 
+def _verified(texts: DataFrame, paths: DataFrame, width: int) -> DataFrame:
+    """The paths whose words equal those at the source coordinate.
+
+    Each span of a text is digested once, however many paths name it; a text with very many spans gets
+    them in several rows.
+    """
+    spans = paths.select("id", "pos", "size").union(paths.select("source", "source_pos", "size")).distinct()
+    group = F.pmod(F.xxhash64("pos", "size"), F.lit(SPAN_GROUPS))
+    counts = spans.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    dealt = spans.join(counts, "id").withColumn("part", F.when(F.col("n") > MANY_SPANS, group).otherwise(0))
+    pieces = materialize(dealt.groupBy("id", "part").agg(F.flatten(F.collect_list(F.array("pos", "size"))).alias("pieces")).drop("part"), "pieces")
+    whole = texts.filter("id is not null").select("id", "__text").dropDuplicates(["id"]) if _repeat(texts) else texts.select("id", "__text")
+    joined = _join_side(whole, pieces, "pieces", "inner").select("id", "__text", "pieces")
+    digests = materialize(joined.mapInArrow(tidy(_digests(width)), "id long, pos long, size long, digest binary"), "digests")
+    here = paths.join(digests, ["id", "pos", "size"])
+    there = digests.select(F.col("id").alias("source"), F.col("pos").alias("source_pos"), "size", F.col("digest").alias("wanted"))
+    return here.join(there, ["source", "source_pos", "size"]).filter("digest = wanted").select(paths.columns)
+
+
+def _repeat(texts: DataFrame) -> bool:
+    """Whether ids occur more than once."""
+    return not texts.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty()
+
+
 def verify_paths(df: DataFrame, paths: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """Paths whose words equal those at the source coordinate, compared by SHA-256."""
-    named = paths.withColumn("path", F.concat_ws(":", "id", "pos", "source", "source_pos"))
-    sides = named.select("id", F.struct("path", "pos", "size", F.lit(0).alias("side")).alias("piece")).union(
-        named.select(F.col("source"), F.struct("path", F.col("source_pos").alias("pos"), "size", F.lit(1).alias("side")))
-    )
-    pieces = sides.groupBy("id").agg(F.collect_list("piece").alias("pieces"))
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    digests = texts.join(pieces, "id").mapInArrow(tidy(_digests(width)), "path string, side int, digest binary")
-    equal = digests.groupBy("path").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a = b").select("path")
-    return named.join(equal, "path").drop("path")
+    return _verified(_row_texts(df, key, text), paths, width)

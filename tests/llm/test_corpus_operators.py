@@ -290,6 +290,19 @@ def test_op5_against_brute_force(spark, docs, texts, empty):
     assert {tuple(r) for r in debruijn.remove_repeats(docs.union(docs)).collect()} == {(i, *w) for i, w in enumerate(want)}
 
 
+def test_op5_ids_and_names(spark):
+    long = [" ".join(f"{c}{j}" for j in range(80)) for c in "ab"]
+    rows = [(7, long[0], "x"), (7, long[1], "y"), (9, long[0], "z"), (8, "new " + long[1], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
+    out = debruijn.remove_repeats(df, keep=("n_words",), with_text=True)
+    assert out.columns == ["doc_id", "n_words_", "n_words", "n_removed", "kept_sha256", "kept_text"]
+    assert sorted((r["doc_id"], r["n_words_"] or "", r["n_removed"], r["kept_text"]) for r in out.collect()) == [(7, "x", 0, long[0]), (7, "y", 0, long[1]), (8, "", 80, "new"), (9, "z", 80, "")]
+    with pytest.raises(TypeError):
+        debruijn.remove_repeats(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+    wrong = debruijn.repeated_paths(df.filter("doc_id > 7").union(df.filter("n_words = 'x'"))).withColumn("source_pos", F.col("source_pos") + 1).filter("pos + size < 60")
+    assert debruijn.verify_paths(df, wrong).count() == 0
+
+
 def test_sliding_least():
     a = np.random.default_rng(1).integers(0, 50, 200)
     for size in (1, 2, 5, 8, 13):
@@ -367,6 +380,9 @@ def test_op8_shards(spark, docs, texts, empty, tmp_path):
     more = {r["doc_id"]: r["shard"] for r in shuffle_shards.write_shuffled(docs, f"file://{tmp_path}/b", 8, bucket_bytes=600).collect()}
     assert all(more[r["doc_id"]] == r["grown_shard"] for r in rows)
     assert shuffle_shards.write_shuffled(empty, f"file://{tmp_path}/c", 7).count() == 0
+    named = shuffle_shards.write_shuffled(docs.withColumn("slot", F.lit("mine")), f"file://{tmp_path}/e", 7)
+    assert named.columns == ["doc_id", "text", "source", "spans", "n_words", "slot_", "slot", "grown_shard", "shard"]
+    assert {(r["doc_id"], r["source"], r["spans"], r["slot_"]) for r in named.collect()} == {(r["doc_id"], r["source"], "clash", "mine") for r in docs.collect()}
     nulls = docs.limit(4).withColumn("doc_id", F.lit(None).cast("long"))
     assert shuffle_shards.write_shuffled(nulls, f"file://{tmp_path}/d", 7).count() == 4
 
