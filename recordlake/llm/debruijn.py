@@ -34,8 +34,6 @@ from recordlake.llm.scratch import bound_batches, discard, free_name, integer_ke
 from recordlake.llm.wordcode import SPACE_WORDS, mix, range_hashes, slices, split_words, window_hashes
 
 WIDTH, SEED = 20, 8
-#: Values of a side table that may be broadcast (32 MB); a larger one is joined by a shuffle.
-BROADCAST_VALUES = 4_000_000
 #: A text with more spans than this is digested in so many groups.
 MANY_SPANS, SPAN_GROUPS = 1_000, 64
 _ONLY = 31
@@ -228,12 +226,6 @@ def _compact_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in _compact(*columns)], _PATH_SCHEMA.replace(" long", "").split(", "))
 
 
-def _join_side(texts: DataFrame, side: DataFrame, values: str, how: str) -> DataFrame:
-    """Texts joined to a side table of one row per id: broadcast if its size is small, else by shuffle."""
-    held = side.agg(F.coalesce(F.sum(F.size(values) + 2), F.lit(0))).first()[0]
-    return texts.join(F.broadcast(side) if held <= BROADCAST_VALUES else side, "id", how)
-
-
 def _row_texts(df: DataFrame, key: str, text: str, keep: dict[str, str] | None = None) -> DataFrame:
     """id and text of the rows, and the columns of ``keep`` under new names.
 
@@ -264,7 +256,7 @@ def _paths(texts: DataFrame, width: int, seed: int) -> DataFrame:
     runs = texts.mapInArrow(tidy(_minimizers(width, seed)), "key long, least long, sure int, id long, at long")
     repeated = materialize(runs.repartition(partitions, "key").mapInArrow(tidy(_repeated_runs), "id long, at long"), "runs")
     regions = materialize(repeated.repartition(partitions, "id").mapInArrow(tidy(_merge_regions), "id long, regions array<long>"), "regions")
-    edges = _join_side(texts, regions, "regions", "inner").select("id", "text", "regions").mapInArrow(tidy(_edges(width)), _EDGE_SCHEMA)
+    edges = texts.join(regions, "id").select("id", "text", "regions").mapInArrow(tidy(_edges(width)), _EDGE_SCHEMA)
     closed = materialize(edges.repartition(partitions, "key").mapInArrow(tidy(_close_edges), _PATH_SCHEMA), "closed")
     paths = materialize(closed.repartition(partitions, "id").mapInArrow(tidy(_compact_paths), _PATH_SCHEMA), "paths")
     discard(repeated, regions, closed)
@@ -322,7 +314,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width
     paths = materialize(_verified(texts, found, width), "verified")
     spans = materialize(paths.select("id", "pos", "size").repartition(partitions, "id").mapInArrow(tidy(_removed_spans(width)), "id long, spans array<long>"), "spans")
     discard(found, paths)
-    joined = _join_side(texts, spans, "spans", "left").select(*names.values(), "__text", "spans")
+    joined = texts.join(spans, "id", "left").select(*names.values(), "__text", "spans")
     fields = ", ".join([*(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in names.items()), "n_words long, n_removed long, kept_sha256 string"])
     out = joined.mapInArrow(tidy(_keep(len(kept), with_text)), fields + ", kept_text string" * with_text)
     outputs = ["n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
@@ -363,7 +355,7 @@ def _verified(texts: DataFrame, paths: DataFrame, width: int) -> DataFrame:
     dealt = spans.join(counts, "id").withColumn("part", F.when(F.col("n") > MANY_SPANS, group).otherwise(0))
     pieces = materialize(dealt.groupBy("id", "part").agg(F.flatten(F.collect_list(F.array("pos", "size"))).alias("pieces")).drop("part"), "pieces")
     whole = texts.filter("id is not null").select("id", "__text").dropDuplicates(["id"]) if _repeat(texts) else texts.select("id", "__text")
-    joined = _join_side(whole, pieces, "pieces", "inner").select("id", "__text", "pieces")
+    joined = whole.join(pieces, "id").select("id", "__text", "pieces")
     digests = materialize(joined.mapInArrow(tidy(_digests(width)), "id long, pos long, size long, digest binary"), "digests")
     here = paths.join(digests, ["id", "pos", "size"])
     there = digests.select(F.col("id").alias("source"), F.col("pos").alias("source_pos"), "size", F.col("digest").alias("wanted"))
