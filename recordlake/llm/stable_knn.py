@@ -10,7 +10,8 @@ met with probability ``confidence``.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, as query or
 candidate, nor do those of another length than ``width``. Ties go to the smaller id; a query's own
-row is left out by id. Rows with equal ids are separate candidates. With fewer candidates than ``k``
+id is left out, with all rows that have it. Rows with equal ids are otherwise separate candidates. Equal
+rows ask once; of unlike queries under one id each gets its ranks. With fewer candidates than ``k``
 all are returned; an empty table gives an empty result.
 """
 
@@ -105,7 +106,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def _pair(width: int, k: int, bound: float, dims: int, seed: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list, list] = ([], [], [], [])
         if left.num_rows and right.num_rows:
             ids = np.asarray(left["id"].combine_chunks(), dtype=np.int64)
             vectors = _matrix(left["vector"], width)
@@ -115,12 +116,13 @@ def _pair(width: int, k: int, bound: float, dims: int, seed: int):
             tree = KdTree(points)
             queries = _matrix(right["vector"], width)
             lengths = np.sqrt((queries * queries).sum(axis=1))
-            for q, query, norm in zip(right["id"].to_pylist(), queries, lengths, strict=True):
+            for q, mark, query, norm in zip(right["id"].to_pylist(), right["mark"].to_pylist(), queries, lengths, strict=True):
                 for value, other in search_shard(tree, points, ids, vectors, norms, q, query, norm, (query / norm) @ to, k, bound):
                     out[0].append(q)
                     out[1].append(other)
                     out[2].append(value)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+                    out[3].append(mark)
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64()), "mark": pa.array(out[3], pa.int64())})
 
     return run
 
@@ -140,13 +142,13 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
         return df.sparkSession.createDataFrame([], schema)
     width, rows = row["n"], row["count"]
     clean = clean.filter(F.size("vector") == width)
-    asked = usable(df.filter(is_query), key, vector).filter(F.size("vector") == width)
+    asked = usable(df.filter(is_query), key, vector).filter(F.size("vector") == width).withColumn("mark", F.xxhash64("id", "vector")).dropDuplicates(["id", "mark"])
     shards, blocks = max(1, -(-rows // shard_rows)), max(1, -(-asked.count() // block_queries))
     mark = F.xxhash64("id", F.lit(seed))
     left = clean.withColumn("shard", F.pmod(mark, F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("block", F.pmod(mark, F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(
-        _pair(width, k, chi_square_quantile(confidence, dims), dims, seed), "query_id long, vec_id long, score double"
+        _pair(width, k, chi_square_quantile(confidence, dims), dims, seed), "query_id long, vec_id long, score double, mark long"
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -6,7 +6,8 @@ suffixes times the path lengths that rules have) are hashed and probed with a ve
 search; a digest hit counts only if the stored string equals the candidate. The longest hit wins.
 
 Null or malformed URLs have an empty host and path and match nothing; verdict is then ``default``.
-Repeated rows are judged alike, an empty table gives an empty result, further columns are ignored.
+Repeated rows are judged alike, an empty table gives an empty result. A kept column named
+like an output comes out with an underscore behind its name, further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlake.llm.scratch import tidy
+from recordlake.llm.scratch import free_name, tidy
 
 MAGIC = b"SDA1"
 SCHEMA = "host string, path string, rule string, verdict string"
@@ -139,5 +140,6 @@ def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str]], url: str = "url
     build_digest_file(rules, local)
     spark.sparkContext.addFile(local)
     kept = [df.schema[c] for c in keep]
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), SCHEMA])
-    return df.select(*keep, F.col(url).cast("string").alias("__url")).mapInArrow(tidy(_judge(name, default, len(keep))), out)
+    names = {c: free_name(c, ["host", "path", "rule", "verdict"]) for c in keep}
+    out = ", ".join([*(f"`{names[f.name]}` {f.dataType.simpleString()}" for f in kept), SCHEMA])
+    return df.select(*(F.col(c).alias(n) for c, n in names.items()), F.col(url).cast("string").alias("__url")).mapInArrow(tidy(_judge(name, default, len(keep))), out)

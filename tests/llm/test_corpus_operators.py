@@ -361,6 +361,9 @@ def test_op7_rules(spark, tmp_path):
     df = spark.createDataFrame([(i, c[0], "clash") for i, c in enumerate(cases)], "page_id long, url string, host string")
     got = {r["page_id"]: tuple(r)[1:] for r in url_filter.filter_urls(df, URL_RULES, keep=("page_id",)).collect()}
     assert [got[i] for i in range(len(cases))] == [c[1:] for c in cases]
+    again = url_filter.filter_urls(df.union(df), URL_RULES, keep=("page_id", "host"))
+    assert again.columns == ["page_id", "host_", "host", "path", "rule", "verdict"] and again.count() == 2 * len(cases)
+    assert url_filter.filter_urls(df.limit(0), URL_RULES, keep=("page_id",)).count() == 0
     url_filter.build_digest_file([("block", f"h{i}.com/p{i % 9}/") for i in range(5000)], str(tmp_path / "f"))
     table = url_filter.DigestArray(str(tmp_path / "f"))
     assert [table.string(j) for j in table.probe([b"h77.com/p5/", b"h4999.com/p4/"])] == [b"h77.com/p5/", b"h4999.com/p4/"]
@@ -407,6 +410,9 @@ def test_op9_recall_and_ties(spark, empty):
         assert sorted(got[q]) == [1, 2, 3, 4, 5] and all(score == s[v] for v, score in got[q].values())
     assert [got[0][k][0] for k in range(1, 6)] == [100, 101, 102, 103, 104]
     assert hits >= 0.9 * 150 and len(got) == 30
+    twice = df.filter("vec_id = 0").unionByName(spark.createDataFrame([(0, x[7].tolist(), 1)], df.schema)).unionByName(df)
+    ranks = [tuple(r) for r in stable_knn.search(twice, F.col("vec_id") == 0, shard_rows=400).select("query_id", "rank").collect()]
+    assert sorted(ranks) == sorted([(0, k) for k in range(1, 6)] * 2)
     few = stable_knn.search(df.filter("vec_id < 3"), F.col("vec_id") == 0).collect()
     assert len(few) == 2
     assert stable_knn.search(df.filter("vec_id >= 2000 and vec_id < 2050"), F.col("vec_id") >= 0).count() == 0
