@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import json
 import uuid
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlake.operators import canonical, dedup, federate, quality, store
-from recordlake.plans.search_query import SearchQuery
+from recordlake.plans.search_query import ORDER_KEYS, SearchQuery
 from recordlake.shipping import ship
 from recordlake.sources import readers, registry
 from recordlake.sources.envelopes import ENVELOPES, parse_results
@@ -24,6 +25,10 @@ LINK_SCHEMA = "run_id string, canonical_key string"
 RUN_SCHEMA = "id string, query string, record_count long, created_at string"
 
 
+#: Filters that apply where the results have a column of that name.
+LOCAL_FILTERS = ("party_name", "party_document", "lawyer_name", "oab", "precatory_number", "police_document", "cda", "include_cancelled")
+
+
 class UnknownSourceError(KeyError):
     """A source that is neither registered nor prepared."""
 
@@ -56,13 +61,19 @@ class Engine:
     def search(self, source: str, query: SearchQuery) -> DataFrame:
         """One page of one source that fits the query."""
         found = self._fitting(self.source_results(source), query)
-        return found.orderBy(F.desc_nulls_last("publication_date"), "id").offset((query.page - 1) * query.page_size).limit(query.page_size)
+        by = ORDER_KEYS[query.order_by]
+        by = by if by in found.columns else "publication_date"  # one source's results have no score
+        return found.orderBy(F.desc_nulls_last(by), "id").offset((query.page - 1) * query.page_size).limit(query.page_size)
 
     def _fitting(self, results: DataFrame, query: SearchQuery) -> DataFrame:
         hay = F.concat_ws(" ", *(c for c in ("number", "question", "thesis", "summary", "full_text") if c in results.columns))
         tests = [query.word_predicate(hay, folded=True), query.date_predicate(F.col("publication_date"), F.col("updated_at"))]
         tests += [F.col("rapporteur").contains(query.rapporteur)] * bool(query.rapporteur) + [F.col("number") == query.number] * bool(query.number)
         tests += [F.col("court").isin(list(query.courts))] * bool(query.courts) + [F.col("type").isin(list(query.types))] * bool(query.types)
+        asked = [n for n in LOCAL_FILTERS if n in query.active_filters()]
+        tests += [F.col(n) == getattr(query, n) for n in asked if n in results.columns]
+        if left := [n for n in asked if n not in results.columns]:
+            warnings.warn(f"not applied, the results don't have them: {', '.join(left)}", stacklevel=3)
         return results.filter(reduce(lambda a, b: a & b, tests))
 
     def search_canonical(self, source: str, query: SearchQuery) -> tuple[DataFrame, DataFrame]:
@@ -77,6 +88,7 @@ class Engine:
             raise UnknownSourceError("no source")
         parts = federate.concatenate({s: self._fitting(self.source_results(s), query) for s in names})
         arrival = [F.asc("source_order"), F.asc("url" if "url" in parts.columns else "id"), F.asc("position" if "position" in parts.columns else "id")]
+        parts = federate.fetch_window(parts, query.page, query.page_size, arrival)
         unique = federate.rank_dedup(parts, query.text, arrival)
         return federate.ranked_page(unique, query.page, query.page_size), federate.envelope(parts, unique, query.page, query.page_size)
 

@@ -18,9 +18,9 @@ def concatenate(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
 
 
-def fetch_window(results: DataFrame, pages: int, page_size: int) -> DataFrame:
+def fetch_window(results: DataFrame, pages: int, page_size: int, arrival: list[Column] | None = None) -> DataFrame:
     """At most ``pages * page_size`` results of each source, in order of arrival."""
-    window = Window.partitionBy("source").orderBy("arrival")
+    window = Window.partitionBy("source").orderBy(*(arrival or [F.asc("arrival")]))
     return results.withColumn("__n", F.row_number().over(window)).filter(F.col("__n") <= pages * page_size).drop("__n")
 
 

@@ -42,3 +42,15 @@ def test_sync(spark, engine):
     decisions, counters = engine.sync_source_resource(rows, "d")
     assert [r["summary"] for r in decisions.collect()] == ["new"] and tuple(counters.first()) == (3, 1, 1, 1)
     assert decisions.filter(F.col("judgment_date") == "2024-01-01").count() == 1
+
+
+def test_filters_apply_or_warn_and_pages_bound_what_is_fetched(spark):
+    schema = "source string, id string, url string, court string, type string, number string, summary string, rapporteur string, publication_date string, updated_at string, judgment_date string, oab string"
+    rows = [("s", f"i{i:02d}", f"u{i:02d}", "C", "Acórdão", f"{i}", "dano moral", "R", f"2020-01-{1 + i:02d}", None, f"2019-01-{28 - i:02d}", "A" if i % 2 else "B") for i in range(25)]
+    engine = Engine(spark, results=spark.createDataFrame(rows, schema))
+    _, envelope = engine.search_many(SearchQuery(text="dano", page=2), ["s"])
+    assert envelope.first()["collected"] == 20
+    assert [r["id"] for r in engine.search("s", SearchQuery(oab="A", page_size=2)).collect()] == ["i23", "i21"]
+    assert [r["id"] for r in engine.search("s", SearchQuery(order_by="date", page_size=2)).collect()] == ["i00", "i01"]
+    with pytest.warns(UserWarning, match="cda"):
+        engine.search("s", SearchQuery(cda="1"))
