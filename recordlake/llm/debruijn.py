@@ -3,10 +3,15 @@
 Every run of ``width`` words is an edge between two (width - 1)-word nodes. Only edges that may occur
 twice are made: each edge is filed under its minimizer (the least hash of its ``seed`` -word parts), and
 equal edges have equal minimizers, so edges whose minimizer occurs once are left out. The rest meet by
-128-bit hash; a repeated edge gets the coordinate of its first occurrence as source. Consecutive edges
-of a document whose sources are consecutive too form a nonbranching path and compact into one span
-(document, start, edges, source document, source start). The words of every path are compared with those
-at its source coordinate, by SHA-256; a path that differs is no repeat. Spans are joined back to the texts.
+128-bit hash; a repeated edge gets the coordinate of an earlier occurrence as source.
+
+An edge's nodes are known by coordinate: the document's position, on the line to its source (source minus
+document position). A full outer join of the edges that leave a node with those that enter it gives both
+degrees. Where document and source go on alike, one edge enters and one leaves: the node is inner and
+compacts away. Where they part or one of them ends, the node has other edges on the source's side, and the
+path begins or ends there. What is left are the ends of nonbranching paths (document, start, edges, source
+document, source start). The words of every path are compared with those at its source coordinate, by
+SHA-256; a path that differs is no repeat. Paths are joined back to the texts.
 
 First means smaller id, or same id and smaller start. Equal rows count as one document; where one id
 holds different texts, each is a document of its own, in order of the texts' hashes. Rows with a null id
@@ -14,8 +19,10 @@ are kept whole and are nobody's source. Ids are integers; other types are refuse
 have no words. An empty table gives an empty result. A kept column named like an output comes out with
 an underscore behind its name, other columns are ignored.
 
-No group is gathered: a batch settles among itself all but its first occurrence of an edge or
-minimizer, so a key that occurs everywhere reaches the exchange once a batch.
+No group is gathered: a batch settles among itself all but its first occurrence of an edge or minimizer,
+so a key that occurs everywhere reaches the exchange once a batch. Behind an exchange Spark sorts the
+rows, and a task reads them as a stream that remembers the first row of the current key, or the rows of
+the current document.
 """
 
 from __future__ import annotations
@@ -59,7 +66,10 @@ def _edge_mask(first: np.ndarray, width: int) -> np.ndarray:
 
 
 def _minimizers(width: int, seed: int):
-    """Runs of edges with one minimizer: (key to meet by, minimizer, sure, id, start << 31 | edges)."""
+    """Runs of edges with one minimizer: (minimizer, sure, id, start << 31 | edges).
+
+    Runs known to repeat are sure (2) and dealt evenly instead; 1 marks the first of a batch's repeated ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,43 +97,49 @@ def _minimizers(width: int, seed: int):
             more = np.append(again[1:], False) if len(least) else again
             sure = np.where(again, 2, np.where(more, 1, 0)).astype(np.int32)
             key = np.where(again, mix(doc.view(np.uint64) + where.view(np.uint64)), least)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(least.view(np.int64)), pa.array(sure), pa.array(doc), pa.array(where)], ["key", "least", "sure", "id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sure), pa.array(doc), pa.array(where)], ["key", "sure", "id", "at"])
 
     return run
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-    parts = [[np.asarray(c) for c in b.columns] for b in batches]
-    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else []
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of a stream sorted by its first one, cut where a document ends."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        columns = [np.asarray(c) for c in batch.columns]
+        if held:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        if len(columns[0]) == 0:
+            continue
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        held = [c[cut:] for c in columns]
+        if cut:
+            yield [c[:cut] for c in columns]
+    if held:
+        yield held
 
 
 def _repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs whose minimizer occurs again, of a partition that holds all open rows of its keys."""
-    columns = _columns(batches)
-    if not columns:
-        return
-    _, least, sure, ids, at = columns
-    settled = sure == 2
-    open_ = np.flatnonzero(~settled)
-    open_ = open_[np.argsort(least[open_], kind="stable")]
-    same = least[open_][1:] == least[open_][:-1]
-    twice = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(open_) else np.zeros(0, bool)
-    keep = np.concatenate([np.flatnonzero(settled), open_[twice | (sure[open_] == 1)]])
-    for some in range(0, len(keep), 100_000):
-        part = keep[some : some + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(at[part])], ["id", "at"])
+    """Runs whose minimizer occurs again, of a stream sorted by key."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    told = np.zeros(0, bool)  # whether the row held is already out
+    for batch in batches:
+        columns = [np.asarray(c) for c in batch.columns]
+        settled = columns[1] == 2
+        key, sure, ids, at = (np.concatenate([h, c[~settled]]) for h, c in zip(held, columns, strict=True))
+        same = key[1:] == key[:-1]
+        keep = (np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(key) else np.zeros(0, bool)) | (sure == 1)
+        new = keep.copy()
+        new[: len(told)] &= ~told
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[settled], y[new]])) for x, y in zip(columns[2:], (ids, at), strict=True)], ["id", "at"])
+        held, told = [x[-1:] for x in (key, sure, ids, at)], keep[-1:]
 
 
 def _merge_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per id the regions of edges ``[start, stop, ...]``, adjoining ones merged."""
-    columns = _columns(batches)
-    if not columns:
-        return
-    ids, at = columns
-    order = np.lexsort((at, ids))
-    ids, start = ids[order], at[order] >> _ONLY
-    stop = start + (at[order] & (2**_ONLY - 1))
-    yield from _spans_of(ids, start, stop, "regions")
+    """Per id the regions of edges ``[start, stop, ...]``, adjoining ones merged; sorted by id and start."""
+    for ids, at in _by_document(batches):
+        start = at >> _ONLY
+        yield from _spans_of(ids, start, start + (at & (2**_ONLY - 1)), "regions")
 
 
 def _spans_of(ids: np.ndarray, start: np.ndarray, stop: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
@@ -153,16 +169,17 @@ def _compact(doc: np.ndarray, pos: np.ndarray, size: np.ndarray, source: np.ndar
     return [doc[new], pos[new], pos[last] + size[last] - pos[new], source[new], source_pos[new]]
 
 
-_EDGE_SCHEMA = "key long, h1 long, h2 long, id long, pos long, size long, source long, source_pos long"
-_PATH_SCHEMA = "id long, pos long, size long, source long, source_pos long"
+_EDGE_SCHEMA = "h1 long, h2 long, id long, pos long, size long, source long, source_pos long"
+_LINE_SCHEMA = "id long, source long, line long, pos long, stop long"
+_LINE = ["id", "source", "line"]
 
 
-def _edge_batch(key, h1, h2, doc, pos, size, source, source_pos) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (key, h1, h2, doc, pos, size, source, source_pos)], _EDGE_SCHEMA.replace(" long", "").split(", "))
+def _edge_batch(h1, h2, doc, pos, size, source, source_pos) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (h1, h2, doc, pos, size, source, source_pos)], _EDGE_SCHEMA.replace(" long", "").split(", "))
 
 
 def _edges(width: int):
-    """Edges of the regions: first occurrences in the batch stay open (size 0), others become paths at once."""
+    """Edges of the regions: first occurrences in the batch stay open (size 0), others become paths at once, dealt evenly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,88 +205,90 @@ def _edges(width: int):
             again = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])]) if len(h1) else np.zeros(0, bool)
             lead = np.flatnonzero(~again)
             none = np.zeros(len(lead), np.int64)
-            yield _edge_batch(h1[lead], h1[lead], h2[lead], doc[lead], pos[lead], none, none, none)
+            yield _edge_batch(h1[lead], h2[lead], doc[lead], pos[lead], none, none, none)
             head = lead[np.cumsum(~again) - 1] if len(h1) else lead
             rest = np.flatnonzero(again & ((doc != doc[head]) | (pos != pos[head])))
             path = _compact(doc[rest], pos[rest], np.ones(len(rest), np.int64), doc[head[rest]], pos[head[rest]])
             none = np.zeros(len(path[0]), np.int64)
-            yield _edge_batch(mix(path[0].view(np.uint64) + path[1].view(np.uint64)), none, none, *path)
+            yield _edge_batch(mix(path[0].view(np.uint64) + path[1].view(np.uint64)), none, *path)
 
     return run
 
 
 def _close_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paths of a partition that holds all open edges of its keys."""
-    columns = _columns(batches)
-    if not columns:
-        return
-    _, h1, h2, doc, pos, size, source, source_pos = columns
-    done = np.flatnonzero(size > 0)
-    open_ = np.flatnonzero(size == 0)
-    open_ = open_[np.lexsort((pos[open_], doc[open_], h2[open_], h1[open_]))]
-    again = np.concatenate([[False], (h1[open_][1:] == h1[open_][:-1]) & (h2[open_][1:] == h2[open_][:-1])]) if len(open_) else np.zeros(0, bool)
-    lead = np.flatnonzero(~again)
-    head = open_[lead[np.cumsum(~again) - 1]] if len(open_) else open_
-    rest = again & ((doc[open_] != doc[head]) | (pos[open_] != pos[head]))
-    late, of = open_[rest], head[rest]
-    out = [
-        np.concatenate([doc[done], doc[late]]), np.concatenate([pos[done], pos[late]]), np.concatenate([size[done], np.ones(len(late), np.int64)]),
-        np.concatenate([source[done], doc[of]]), np.concatenate([source_pos[done], pos[of]]),
-    ]
-    for at in range(0, len(out[0]), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in out], _PATH_SCHEMA.replace(" long", "").split(", "))
-
-
-def _compact_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    columns = _columns(batches)
-    if columns:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _compact(*columns)], _PATH_SCHEMA.replace(" long", "").split(", "))
-
-
-def _row_texts(df: DataFrame, key: str, text: str, keep: dict[str, str] | None = None) -> DataFrame:
-    """id and text of the rows, and the columns of ``keep`` under new names.
+    """Repeated edges and paths on the line to their source, of a stream sorted by hash, document and position."""
+    head = [np.zeros(0, np.int64)] * 4
+    for batch in batches:
+        columns = [np.asarray(c) for c in batch.columns]
+        done = columns[4] > 0
+        h1, h2, doc, pos = (np.concatenate([h, c[~done]]) for h, c in zip(head, columns, strict=False))
+        first = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) if len(h1) else np.zeros(0, bool)
+        of = np.flatnonzero(first)[np.cumsum(first) - 1] if len(h1) else np.zeros(0, np.int64)
+        rest = np.flatnonzero((doc != doc[of]) | (pos != pos[of]))
+        of_rest = of[rest]
+        ids, at, size, source, source_at = (
+            np.concatenate([c[done], late])
+            for c, late in zip(columns[2:], (doc[rest], pos[rest], np.ones(len(rest), np.int64), doc[of_rest], pos[of_rest]), strict=True)
+        )
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, source, source_at - at, at, at + size)], _LINE_SCHEMA.replace(" long", "").split(", "))
+        head = [x[of[-1:]] for x in (h1, h2, doc, pos)]
+
+
+def _compacted(edges: DataFrame) -> DataFrame:
+    """Maximal paths of edges ``pos`` to ``stop`` that follow one another on a line."""
+    leaves = edges.select(*_LINE, F.col("pos").alias("node"), F.lit(True).alias("leaves"))
+    enters = edges.select(*_LINE, F.col("stop").alias("node"), F.lit(True).alias("enters"))
+    ends = leaves.join(enters, [*_LINE, "node"], "full_outer").filter("leaves IS NULL OR enters IS NULL")
+    stop = F.lead("node").over(Window.partitionBy(*_LINE).orderBy("node"))
+    paths = ends.withColumn("stop", stop).filter("leaves")
+    return paths.select("id", F.col("node").alias("pos"), (F.col("stop") - F.col("node")).alias("size"), "source", (F.col("line") + F.col("node")).alias("source_pos"))
+
+
+def _row_texts(df: DataFrame, key: str, text: str, keep: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """id and text of the rows with the columns of ``keep`` under new names; and each document once, without null ids.
 
     Where one id holds different texts, ids are spread so that each text has its own, in order of the texts' hashes.
     """
     whole = F.col(text).cast("string")
     texts = df.select(*(F.col(c).alias(n) for c, n in (keep or {}).items()), integer_key(df, key).alias("id"), whole.alias("__text"), F.xxhash64(whole).alias("__mark"))
-    distinct = texts.filter("id is not null").select("id", "__mark").distinct()
-    most = distinct.groupBy("id").count().agg(F.max("count")).first()[0] or 0
-    if most > 1:
+    seen = texts.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"), (F.min("__mark") != F.max("__mark")).alias("unlike"))
+    most = seen.agg(F.max("n").alias("n"), F.max("unlike").alias("unlike")).first()
+    if most["unlike"]:
+        distinct = texts.filter("id is not null").select("id", "__mark").distinct()
+        kinds = distinct.groupBy("id").count().agg(F.max("count")).first()[0]
         rank = F.row_number().over(Window.partitionBy("id").orderBy("__mark")) - 1
-        own = distinct.select("id", "__mark", (F.col("id") * (1 << most.bit_length()) + rank).alias("__row"))
+        own = distinct.select("id", "__mark", (F.col("id") * (1 << kinds.bit_length()) + rank).alias("__row"))
         texts = texts.join(own, ["id", "__mark"], "left").withColumn("id", F.col("__row")).drop("__row")
-    return texts.drop("__mark")
+    texts = texts.drop("__mark")
+    documents = texts.filter("id is not null").select("id", "__text")
+    return texts, documents.dropDuplicates(["id"]) if (most["n"] or 0) > 1 else documents
 
 
 def repeated_paths(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(id, pos, size, source, source_pos): compacted paths of repeated edges; positions count words, size counts edges."""
-    return _paths(_row_texts(df, key, text), width, seed)
+    return _paths(_row_texts(df, key, text)[1], width, seed)
 
 
-def _paths(texts: DataFrame, width: int, seed: int) -> DataFrame:
+def _paths(documents: DataFrame, width: int, seed: int) -> DataFrame:
     if not 1 <= seed <= width:
         raise ValueError("the minimizer's length is from 1 to the width")
-    bound_batches(texts.sparkSession)
-    texts = texts.select("id", F.col("__text").alias("text")).filter("id is not null")
+    bound_batches(documents.sparkSession)
+    texts = documents.withColumnRenamed("__text", "text")
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = texts.mapInArrow(tidy(_minimizers(width, seed)), "key long, least long, sure int, id long, at long")
-    repeated = materialize(runs.repartition(partitions, "key").mapInArrow(tidy(_repeated_runs), "id long, at long"), "runs")
-    regions = materialize(repeated.repartition(partitions, "id").mapInArrow(tidy(_merge_regions), "id long, regions array<long>"), "regions")
+    runs = texts.mapInArrow(tidy(_minimizers(width, seed)), "key long, sure int, id long, at long")
+    repeated = materialize(runs.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(tidy(_repeated_runs), "id long, at long"), "runs")
+    regions = materialize(repeated.repartition(partitions, "id").sortWithinPartitions("id", "at").mapInArrow(tidy(_merge_regions), "id long, regions array<long>"), "regions")
     edges = texts.join(regions, "id").select("id", "text", "regions").mapInArrow(tidy(_edges(width)), _EDGE_SCHEMA)
-    closed = materialize(edges.repartition(partitions, "key").mapInArrow(tidy(_close_edges), _PATH_SCHEMA), "closed")
-    paths = materialize(closed.repartition(partitions, "id").mapInArrow(tidy(_compact_paths), _PATH_SCHEMA), "paths")
+    closed = materialize(edges.repartition(partitions, "h1").sortWithinPartitions("h1", "h2", "id", "pos").mapInArrow(tidy(_close_edges), _LINE_SCHEMA), "closed")
+    paths = materialize(_compacted(closed), "paths")
     discard(repeated, regions, closed)
     return paths
 
 
 def _removed_spans(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = _columns(batches)
-        if columns:
-            ids, start, size = columns
-            order = np.lexsort((start, ids))
-            yield from _spans_of(ids[order], start[order], (start + size + width - 1)[order], "spans")
+        for ids, start, size in _by_document(batches):
+            yield from _spans_of(ids, start, start + size + width - 1, "spans")
 
     return run
 
@@ -309,10 +328,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = [key, *(c for c in keep if c != key)]
     names = {c: f"__k{i}" for i, c in enumerate(kept)}
-    texts = _row_texts(df, key, text, names)
-    found = _paths(texts, width, seed)
-    paths = materialize(_verified(texts, found, width), "verified")
-    spans = materialize(paths.select("id", "pos", "size").repartition(partitions, "id").mapInArrow(tidy(_removed_spans(width)), "id long, spans array<long>"), "spans")
+    texts, documents = _row_texts(df, key, text, names)
+    found = _paths(documents, width, seed)
+    paths = materialize(_verified(documents, found, width), "verified")
+    spans = materialize(paths.select("id", "pos", "size").repartition(partitions, "id").sortWithinPartitions("id", "pos").mapInArrow(tidy(_removed_spans(width)), "id long, spans array<long>"), "spans")
     discard(found, paths)
     joined = texts.join(spans, "id", "left").select(*names.values(), "__text", "spans")
     fields = ", ".join([*(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in names.items()), "n_words long, n_removed long, kept_sha256 string"])
@@ -343,7 +362,7 @@ def _digests(width: int):
     return run
 
 
-def _verified(texts: DataFrame, paths: DataFrame, width: int) -> DataFrame:
+def _verified(documents: DataFrame, paths: DataFrame, width: int) -> DataFrame:
     """The paths whose words equal those at the source coordinate.
 
     Each span of a text is digested once, however many paths name it; a text with very many spans gets
@@ -354,19 +373,13 @@ def _verified(texts: DataFrame, paths: DataFrame, width: int) -> DataFrame:
     counts = spans.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     dealt = spans.join(counts, "id").withColumn("part", F.when(F.col("n") > MANY_SPANS, group).otherwise(0))
     pieces = materialize(dealt.groupBy("id", "part").agg(F.flatten(F.collect_list(F.array("pos", "size"))).alias("pieces")).drop("part"), "pieces")
-    whole = texts.filter("id is not null").select("id", "__text").dropDuplicates(["id"]) if _repeat(texts) else texts.select("id", "__text")
-    joined = whole.join(pieces, "id").select("id", "__text", "pieces")
+    joined = documents.join(pieces, "id").select("id", "__text", "pieces")
     digests = materialize(joined.mapInArrow(tidy(_digests(width)), "id long, pos long, size long, digest binary"), "digests")
     here = paths.join(digests, ["id", "pos", "size"])
     there = digests.select(F.col("id").alias("source"), F.col("pos").alias("source_pos"), "size", F.col("digest").alias("wanted"))
     return here.join(there, ["source", "source_pos", "size"]).filter("digest = wanted").select(paths.columns)
 
 
-def _repeat(texts: DataFrame) -> bool:
-    """Whether ids occur more than once."""
-    return not texts.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty()
-
-
 def verify_paths(df: DataFrame, paths: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """Paths whose words equal those at the source coordinate, compared by SHA-256."""
-    return _verified(_row_texts(df, key, text), paths, width)
+    return _verified(_row_texts(df, key, text)[1], paths, width)
