@@ -29,13 +29,19 @@ from recordlake.llm.wordcode import ALNUM_WORDS, Words, mix, powers, slices, spl
 BITS = 20
 PREFIXES = (5, 6, 7, 9)
 MAX_ROWS = 12_000
-#: Identity terms by list; a counterfactual swaps a term for the next one of its list.
+#: Identity terms by list, in English, French, German and Spanish; each term stands in one list only. A counterfactual swaps a term for the next one of its list.
 IDENTITY_TERMS = (
     ("man", "woman"), ("men", "women"), ("male", "female"), ("boy", "girl"), ("he", "she"), ("his", "her"),
     ("straight", "gay", "lesbian", "bisexual"), ("cisgender", "transgender"),
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"), ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
     ("white", "black", "asian", "latino"), ("american", "mexican", "chinese", "african", "european", "arab"),
     ("young", "old"), ("blind", "deaf", "disabled"),
+    ("homme", "femme"), ("hommes", "femmes"), ("garçon", "fille"), ("il", "elle"), ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("blanc", "noir"), ("américain", "mexicain", "chinois", "africain", "européen", "arabe"), ("jeune", "vieux"), ("aveugle", "sourd", "handicapé"),
+    ("mann", "frau"), ("männer", "frauen"), ("junge", "mädchen"), ("schwul", "lesbisch", "bisexuell"), ("christen", "muslime", "juden"),
+    ("weiße", "schwarze"), ("amerikaner", "mexikaner", "chinesen", "afrikaner", "europäer", "araber"), ("jung", "alt"), ("gehörlos", "behindert"),
+    ("hombre", "mujer"), ("hombres", "mujeres"), ("niño", "niña"), ("él", "ella"), ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("blanco", "negro"), ("americano", "mexicano", "chino", "africano", "europeo", "árabe"), ("joven", "viejo"), ("ciego", "sordo", "discapacitado"),
 )
 
 

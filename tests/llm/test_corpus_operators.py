@@ -467,3 +467,10 @@ def test_counterfactuals_shrink_identity_weights():
 
 def test_queries_are_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_identity_terms_stand_in_one_list():
+    terms = [t for group in toxicity.IDENTITY_TERMS for t in group]
+    assert len(set(terms)) == len(terms)
+    assert all(toxicity._term_features(t)[0] for t in terms)
+    assert {"muslim", "musulman", "muslime", "musulmán"} <= set(terms)
