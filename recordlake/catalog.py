@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlake.functions import dates, identity, text
-from recordlake.operators import canonical, dedup, discovery, federate, quality, store
+from recordlake.functions import dates, fields, identity, text
+from recordlake.operators import canonical, coverage, dedup, discovery, federate, quality, store
 from recordlake.plans.search_query import SearchQuery
 from recordlake.plans.views import view, with_views
 from recordlake.sinks import export
@@ -780,3 +780,192 @@ def read_manifest(spark, sf_dir):
 def local_window(spark, sf_dir):
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name")
     return federate.local_window(suppliers, [F.asc("s_name"), F.asc("s_suppkey")], 2, 15).drop("window_size")
+
+
+# --- fields of single sources
+
+def _titles(spark, sf_dir):
+    k = F.col("p_partkey")
+    title = F.concat(F.when(k % 3 == 0, "IRDR - tema 00").when(k % 3 == 1, "Tema 0").otherwise("Temas "), k.cast("string"), F.lit(" "), "p_name", F.when(k % 4 == 0, F.concat(F.lit(" ( "), "p_type", F.lit(" ) "))).otherwise(""))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type", title.alias("title"))
+
+
+_TITLES = """WITH t AS (SELECT p_partkey, p_name, p_type, CASE p_partkey % 3 WHEN 0 THEN 'IRDR - tema 00' WHEN 1 THEN 'Tema 0' ELSE 'Temas ' END || p_partkey || ' ' || p_name || CASE WHEN p_partkey % 4 = 0 THEN ' ( ' || p_type || ' ) ' ELSE '' END AS title FROM part)"""
+
+
+@query("theme_titles", _TITLES + " SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN CAST(p_partkey AS BIGINT) END AS theme, CASE WHEN p_partkey % 4 = 0 THEN trim(p_type) END AS status FROM t")
+def theme_titles(spark, sf_dir):
+    return _titles(spark, sf_dir).select("p_partkey", fields.theme_number(F.col("title")).alias("theme"), fields.title_status(F.col("title")).alias("status"))
+
+
+@query("title_or_detail_filter", _TITLES + " SELECT p_partkey FROM t WHERE contains(title, '7') AND contains(lower(title) || ' ' || lower(p_type), 'brass')")
+def title_or_detail_filter(spark, sf_dir):
+    fits = coverage.title_or_detail(F.lower("title"), F.lower("p_type"), "7", "brass")
+    return _titles(spark, sf_dir).filter(fits).select("p_partkey")
+
+
+@query("class_subject_split", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE o_orderstatus END AS case_class,
+  CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority || '/' || o_orderstatus END AS subject FROM orders""")
+def class_subject_split(spark, sf_dir):
+    three = F.col("o_orderkey") % 3
+    value = F.when(three == 0, "").when(three == 1, F.concat(F.lit(" "), "o_orderpriority")).otherwise(F.concat("o_orderstatus", F.lit(" / "), "o_orderpriority", F.lit("/"), "o_orderstatus", F.lit(" ")))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", fields.split_class_subject(value).alias("s")).select("o_orderkey", "s.*")
+
+
+@query("sheet_results", """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'ADI' END AS c, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS n, CASE WHEN o_orderkey % 2 = 0 THEN 'SP' ELSE '' END AS u, date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS d FROM orders),
+  s AS (SELECT *, CASE WHEN c = '' AND n = '' THEN '' ELSE c || CASE WHEN c <> '' AND n <> '' THEN ' ' ELSE '' END || n || CASE WHEN u = '' THEN '' ELSE '/' || u END END AS number FROM r)
+  SELECT o_orderkey, 'stf-informativo-77-' || CASE WHEN number = '' THEN CAST(o_orderkey AS VARCHAR) ELSE lower(replace(replace(number, ' ', '-'), '/', '-')) END AS id, number, CAST(CAST(DATE '1899-12-30' + CAST(d AS INT) AS DATE) AS VARCHAR) AS day FROM s""")
+def sheet_results(spark, sf_dir):
+    k = F.col("o_orderkey")
+    serial = F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")).cast("string")
+    row = fields.sheet_result(F.lit("77"), F.lit(""), k, F.when(k % 5 != 0, "ADI").otherwise(""), F.when(k % 3 != 0, k.cast("string")).otherwise(""), F.when(k % 2 == 0, "SP"), serial)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", row.alias("r")).select("o_orderkey", "r.*")
+
+
+@query("embedded_files", """SELECT page_id, CASE WHEN page_id % 4 > 0 THEN sha256(html) END AS sha256, CASE WHEN page_id % 4 > 0 THEN CAST(octet_length(encode(html)) AS BIGINT) END AS bytes FROM pages WHERE html IS NOT NULL""")
+def embedded_files(spark, sf_dir):
+    value = F.when(F.col("page_id") % 4 > 0, F.base64(F.encode("html", "UTF-8"))).when(F.col("page_id") % 8 == 0, "").otherwise("no base64!")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("html IS NOT NULL")
+    return pages.select("page_id", fields.embedded_file(value).alias("f")).select("page_id", "f.sha256", "f.bytes")
+
+
+_CUSTOMER_JSON = """CASE c_custkey % 4 WHEN 0 THEN '{"id":' || c_custkey || ',"nome":" ' || c_name || ' ","descricao":""}' WHEN 1 THEN '[{"sigla":"' || c_mktsegment || '"},"x ",{"other":1},' || c_custkey || ']' WHEN 2 THEN ' ' || c_name || ' ' END"""
+
+
+@query("json_value_text", """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment || '; x; ' || c_custkey WHEN 2 THEN c_name ELSE '' END AS value FROM customer""")
+def json_value_text(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", fields.json_text(F.expr(_CUSTOMER_JSON)).alias("value"))
+
+
+_ANSWER_JSON = """'{"a":"/API/' || page_id || '","b: c":["' || url || '",{"d":"q \\\\"query\\\\": ok"}],"n":' || page_id || '}'"""
+
+
+@query("json_strings", "WITH j AS (SELECT page_id, CAST(" + _ANSWER_JSON.replace("\\\\", "\\") + """ AS JSON) AS body FROM pages WHERE url IS NOT NULL)
+  SELECT page_id, value, regexp_matches(value, '^(/|https?://)') AND regexp_matches(lower(value), '/api|search|juris|document|query') AS endpoint FROM (SELECT page_id, v.atom ->> '$' AS value FROM j, json_tree(j.body) v WHERE v.type = 'VARCHAR')""")
+def json_strings(spark, sf_dir):
+    found = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("url IS NOT NULL").select("page_id", F.explode(fields.json_strings(F.expr(_ANSWER_JSON))).alias("value"))
+    return found.withColumn("endpoint", fields.endpoint_like(F.col("value")))
+
+
+@query("labelled_fields", """SELECT o_orderkey, o_orderpriority AS body, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS kind, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders""")
+def labelled_fields(spark, sf_dir):
+    line = F.concat(F.lit("ÓRGÃO julgador:  "), "o_orderpriority", F.lit(" / Tipo de Documento: "), F.when(F.col("o_orderkey") % 2 == 0, F.concat("o_orderstatus", F.lit(" / Data de Julgamento: "), F.col("o_orderdate").cast("date").cast("string"), F.lit("/ Nr. Processo: 1"))).otherwise(""))
+    patterns = {"body": r"(?u)(?:órgão|orgao) julgador:\s*(.*?)\s*/\s*tipo de documento:", "kind": r"tipo de documento:\s*(.*?)\s*/\s*data de julgamento:", "day": r"data de julgamento:\s*(.*?)\s*/\s*nr\. processo:"}
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", fields.labelled_fields(line, patterns).alias("f")).select("o_orderkey", "f.*")
+
+
+@query("first_uuid", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE '00000000-0000-4000-8000-' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') END AS uuid FROM customer")
+def first_uuid(spark, sf_dir):
+    uuid = F.concat(F.lit(" 00000000-0000-4000-8000-"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"))
+    three = F.col("c_custkey") % 3
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", fields.first_uuid(F.col("c_name"), F.when(three == 1, uuid), F.when(three == 2, uuid)).alias("uuid"))
+
+
+@query("summary_chars", with_views("results") + " SELECT court, CAST(sum(length(coalesce(summary, ''))) AS BIGINT) AS chars FROM results GROUP BY court")
+def summary_chars(spark, sf_dir):
+    return view(spark, sf_dir, "results").groupBy("court").agg(F.sum(fields.summary_chars(F.col("summary"))).alias("chars"))
+
+
+# --- coverage of sources
+
+_PROFILE = """CASE n_nationkey % 9 WHEN 0 THEN 'court_precedents' WHEN 1 THEN 'curated_jurisprudence' ELSE 'court_jurisprudence' END"""
+_RECORDS = {0: ["CanonicalDecision", "CanonicalPrecedent"], 1: ["CanonicalPrecedent", "ProviderCatalog"], 2: ["CanonicalDocument", "CanonicalDecision"], 3: ["CanonicalDocument", "ProviderCatalog"], 4: ["CanonicalDocument"], 5: []}
+
+
+@query("semantic_profile", f"""SELECT n_nationkey, CASE {_PROFILE} WHEN 'court_precedents' THEN 'precedent' WHEN 'curated_jurisprudence' THEN 'curated' ELSE
+  (CASE n_nationkey % 6 WHEN 0 THEN 'hybrid_decision_precedent' WHEN 1 THEN 'precedent' WHEN 2 THEN 'decision' WHEN 3 THEN 'catalog' WHEN 4 THEN 'document' ELSE 'unclassified' END) END AS profile FROM nation""")
+def semantic_profile(spark, sf_dir):
+    records = F.array().cast("array<string>")
+    for n, names in _RECORDS.items():
+        records = F.when(F.col("n_nationkey") % 6 == n, F.array(*map(F.lit, names)).cast("array<string>")).otherwise(records)
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", coverage.semantic_profile(F.expr(_PROFILE), records).alias("profile"))
+
+
+@query("source_contracts", with_views("capabilities") + """ SELECT source, CASE WHEN key % 3 = 0 AND key % 5 > 0 THEN key % 5 ELSE key % 4 END AS level,
+  CASE WHEN key % 6 = 0 THEN 'esaj' WHEN key % 4 = 0 THEN 'pje' ELSE category END AS family FROM capabilities""")
+def source_contracts(spark, sf_dir):
+    known = view(spark, sf_dir, "capabilities").withColumn("inferred_level", F.col("key") % 4)
+    overrides = known.filter("key % 3 = 0").select("source", (F.col("key") % 5).alias("level"), F.when(F.col("key") % 6 == 0, "esaj").otherwise("").alias("family"))
+    return coverage.source_contracts(known, overrides, known.filter("key % 4 = 0").select("source", F.lit("pje").alias("family")))
+
+
+@query("source_audit", with_views("capabilities", "evidence") + """, e AS (SELECT source, count(*) AS swept, max(code) AS worst FROM evidence GROUP BY source)
+  SELECT c.source, CASE WHEN key % 2 = 0 THEN 'ok' END AS smoke, swept, worst FROM capabilities c LEFT JOIN e ON c.source = e.source""")
+def source_audit(spark, sf_dir):
+    known = view(spark, sf_dir, "capabilities")
+    sweep = view(spark, sf_dir, "evidence").groupBy("source").agg(F.count(F.lit(1)).alias("swept"), F.max("code").alias("worst"))
+    return coverage.audit(known.select("source"), known.filter("key % 2 = 0").select("source", F.lit("ok").alias("smoke")), sweep)
+
+
+_SCORES = with_views("capabilities") + ", s AS (SELECT source, category, CAST(balance % 101 AS BIGINT) AS score FROM capabilities)"
+
+
+def _scores(spark, sf_dir):
+    return view(spark, sf_dir, "capabilities").select("source", "category", (F.col("balance") % 101).alias("score"))
+
+
+@query("coverage_totals", _SCORES + " SELECT count(*) AS sources, count(*) FILTER (score >= 85) AS strong, count(*) FILTER (score < 50) AS weak, round(avg(score), 1) AS mean_score FROM s")
+def coverage_totals(spark, sf_dir):
+    return coverage.coverage_totals(_scores(spark, sf_dir))
+
+
+@query("coverage_ends", _SCORES + """ SELECT source, category, score, 'best' AS part FROM (FROM s ORDER BY score DESC, source LIMIT 5)
+  UNION ALL SELECT source, category, score, 'worst' FROM (FROM s ORDER BY score, source LIMIT 10)""")
+def coverage_ends(spark, sf_dir):
+    return coverage.coverage_ends(_scores(spark, sf_dir))
+
+
+@query("tier_counts", with_views("capabilities") + " SELECT category AS status, count(*) AS n FROM capabilities GROUP BY category")
+def tier_counts(spark, sf_dir):
+    return quality.status_counts(view(spark, sf_dir, "capabilities"), "category").withColumnRenamed("category", "status")
+
+
+@query("document_status_counts", with_views("results") + " SELECT extraction_status AS status, count(*) AS n FROM results GROUP BY extraction_status")
+def document_status_counts(spark, sf_dir):
+    return quality.status_counts(view(spark, sf_dir, "results"), "extraction_status").withColumnRenamed("extraction_status", "status")
+
+
+@query("list_courts", "SELECT s_suppkey, upper(substr(n_name, 1, 2)) AS state FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0 AND n_name ILIKE 'IR%' AND s_suppkey % 5 <> 0")
+def list_courts(spark, sf_dir):
+    courts = view(spark, sf_dir, "capabilities").select(
+        F.col("key").alias("s_suppkey"), F.upper(F.substring("nation", 1, 2)).alias("state"), F.when(F.col("key") % 2 == 0, "state").otherwise("federal").alias("branch"),
+        F.lit("esaj").alias("source_system"), F.when(F.col("unified"), "implemented").otherwise("planned").alias("provider_status"),
+    )
+    return coverage.list_courts(courts, branch="state", state=" ir ", system="esaj", implemented=True).select("s_suppkey", "state")
+
+
+@query("search_deadline", with_views("capabilities") + """ SELECT source, CAST(CASE WHEN key % 4 = 0 OR key * 10 > 600 THEN 0 ELSE key % 7 END AS BIGINT) AS returned,
+  CASE WHEN key % 4 = 0 OR key * 10 > 600 THEN 'TimeoutError' WHEN key % 7 = 0 THEN 'HTTPError' END AS error, NOT (key % 4 = 0 OR key * 10 > 600) AND key % 7 > 0 AS answered FROM capabilities""")
+def search_deadline(spark, sf_dir):
+    known, key = view(spark, sf_dir, "capabilities"), F.col("key")
+    answers = known.filter("key % 4 <> 0").select("source", (key * 10).alias("elapsed_ms"), (key % 7).alias("returned"), F.when(key % 7 == 0, "HTTPError").alias("error"))
+    return coverage.with_deadline(known.select("source"), answers, 600)
+
+
+@query("text_match_order", "SELECT page_id FROM pages ORDER BY length(url), page_id % 7 DESC, CASE WHEN page_id % 2 = 0 THEN 0 ELSE 1 END, page_id LIMIT 20")
+def text_match_order(spark, sf_dir):
+    k = F.col("page_id")
+    order = coverage.match_order(F.col("url"), k % 7, F.when(k % 2 == 0, k.cast("string")))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").orderBy(*order, "page_id").limit(20).select("page_id")
+
+
+@query("sub_catalogues", "SELECT 'sumula' AS catalogue, n_name AS title, CAST(NULL AS INT) AS theme FROM nation UNION ALL SELECT 'boletim', r_name, CAST(r_regionkey AS INT) FROM region")
+def sub_catalogues(spark, sf_dir):
+    first = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lit("sumula").alias("catalogue"), F.col("n_name").alias("title"))
+    second = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.lit("boletim").alias("catalogue"), F.col("r_name").alias("title"), F.col("r_regionkey").cast("int").alias("theme"))
+    return federate.concatenate({"sumula": first, "boletim": second}).drop("source_order")
+
+
+@query("compact_records", with_views("results") + " SELECT id, source, court, number, summary FROM results")
+def compact_records(spark, sf_dir):
+    return coverage.compact(view(spark, sf_dir, "results").select("id", "source", "court", "number", "summary", "full_text"))
+
+
+@query("export_run", with_views("records") + " SELECT " + ", ".join(
+    {"record_kind": "CASE kind WHEN 'document' THEN 'document' WHEN 'precedent' THEN 'precedent' ELSE 'decision' END AS record_kind", "id": "id", "source": "coalesce(source, '') AS source", "court": "coalesce(court, '') AS court",
+     "document_type": "CASE kind WHEN 'document' THEN 'pdf' ELSE '' END AS document_type", "precedent_type": "CASE kind WHEN 'precedent' THEN 'sumula' WHEN 'document' THEN 'x' ELSE '' END AS precedent_type"}.get(c, f"'' AS {c}")
+    for c in export.RUN_CSV) + " FROM records")
+def export_run(spark, sf_dir):
+    kind = F.col("kind")
+    rows = view(spark, sf_dir, "records").select("id", "source", "court", F.when(kind == "document", "pdf").alias("document_type"), F.when(kind == "precedent", "sumula").when(kind == "document", "x").alias("precedent_type"))
+    return export.run_rows(rows)

@@ -122,12 +122,25 @@ def migrate(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in schema.items() if c not in df.columns})
 
 
+def _current(spark: SparkSession, root: str) -> DataFrame | None:
+    """(value, seq) of the pointers written so far."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema("value string, seq long").text(f"{root}/CURRENT") if there else None
+
+
 def save_snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str, version: str) -> None:
-    """Write all tables of a version, then the pointer file that makes it current."""
+    """Write all tables of a version, then a pointer that makes it current.
+
+    A pointer is a new file, moved into place whole; older ones stay, so a crash leaves the last version current.
+    """
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{root}/CURRENT")
+    pointers = _current(spark, root)
+    last = pointers.agg(F.max("seq")).first()[0] if pointers is not None else None
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.text(f"{root}/CURRENT/seq={0 if last is None else last + 1}")
 
 
 def load_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{spark.read.text(f'{root}/CURRENT').first()[0]}/{name}")
+    version = _current(spark, root).orderBy(F.desc("seq")).first()["value"]
+    return spark.read.parquet(f"{root}/{version}/{name}")

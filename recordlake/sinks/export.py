@@ -17,6 +17,11 @@ DECISION_CSV = [
 ]
 PRECEDENT_CSV = ["id", "source", "court", "number", "precedent_type", "status", "question", "thesis", "paradigm_case_count", "rapporteur", "updated_at", "access_status", "extraction_status"]
 DOCUMENT_CSV = ["id", "source", "court", "document_type", "content_type", "title", "url", "sha256", "byte_size", "access_status", "extraction_status", "retrieved_at"]
+RUN_CSV = [
+    "record_kind", "id", "source", "court", "case_number", "registry_number", "decision_type", "precedent_type", "number", "case_class", "subject", "rapporteur", "judging_body",
+    "origin_county", "judgment_date", "publication_date", "status", "updated_at", "document_type", "content_type", "title", "url", "document_url", "source_url", "extraction_status",
+    "access_status",
+]
 
 #: Records of a Markdown page at most.
 PAGE_RECORDS = 1000
@@ -27,6 +32,13 @@ def ordered(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns))
 
 
+def run_rows(records: DataFrame) -> DataFrame:
+    """The rows of a run's export; a record with a document type is a document, else one with a precedent type a precedent."""
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != "" if c in records.columns else F.lit(False)
+    kind = F.when(given("document_type"), "document").when(given("precedent_type"), "precedent").otherwise("decision")
+    return ordered(records.withColumn("record_kind", kind), RUN_CSV)
+
+
 def csv_line(columns: list[str]) -> Column:
     """A CSV record: fields with comma, quote or line end are quoted."""
     field = lambda c: F.when(F.col(c).rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c))
