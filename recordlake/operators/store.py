@@ -122,11 +122,9 @@ def migrate(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in schema.items() if c not in df.columns})
 
 
-def _current(spark: SparkSession, root: str) -> DataFrame | None:
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
     """(value, seq) of the pointers written so far."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema("value string, seq long").text(f"{root}/CURRENT") if there else None
+    return spark.read.schema("value string, seq long").text(f"{root}/CURRENT")
 
 
 def save_snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str, version: str) -> None:
@@ -136,11 +134,12 @@ def save_snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str,
     """
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
-    pointers = _current(spark, root)
-    last = pointers.agg(F.max("seq")).first()[0] if pointers is not None else None
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
+    begun = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    last = _pointers(spark, root).agg(F.max("seq")).first()[0] if begun else None
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.text(f"{root}/CURRENT/seq={0 if last is None else last + 1}")
 
 
 def load_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = _current(spark, root).orderBy(F.desc("seq")).first()["value"]
+    version = _pointers(spark, root).orderBy(F.desc("seq")).first()["value"]
     return spark.read.parquet(f"{root}/{version}/{name}")
