@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recordlake.llm.debruijn import remove_repeats
 from recordlake.llm.decontaminate import find_matches, hit_words
+from recordlake.llm.hamerly import encode as encode_vectors
 from recordlake.llm.jaccard_groups import jaccard_components
 from recordlake.llm.mixing import mix
 from recordlake.llm.scratch import bound_batches, fresh_path
@@ -106,6 +107,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"))
 
 
+def op11_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = encode_vectors(table(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
+    listed = "" if books is None else ",".join(map(str, books.entries.ravel().tolist()))
+    by_label = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    joined = coded.join(by_label, F.col("label").eqNullSafe(F.col("of")))
+    return joined.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.sha2(F.lit(listed), 256).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_source_mix": op2_source_mix,
@@ -117,12 +126,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shuffle_shards": op8_shuffle_shards,
     "op9_stable_knn": op9_stable_knn,
     "op10_toxicity": op10_toxicity,
+    "op11_hamerly_codes": op11_hamerly_codes,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE_WORDS, _ALNUM_WORDS = r"'[^\x20\x09-\x0D]+'", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+
+def _lloyd_sql(rounds: int = 6, entries: int = 16, parts: int = 8, scale: int = 4096) -> str:
+    """Plain Lloyd rounds with full scans: a chain of tables a round."""
+    steps = [f"""kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) AS r(p))",
+        f"b0 AS MATERIALIZED (SELECT p, e - 1 AS e, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) AS e FROM parts) WHERE e <= {entries})"]
+    nearest = f"""SELECT vec_id, label, a.p, a.x, min(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {entries} + e) AS m FROM parts a JOIN b{{0}} b ON a.p = b.p GROUP BY vec_id, label, a.p, a.x"""
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({nearest.format(i)})")
+        steps.append(f"""s{i} AS MATERIALIZED (SELECT p, e, list(q ORDER BY j) AS x FROM (SELECT p, e, j, CAST((s - ((s % c) + c) % c) // c AS BIGINT) AS q FROM
+  (SELECT p, m % {entries} AS e, j, sum(x[j]) AS s, count(*) AS c FROM (SELECT p, m, x, unnest(range(1, len(x) + 1)) AS j FROM a{i}) GROUP BY p, e, j)) GROUP BY p, e)""")
+        steps.append(f"b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(s.x, b.x) AS x FROM b{i} b LEFT JOIN s{i} s ON b.p = s.p AND b.e = s.e)")
+    steps.append(f"final AS MATERIALIZED ({nearest.format(rounds)})")
+    steps.append(f"coded AS (SELECT vec_id, label, string_agg(printf('%02x', m % {entries}), '' ORDER BY p) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error FROM final GROUP BY vec_id, label)")
+    steps.append("listed AS (SELECT sha256(coalesce(string_agg(array_to_string(x, ','), ',' ORDER BY p, e), '')) AS codebooks_sha256 FROM b" + str(rounds) + ")")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, listed"
+
+
 ORACLES: dict[str, str] = {
+    "op11_hamerly_codes": _lloyd_sql(),
     "op1_decontaminate": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM_WORDS}) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, {_ALNUM_WORDS}) AS w FROM benchmark),
