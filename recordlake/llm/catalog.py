@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordlake.llm.bpe_transducer import decode_ids, encode_texts
 from recordlake.llm.debruijn import remove_repeats
 from recordlake.llm.decontaminate import find_matches, hit_words
 from recordlake.llm.hamerly import encode as encode_vectors
@@ -115,6 +116,17 @@ def op11_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.sha2(F.lit(listed), 256).alias("codebooks_sha256"))
 
 
+def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ["doc_id"])
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    counted = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), "ids")
+    decoded = decode_ids(counted, ranks, ["doc_id", "n_tokens", "ids_sha256"])
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_source_mix": op2_source_mix,
@@ -127,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_stable_knn": op9_stable_knn,
     "op10_toxicity": op10_toxicity,
     "op11_hamerly_codes": op11_hamerly_codes,
+    "op12_bpe_transducer": op12_bpe_transducer,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
