@@ -13,6 +13,7 @@ from recordlake.llm.decontaminate import find_matches, hit_words
 from recordlake.llm.hamerly import encode as encode_vectors
 from recordlake.llm.jaccard_groups import jaccard_components
 from recordlake.llm.mixing import mix
+from recordlake.llm.periodic_runs import find_runs
 from recordlake.llm.scratch import bound_batches, fresh_path
 from recordlake.llm.secret_scan import corpus_words, scan
 from recordlake.llm.shuffle_shards import write_shuffled
@@ -127,6 +128,28 @@ def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def tails_repeated(documents: DataFrame) -> DataFrame:
+    """doc_id and text; in documents whose crc32(doc_id) ends in 0 the words from a place on repeat a first part of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    cut = documents.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), words.alias("w")).withColumn("n", F.size("w"))
+    cut = cut.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    cut = cut.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    rebuilt = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p AS INT)])), ' ')")
+    return cut.select("doc_id", F.when(F.col("n") > 0, rebuilt).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(tails_repeated(table(spark, sf_dir, "documents")), ["doc_id"])
+    # of exact fractions length / period the greater one, then the earlier, then the shorter period
+    order = "x.length * y.period > y.length * x.period or (x.length * y.period = y.length * x.period and struct(x.start, x.period) < struct(y.start, y.period))"
+    best = F.expr(f"aggregate(runs, runs[0], (y, x) -> if({order}, x, y))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    digests = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, best).alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("1000 * best.length div best.period")
+    return digests.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_source_mix": op2_source_mix,
@@ -140,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_hamerly_codes": op11_hamerly_codes,
     "op12_bpe_transducer": op12_bpe_transducer,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -180,6 +204,25 @@ hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(ra
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(longest, 0) AS longest
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN longest USING (doc_id)
+""",
+    "op13_periodic_runs": f"""
+WITH steps AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) AS r(i))),
+crc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACE_WORDS}) AS w, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c // 256, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295) AS h FROM documents, steps),
+places AS (SELECT doc_id, w, h, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM crc),
+shift AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM places),
+d AS MATERIALIZED (SELECT doc_id, n, list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) AS w FROM shift),
+windows AS MATERIALIZED (SELECT doc_id, n, i - 1 AS i, array_to_string(list_slice(w, i, i + 7), ' ') AS s FROM (SELECT doc_id, n, w, unnest(range(1, n - 6)) AS i FROM d)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM windows x JOIN windows y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i AND 3 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+long AS (SELECT doc_id, q, min(i) AS s, count(*) + 7 + q AS l FROM islands GROUP BY doc_id, q, island HAVING count(*) + 7 + q >= greatest(24, 3 * q)),
+runs AS MATERIALIZED (SELECT doc_id, s, l, min(q) AS q FROM long GROUP BY doc_id, s, l),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY doc_id),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(l AS DOUBLE) / q DESC, s, q) AS r FROM runs) WHERE r = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q + 1, s + l + 1)) AS p FROM runs),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli, sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
     "op4_jaccard_groups": f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPACE_WORDS}) AS w FROM documents),
