@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlake.functions import dates, fields, identity, text
-from recordlake.operators import canonical, coverage, dedup, discovery, federate, quality, store
+from recordlake.operators import canonical, coverage, dedup, discovery, federate, probe, quality, store
 from recordlake.plans.search_query import SearchQuery
 from recordlake.plans.views import view, with_views
 from recordlake.sinks import export
@@ -372,8 +372,8 @@ def iter_pages(spark, sf_dir):
 
 # --- routing
 
-_CAPS = with_views("capabilities") + """, routed AS (SELECT source, category, unified, filters, CASE WHEN NOT unified THEN 'not_unified' WHEN category = 'case_lookup' THEN 'case_lookup' WHEN filters <> '' AND NOT contains(filters, 'number') THEN 'unsupported_identifier'
-  WHEN category = 'communications' THEN 'communications' WHEN category <> 'court_jurisprudence' THEN 'category_not_included' END AS skip_reason FROM capabilities)"""
+_CAPS = with_views("capabilities") + """, routed AS (SELECT source, category, unified, filters, CASE WHEN NOT unified THEN 'unified_search_not_supported' WHEN category = 'case_lookup' THEN 'outside_jurisprudence_scope' WHEN filters <> '' AND NOT contains(filters, 'number') THEN 'identifier_filter_not_supported'
+  WHEN category = 'judicial_communications' THEN 'not_jurisprudence_source' WHEN category <> 'court_jurisprudence' THEN 'category_not_applicable' END AS skip_reason FROM capabilities)"""
 
 
 def _capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,14 +408,22 @@ def source_registry(spark, sf_dir):
     return federate.default_sources(registry.capabilities(spark), registry.DEFAULT_CATEGORIES)
 
 
-@query("source_status_view", with_views("capabilities", "evidence") + """, ev AS (SELECT source, max(error) AS error, count(*) AS returned, CASE WHEN count(*) % 3 = 0 THEN NULL ELSE count(*) % 3 = 1 END AS is_complete FROM evidence GROUP BY source)
-  SELECT c.source, CASE WHEN NOT c.unified THEN 'skipped' WHEN contains(lower(coalesce(error, '')), 'ssl') OR contains(lower(coalesce(error, '')), 'certificate') THEN 'ssl_error' WHEN coalesce(error, '') <> '' THEN 'failed' WHEN coalesce(returned, 0) = 0 THEN 'empty'
-  WHEN NOT is_complete THEN 'partial' WHEN is_complete IS NULL THEN 'unknown' ELSE 'ok' END AS status FROM capabilities c LEFT JOIN ev ON c.source = ev.source""")
+_STATUS = with_views("capabilities", "evidence") + """, completeness AS (SELECT source, CASE WHEN sum(bytes) % 5 = 0 THEN 0 ELSE count(*) END AS returned, CASE WHEN sum(bytes) % 5 = 0 THEN 0 ELSE 9 END AS reported_total, CASE count(*) % 3 WHEN 0 THEN NULL WHEN 1 THEN FALSE ELSE TRUE END AS is_complete FROM evidence GROUP BY source),
+  errors AS (SELECT source, arg_max(kind || ': ' || chain, seq) AS error FROM evidence WHERE kind IS NOT NULL AND status = 'error' GROUP BY source), counts AS (SELECT source, count(*) AS n FROM evidence GROUP BY source),
+  routing AS (SELECT source, CASE key % 9 WHEN 0 THEN 'skipped' WHEN 1 THEN 'failed' ELSE 'searched' END AS action FROM capabilities WHERE key % 10 <> 3)"""
+
+
+@query("source_status_view", _STATUS + """ SELECT coalesce(r.source, n.source) AS source, CASE WHEN r.source IS NULL THEN 'ok' WHEN error IS NOT NULL AND regexp_matches(lower(error), 'ssl|certificate|tls') THEN 'ssl_error' WHEN error IS NOT NULL OR action = 'failed' THEN 'failed' WHEN action = 'skipped' THEN 'skipped'
+  WHEN c.source IS NULL THEN 'ok' WHEN c.is_complete IS NULL THEN 'unknown' WHEN NOT c.is_complete THEN 'partial' WHEN returned = 0 AND reported_total = 0 THEN 'empty' ELSE 'ok' END AS status,
+  CAST(CASE WHEN c.source IS NOT NULL AND r.source IS NOT NULL THEN returned ELSE coalesce(n, 0) END AS BIGINT) AS count
+  FROM routing r LEFT JOIN completeness c ON r.source = c.source LEFT JOIN errors e ON r.source = e.source FULL JOIN counts n ON r.source = n.source""")
 def source_status_view(spark, sf_dir):
-    n = F.count(F.lit(1))
-    events = view(spark, sf_dir, "evidence").groupBy("source").agg(F.max("error").alias("error"), n.alias("returned"), F.when(n % 3 == 0, F.lit(None)).otherwise(n % 3 == 1).alias("is_complete"))
-    sources = view(spark, sf_dir, "capabilities").select("source", (~F.col("unified")).alias("skipped"))
-    return federate.source_status(sources, events).select("source", "status")
+    events, n = view(spark, sf_dir, "evidence"), F.count(F.lit(1))
+    nothing = F.sum("bytes") % 5 == 0
+    completeness = events.groupBy("source").agg(F.when(nothing, 0).otherwise(n).alias("returned"), F.when(nothing, 0).otherwise(9).alias("reported_total"), F.when(n % 3 > 0, n % 3 == 2).alias("is_complete"))
+    errors = events.filter("kind is not null and status = 'error'").groupBy("source").agg(F.max_by(F.concat("kind", F.lit(": "), "chain"), "seq").alias("error"))
+    routing = view(spark, sf_dir, "capabilities").filter("key % 10 <> 3").select("source", F.when(F.col("key") % 9 == 0, "skipped").when(F.col("key") % 9 == 1, "failed").otherwise("searched").alias("action"))
+    return federate.source_status(routing, completeness, errors, events.groupBy("source").agg(n.alias("n"))).select("source", "status", "count")
 
 
 @query("fit_remote_page", """WITH a AS (SELECT p_partkey, CAST(1 + p_partkey % 7 AS INT) AS page, CAST(1 + p_partkey % 100 AS INT) AS size FROM part), b AS (SELECT *, CASE WHEN size <= 10 THEN 10 WHEN size <= 25 THEN 25 WHEN size <= 50 THEN 50 ELSE 100 END AS fitted FROM a)
@@ -445,21 +453,41 @@ def completeness_rollup(spark, sf_dir):
 
 # --- quality, contracts, discovery
 
-@query("http_access_status", with_views("evidence") + """ SELECT seq, CASE code WHEN 404 THEN 'not_found' WHEN 401 THEN 'login_required' WHEN 403 THEN 'access_control_required' WHEN 429 THEN 'source_unavailable' WHEN 503 THEN 'source_unavailable' WHEN 302 THEN 'partial' WHEN 418 THEN 'partial' ELSE 'public' END AS access,
-  CASE code WHEN 404 THEN 'not_found' WHEN 401 THEN 'access_control' WHEN 403 THEN 'access_control' WHEN 429 THEN 'rate_limited' WHEN 503 THEN 'source_unavailable' WHEN 418 THEN 'client_error' WHEN 302 THEN 'redirected' ELSE 'observed' END AS discovery FROM evidence""")
+@query("http_access_status", with_views("evidence") + """, d AS (SELECT *, CASE WHEN code IN (401, 403, 407, 451) THEN 'access_controlled' WHEN code = 429 THEN 'rate_limited' WHEN code = 404 THEN 'empty' WHEN code IN (500, 503) THEN 'source_unavailable' WHEN code = 200 AND bytes > 0 THEN 'valid' WHEN code = 200 THEN 'empty' ELSE 'unknown' END AS discovery FROM evidence)
+  SELECT seq, CASE code WHEN 404 THEN 'not_found' WHEN 401 THEN 'login_required' WHEN 403 THEN 'access_control_required' WHEN 429 THEN 'source_unavailable' WHEN 503 THEN 'source_unavailable' WHEN 500 THEN 'source_unavailable' WHEN 200 THEN 'public' ELSE 'partial' END AS access, discovery,
+  CASE discovery WHEN 'access_controlled' THEN 'access_control_required' WHEN 'source_unavailable' THEN 'source_unavailable' WHEN 'empty' THEN 'not_found' WHEN 'valid' THEN 'public' ELSE 'partial' END AS discovery_access,
+  CASE WHEN discovery = 'empty' OR NOT bytes > 0 THEN 'empty' WHEN discovery IN ('access_controlled', 'rate_limited') THEN 'partial' WHEN discovery = 'source_unavailable' THEN 'failed' ELSE 'complete' END AS extraction FROM d""")
 def http_access_status(spark, sf_dir):
-    return view(spark, sf_dir, "evidence").select("seq", quality.access_of_status(F.col("code")).alias("access"), quality.discovery_of_status(F.col("code"), F.lit(None).cast("string")).alias("discovery"))
+    body = F.col("bytes") > 0
+    found = view(spark, sf_dir, "evidence").withColumn("discovery", probe.discovery_of_code(F.col("code"), body))
+    return found.select("seq", quality.access_of_status(F.col("code")).alias("access"), "discovery", probe.access_of_discovery(F.col("discovery")).alias("discovery_access"), probe.extraction_of_discovery(F.col("discovery"), body).alias("extraction"))
+
+
+@query("discovery_status_maps", with_views("evidence") + """ SELECT seq, CASE transport WHEN 'timeout' THEN 'timeout' WHEN 'tls_error' THEN 'tls_error' WHEN 'source_unavailable' THEN 'source_unavailable' WHEN 'redirect_limit' THEN 'source_unavailable' WHEN 'redirect_outside_allowlist' THEN 'redirect_outside_allowlist' ELSE 'unknown' END AS of_transport,
+  CASE route WHEN 'live_valid' THEN 'valid' WHEN 'candidate' THEN 'candidate' WHEN 'partial_response' THEN 'candidate' WHEN 'access_control_or_login' THEN 'access_controlled' WHEN 'not_found' THEN 'empty' WHEN 'source_unavailable' THEN 'source_unavailable' WHEN 'invalid_response' THEN 'unknown'
+    ELSE CASE WHEN code = 404 THEN 'empty' WHEN code = 429 THEN 'rate_limited' WHEN code IN (401, 403, 407, 451) THEN 'access_controlled' WHEN code >= 500 THEN 'source_unavailable' WHEN code = 200 THEN CASE WHEN bytes > 0 THEN 'valid' ELSE 'empty' END ELSE 'unknown' END END AS of_route
+  FROM (SELECT *, ['timeout', 'tls_error', 'source_unavailable', 'redirect_limit', 'redirect_outside_allowlist', 'other'][CAST(seq % 6 + 1 AS INT)] AS transport,
+    ['live_valid', 'candidate', 'partial_response', 'access_control_or_login', 'not_found', 'source_unavailable', 'invalid_response', 'odd'][CAST(seq % 8 + 1 AS INT)] AS route FROM evidence)""")
+def discovery_status_maps(spark, sf_dir):
+    one_of = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("seq") % len(names) + 1).cast("int"))
+    transport = one_of(["timeout", "tls_error", "source_unavailable", "redirect_limit", "redirect_outside_allowlist", "other"])
+    route = one_of(["live_valid", "candidate", "partial_response", "access_control_or_login", "not_found", "source_unavailable", "invalid_response", "odd"])
+    return view(spark, sf_dir, "evidence").select("seq", probe.discovery_of_transport(transport).alias("of_transport"), probe.discovery_of_route(route, F.col("code"), F.col("bytes") > 0).alias("of_route"))
+
 
+_KIND = """CASE WHEN seq % 12 IN (0, 7) THEN 'NetworkConfigurationError' WHEN seq % 12 = 2 THEN 'SslVerificationError' ELSE kind END"""
 
-@query("error_classification", with_views("evidence") + " SELECT seq, CASE WHEN error IS NULL THEN NULL WHEN contains(lower(error), 'proxy') THEN 'proxy_error' WHEN contains(lower(error), 'ssl') OR contains(lower(error), 'certificate') THEN 'ssl_error' ELSE split_part(error, ':', 1) END AS error_class FROM evidence")
+
+@query("error_classification", with_views("evidence") + f""" SELECT seq, {_KIND} AS error_class, CASE seq % 12 WHEN 0 THEN 'network_configuration' WHEN 7 THEN 'network_configuration' WHEN 2 THEN 'tls_verification_failed' WHEN 3 THEN 'timeout' WHEN 4 THEN 'blocked' WHEN 5 THEN 'rate_limited' WHEN 6 THEN 'source_changed' WHEN 8 THEN 'query_rejected' ELSE 'error' END AS validation FROM evidence WHERE kind IS NOT NULL""")
 def error_classification(spark, sf_dir):
-    return view(spark, sf_dir, "evidence").select("seq", quality.classify_error(F.col("error")).alias("error_class"))
+    kind, chain = F.col("kind"), F.col("chain")
+    return view(spark, sf_dir, "evidence").filter(kind.isNotNull()).select("seq", quality.classify_error(kind, chain).alias("error_class"), quality.validation_of_error(kind, chain).alias("validation"))
 
 
-@query("health_counts", with_views("evidence") + """, h AS (SELECT CASE WHEN contains(error, 'timeout') THEN 'timeout' WHEN error IS NOT NULL THEN 'error' WHEN code = 429 THEN 'rate_limited' WHEN code IN (401, 403) THEN 'blocked' WHEN code >= 500 THEN 'unavailable' WHEN bytes = 0 THEN 'empty' WHEN code < 300 THEN 'healthy' ELSE 'degraded' END AS status FROM evidence)
+@query("health_counts", with_views("evidence") + """, h AS (SELECT CASE seq % 12 WHEN 3 THEN 'timeout' WHEN 4 THEN 'blocked' WHEN 5 THEN 'rate_limited' WHEN 6 THEN 'source_changed' WHEN 7 THEN 'source_unavailable' WHEN 10 THEN CASE WHEN bytes > 0 THEN 'healthy' ELSE 'empty' END WHEN 11 THEN CASE WHEN bytes > 0 THEN 'healthy' ELSE 'empty' END ELSE 'error' END AS status FROM evidence)
   SELECT status, count(*) AS n FROM h GROUP BY status ORDER BY status""")
 def health_counts(spark, sf_dir):
-    return quality.status_counts(view(spark, sf_dir, "evidence").select(quality.health(F.col("code"), F.col("bytes"), F.col("error")).alias("status")), "status")
+    return quality.status_counts(view(spark, sf_dir, "evidence").select(quality.health(F.col("bytes"), F.col("kind")).alias("status")), "status")
 
 
 @query("status_mixed", with_views("evidence") + " SELECT run, CASE WHEN count(s) = 0 THEN NULL WHEN count(DISTINCT s) = 1 THEN min(s) ELSE 'mixed' END AS status FROM (SELECT run, CASE WHEN run % 3 = 0 THEN NULL WHEN run % 3 = 1 THEN 'view' ELSE status END AS s FROM evidence) GROUP BY run")
@@ -468,29 +496,46 @@ def status_mixed(spark, sf_dir):
     return quality.mixed_status(view(spark, sf_dir, "evidence").select("run", F.when(run % 3 == 0, F.lit(None)).when(run % 3 == 1, "view").otherwise(F.col("status")).alias("status")), "run", "status")
 
 
-@query("full_text_status", with_views("results") + """ SELECT source, CASE WHEN bool_and(coalesce(full_text, '') <> '') THEN 'returned' WHEN bool_or(arrival % 97 = 0) THEN 'document_available' WHEN bool_or(coalesce(full_text, '') <> '') THEN 'partially_returned' ELSE 'not_returned' END AS full_text_status FROM results GROUP BY source""")
+@query("full_text_status", with_views("results") + """ SELECT source, CASE WHEN count_if(coalesce(full_text, '') = '') = 0 THEN 'returned' WHEN count_if(arrival % 97 = 0) > 0 THEN 'document_available' ELSE 'not_returned' END AS full_text_status FROM (SELECT * REPLACE (source || arrival % 20 AS source) FROM results) GROUP BY source""")
 def full_text_status(spark, sf_dir):
-    return quality.full_text_status(view(spark, sf_dir, "results").withColumn("url", F.when(F.col("arrival") % 97 == 0, "x")), "source", "full_text", "url")
+    results = view(spark, sf_dir, "results").withColumns({"source": F.concat("source", F.col("arrival") % 20), "url": F.when(F.col("arrival") % 97 == 0, "x")})
+    return quality.full_text_status(results, "source", "full_text", "url")
+
 
+_ASKED = with_views("results") + """, r AS (SELECT 's' || arrival % 60 AS source, CASE WHEN arrival % 60 = 4 AND arrival % 7 = 0 THEN ' ' ELSE id END AS id, CASE WHEN arrival % 60 = 5 THEN 'other' ELSE 's' || arrival % 60 END AS result_source, CASE WHEN arrival % 60 = 6 THEN ' ' ELSE summary END AS summary, thesis, question, full_text,
+    CASE WHEN arrival % 60 <> 7 THEN 'search' END AS endpoint FROM results WHERE arrival % 60 <> 8)"""
 
-@query("validation_report", with_views("results") + """, r AS (SELECT source, bool_and(coalesce(id, '') <> '') AS a, bool_and(coalesce(nullif(summary, ''), full_text, '') <> '' OR summary = '') AS x, bool_and(CASE WHEN summary IS NOT NULL THEN summary <> '' ELSE coalesce(full_text, '') <> '' END) AS c, count(*) AS n FROM results GROUP BY source)
-  SELECT source, concat_ws(',', CASE WHEN n > 100000 THEN 'returned' END, CASE WHEN NOT c THEN 'result_content' END) AS failed_checks, CASE WHEN NOT c OR n > 100000 THEN 'contract_invalid' WHEN n = 0 THEN 'empty' ELSE 'valid' END AS status FROM r""")
+
+@query("validation_report", _ASKED + """, p AS (SELECT i, 's' || i AS source, i <> 9 AS page_source, i <> 10 AS page_trace, i <> 11 AS page_number, i <> 12 AS page_size, i <> 13 AS reported_total_nonnegative, i = 14 AS unreadable FROM range(60) AS g(i)),
+  c AS (SELECT source, bool_and(trim(id) <> '') AS result_ids, bool_and(result_source = source) AS result_sources, bool_and(trim(coalesce(summary, '')) <> '' OR trim(coalesce(thesis, '')) <> '' OR trim(coalesce(question, '')) <> '' OR trim(coalesce(full_text, '')) <> '') AS result_content, bool_and(endpoint IS NOT NULL) AS result_traces, count(*) AS returned FROM r GROUP BY source),
+  f AS (SELECT p.source, i, coalesce(returned, 0) AS returned, CASE WHEN unreadable THEN 'normalized_response' ELSE concat_ws(',', CASE WHEN NOT page_source THEN 'page_source' END, CASE WHEN NOT page_trace THEN 'page_trace' END, CASE WHEN NOT page_number THEN 'page_number' END, CASE WHEN NOT page_size THEN 'page_size' END, CASE WHEN NOT reported_total_nonnegative THEN 'reported_total_nonnegative' END,
+    CASE WHEN NOT result_ids THEN 'result_ids' END, CASE WHEN NOT result_sources THEN 'result_sources' END, CASE WHEN NOT result_content THEN 'result_content' END, CASE WHEN NOT result_traces THEN 'result_traces' END) END AS failed_checks FROM p LEFT JOIN c ON p.source = c.source)
+  SELECT source, returned, failed_checks, CASE WHEN failed_checks <> '' THEN 'contract_invalid' WHEN returned = 0 THEN 'empty' ELSE 'valid' END AS status FROM f WHERE i IN (SELECT arrival % 60 FROM results)""")
 def validation_report(spark, sf_dir):
-    results = view(spark, sf_dir, "results").withColumn("result_source", F.col("source"))
-    pages = results.groupBy("source").agg(F.count(F.lit(1)).alias("returned")).withColumns({"page": F.lit(1), "page_size": F.lit(100_000), "total": F.lit(None).cast("long"), "endpoint": F.lit("search")})
+    i, name = F.col("i"), F.concat(F.lit("s"), F.col("i"))
+    rows = view(spark, sf_dir, "results").withColumn("i", F.col("arrival") % 60)
+    pages = rows.select("i").distinct().select(
+        name.alias("source"), F.when(i == 9, "other").otherwise(name).alias("page_source"), F.when(i != 10, "search").alias("endpoint"), F.when(i == 11, 2).otherwise(1).alias("page"),
+        F.when(i == 12, 5).otherwise(10).alias("page_size"), F.when(i == 13, -1).when(i != 14, 99).alias("total"),
+    )
+    results = rows.filter(i != 8).select(
+        name.alias("source"), F.when((i == 4) & (F.col("arrival") % 7 == 0), " ").otherwise(F.col("id")).alias("id"), F.when(i == 5, "other").otherwise(name).alias("result_source"), F.when(i == 6, " ").otherwise(F.col("summary")).alias("summary"),
+        "thesis", "question", "full_text", F.when(i != 7, "search").alias("endpoint"),
+    )
     return quality.validation_report(pages, results, 10)
 
 
-_CONTRACT = with_views("capabilities") + """, c AS (SELECT *, CASE WHEN NOT (balance > 0) THEN 1 WHEN NOT (filters <> '') THEN 2 WHEN NOT (key % 2 = 0 OR key % 3 = 0) THEN 3 WHEN NOT (unified AND balance > 2000 AND category <> 'case_lookup') THEN 4 ELSE 5 END AS level,
-  CASE key % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk FROM capabilities)"""
+_CONTRACT = with_views("capabilities") + """, l AS (SELECT *, CASE WHEN key % 2 = 0 OR key % 3 = 0 OR (unified AND balance > 2000) THEN 4 WHEN filters <> '' AND key % 7 > 0 THEN 3 WHEN balance > 0 THEN 2 ELSE 1 END AS level FROM capabilities),
+  c AS (SELECT *, CASE WHEN key % 5 IN (0, 1) THEN 'alto' WHEN level >= 3 THEN 'medio' ELSE 'alto' END AS risk FROM l)"""
 
 
 def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     caps = view(spark, sf_dir, "capabilities")
     key, balance = F.col("key"), F.col("balance")
-    level = quality.contract_level(F.lit(True), balance > 0, F.col("filters") != "", F.lit(True), key % 2 == 0, key % 3 == 0, F.col("unified"), balance > 2000, F.col("category"))
-    words = F.when(key % 3 == 0, "exige captcha").when(key % 3 == 1, "instabilidade da sessão").otherwise("nenhuma")
-    return caps.withColumns({"level": level, "risk": quality.contract_risk(words)}).withColumn("maturity", quality.maturity(F.col("level")))
+    level = quality.contract_level(F.lit(True), balance > 0, F.col("filters") != "", key % 7 > 0, key % 2 == 0, key % 3 == 0, F.col("unified"), balance > 2000, F.col("category"))
+    words = F.when(key % 5 == 0, "exige CAPTCHA").when(key % 5 == 1, "há controle de acesso").when(key % 5 == 2, "pede login")
+    caps = caps.withColumn("level", level).withColumn("risk", quality.contract_risk(words, F.col("level")))
+    return caps.withColumn("maturity", quality.maturity(F.col("level")))
 
 
 @query("contract_level_risk", _CONTRACT + " SELECT source, level, risk, CASE WHEN level >= 5 THEN 'maduro' WHEN level >= 3 THEN 'intermediario' ELSE 'inicial' END AS maturity FROM c")
@@ -526,29 +571,46 @@ def filter_algebra(spark, sf_dir):
     return found.select("source", F.array_join("missing", ",").alias("missing"), F.array_join("undeclared", ",").alias("undeclared"))
 
 
-_SIGNALS = ", ".join(f"regexp_matches(lower(text), '{p}') AS {n}" for n, p in quality.LEGAL_SIGNALS.items())
+def _occurs(column: str, pattern: str) -> str:
+    """A pattern between Unicode word borders, for an engine whose borders are ASCII."""
+    inner = pattern.removeprefix("\\b").removesuffix("\\b")
+    return f"regexp_matches({column}, '(?i)(^|[^\\pL\\pN_])(?:{inner})($|[^\\pL\\pN_])')"
 
 
-@query("legal_signals", f"SELECT doc_id, {_SIGNALS} FROM documents")
+@query("legal_signals", with_views("notices") + " SELECT doc_id, " + ", ".join(f"{_occurs('lower(text)', p)} AS {n}" for n, p in probe.LEGAL_SIGNALS.items()) + " FROM notices")
 def legal_signals(spark, sf_dir):
-    found = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", quality.signals(F.col("text"), quality.LEGAL_SIGNALS).alias("s"))
-    return found.select("doc_id", *(F.col("s")[n].alias(n) for n in quality.LEGAL_SIGNALS))
+    found = view(spark, sf_dir, "notices").select("doc_id", probe.legal_signals(F.col("text")).alias("s"))
+    return found.select("doc_id", *(F.col("s")[n].alias(n) for n in probe.LEGAL_SIGNALS))
+
+
+_SHOWN = "CASE WHEN doc_id % 3 = 0 THEN 'Confirme: não sou um robô, verificação' WHEN doc_id % 3 = 1 THEN text ELSE 'just a moment' END"
+_ACCESS = with_views("notices") + f""", n AS (SELECT doc_id, lower(text) AS r, lower({_SHOWN}) AS v FROM notices), a AS (SELECT doc_id, r, v, {", ".join(f"{_occurs('v', p)} AS v_{n}, {_occurs('r', p)} AS r_{n}" for n, p in probe.ACCESS_SIGNALS.items())}, contains(v, 'just a moment') AS challenged FROM n)"""
+
 
+@query("access_signals", _ACCESS + """ SELECT doc_id, v_captcha OR contains(v, 'digite os números') AS captcha, v_recaptcha OR (r_recaptcha AND (contains(v, 'não sou um robô') OR v_captcha)) AS recaptcha, v_turnstile OR (r_turnstile AND challenged) AS turnstile, v_cloudflare OR (r_cloudflare AND challenged) AS cloudflare,
+  v_login AS login, v_anti_robot OR contains(r, 'antirrob') AS anti_robot, r_empty_session AS empty_session, r_access_denied AS access_denied, r_request_blocked AS request_blocked FROM a""")
+def access_signals(spark, sf_dir):
+    rows = view(spark, sf_dir, "notices").withColumn("visible", F.expr(_SHOWN))
+    found = rows.select("doc_id", probe.access_signals(F.col("text"), F.col("visible")).alias("s"))
+    return found.select("doc_id", *(F.col("s")[n].alias(n) for n in probe.ACCESS_SIGNALS))
 
-_PROBE = with_views("captures") + """, f AS (SELECT page_id, code, contains(lower(body), '<table') AS structured, page_id % 2 = 0 AS legal, contains(body, 'page=') AS paged, contains(body, '.pdf') AS pdf, page_id % 5 > 0 AS expected, contains(lower(body), 'login') AS access, page_id * 37 % 4000 AS ms, page_id % 7 > 0 AS complete FROM captures),
-  s AS (SELECT *, greatest(0, (code BETWEEN 200 AND 299)::INT + 3 * structured::INT + 3 * legal::INT + 2 * paged::INT + 2 * pdf::INT + 2 * expected::INT + (NOT access)::INT + (ms <= 2500)::INT - 4 * access::INT - CASE WHEN code = 404 THEN 4 WHEN code >= 400 THEN 3 ELSE 0 END - 2 * (NOT legal AND NOT structured)::INT - 3 * (NOT complete)::INT) AS score FROM f)"""
 
+_PROBE = with_views("notices") + f""", t AS (SELECT *, lower(text) AS low, regexp_replace(text, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS bare FROM notices),
+  f AS (SELECT doc_id, code, elapsed_ms, response_complete AND NOT content_truncated AS whole, transport_status = 'complete' AS carried, CASE WHEN expected IS NOT NULL THEN contains(text, expected) END AS expected,
+    {" OR ".join(_occurs("low", p) for p in probe.LEGAL_SIGNALS.values())} AS legal, {_occurs("low", probe.LEGAL_SIGNALS["full_text"])} OR content_type = 'application/pdf' AS document,
+    content_type IN ('application/json', 'text/xml') OR (starts_with(bare, '{{') AND ends_with(bare, '}}')) OR (starts_with(bare, '[') AND ends_with(bare, ']')) AS structured, {" OR ".join(_occurs("low", p) for p in probe.PAGINATION)} AS paged,
+    {" OR ".join(_occurs("low", p) for p in probe.ACCESS_SIGNALS.values())} OR contains(low, 'digite os números') OR contains(low, 'antirrob') AS access FROM t),
+  s AS (SELECT *, greatest(0, (code = 200)::INT + 3 * structured::INT + 3 * legal::INT + 2 * paged::INT + 2 * document::INT + 2 * coalesce(expected, FALSE)::INT + CASE WHEN access THEN -4 ELSE 1 END + (elapsed_ms <= 2500)::INT
+    - CASE code WHEN 404 THEN 4 WHEN 503 THEN 3 ELSE 0 END - 2 * (NOT legal AND NOT structured)::INT - 3 * (NOT whole OR NOT carried)::INT) AS score,
+    CASE WHEN code = 404 THEN 'not_found' WHEN access THEN 'access_control_or_login' WHEN code = 503 THEN 'source_unavailable' WHEN NOT whole THEN 'partial_response' WHEN NOT coalesce(expected, TRUE) THEN 'candidate' WHEN legal OR structured THEN 'live_valid' ELSE 'candidate' END AS status FROM f)"""
 
-@query("route_score_grade", _PROBE + """ SELECT page_id, score, CASE WHEN score >= 8 THEN 'A' WHEN score >= 5 THEN 'B' WHEN score >= 2 THEN 'C' ELSE 'D' END AS grade,
-  CASE WHEN code = 404 THEN 'not_found' WHEN access THEN 'access_control' WHEN code >= 400 THEN 'http_error' WHEN NOT complete THEN 'partial' WHEN NOT expected THEN 'expected_missing' WHEN legal OR structured THEN 'live_valid' ELSE 'candidate' END AS status FROM s""")
+
+@query("route_score_grade", _PROBE + """ SELECT doc_id, score, CASE WHEN score >= 8 THEN 'A' WHEN score >= 5 THEN 'B' WHEN score >= 2 THEN 'C' ELSE 'D' END AS grade, status,
+  CASE status WHEN 'live_valid' THEN CASE WHEN score >= 8 THEN 'Promover' ELSE 'Manter' END WHEN 'candidate' THEN 'Investigar' WHEN 'partial_response' THEN 'Resposta' WHEN 'access_control_or_login' THEN 'Documentar' WHEN 'not_found' THEN 'Descartar' ELSE 'Registrar' END AS advice FROM s""")
 def route_score_grade(spark, sf_dir):
-    body, i = F.col("body"), F.col("page_id")
-    f = view(spark, sf_dir, "captures").select(
-        "page_id", "code", *flags(structured=F.lower(body).contains("<table"), legal=i % 2 == 0, paged=body.contains("page="), pdf=body.contains(".pdf"), expected=i % 5 > 0, access=F.lower(body).contains("login"), ms=i * 37 % 4000, complete=i % 7 > 0)
-    )
-    c = F.col
-    score = quality.route_score(c("code"), c("structured"), c("legal"), c("paged"), c("pdf"), c("expected"), c("access"), c("ms"), c("complete"))
-    return f.select("page_id", score.alias("score"), quality.route_grade(score).alias("grade"), quality.route_status(c("code"), c("access"), c("complete"), c("expected"), c("legal"), c("structured")).alias("status"))
+    rows = view(spark, sf_dir, "notices").withColumns({"visible": F.col("text"), "expected_texts": F.array_compact(F.array("expected"))})
+    read = probe.analyze(rows)
+    return read.select("doc_id", "score", F.col("quality_grade").alias("grade"), F.col("route_status").alias("status"), F.split_part("recommendation", F.lit(" "), F.lit(1)).alias("advice"))
 
 
 @query("content_type_detect", with_views("captures") + " SELECT page_id, CASE WHEN header = 'text/html; charset=utf-8' THEN 'text/html' WHEN regexp_matches(lower(substr(body, 1, 4096)), '<html|<!doctype html') THEN 'text/html' ELSE 'text/plain' END AS content_type, CAST(strlen(body) AS INT) AS byte_size, sha256(body) AS content_sha256 FROM captures")
@@ -625,10 +687,17 @@ def json_records_reader(spark, sf_dir):
     return rows.select("event_id", F.regexp_replace("record", r'":(?=\S)', '": ').alias("record"), F.get_json_object("record", "$.k").alias("k"))
 
 
-@query("redact_map", "SELECT event_id, json_extract_string(props, '$.k') AS k, '<redacted>' AS token FROM events")
+_LONG = "repeat('x', CAST(500 + event_id % 30 AS INT))"
+
+
+@query("redact_map", f"""SELECT event_id, CASE event_id % 8 WHEN 0 THEN '<redacted>' WHEN 1 THEN '<redacted>' WHEN 2 THEN '<redacted>' WHEN 3 THEN '<redacted>' WHEN 4 THEN '<redacted>' ELSE v END AS value, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 30 > 12 THEN '<redacted-text>' ELSE {_LONG} END WHEN event_id % 3 = 1 THEN '{{"a": [{{"Session-Id": "<redacted>", "k": ' || event_id || '}}]}}' END AS payload,
+  CASE WHEN event_id % 2 = 0 THEN '<redacted-bytes>' END AS body FROM (SELECT event_id, CASE event_id % 8 WHEN 5 THEN repeat('ã', 4096) || '…<truncated>' ELSE json_extract_string(props, '$.k') END AS v FROM events)""")
 def redact_map(spark, sf_dir):
-    made = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("Access_Token"), F.lit("abc"))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", quality.redact_map(made).alias("m")).select("event_id", F.col("m")["k"].alias("k"), F.col("m")["Access_Token"].alias("token"))
+    key = F.element_at(F.array(*map(F.lit, ["X-Api-Key", "Set-Cookie", "passwd", "ACCESS_TOKEN", "my.session", "long", "senha", "pass"])), (F.col("event_id") % 8 + 1).cast("int"))
+    value = F.when(F.col("event_id") % 8 == 5, F.repeat(F.lit("ã"), 4097)).otherwise(F.get_json_object("props", "$.k"))
+    payload = F.when(F.col("event_id") % 3 == 0, F.expr(_LONG)).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"a":[{"Session-Id":{"x":1},"k":'), "event_id", F.lit("}]}")))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumns({"key": key, "payload": quality.redact_payload(payload), "body": quality.redact_bytes(F.when(F.col("event_id") % 2 == 0, F.lit(b"x")))})
+    return events.select("event_id", quality.redact_map(F.create_map("key", value))[F.col("key")].alias("value"), "payload", "body")
 
 
 # --- exports

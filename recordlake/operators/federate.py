@@ -72,9 +72,9 @@ def route_sources(capabilities: DataFrame, identifiers: list[str], refinements:
     asked = F.array(*map(F.lit, identifiers)).cast("array<string>")
     missing = F.array_except(asked, supported)
     reason = (
-        F.when(~F.col("unified"), "not_unified").when(F.col("category") == "case_lookup", "case_lookup")
-        .when((F.size(supported) > 0) & (F.size(missing) > 0), "unsupported_identifier").when(F.col("category") == "communications", "communications")
-        .when(~F.col("category").isin(categories), "category_not_included")
+        F.when(~F.col("unified"), "unified_search_not_supported").when(F.col("category") == "case_lookup", "outside_jurisprudence_scope")
+        .when((F.size(supported) > 0) & (F.size(missing) > 0), "identifier_filter_not_supported").when(F.col("category") == "judicial_communications", "not_jurisprudence_source")
+        .when(~F.col("category").isin(categories), "category_not_applicable")
     )
     wanted = F.array(*map(F.lit, refinements)).cast("array<string>")
     extra = F.array_except(wanted, supported)
@@ -96,15 +96,23 @@ def default_sources(capabilities: DataFrame, categories: list[str]) -> DataFrame
     return capabilities.filter(F.col("unified") & F.col("category").isin(categories)).select("source").orderBy("source")
 
 
-def source_status(sources: DataFrame, events: DataFrame) -> DataFrame:
-    """Status of each source by precedence: skipped, ssl_error, failed, empty, partial, unknown, ok."""
-    joined = sources.join(events, "source", "left")
-    error = F.lower(F.coalesce("error", F.lit("")))
+def source_status(routing: DataFrame, completeness: DataFrame, errors: DataFrame, counts: DataFrame) -> DataFrame:
+    """Status of each routed source, and of those that have results without being routed.
+
+    ``routing`` (source, action), ``completeness`` (source, returned, reported_total, is_complete), ``errors`` (source,
+    error) and ``counts`` (source, n: results) have a row a source. An error comes first, then a skip, then what is
+    known to be incomplete, of unknown completeness, or completely empty.
+    """
+    known = completeness.select("source", F.col("returned").alias("__returned"), "reported_total", "is_complete", F.lit(True).alias("__known"))
+    joined = routing.join(known, "source", "left").join(errors, "source", "left").join(counts, "source", "full")
+    returned = F.when(F.col("__known"), F.coalesce("__returned", F.lit(0))).otherwise(F.coalesce("n", F.lit(0)))
+    error, known = F.lower(F.col("error")), F.coalesce("__known", F.lit(False))
     status = (
-        F.when(F.col("skipped"), "skipped").when(error.contains("ssl") | error.contains("certificate"), "ssl_error").when(error != "", "failed")
-        .when(F.coalesce("returned", F.lit(0)) == 0, "empty").when(~F.col("is_complete"), "partial").when(F.col("is_complete").isNull(), "unknown").otherwise("ok")
+        F.when(F.col("action").isNull(), "ok").when(error.isNotNull(), F.when(error.rlike("ssl|certificate|tls"), "ssl_error").otherwise("failed")).when(F.col("action") == "failed", "failed")
+        .when(F.col("action") == "skipped", "skipped").when(~F.col("is_complete"), "partial").when(F.col("is_complete").isNull() & known, "unknown")
+        .when(known & (returned == 0) & (F.col("reported_total") == 0), "empty").when(F.col("action") == "searched", "ok").otherwise("unknown")
     )
-    return joined.withColumn("status", status)
+    return joined.select("source", status.alias("status"), returned.cast("long").alias("count"), "reported_total", "is_complete")
 
 
 def fit_remote_page(page: Column, size: Column) -> Column:

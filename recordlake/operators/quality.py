@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-#: Legal and access signals as patterns over lower-cased text (fixed values).
-LEGAL_SIGNALS = {
-    "acordao": "ac[oó]rd[aã]o", "ementa": "ementa", "relator": "relator", "processo": "processo", "julgamento": "julgamento",
-    "jurisprudencia": "jurisprud[eê]ncia", "tribunal": "tribunal", "decisao": "decis[aã]o", "sumula": "s[uú]mula",
-}
-ACCESS_SIGNALS = {
-    "captcha": "captcha", "login": "login|entrar", "forbidden": "forbidden|acesso negado", "cloudflare": "cloudflare", "rate_limit": "too many requests|rate limit",
-    "javascript": "enable javascript|habilite o javascript", "waf": "web application firewall|request rejected", "session": "sess[aã]o expirada|session expired", "unavailable": "temporariamente indispon|service unavailable",
+from pyspark.sql.types import StringType
+
+# What the names of hidden keys hold, and the marks of hidden and cut values.
+SECRET_WORDS = ("authorization", "cookie", "password", "passwd", "secret", "token", "session", "api_key", "apikey")
+HIDDEN, HIDDEN_BYTES, HIDDEN_TEXT, CUT = "<redacted>", "<redacted-bytes>", "<redacted-text>", "…<truncated>"
+#: Status by the class of the error that ended a request.
+HEALTH_OF_ERROR = {
+    "AccessControlRequiredError": "blocked", "RateLimitDetectedError": "rate_limited", "ParserContractChangedError": "source_changed",
+    "NetworkConfigurationError": "source_unavailable", "SourceUnavailableError": "source_unavailable", "TimeoutError": "timeout",
 }
+VALIDATION_OF_ERROR = HEALTH_OF_ERROR | {"QueryRejectedError": "query_rejected", "UnsupportedQueryError": "unsupported_query"}
 
 
 def access_of_status(code: Column) -> Column:
@@ -25,28 +28,20 @@ def access_of_status(code: Column) -> Column:
     )
 
 
-def discovery_of_status(code: Column, transport: Column) -> Column:
-    """Discovery status: a transport failure first, then the status code."""
-    return (
-        F.when(transport == "timeout", "timeout").when(transport == "tls", "tls_verification_failed").when(transport.isNotNull(), "transport_error")
-        .when(code == 404, "not_found").when(code.isin(401, 403), "access_control").when(code == 429, "rate_limited").when(code >= 500, "source_unavailable").when(code >= 400, "client_error").when(code >= 300, "redirected").otherwise("observed")
-    )
-
-
-def classify_error(message: Column) -> Column:
-    low = F.lower(message)
-    return F.when(low.contains("proxy"), "proxy_error").when(low.contains("ssl") | low.contains("certificate"), "ssl_error").otherwise(F.split_part(message, F.lit(":"), F.lit(1)))
+def _proxy_failed(chain: Column) -> Column:
+    low = F.lower(F.coalesce(chain, F.lit("")))
+    return low.contains("proxyerror") | low.contains("unable to connect to proxy")
 
 
-def signals(text: Column, patterns: dict[str, str]) -> Column:
-    """Map of each signal to whether its pattern occurs."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.create_map(*(x for name, p in patterns.items() for x in (F.lit(name), low.rlike(p))))
+def _certificate_failed(chain: Column) -> Column:
+    low = F.lower(F.coalesce(chain, F.lit("")))
+    return low.contains("ssl") & (low.contains("certificate") | low.contains("certificado"))
 
 
-def signal_count(text: Column, patterns: dict[str, str]) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return reduce(lambda a, b: a + b, (low.rlike(p).cast("int") for p in patterns.values()))
+def classify_error(kind: Column, chain: Column) -> Column:
+    """Type of an error by the messages of its chain, else its class; null without an error."""
+    named = F.when(_proxy_failed(chain), "NetworkConfigurationError").when(_certificate_failed(chain), "SslVerificationError").otherwise(kind)
+    return F.when(kind.isNotNull(), named)
 
 
 def blocked(text: Column, challenge: str, result: str | None) -> Column:
@@ -55,79 +50,68 @@ def blocked(text: Column, challenge: str, result: str | None) -> Column:
     return found if result is None else found & ~F.lower(text).rlike(result)
 
 
-def route_score(code: Column, structured: Column, legal: Column, pagination: Column, full_text: Column, expected: Column, access: Column, elapsed_ms: Column, complete: Column) -> Column:
-    """Score of a probed route from its features, not below 0."""
-    b = lambda test, points: F.when(test, points).otherwise(0)
-    score = (
-        b((code >= 200) & (code < 300), 1) + b(structured, 3) + b(legal, 3) + b(pagination, 2) + b(full_text, 2) + b(expected, 2) + b(~access, 1) + b(elapsed_ms <= 2500, 1)
-        - b(access, 4) - F.when(code == 404, 4).when(code >= 400, 3).otherwise(0) - b(~legal & ~structured, 2) - b(~complete, 3)
-    )
-    return F.greatest(score, F.lit(0))
-
-
-def route_grade(score: Column) -> Column:
-    return F.when(score >= 8, "A").when(score >= 5, "B").when(score >= 2, "C").otherwise("D")
-
-
-def route_status(code: Column, access: Column, complete: Column, expected: Column, legal: Column, structured: Column) -> Column:
-    return (
-        F.when(code == 404, "not_found").when(access, "access_control").when(code >= 400, "http_error").when(~complete, "partial")
-        .when(~expected, "expected_missing").when(legal | structured, "live_valid").otherwise("candidate")
-    )
-
-
 def mixed_status(df: DataFrame, group: str, status: str) -> DataFrame:
     """Per group the one status there is, ``mixed`` for several, null for none."""
     return df.groupBy(group).agg(F.when(F.count(status) == 0, F.lit(None)).when(F.min(status) == F.max(status), F.min(status)).otherwise("mixed").alias("status"))
 
 
 def full_text_status(df: DataFrame, group: str, text: str, url: str) -> DataFrame:
-    has = F.coalesce(F.col(text), F.lit("")) != ""
-    some_url = F.max(F.coalesce(F.col(url), F.lit("")) != "")
-    return df.groupBy(group).agg(F.when(F.min(has), "returned").when(some_url, "document_available").when(F.max(has), "partially_returned").otherwise("not_returned").alias("full_text_status"))
+    """Per group: all texts are there, some result names a document, or neither."""
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    return df.groupBy(group).agg(F.when(F.bool_and(filled(text)), "returned").when(F.bool_or(filled(url)), "document_available").otherwise("not_returned").alias("full_text_status"))
 
 
 def status_counts(df: DataFrame, status: str) -> DataFrame:
     return df.groupBy(status).agg(F.count(F.lit(1)).alias("n")).orderBy(status)
 
 
-def validation_report(pages: DataFrame, results: DataFrame, requested_size: int) -> DataFrame:
-    """Per source: failed page and result checks, and valid, empty or contract_invalid."""
-    page_checks = {
-        "page_number": F.col("page") >= 1, "page_size": F.col("page_size") >= requested_size, "total": F.coalesce(F.col("total") >= 0, F.lit(True)),
-        "returned": F.col("returned") <= F.col("page_size"), "trace": F.col("endpoint").isNotNull(),
-    }
-    result_checks = {
-        "result_id": F.coalesce(F.col("id"), F.lit("")) != "", "result_source": F.col("result_source") == F.col("source"),
-        "result_content": F.coalesce(F.col("summary"), F.col("full_text"), F.lit("")) != "", "result_type": F.col("type").isNotNull(),
-    }
-    by_page = pages.groupBy("source").agg(F.sum("returned").alias("rows"), *(F.bool_and(c).alias(n) for n, c in page_checks.items()))
-    by_result = results.groupBy("source").agg(*(F.bool_and(c).alias(n) for n, c in result_checks.items()))
-    names = [*page_checks, *result_checks]
-    failed = F.array_join(F.array_compact(F.array(*(F.when(~F.coalesce(F.col(n), F.lit(True)), F.lit(n)) for n in names))), ",")
-    joined = by_page.join(by_result, "source", "left").withColumn("failed_checks", failed)
-    return joined.select("source", "failed_checks", F.when(F.col("failed_checks") != "", "contract_invalid").when(F.col("rows") == 0, "empty").otherwise("valid").alias("status"))
-
-
-def health(code: Column, returned: Column, error: Column) -> Column:
-    return (
-        F.when(error.contains("timeout"), "timeout").when(error.isNotNull(), "error").when(code == 429, "rate_limited").when(code.isin(401, 403), "blocked")
-        .when(code >= 500, "unavailable").when(returned == 0, "empty").when(code < 300, "healthy").otherwise("degraded")
-    )
+#: Checks of a page and of its results, in the order in which failures are listed.
+PAGE_CHECKS = ("page_source", "page_trace", "page_number", "page_size", "reported_total_nonnegative")
+RESULT_CHECKS = ("result_ids", "result_sources", "result_content", "result_traces")
+
+
+def validation_report(pages: DataFrame, results: DataFrame, requested_size: int, errors: DataFrame | None = None) -> DataFrame:
+    """Per source asked: failed checks of its first page and results, and valid, empty, contract_invalid or what failed.
+
+    ``pages`` (source, page_source, page, page_size, total, endpoint) has a row a source; ``results`` (source, id,
+    result_source, summary, thesis, question, full_text, endpoint) are checked where there are any. A missing page
+    size or total can't be read as an answer at all. ``errors`` (source, kind, chain) are those of sources without a page.
+    """
+    filled = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != ""
+    page_tests = [F.col("page_source") == F.col("source"), F.col("endpoint").isNotNull(), F.col("page") == 1, F.col("page_size") >= requested_size, F.col("total") >= 0]
+    result_tests = [filled("id"), F.col("result_source") == F.col("source"), reduce(lambda a, b: a | b, map(filled, ("summary", "thesis", "question", "full_text"))), F.col("endpoint").isNotNull()]
+    checked = pages.select("source", *(F.coalesce(t, F.lit(False)).alias(n) for n, t in zip(PAGE_CHECKS, page_tests, strict=True)), (F.col("page_size").isNull() | F.col("total").isNull()).alias("unreadable"))
+    found = results.groupBy("source").agg(*(F.bool_and(F.coalesce(t, F.lit(False))).alias(n) for n, t in zip(RESULT_CHECKS, result_tests, strict=True)), F.count(F.lit(1)).alias("returned"))
+    joined = checked.join(found, "source", "left")
+    failed = F.array_compact(F.array(*(F.when(~F.coalesce(F.col(n), F.lit(True)), F.lit(n)) for n in (*PAGE_CHECKS, *RESULT_CHECKS))))
+    listed = F.when(F.col("unreadable"), "normalized_response").otherwise(F.array_join(failed, ","))
+    report = joined.select("source", F.coalesce("returned", F.lit(0)).alias("returned"), listed.alias("failed_checks"))
+    report = report.withColumn("status", F.when(F.col("failed_checks") != "", "contract_invalid").when(F.col("returned") == 0, "empty").otherwise("valid"))
+    if errors is None:
+        return report
+    broken = errors.select("source", F.lit(0).cast("long").alias("returned"), F.lit("").alias("failed_checks"), validation_of_error(F.col("kind"), F.col("chain")).alias("status"))
+    return report.unionByName(broken.join(pages, "source", "left_anti"))
+
+
+def validation_of_error(kind: Column, chain: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for pair in VALIDATION_OF_ERROR.items() for x in pair))
+    return F.when(_proxy_failed(chain), "network_configuration").when(_certificate_failed(chain), "tls_verification_failed").otherwise(F.coalesce(known[kind], F.lit("error")))
+
+
+def health(returned: Column, kind: Column) -> Column:
+    """healthy or empty by what a source returned, or what the class of its error says."""
+    known = F.create_map(*(F.lit(x) for pair in HEALTH_OF_ERROR.items() for x in pair))
+    return F.when(kind.isNotNull(), F.coalesce(known[kind], F.lit("error"))).when(returned > 0, "healthy").otherwise("empty")
 
 
 def contract_level(records: Column, fields: Column, endpoints: Column, limitations: Column, full_text: Column, catalog: Column, live_tests: Column, responsible_use: Column, category: Column) -> Column:
-    """Level 1 to 5: each needs the one before; case look-ups stop at 4."""
-    two = records & fields
-    three = two & endpoints & limitations
-    four = three & (full_text | catalog)
-    five = four & live_tests & responsible_use & (category != "case_lookup")
-    return F.when(five, 5).when(four, 4).when(three, 3).when(two, 2).otherwise(1)
+    """Level 1 to 4 by the highest rule that holds, whatever the lower ones say; level 5 is only ever granted by hand."""
+    return F.when(full_text | catalog | (live_tests & responsible_use), 4).when(endpoints & limitations, 3).when(records & fields, 2).otherwise(1)
 
 
-def contract_risk(limitations: Column) -> Column:
+def contract_risk(limitations: Column, level: Column) -> Column:
     low = F.lower(F.coalesce(limitations, F.lit("")))
-    return F.when(low.rlike("captcha|login|waf|bloque"), "high").when(low.rlike("instab|session|sess|limit|timeout"), "medium").otherwise("low")
+    return F.when(low.contains("captcha") | low.contains("controle de acesso"), "alto").when(level >= 5, "baixo").when(level >= 3, "medio").otherwise("alto")
 
 
 def maturity(level: Column) -> Column:
@@ -160,10 +144,47 @@ def page_echo(requested: Column, reported: Column, extraction: Column) -> Column
     return F.when(reported.isNotNull() & (reported != requested), "source_changed").otherwise(extraction)
 
 
+def secret_key(key: Column) -> Column:
+    plain = F.replace(F.lower(key), F.lit("-"), F.lit("_"))
+    return reduce(lambda a, b: a | b, (plain.contains(w) for w in SECRET_WORDS))
+
+
 def redact_map(c: Column) -> Column:
     """Values of secret-named keys hidden, long values cut."""
-    secret = "(?i)(pass|senha|secret|token|cookie|authorization|api[_-]?key|session)"
-    return F.transform_values(c, lambda k, v: F.when(k.rlike(secret), F.lit("<redacted>")).when(F.length(v) > 4096, F.concat(F.substring(v, 1, 4096), F.lit("…"))).otherwise(v))
+    return F.transform_values(c, lambda k, v: F.when(secret_key(k), HIDDEN).when(F.length(v) > 4096, F.concat(F.substring(v, 1, 4096), F.lit(CUT))).otherwise(v))
+
+
+def redact_headers(c: Column) -> Column:
+    """Values of secret-named headers hidden; others stay whole."""
+    return F.transform_values(c, lambda k, v: F.when(secret_key(k), HIDDEN).otherwise(v))
+
+
+def _redacted(value, hide: bool = False):
+    """A parsed JSON value with secrets hidden at every depth."""
+    if hide:
+        return HIDDEN
+    if isinstance(value, dict):
+        return {k: _redacted(v, any(w in k.lower().replace("-", "_") for w in SECRET_WORDS)) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_redacted(v) for v in value]
+    return value[:4096] + CUT if isinstance(value, str) and len(value) > 4096 else value
+
+
+@F.pandas_udf(StringType())
+def redact_payload(payloads: pd.Series) -> pd.Series:
+    """A request's body: JSON with secrets hidden at every depth; other text hidden if it has over 512 characters."""
+
+    def one(text):
+        try:
+            return None if text is None else json.dumps(_redacted(json.loads(text)), ensure_ascii=False)
+        except ValueError:
+            return HIDDEN_TEXT if len(text) > 512 else text
+
+    return payloads.map(one, na_action="ignore")
+
+
+def redact_bytes(c: Column) -> Column:
+    return F.when(c.isNotNull(), HIDDEN_BYTES)
 
 
 def allowed_url(url: Column, hosts: list[str]) -> Column:

@@ -23,15 +23,21 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     }),
     "links": ("lineitem", {"run_id": "concat('run-', l_suppkey % 7)", "canonical_key": "concat('r', l_orderkey)", "position": "l_orderkey * 10 + l_linenumber", "linenumber": "l_linenumber"}),
     "capabilities": ("supplier JOIN nation ON s_nationkey = n_nationkey", {
-        "source": "concat('s', s_suppkey)", "category": "CASE s_nationkey % 6 WHEN 0 THEN 'case_lookup' WHEN 1 THEN 'communications' WHEN 2 THEN 'court_catalog' ELSE 'court_jurisprudence' END", "unified": "s_suppkey % 5 <> 0",
+        "source": "concat('s', s_suppkey)", "category": "CASE s_nationkey % 6 WHEN 0 THEN 'case_lookup' WHEN 1 THEN 'judicial_communications' WHEN 2 THEN 'court_catalog' ELSE 'court_jurisprudence' END", "unified": "s_suppkey % 5 <> 0",
         "filters": "CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'number,text' WHEN 2 THEN 'text,courts' ELSE 'number,text,courts,types' END", "nation": "n_name", "key": "s_suppkey", "balance": "CAST(floor(s_acctbal) AS BIGINT)",
     }),
     "evidence": ("events", {
         "seq": "event_id", "run": "user_id % 20", "status": "event_type", "bytes": "CAST(floor(abs(value)) AS BIGINT)", "source": "concat('s', 1 + user_id % 10)", "props": "props",
-        "code": "CASE event_id % 9 WHEN 0 THEN 404 WHEN 1 THEN 401 WHEN 2 THEN 403 WHEN 3 THEN 429 WHEN 4 THEN 503 WHEN 5 THEN 302 WHEN 6 THEN 418 ELSE 200 END",
-        "error": "CASE event_id % 6 WHEN 0 THEN 'ProxyError: via Proxy' WHEN 1 THEN 'SSLError: bad' WHEN 2 THEN 'ConnectionError: certificate verify failed' WHEN 3 THEN 'ReadTimeout: slow' END",
+        "code": "CASE event_id % 13 WHEN 0 THEN 404 WHEN 1 THEN 401 WHEN 2 THEN 403 WHEN 3 THEN 429 WHEN 4 THEN 503 WHEN 5 THEN 302 WHEN 6 THEN 418 WHEN 7 THEN 407 WHEN 8 THEN 451 WHEN 9 THEN 500 ELSE 200 END",
+        "kind": "CASE event_id % 12 WHEN 0 THEN 'ConnectionError' WHEN 1 THEN 'SSLError' WHEN 2 THEN 'ConnectionError' WHEN 3 THEN 'TimeoutError' WHEN 4 THEN 'AccessControlRequiredError' WHEN 5 THEN 'RateLimitDetectedError' WHEN 6 THEN 'ParserContractChangedError' WHEN 7 THEN 'SourceUnavailableError' WHEN 8 THEN 'QueryRejectedError' WHEN 9 THEN 'ConnectionError' END",
+        "chain": "CASE event_id % 12 WHEN 0 THEN 'Max retries exceeded | ProxyError(refused)' WHEN 1 THEN 'SSL handshake: bad record' WHEN 2 THEN '[SSL: CERTIFICATE_VERIFY_FAILED] certificate verify failed' WHEN 3 THEN 'read timed out' WHEN 4 THEN 'captcha' WHEN 5 THEN '429' WHEN 6 THEN 'no container' WHEN 7 THEN 'Unable to connect to proxy' WHEN 8 THEN 'bad word' WHEN 9 THEN 'certificado ausente' END",
     }),
     "captures": ("pages", {"url": "url", "body": "html", "page_id": "page_id", "code": "CASE page_id % 6 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 301 ELSE 200 END", "header": "CASE page_id % 3 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN '' END"}),
+    "notices": ("documents", {
+        "doc_id": "doc_id", "code": "CASE doc_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN 302 ELSE 200 END", "content_type": "CASE doc_id % 5 WHEN 0 THEN 'application/json' WHEN 1 THEN 'text/xml' WHEN 2 THEN 'application/pdf' ELSE 'text/plain' END",
+        "text": "concat(coalesce(text, ''), ' ', CASE doc_id % 27 WHEN 0 THEN 'nº 0001234-56.2020.8.26.0100.' WHEN 1 THEN 'ACÓRDÃO' WHEN 2 THEN 'Ementas' WHEN 3 THEN 'ementa:' WHEN 4 THEN 'Jurisprudência' WHEN 5 THEN 'relatora' WHEN 6 THEN 'relatório' WHEN 7 THEN 'Órgão julgador' WHEN 8 THEN 'sentença' WHEN 9 THEN 'açãoementa' WHEN 10 THEN 'súmula' WHEN 11 THEN 'inteiro teor' WHEN 12 THEN 'captcha' WHEN 13 THEN 'g-recaptcha' WHEN 14 THEN 'Cloudflare' WHEN 15 THEN 'Faça login' WHEN 16 THEN 'antirrobô' WHEN 17 THEN 'sessão expirada' WHEN 18 THEN 'acesso negado' WHEN 19 THEN 'Request blocked' WHEN 20 THEN 'digite os números' WHEN 21 THEN 'Resultados 1 a 10 de 95' WHEN 22 THEN 'próxima' WHEN 23 THEN 'página 3' WHEN 24 THEN 'trocaDePagina' WHEN 25 THEN 'recapitulação' ELSE 'turnstile, just a moment' END)",
+        "elapsed_ms": "doc_id * 37 % 4000", "response_complete": "doc_id % 11 <> 0", "content_truncated": "doc_id % 17 = 0", "transport_status": "CASE WHEN doc_id % 19 = 0 THEN 'partial_read_error' ELSE 'complete' END", "expected": "CASE doc_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'absent from every page' END",
+    }),
     "manifest": ("part", {
         "source": "p_brand", "resource_id": "p_partkey", "fingerprint": "concat(p_size, '-', CAST(floor(p_retailprice) AS BIGINT))", "status": "CASE WHEN p_partkey % 3 = 0 THEN 'failed' ELSE 'complete' END", "name": "p_name", "size": "p_size",
     }),

@@ -58,13 +58,13 @@ def test_markdown_pages_are_bounded_and_in_order(spark):
 
 def test_source_status_reads_all_evidence(spark, tables):
     path = tables(
-        supplier=("s_suppkey long, s_nationkey int, s_acctbal double", [(k, 0, 1.0) for k in (1, 2, 3, 4, 5)]),
+        supplier=("s_suppkey long, s_nationkey int, s_acctbal double", [(k, 0, 1.0) for k in (1, 2, 3, 4, 5, 9)]),
         nation=("n_nationkey int, n_name string", [(0, "N")]),
-        events=("event_id long, user_id long, event_type string, value double, props string", [(e, u, "x", 1.0, "{}") for e, u in ((10, 0), (11, 1), (16, 1), (51, 2), (55, 2), (57, 2))]),
+        events=("event_id long, user_id long, event_type string, value double, props string", [(e, u, t, v, "{}") for e, u, t, v in ((10, 1, "view", 1.0), (11, 1, "view", 2.0), (22, 4, "error", 1.0), (12, 3, "view", 1.0), (2, 3, "error", 1.0), (23, 2, "view", 3.0), (34, 2, "view", 2.0))]),
     )
-    status = {r["source"]: r["status"] for r in catalog.QUERIES["source_status_view"](spark, path).collect()}
-    # event 10, 11, 16: no error; 51: timeout, 55: SSL, 57: timeout; s4 has no evidence; s5 isn't unified
-    assert status == {"s1": "ok", "s2": "partial", "s3": "ssl_error", "s4": "empty", "s5": "skipped"}
+    status = {r["source"]: (r["status"], r["count"]) for r in catalog.QUERIES["source_status_view"](spark, path).collect()}
+    # s1 failed by its routing; s2 is complete; s3 isn't routed but has rows; s4's last error names a certificate; s5 is incomplete; s9 is skipped
+    assert status == {"s1": ("failed", 0), "s2": ("ok", 2), "s3": ("ok", 2), "s4": ("ssl_error", 2), "s5": ("partial", 1), "s9": ("skipped", 0)}
 
 
 @pytest.mark.parametrize("name", ["upsert_two_keys", "upsert_conflicts"])
