@@ -629,11 +629,6 @@ def html_title(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", html.title(F.col("html")).alias("title"))
 
 
-@query("html_links", "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"[^\"]+\"')) AS a FROM pages) GROUP BY page_id")
-def html_links(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.size(html.links(F.col("html"))).cast("long").alias("n")).filter("n > 0")
-
-
 @query("html_visible_text")
 def html_visible_text(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", html.visible_text(F.col("html")).alias("text"))
@@ -644,11 +639,6 @@ def form_fields(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode_outer(html.form_fields(F.col("html"))).alias("f")).select("page_id", "f.*")
 
 
-@query("selector_candidates")
-def selector_candidates(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.posexplode(html.signatures(F.col("html"))).alias("position", "s")).select("page_id", "position", "s.selector", "s.tag", "s.text", "s.depth")
-
-
 @query("node_similarity")
 def node_similarity(spark, sf_dir):
     nodes = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc"), F.posexplode(html.signatures(F.col("html"))).alias("position", "signature")).withColumn("depth", F.col("signature.depth"))
@@ -1038,3 +1028,6 @@ def export_run(spark, sf_dir):
     kind = F.col("kind")
     rows = view(spark, sf_dir, "records").select("id", "source", "court", F.when(kind == "document", "pdf").alias("document_type"), F.when(kind == "precedent", "sumula").when(kind == "document", "x").alias("precedent_type"))
     return export.run_rows(rows)
+
+
+from recordlake import catalog_pages  # noqa: E402, F401 (its queries join these)

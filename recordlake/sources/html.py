@@ -1,146 +1,73 @@
-"""HTML pages as rows, by the standard library's tolerant parser in Arrow UDFs."""
+"""Single facts of HTML pages as columns, in Arrow UDFs; each page is parsed once, in one pass (see ``dom``)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html import unescape
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-HIDDEN = {"script", "style", "noscript", "template"}
-CLOSED_BY = {"p": {"p", "div", "ul", "ol", "table", "section", "li"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-MAX_CHARS = 10_000_000
+from recordlake.sources.dom import Page
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "texts", "depth", "hidden")
+def _each(one: Callable[[Page], object]) -> Callable[[pd.Series], pd.Series]:
+    return lambda markup: markup.map(lambda m: None if m is None else one(Page(m)))
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children, self.texts = tag, attrs, parent, [], []
-        self.depth = 0 if parent is None else parent.depth + 1
-        self.hidden = tag in HIDDEN or (parent is not None and parent.hidden)
 
-
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
-        self.nodes: list[Node] = []
-        self.strings: list[tuple[Node, str]] = []
-
-    def handle_starttag(self, tag, attrs):
-        closes = [open_ for open_, by in CLOSED_BY.items() if tag in by]
-        if self.at.tag in closes:
-            self.at = self.at.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        self.nodes.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if self.at.tag == tag and tag not in VOID:
-            self.at = self.at.parent
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node is not self.root and node.tag != tag:
-            node = node.parent
-        if node is not self.root:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        text = " ".join(data.split())
-        if text:
-            self.strings.append((self.at, text))
-
-
-def parse(markup: str | None) -> _Tree | None:
-    if markup is None:
-        return None
-    tree = _Tree()
-    tree.feed(markup[:MAX_CHARS] if len(markup) > MAX_CHARS else markup)
-    tree.close()
-    return tree
-
-
-def _visible(tree: _Tree | None, within: Node | None = None) -> str | None:
-    if tree is None:
-        return None
-    inside = lambda n: within is None or n is within or (n.parent is not None and inside(n.parent))
-    return " ".join(t for n, t in tree.strings if not n.hidden and inside(n)) or None
+def _texts(page: Page) -> Callable[[int], str]:
+    whole = page.text()
+    return lambda n: whole[page.start[n] : page.stop[n]].decode()
 
 
 @F.pandas_udf(T.StringType())
 def visible_text(markup: pd.Series) -> pd.Series:
-    """Text outside scripts, styles and templates, white space collapsed."""
-    return markup.map(lambda m: _visible(parse(m)))
+    """Text outside scripts, styles and templates, white space collapsed; null for pages without."""
+    return _each(lambda p: p.text().decode() or None)(markup)
 
 
-def _title(markup: str | None) -> str | None:
-    tree = parse(markup)
-    return None if tree is None else next((t for n, t in tree.strings if n.tag == "title"), None)
+def _title(page: Page) -> str | None:
+    return next((" ".join(page.own[n]) for n, tag in enumerate(page.tag) if tag == "title" and page.own[n]), None)
 
 
 @F.pandas_udf(T.StringType())
 def title(markup: pd.Series) -> pd.Series:
-    return markup.map(_title)
+    return _each(_title)(markup)
 
 
 LINK = T.StructType([T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
 
 
+def _links(page: Page) -> list[dict]:
+    text = _texts(page)
+    return [{"url": a["href"], "text": text(n)} for n, (tag, a) in enumerate(zip(page.tag, page.attrs, strict=True)) if tag == "a" and a.get("href")]
+
+
 @F.pandas_udf(T.ArrayType(LINK))
 def links(markup: pd.Series) -> pd.Series:
     """Targets and texts of the anchors, in document order."""
+    return _each(_links)(markup)
 
-    def one(m: str | None) -> list[dict] | None:
-        tree = parse(m)
-        return None if tree is None else [{"url": n.attrs["href"], "text": _visible(tree, n) or ""} for n in tree.nodes if n.tag == "a" and n.attrs.get("href")]
 
-    return markup.map(one)
+FIELD = T.StructType([T.StructField(n, T.StringType()) for n in ("form", "method", "name", "kind", "value")])
 
 
-FIELD = T.StructType([T.StructField(n, T.StringType()) for n in ("form", "method", "name", "kind", "value")])
+def _form_fields(page: Page) -> list[dict]:
+    out, form_of = [], []
+    for n, (tag, a, up) in enumerate(zip(page.tag, page.attrs, page.parent, strict=True)):
+        form = form_of[up] if up >= 0 else None
+        form_of.append(n if tag == "form" else form)
+        if form is not None and tag in ("input", "select", "textarea", "button") and a.get("name"):
+            at = page.attrs[form]
+            out.append({"form": at.get("action", ""), "method": at.get("method", "get").lower(), "name": a["name"], "kind": a.get("type", tag), "value": a.get("value", "")})
+    return out
 
 
 @F.pandas_udf(T.ArrayType(FIELD))
 def form_fields(markup: pd.Series) -> pd.Series:
     """Named fields of each form with its action and method."""
-
-    def form_of(n: Node) -> Node | None:
-        return n if n is None or n.tag == "form" else form_of(n.parent)
-
-    def one(m: str | None) -> list[dict] | None:
-        tree = parse(m)
-        if tree is None:
-            return None
-        out = []
-        for n in tree.nodes:
-            form = form_of(n.parent) if n.tag in ("input", "select", "textarea", "button") and n.attrs.get("name") else None
-            if form is not None:
-                out.append({"form": form.attrs.get("action", ""), "method": form.attrs.get("method", "get").lower(), "name": n.attrs["name"], "kind": n.attrs.get("type", n.tag), "value": n.attrs.get("value", "")})
-        return out
-
-    return markup.map(one)
-
-
-def selector_of(node: Node) -> str:
-    """CSS path of a node: an id ends it, else up to three classes or the place among its kind."""
-    parts = []
-    while node is not None and node.tag:
-        if node.attrs.get("id"):
-            parts.append(f"{node.tag}#{node.attrs['id']}")
-            break
-        classes = node.attrs.get("class", "").split()[:3]
-        same = [c for c in node.parent.children if c.tag == node.tag] if node.parent else [node]
-        parts.append(node.tag + "".join(f".{c}" for c in classes) + (f":nth-of-type({same.index(node) + 1})" if len(same) > 1 and not classes else ""))
-        node = node.parent
-    return " > ".join(reversed(parts))
+    return _each(_form_fields)(markup)
 
 
 SIGNATURE = T.StructType([
@@ -149,85 +76,71 @@ SIGNATURE = T.StructType([
 ])
 
 
+def _signatures(page: Page) -> list[dict]:
+    made = page.selectors()
+    return [
+        {"selector": made[n], "tag": page.tag[n], "id": a.get("id"), "classes": a.get("class", "").split(), "attrs": sorted(a), "parent": page.tag[page.parent[n]] if page.parent[n] >= 0 else "", "depth": page.depth[n], "text": (t := " ".join(page.own[n])), "length": len(t)}
+        for n, a in enumerate(page.attrs) if page.own[n]
+    ]
+
+
 @F.pandas_udf(T.ArrayType(SIGNATURE))
 def signatures(markup: pd.Series) -> pd.Series:
     """Signature and selector of every element with text of its own."""
+    return _each(_signatures)(markup)
 
-    def one(m: str | None) -> list[dict] | None:
-        tree = parse(m)
-        if tree is None:
-            return None
-        own: dict[Node, list[str]] = {}
-        for n, t in tree.strings:
-            if not n.hidden and n.tag:
-                own.setdefault(n, []).append(t)
-        return [
-            {"selector": selector_of(n), "tag": n.tag, "id": n.attrs.get("id"), "classes": n.attrs.get("class", "").split(), "attrs": sorted(n.attrs), "parent": n.parent.tag, "depth": n.depth, "text": (t := " ".join(ts)), "length": len(t)}
-            for n, ts in own.items()
-        ]
 
-    return markup.map(one)
+def _label_pairs(page: Page) -> dict[str, str]:
+    text, out = _texts(page), {}
+    below: dict[int, list[int]] = {}
+    for n, up in enumerate(page.parent):
+        below.setdefault(up, []).append(n)
+    for n, tag in enumerate(page.tag):
+        pair = below.get(n, []) if tag == "tr" else below[page.parent[n]][page.child[n] - 1 : page.child[n] + 1] if tag == "dt" else []
+        kinds = [page.tag[x] for x in pair]
+        if len(pair) == 2 and (kinds == ["dt", "dd"] if tag == "dt" else set(kinds) <= {"td", "th"}):
+            out[text(pair[0]).lower().rstrip(": ")] = text(pair[1])
+    return out
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def label_pairs(markup: pd.Series) -> pd.Series:
     """Values by lower-cased label of definition lists and two-cell table rows; the last value of a label wins."""
+    return _each(_label_pairs)(markup)
 
-    def one(m: str | None) -> dict | None:
-        tree = parse(m)
-        if tree is None:
-            return None
-        out = {}
-        for n in tree.nodes:
-            cells = n.children if n.tag == "tr" else []
-            if len(cells) == 2 and all(c.tag in ("td", "th") for c in cells):
-                out[(_visible(tree, cells[0]) or "").lower().rstrip(": ")] = _visible(tree, cells[1]) or ""
-            if n.tag == "dt" and n.parent is not None:
-                place = n.parent.children.index(n)
-                if place + 1 < len(n.parent.children) and n.parent.children[place + 1].tag == "dd":
-                    out[(_visible(tree, n) or "").lower().rstrip(": ")] = _visible(tree, n.parent.children[place + 1]) or ""
-        return out
 
-    return markup.map(one)
+def labelled(text: str, labels: list[str]) -> dict[str, str]:
+    """Values behind ``label:`` in a text, each up to the next label."""
+    low = text.lower()
+    places = sorted((low.find(label.lower() + ":"), label) for label in labels if label.lower() + ":" in low)
+    return {label.lower(): text[at + len(label) + 1 : following[0]].strip() for (at, label), following in zip(places, [*places[1:], (len(text), "")], strict=True)}
 
 
 def cards(tag: str, css_class: str, labels: list[str]):
     """UDF: per element of a tag and class its text under ``text``, its first link, and the values of the labels in it."""
 
+    def all_cards(page: Page) -> list[dict]:
+        text = _texts(page)
+        anchors = [n for n, t in enumerate(page.tag) if t == "a" and page.attrs[n].get("href")]
+        out, at = [], 0
+        for n, t in enumerate(page.tag):
+            if t == tag and css_class in page.attrs[n].get("class", "").split():
+                while at < len(anchors) and anchors[at] < n:
+                    at += 1
+                found = {"text": text(n)}
+                if at < len(anchors) and anchors[at] <= page.last[n]:
+                    found["url"] = page.attrs[anchors[at]]["href"]
+                out.append(found | labelled(found["text"], labels))
+        return out
+
     @F.pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
     def run(markup: pd.Series) -> pd.Series:
-        def one(m: str | None) -> list[dict] | None:
-            tree = parse(m)
-            if tree is None:
-                return None
-            out = []
-            for n in tree.nodes:
-                if n.tag == tag and css_class in n.attrs.get("class", "").split():
-                    text = _visible(tree, n) or ""
-                    found = {"text": text}
-                    below = [x for x in tree.nodes if x.tag == "a" and x.attrs.get("href") and _within(x, n)]
-                    if below:
-                        found["url"] = below[0].attrs["href"]
-                    places = sorted((text.lower().find(label.lower() + ":"), label) for label in labels if label.lower() + ":" in text.lower())
-                    for (at, label), following in zip(places, [*places[1:], (len(text), "")], strict=True):
-                        found[label.lower()] = text[at + len(label) + 1 : following[0]].strip()
-                    out.append(found)
-            return out
-
-        return markup.map(one)
+        return _each(all_cards)(markup)
 
     return run
 
 
-def _within(node: Node, outer: Node) -> bool:
-    while node is not None:
-        if node is outer:
-            return True
-        node = node.parent
-    return False
-
-
 @F.pandas_udf(T.StringType())
 def unescape_strip(markup: pd.Series) -> pd.Series:
     """Entities resolved, then tags dropped."""
-    return markup.map(lambda m: None if m is None else _visible(parse(unescape(m))))
+    return markup.map(lambda m: None if m is None else Page(unescape(m)).text().decode() or None)
