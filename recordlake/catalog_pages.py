@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordlake.catalog import query
-from recordlake.plans.views import view
+from recordlake.plans.views import view, view_sql
 from recordlake.shipping import ship
-from recordlake.sources import dom
+from recordlake.sources import dom, sites
 
 
 def _pages(spark, sf_dir):
@@ -74,3 +74,52 @@ def find_by_text(spark, sf_dir):
 def find_by_regex(spark, sf_dir):
     found = dom.find_by_regex(_pages(spark, sf_dir), "^[A-Z][a-z]+$").filter("tag = 'a'")
     return found.groupBy(F.col("page").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- result lists of sites: pages of five records each, made of the results in the shape of five sites
+
+_CNJ = "concat(substr(n20, 1, 7), '-', substr(n20, 8, 2), '.', substr(n20, 10, 4), '.', substr(n20, 14, 1), '.', substr(n20, 15, 2), '.', substr(n20, 17, 4))"
+_RECORDS = f"""SELECT arrival, arrival div 5 AS page, (arrival div 5) % 5 AS site, (arrival div 25) % 8 AS variation, {_CNJ} AS cnj, trim(rapporteur) AS rapporteur, day, replace(replace(replace(coalesce(summary, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS summary
+  FROM (SELECT *, lpad(CAST(arrival AS STRING), 20, '0') AS n20, concat(lpad(CAST(1 + arrival % 28 AS STRING), 2, '0'), '/', lpad(CAST(1 + arrival % 12 AS STRING), 2, '0'), '/', 2000 + arrival % 25) AS day FROM results)"""
+_SOURCES = ["tjsp_cjsg", "trf2_eproc_jurisprudencia", "tjpr_jurisprudencia", "trf5_jurisprudencia", "stj_scon"]
+_ITEMS = [
+    """concat("<table><tr class='ementaClass'><td><a class='downloadEmenta' cdAcordao='", arrival, "' cdForo='0'>", cnj, "</a></td></tr><tr class='ementaClass2'><td><strong>Relator(a):</strong> ", rapporteur, "</td></tr><tr class='ementaClass2'><td><strong>Data do julgamento:</strong> ", day, "</td></tr><tr><td><div id='textAreaDados_", arrival, "'>", summary, "</div></td></tr></table>")""",
+    """concat("<div class='resultadoItem' id='resultado", arrival, "'><a class='numero-processo'>", cnj, "</a><div><span class='resLabel'>Relator</span><span class='resValue'>", rapporteur, "</span></div><div><span class='resLabel'>Data do Julgamento:</span><span class='resValue'>", day, "</span></div><div><span class='resLabel'>Ementa</span><span class='resValue'>", summary, "</span></div></div>")""",
+    """concat("<tr><td><input name='idsSelecionados' value='", arrival, "'><a href='/jurisprudencia/j/", arrival, "'>ver</a> (Acórdão) ", cnj, " Relator: ", rapporteur, " Data Julgamento: ", day, "</td><td class='juris-tabela-ementa'>", summary, "</td></tr>")""",
+    """concat("<tr><td class='grid'><a href='javascript:detalhesDocumento(&quot;", arrival, "&quot;)'>v</a> Órgão Julgador: T / Tipo de Documento: Acórdão / Data de Julgamento: ", day, " / Nr. Processo: ", cnj, if(trim(summary) = '', '', concat(" EMENTA: ", summary)), "</td></tr>")""",
+    """concat("<div class='documento'><a class='doclink' href='/d?num_registro=", arrival, "'>", cnj, "</a><p class='relator'>", rapporteur, "</p><p class='data-julgamento'>", day, "</p><div class='ementa'>", summary, "</div></div>")""",
+]
+_FRAMES = [("<div id='divDadosResultado-A'>Resultados 1 a 5 de 95 ", "</div>"), ("<form>", "</form>"), ("95 registro(s) encontrado(s)<table class='resultTable jurisprudencia'>", "</table>"), ("<table>", "</table>"), ("<div id='resultados'>Resultados 1 a 5 de 95 ", "</div>")]
+_RENAMED = [("downloadEmenta", "baixar"), ("resultadoItem", "cartao"), ("resultTable", "tabela"), ("'grid'", "'grade'"), ("resultados'", "lista'")]
+_NOTHING = ["Resultado consulta", "<form id='frmJurisprudenciaPesquisa'></form>", "Nenhum resultado", "Nenhum documento", "resultado: nenhum"]
+_CLOSED = ["<i>captchaControleAcesso</i>", "<i>login e senha</i>", "<i>acesso negado</i>", "<i>captcha</i>", "<i>g-recaptcha</i>"]
+
+
+def _site_pages(spark, sf_dir):
+    view(spark, sf_dir, "results").createOrReplaceTempView("results")
+    by_site = lambda parts: F.element_at(F.array(*parts), F.col("site").cast("int") + 1)
+    texts = lambda parts: by_site([F.lit(p) for p in parts])
+    items = spark.sql(_RECORDS).withColumn("item", by_site([F.expr(i) for i in _ITEMS]))
+    pages = items.groupBy("page", "site", "variation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("arrival", "item"))), lambda x: x["item"]), "").alias("body"))
+    whole = F.concat(texts([a for a, _ in _FRAMES]), F.col("body"), texts([b for _, b in _FRAMES]))
+    renamed = F.replace(whole, texts([a for a, _ in _RENAMED]), texts([b for _, b in _RENAMED]))
+    markup = F.when(F.col("variation") == 5, renamed).when(F.col("variation") == 6, texts(_NOTHING)).when(F.col("variation") == 7, texts(_CLOSED)).otherwise(whole)
+    return pages.select(texts(_SOURCES).alias("source"), "page", markup.alias("markup"))
+
+
+_SITE_SQL = "WITH results AS (" + view_sql("results") + """), r AS (SELECT arrival, arrival // 5 AS page, (arrival // 5) % 5 AS site, (arrival // 25) % 8 AS variation, lpad(CAST(arrival AS VARCHAR), 20, '0') AS n, trim(rapporteur) AS rapporteur,
+    lpad(CAST(1 + arrival % 28 AS VARCHAR), 2, '0') || '/' || lpad(CAST(1 + arrival % 12 AS VARCHAR), 2, '0') || '/' || (2000 + arrival % 25) AS day, nullif(trim(regexp_replace(coalesce(summary, ''), '[\\s\\x0B\\x1C-\\x1F\\x{85}\\pZ]+', ' ', 'g')), '') AS summary FROM results)"""
+
+
+@query("site_records", _SITE_SQL + """ SELECT ['tjsp-cjsg-', 'trf2-eproc-jurisprudencia-', 'tjpr-', 'trf5-jurisprudencia-', 'stj-scon-'][CAST(site + 1 AS INT)] || arrival || CASE WHEN site = 0 THEN '-0' ELSE '' END AS id, page,
+  substr(n, 1, 7) || '-' || substr(n, 8, 2) || '.' || substr(n, 10, 4) || '.' || substr(n, 14, 1) || '.' || substr(n, 15, 2) || '.' || substr(n, 17) AS number, CASE WHEN site <> 3 THEN rapporteur END AS rapporteur, day AS judgment_date, summary FROM r WHERE variation < 5""")
+def site_records(spark, sf_dir):
+    records, _ = sites.read_pages(_site_pages(spark, sf_dir), sites.site_rules(spark), sites.field_rules(spark))
+    return records.select("id", "page", *(F.element_at("fields", F.lit(n)).alias(n) for n in ("number", "rapporteur", "judgment_date", "summary")))
+
+
+@query("site_outcomes", _SITE_SQL + """ SELECT ['tjsp_cjsg', 'trf2_eproc_jurisprudencia', 'tjpr_jurisprudencia', 'trf5_jurisprudencia', 'stj_scon'][CAST(site + 1 AS INT)] AS source, page, CASE variation WHEN 5 THEN 'contract_changed' WHEN 6 THEN 'empty' WHEN 7 THEN 'access_control' ELSE 'records' END AS outcome,
+  CAST(CASE WHEN variation < 5 THEN count(*) ELSE 0 END AS BIGINT) AS n_records FROM r GROUP BY site, page, variation""")
+def site_outcomes(spark, sf_dir):
+    _, outcomes = sites.read_pages(_site_pages(spark, sf_dir), sites.site_rules(spark), sites.field_rules(spark))
+    return outcomes.select("source", "page", "outcome", "n_records")

@@ -307,6 +307,12 @@ def _split(selector: str) -> list[list[tuple[str, str]]]:
     return out
 
 
+def nested(outer: str, inner: str) -> str:
+    """The selector of what ``inner`` matches inside of what ``outer`` matches; both may be lists."""
+    written = lambda steps: "".join(f" {c} {t}" if c.strip() else f" {t}" for c, t in steps)
+    return ", ".join((written(o) + written(i)).strip() for o in _split(outer) for i in _split(inner))
+
+
 def _mark(nodes: DataFrame, steps: list[tuple[str, Column]], name: str) -> DataFrame:
     """Adds whether an element ends a chain of steps."""
     for i, (combinator, test) in enumerate(steps):
@@ -332,10 +338,15 @@ def _mark(nodes: DataFrame, steps: list[tuple[str, Column]], name: str) -> DataF
 
 def select(nodes: DataFrame, selector: str) -> DataFrame:
     """The elements that a CSS selector list matches: types, ids, classes, attributes, places, ``:not``; all four combinators."""
-    return _matched(nodes, [[(c, compound(t)) for c, t in steps] for steps in _split(selector)])
+    return matched(nodes, chains(selector))
+
+
+def chains(selector: str) -> list[list[tuple[str, Column]]]:
+    """A selector list as chains of (combinator, test of an element)."""
+    return [[(c, compound(t)) for c, t in steps] for steps in _split(selector)]
 
 
-def _matched(nodes: DataFrame, chains: list[list[tuple[str, Column]]]) -> DataFrame:
+def matched(nodes: DataFrame, chains: list[list[tuple[str, Column]]]) -> DataFrame:
     for i, steps in enumerate(chains):
         nodes = _mark(nodes, steps, f"__{i}")
     names = [f"__{i}" for i in range(len(chains))]
@@ -375,7 +386,7 @@ def xpath(nodes: DataFrame, expression: str) -> DataFrame:
         at = m.end()
     if not steps:
         raise InvalidSelectorError(expression)
-    return _matched(nodes, [steps])
+    return matched(nodes, [steps])
 
 
 def find_by_text(pages: DataFrame, text: str, exact: bool = False, case_sensitive: bool = False, limit: int | None = None) -> DataFrame:
