@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from recordlake.catalog import query
-from recordlake.plans.views import view, view_sql
+from recordlake.operators import robots
+from recordlake.plans.views import view, view_sql, with_views
+from recordlake.scratch import fresh_path, written
 from recordlake.shipping import ship
 from recordlake.sources import dom, sites
+from recordlake.streaming import partial
 
 
 def _pages(spark, sf_dir):
@@ -123,3 +127,55 @@ def site_records(spark, sf_dir):
 def site_outcomes(spark, sf_dir):
     _, outcomes = sites.read_pages(_site_pages(spark, sf_dir), sites.site_rules(spark), sites.field_rules(spark))
     return outcomes.select("source", "page", "outcome", "n_records")
+
+
+# --- robots: an answer for most origins of the pages, of five kinds by the length of the host
+
+_BODIES = [
+    "User-agent: *\nDisallow: /en/\nAllow: /en/*7\nAllow: /en/9\n",
+    "# all\nuser-agent: lakebot\nuser-agent: other\nDisallow: /*?\nAllow: /fr/ # french\nDisallow:\n\nUser-agent: *\nDisallow: /\n",
+    "Disallow: /\nUser-agent: *\nDisallow: /*.html$\nDisallow: /es\nAllow: /es\n",
+]
+_FITS = {"/en/": "^/en/", "/en/*7": "^/en/.*7", "/en/9": "^/en/9", "/*?": "^/.*[?]", "/fr/": "^/fr/", "/*.html$": "^/.*[.]html$", "/es": "^/es"}
+_GROUPS = [(0, "/en/", False), (0, "/en/*7", True), (0, "/en/9", True), (1, "/*?", False), (1, "/fr/", True), (2, "/*.html$", False), (2, "/es", False), (2, "/es", True)]
+
+
+@query("robots_rules", "WITH u AS (SELECT page_id, split_part(url, '#', 1) AS url, lower(regexp_extract(url, '^[a-z]+://[^/?#]*')) AS origin FROM pages), p AS (SELECT *, length(origin) % 6 AS kind, CASE WHEN starts_with(substr(url, length(origin) + 1), '/') THEN '' ELSE '/' END || substr(url, length(origin) + 1) AS target FROM u), r(kind, pattern, regex, allow) AS (VALUES "
+    + ", ".join(f"({k}, '{p}', '{_FITS[p]}', {a})" for k, p, a in _GROUPS)
+    + """), m AS (SELECT page_id, arg_max(pattern, length(pattern) * 2 + allow::INT) AS rule, arg_max(allow, length(pattern) * 2 + allow::INT) AS allow FROM p JOIN r ON p.kind = r.kind AND regexp_matches(target, regex) GROUP BY page_id)
+  SELECT p.page_id, CASE WHEN kind < 3 THEN coalesce(allow, TRUE) WHEN kind = 3 THEN TRUE WHEN kind = 4 THEN FALSE END AS allowed, CASE WHEN kind < 3 THEN rule END AS rule FROM p LEFT JOIN m ON p.page_id = m.page_id""")
+def robots_rules(spark, sf_dir):
+    ship(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    kind = F.length("origin") % 6
+    origins = pages.select(robots.origin_of(F.col("url")).alias("origin")).distinct().filter(kind < 5)
+    body = F.element_at(F.array(*map(F.lit, _BODIES)), F.least(kind + 1, F.lit(3)))
+    answers = origins.select("origin", F.when(kind < 3, 200).when(kind == 3, 404).when(F.length("origin") % 4 > 0, 503).alias("status"), F.when(kind < 3, body).alias("body"))
+    return robots.may_fetch(pages.select("page_id", "url"), answers, "LakeBot/1.0").select("page_id", "allowed", "rule")
+
+
+# --- collection in runs whose limit falls inside a page
+
+def _run_pages(spark, sf_dir):
+    """Pages of 40 rows a source, of which some repeat."""
+    rows = view(spark, sf_dir, "evidence")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("seq")) - 1
+    rows = rows.withColumns({"page": (F.floor(place / 40) + 1).cast("int"), "id": F.concat("run", F.lit("-"), F.col("seq") % 700)})
+    grouped = rows.groupBy("source", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: F.struct(x["id"].alias("id"), x["seq"].cast("string").alias("payload"))).alias("rows"))
+    return grouped.select("source", F.lit(1).cast("long").alias("run"), "page", "rows", F.lit(None).cast("long").alias("total"), F.lit(False).alias("is_complete"), F.lit(None).cast("string").alias("error"))
+
+
+@query("collect_partial_pages", with_views("evidence") + """, r AS (SELECT source, run || '-' || seq % 700 AS id, seq, (row_number() OVER (PARTITION BY source ORDER BY seq) - 1) // 40 + 1 AS page FROM evidence),
+  f AS (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY seq) AS n FROM r), u AS (SELECT source, page, count_if(n = 1) AS fresh FROM f GROUP BY source, page), last AS (SELECT source, coalesce(min(page) FILTER (fresh = 0), max(page)) AS page FROM u GROUP BY source)
+  SELECT f.source, id, CAST(f.page AS INT) AS page, CAST(seq AS VARCHAR) AS payload FROM f JOIN last USING (source) WHERE n = 1 AND f.page <= last.page""")
+def collect_partial_pages(spark, sf_dir):
+    ship(spark)
+    folder = fresh_path(spark, "collection")
+    pages = written(_run_pages(spark, sf_dir), "collection-pages")
+    paths = (f"{folder}/pages", f"{folder}/out", f"{folder}/checkpoint")
+    pages.write.mode("append").parquet(paths[0])
+    partial.collect_pages(spark, *paths, max_records=65)  # ends within the second page of each source
+    rest = partial.due(pages, partial.progress(spark, paths[1])).withColumn("run", F.lit(2).cast("long"))
+    rest.write.mode("append").parquet(paths[0])
+    partial.collect_pages(spark, *paths, max_pages=1_000_000, max_records=10**12)
+    return partial.stored(spark, paths[1]).select("source", "id", "page", "payload")
