@@ -21,12 +21,10 @@ from recordlake.sources import readers, registry
 from recordlake.sources.envelopes import ENVELOPES, parse_results
 
 RECORD_SCHEMA = "kind string, id string, source string, court string, case_number string, subject string, rapporteur string, decision_type string, precedent_type string, summary string, publication_date string, updated_at string, created_at string, canonical_key string"
-LINK_SCHEMA = "run_id string, canonical_key string"
-RUN_SCHEMA = "id string, query string, record_count long, created_at string"
 
 
 #: Filters that apply where the results have a column of that name.
-LOCAL_FILTERS = ("party_name", "party_document", "lawyer_name", "oab", "precatory_number", "police_document", "cda", "include_cancelled")
+LOCAL_FILTERS = ("party_name", "party_document", "lawyer_name", "oab", "precatory_number", "police_document", "cda")
 
 
 class UnknownSourceError(KeyError):
@@ -39,6 +37,7 @@ class Engine:
     def __init__(self, spark: SparkSession, captures: DataFrame | None = None, results: DataFrame | None = None, root: str | None = None):
         ship(spark)
         self.spark, self.captures, self.prepared, self.root = spark, captures, results, root
+        self._known: set[str] | None = None
 
     # sources
 
@@ -70,6 +69,8 @@ class Engine:
         tests = [query.word_predicate(hay, folded=True), query.date_predicate(F.col("publication_date"), F.col("updated_at"))]
         tests += [F.col("rapporteur").contains(query.rapporteur)] * bool(query.rapporteur) + [F.col("number") == query.number] * bool(query.number)
         tests += [F.col("court").isin(list(query.courts))] * bool(query.courts) + [F.col("type").isin(list(query.types))] * bool(query.types)
+        if "cancelled" in results.columns and not query.include_cancelled:
+            tests.append(~F.coalesce(F.col("cancelled"), F.lit(False)))
         asked = [n for n in LOCAL_FILTERS if n in query.active_filters()]
         tests += [F.col(n) == getattr(query, n) for n in asked if n in results.columns]
         if left := [n for n in asked if n not in results.columns]:
@@ -82,8 +83,12 @@ class Engine:
         return canonical.to_decisions(page), canonical.to_precedents(page)
 
     def search_many(self, query: SearchQuery, sources: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-        """The global ranked page over sources, and its envelope; sources by name, or in the order given."""
-        names = sources or [r["source"] for r in federate.default_sources(registry.capabilities(self.spark), registry.DEFAULT_CATEGORIES).collect() if r["source"] in ENVELOPES]
+        """The global ranked page over sources, and its envelope; sources by name, or those that the query is routed to.
+
+        Routed sources without any results at hand can't be searched: ``search_report`` names them.
+        """
+        routed = [r["source"] for r in self.route(query).filter("searched").orderBy("source").collect()] if sources is None else sources
+        names = [s for s in routed if sources is not None or self._has_results(s)]
         if not names:
             raise UnknownSourceError("no source")
         parts = federate.concatenate({s: self._fitting(self.source_results(s), query) for s in names})
@@ -92,42 +97,60 @@ class Engine:
         unique = federate.rank_dedup(parts, query.text, arrival)
         return federate.ranked_page(unique, query.page, query.page_size), federate.envelope(parts, unique, query.page, query.page_size)
 
+    def _available(self) -> set[str]:
+        """Sources that have captured answers in a known form, or prepared results."""
+        if self._known is None:
+            found = set()
+            if self.captures is not None:
+                found |= {r[0] for r in self.captures.select("source").distinct().collect()} & set(ENVELOPES)
+            if self.prepared is not None:
+                found |= {r[0] for r in self.prepared.select("source").distinct().collect()}
+            self._known = found
+        return self._known
+
+    def _has_results(self, source: str) -> bool:
+        return source in self._available()
+
+    def search_report(self, query: SearchQuery) -> DataFrame:
+        """What a federated search does with every source: searched, or skipped and why."""
+        have = F.col("source").isin(sorted(self._available()))
+        routed = self.route(query)
+        reason = F.when(F.col("searched") & ~have, "no_results_at_hand").otherwise(F.col("skip_reason"))
+        return routed.select("source", reason.alias("skip_reason"), reason.isNull().alias("searched"), "warnings")
+
     def route(self, query: SearchQuery) -> DataFrame:
-        caps = registry.capabilities(self.spark).withColumn("supported_filters", F.array().cast("array<string>"))
-        return federate.route_sources(caps, query.identifiers(), query.active_filters(), registry.DEFAULT_CATEGORIES)
+        """Every source with its skip reason or warnings, by the category and filters that it declares."""
+        return federate.route_sources(registry.capabilities(self.spark), query.identifiers(), query.refinements(), registry.DEFAULT_CATEGORIES)
 
     # store
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        try:
-            return store.migrate(store.load_snapshot(self.spark, self.root, name), dict(f.split() for f in schema.split(", ")))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
+        return store.latest(self.spark, self.root).table(name, schema)
 
     def records(self) -> DataFrame:
         return self._table("records", RECORD_SCHEMA)
 
-    def search_and_store_run(self, source: str, query: SearchQuery, now: str) -> str:
-        """Stores a page of results and a run that links to them, as one new snapshot; returns the run's id."""
-        run = uuid.uuid4().hex
+    def conflicts(self) -> DataFrame:
+        """Records that were not stored: each matched one stored record by its id and another by its key."""
+        return self._table("conflicts", RECORD_SCHEMA + ", run_id string")
+
+    def search_and_store_run(self, source: str, query: SearchQuery, now: str, label: str | None = None) -> str:
+        """Stores a page of results and a run that links to them as one commit; returns the run's id."""
+        run = f"run-{uuid.uuid4().hex}"
         decisions, precedents = self.search_canonical(source, query)
-        columns = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
         kinds = dict(f.split() for f in RECORD_SCHEMA.split(", "))
         rows = decisions.unionByName(precedents, allowMissingColumns=True).withColumns({"created_at": F.lit(now), "updated_at": F.lit(now)})
-        rows = store.migrate(rows, kinds).select(*columns).withColumn("position", F.monotonically_increasing_id())
-        merged, _ = store.upsert_records(self.records().select(*columns), rows)
-        links = self._table("links", LINK_SCHEMA).unionByName(rows.select(F.lit(run).alias("run_id"), "canonical_key")).distinct()
-        runs = self._table("runs", RUN_SCHEMA).unionByName(rows.agg(F.count(F.lit(1)).alias("record_count")).select(F.lit(run).alias("id"), F.lit(json.dumps({"source": source, "text": query.text})).alias("query"), "record_count", F.lit(now).alias("created_at")))
-        store.save_snapshot(self.spark, {"records": merged, "links": links, "runs": runs}, self.root, run)
+        rows = store.migrate(rows, kinds).select(*kinds).withColumn("position", F.monotonically_increasing_id())
+        values = {"id": run, "source": source, "text": query.text, "query": json.dumps(query.active_values(), ensure_ascii=False, sort_keys=True), "label": label, "created_at": now}
+        about = rows.agg(F.count(F.lit(1)).alias("record_count")).select(*(F.lit(v).cast("string").alias(n) for n, v in values.items()), "record_count")
+        store.commit(self.spark, self.root, store.run_save(run, rows, about, RECORD_SCHEMA))
         return run
 
     def get_research_run_records(self, run: str, limit: int = 20, offset: int = 0) -> DataFrame:
-        return store.run_records(self._table("links", LINK_SCHEMA), self.records(), F.lit(run), limit, offset)
+        return store.run_records(self._table("links", store.LINK_SCHEMA), self.records(), F.lit(run), limit, offset)
 
     def list_research_runs(self) -> DataFrame:
-        return store.list_runs(self._table("runs", RUN_SCHEMA))
+        return store.list_runs(self._table("runs", store.RUN_SCHEMA))
 
     def get_document(self, kind: str, id_: str) -> DataFrame:
         return self.records().filter((F.col("kind") == kind) & (F.col("id") == id_))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recordlake.api import RECORD_SCHEMA, Engine
 from recordlake.catalog import query
-from recordlake.operators import robots
+from recordlake.operators import replay, robots, store
+from recordlake.plans.search_query import SearchQuery
 from recordlake.plans.views import view, view_sql, with_views
 from recordlake.scratch import fresh_path, written
 from recordlake.shipping import ship
-from recordlake.sources import dom, sites
+from recordlake.sources import dom, registry, sites
 from recordlake.streaming import partial
 
 
@@ -179,3 +181,66 @@ def collect_partial_pages(spark, sf_dir):
     rest.write.mode("append").parquet(paths[0])
     partial.collect_pages(spark, *paths, max_pages=1_000_000, max_records=10**12)
     return partial.stored(spark, paths[1]).select("source", "id", "page", "payload")
+
+
+# --- routing of a query over the registry, and saved runs
+
+_ROUTED = SearchQuery.of(text="dano", number="1", types=("Acórdão",), published_from="2020-01-01")
+
+
+def _list_sql(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]::VARCHAR[]"
+
+
+@query("engine_route", with_views("results") + ", r(i, source, category, unified, filters) AS (VALUES " + ", ".join(f"({i}, '{r['source']}', '{r['category']}', {r['unified']}, {_list_sql(r['supported_filters'])})" for i, r in enumerate(registry.rows()))
+    + """), s AS (SELECT *, CASE WHEN NOT unified THEN 'unified_search_not_supported' WHEN category = 'case_lookup' THEN 'outside_jurisprudence_scope' WHEN len(filters) > 0 AND NOT list_contains(filters, 'number') THEN 'identifier_filter_not_supported' WHEN category = 'judicial_communications' THEN 'not_jurisprudence_source'
+      WHEN category NOT IN ('administrative_jurisprudence', 'court_jurisprudence', 'court_precedents', 'curated_jurisprudence', 'electoral_jurisprudence', 'jurisprudence', 'qualified_precedents') THEN 'category_not_applicable' WHEN i NOT IN (SELECT arrival % 60 FROM results) THEN 'no_results_at_hand' END AS reason FROM r)
+  SELECT source, reason AS skip_reason, reason IS NULL AS searched, CASE WHEN reason IS NULL OR reason = 'no_results_at_hand' THEN array_to_string(list_sort(list_filter(['published_from', 'text', 'types'], lambda f: NOT list_contains(filters, f) AND NOT (f = 'text' AND len(filters) = 0))), ',') ELSE '' END AS warnings FROM s""")
+def engine_route(spark, sf_dir):
+    names = [r["source"] for r in registry.rows()]
+    at = (F.col("arrival") % 60).cast("int") + 1
+    results = view(spark, sf_dir, "results").filter(at <= len(names)).withColumn("source", F.element_at(F.array(*map(F.lit, names)), at))
+    return Engine(spark, results=results).search_report(_ROUTED)
+
+
+@query("concurrent_run_saves", with_views("records") + """ SELECT CASE WHEN position % 2 = 0 THEN 'even' ELSE 'third' END AS run, count(*) AS linked, count(*) AS stored FROM records WHERE position % 2 = 0 GROUP BY ALL UNION ALL SELECT 'third', count(*), count(*) FROM records WHERE position % 3 = 0""")
+def concurrent_run_saves(spark, sf_dir):
+    """Two runs saved at once: the second's first attempt is overtaken by the first."""
+    root = fresh_path(spark, "store")
+    rows = view(spark, sf_dir, "records").withColumns({"canonical_key": F.col("id"), "created_at": F.lit("2024-01-01")})
+    kinds = dict(f.split() for f in RECORD_SCHEMA.split(", "))
+
+    def save(name, part, before=None):
+        made = store.migrate(part, kinds).select(*kinds, "position")
+        about = spark.createDataFrame([(name,)], "id string")
+        build = store.run_save(name, made, about, RECORD_SCHEMA)
+        overtaken = [before] if before else []
+
+        def late(base):
+            tables = build(base)
+            while overtaken:
+                overtaken.pop()()  # the other run commits between reading and committing
+            return tables
+
+        store.commit(spark, root, late)
+
+    save("third", rows.filter("position % 3 = 0"), lambda: save("even", rows.filter("position % 2 = 0")))
+    now = store.latest(spark, root)
+    linked = now.table("links").join(now.table("records").select("canonical_key", F.lit(1).alias("there")), "canonical_key", "left")
+    return linked.groupBy(F.col("run_id").alias("run")).agg(F.count(F.lit(1)).alias("linked"), F.count("there").alias("stored"))
+
+
+_RULES = {"title": r"<title>", "login": r"\blogin\b", "ementa": r"\bementa\b", "number": r"\b\d{3}\b"}
+_CHANGED = _RULES | {"ementa": r"\bpara\b"}
+
+
+@query("evidence_replay", "WITH b AS (SELECT DISTINCT sha256(html) AS content_sha256, regexp_matches(lower(html), '(^|[^\\pL\\pN_])para($|[^\\pL\\pN_])') AS found FROM pages) SELECT content_sha256, 'ementa' AS rule, found FROM b")
+def evidence_replay(spark, sf_dir):
+    """What a replay computes again after one of four rules has changed."""
+    path = fresh_path(spark, "bodies")
+    replay.save_bodies(view(spark, sf_dir, "captures"), path)
+    replay.save_bodies(view(spark, sf_dir, "captures"), path)  # nothing new
+    rules = lambda r: spark.createDataFrame(list(r.items()), "rule string, pattern string")
+    first, _ = replay.replay(path, spark.createDataFrame([], replay.RESULT_SCHEMA), rules(_RULES))
+    _, again = replay.replay(path, first, rules(_CHANGED))
+    return again.select("content_sha256", "rule", "found")

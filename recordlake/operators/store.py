@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +20,11 @@ from recordlake.functions.dates import normalize_date
 FILTERS = ("kind", "source", "court", "case_number", "subject", "rapporteur", "decision_type", "precedent_type", "canonical_key")
 
 
+LINK_SCHEMA = "run_id string, kind string, record_id string, canonical_key string"
+LINK_COLUMNS = [f.split()[0] for f in LINK_SCHEMA.split(", ")]
+RUN_SCHEMA = "id string, source string, text string, query string, label string, record_count long, created_at string"
+
+
 class InvalidFilterError(ValueError):
     """A filter that the store doesn't know, or a date it can't read."""
 
@@ -122,24 +134,121 @@ def migrate(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in schema.items() if c not in df.columns})
 
 
-def _pointers(spark: SparkSession, root: str) -> DataFrame:
-    """(value, seq) of the pointers written so far."""
-    return spark.read.schema("value string, seq long").text(f"{root}/CURRENT")
-
-
-def save_snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str, version: str) -> None:
-    """Write all tables of a version, then a pointer that makes it current.
-
-    A pointer is a new file, moved into place whole; older ones stay, so a crash leaves the last version current.
+# --- snapshots: a log of commits, each naming the tables of a version
+
+class CommitConflictError(RuntimeError):
+    """Another writer committed first."""
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """A committed version: its number in the log (-1 before the first) and the folder of each table."""
+
+    spark: SparkSession
+    root: str
+    seq: int
+    tables: dict[str, str]
+
+    def table(self, name: str, schema: str | None = None) -> DataFrame:
+        """A table, with the columns of ``schema`` that it lacks as nulls; a missing table is empty if it has a schema."""
+        if name in self.tables:
+            found = self.spark.read.parquet(self.tables[name])
+            return found if schema is None else migrate(found, dict(f.split() for f in schema.split(", ")))
+        if schema is None:
+            raise KeyError(name)
+        return self.spark.createDataFrame([], schema)
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def latest(spark: SparkSession, root: str) -> Snapshot:
+    """The last committed version."""
+    folder, fs = _path(spark, f"{root}/_commits")
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    seq = max((int(n.removesuffix(".json")) for n in names if re.fullmatch(r"\d+\.json", n)), default=-1)
+    if seq < 0:
+        return Snapshot(spark, root, -1, {})
+    path, fs = _path(spark, f"{root}/_commits/{seq:012d}.json")
+    stream = fs.open(path)
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return Snapshot(spark, root, seq, json.loads(text)["tables"])
+
+
+def _publish(spark: SparkSession, root: str, seq: int, entry: dict) -> bool:
+    """Put a commit into the log unless there is one of that number: written aside, then moved into place whole."""
+    aside, fs = _path(spark, f"{root}/_commits/.{uuid.uuid4().hex}")
+    target, _ = _path(spark, f"{root}/_commits/{seq:012d}.json")
+    out = fs.create(aside, True)
+    out.write(bytearray(json.dumps(entry, sort_keys=True).encode()))
+    out.close()
+    jvm = spark.sparkContext._jvm
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.link(aside.toUri().getPath(), target.toUri().getPath())  # a local rename would replace
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, target, none)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    finally:
+        fs.delete(aside, False)
+
+
+def save_snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str, version: str, base: Snapshot | None = None) -> Snapshot:
+    """Write tables as a version on top of ``base`` (the last one, unless given); its other tables stay as they are.
+
+    If another commit came after ``base``, nothing is changed and ``CommitConflictError`` is raised.
     """
+    base = latest(spark, root) if base is None else base
+    paths = {name: f"{root}/{version}/{name}" for name in tables}
     for name, df in tables.items():
-        df.write.parquet(f"{root}/{version}/{name}")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    begun = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    last = _pointers(spark, root).agg(F.max("seq")).first()[0] if begun else None
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.text(f"{root}/CURRENT/seq={0 if last is None else last + 1}")
+        df.write.parquet(paths[name])
+    after = base.tables | paths
+    if not _publish(spark, root, base.seq + 1, {"version": version, "tables": after}):
+        raise CommitConflictError(f"{root}: version {base.seq + 1} is there already")
+    return Snapshot(spark, root, base.seq + 1, after)
+
+
+def commit(spark: SparkSession, root: str, build: Callable[[Snapshot], dict[str, DataFrame]], attempts: int = 20) -> Snapshot:
+    """Commit what ``build`` makes of the last version; after a conflict it is built anew on the newer one."""
+    for _ in range(attempts):
+        base = latest(spark, root)
+        try:
+            return save_snapshot(spark, build(base), root, uuid.uuid4().hex, base)
+        except CommitConflictError:
+            continue
+    raise CommitConflictError(f"{root}: {attempts} attempts failed")
 
 
 def load_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = _pointers(spark, root).orderBy(F.desc("seq")).first()["value"]
-    return spark.read.parquet(f"{root}/{version}/{name}")
+    return latest(spark, root).table(name)
+
+
+def run_save(run: str, rows: DataFrame, run_row: DataFrame, record_schema: str) -> Callable[[Snapshot], dict[str, DataFrame]]:
+    """A build for ``commit``: records upserted, the run and its links added, rows in conflict kept in ``conflicts``.
+
+    ``rows`` are records with a ``position``; links are made for those that are stored.
+    """
+    columns = [f.split()[0] for f in record_schema.split(", ")]
+
+    def build(base: Snapshot) -> dict[str, DataFrame]:
+        merged, clash = upsert_records(base.table("records", record_schema).select(*columns), rows.select(*columns, "position"))
+        marked = clash.withColumn("run_id", F.lit(run))
+        linked = rows.select(F.lit(run).alias("run_id"), "kind", F.col("id").alias("record_id"), "canonical_key").distinct().join(clash.select("canonical_key"), "canonical_key", "left_anti")
+        return {
+            "records": merged, "links": base.table("links", LINK_SCHEMA).select(*LINK_COLUMNS).unionByName(linked.select(*LINK_COLUMNS)), "runs": base.table("runs", RUN_SCHEMA).unionByName(run_row, allowMissingColumns=True),
+            "conflicts": base.table("conflicts", record_schema + ", run_id string").select(*columns, "run_id").unionByName(marked),
+        }
+
+    return build

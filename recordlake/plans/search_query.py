@@ -89,6 +89,13 @@ class SearchQuery:
     def identifiers(self) -> list[str]:
         return [f for f in self.active_filters() if f in IDENTIFIER_FILTERS]
 
+    def refinements(self) -> list[str]:
+        """The other filters, which a source that doesn't know them leaves to local filtering."""
+        return [f for f in self.active_filters() if f not in IDENTIFIER_FILTERS]
+
+    def active_values(self) -> dict[str, object]:
+        return {f: getattr(self, f) for f in self.active_filters() if is_active(getattr(self, f))}
+
     def expression(self) -> str:
         """The query as a boolean search expression."""
         parts = [self.text] * bool(self.text) + [f'"{self.exact_phrase}"'] * bool(self.exact_phrase)

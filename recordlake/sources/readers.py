@@ -78,32 +78,50 @@ def _sheet_rows(content: bytes | None) -> list[list[str | None]] | None:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
-        name = sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[0]
+        sheets = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
         out = []
-        for row in ElementTree.fromstring(z.read(name)).iter(f"{ns}row"):
+        for number, row in ((number, row) for number, name in sheets for row in ElementTree.fromstring(z.read(name)).iter(f"{ns}row")):
             cells: dict[int, str | None] = {}
             for cell in row.iter(f"{ns}c"):
-                number = 0
+                place = 0
                 for ch in re.match("[A-Z]+", cell.get("r", "A"))[0]:
-                    number = number * 26 + ord(ch) - 64
+                    place = place * 26 + ord(ch) - 64
                 value = cell.find(f"{ns}v")
                 text = "".join(t.text or "" for t in cell.iter(f"{ns}t")) if cell.get("t") == "inlineStr" else None if value is None else value.text
-                cells[number - 1] = shared[int(text)] if cell.get("t") == "s" and text is not None else text
-            out.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
+                cells[place - 1] = shared[int(text)] if cell.get("t") == "s" and text is not None else text
+            out.append([str(number), *(cells.get(i) for i in range(max(cells, default=-1) + 1))])
         return out
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def xlsx_rows(contents: pd.Series) -> pd.Series:
-    """Rows of the first sheet, header included."""
+    """Rows of all sheets in order, headers included; the first cell of each is its sheet's number."""
     return contents.map(_sheet_rows)
 
 
 def sheet_table(df: DataFrame, headers: list[str], content: str = "content") -> DataFrame:
-    """Sheet rows as columns; a sheet of other headers gives ``contract_changed`` and no rows."""
-    parsed = df.select(F.expr("url") if "url" in df.columns else F.lit(None).cast("string").alias("url"), xlsx_rows(F.col(content)).alias("rows"))
-    kept = parsed.withColumn("contract_changed", ~F.col("rows")[0].eqNullSafe(F.array(*map(F.lit, headers))))
-    return kept.filter("not contract_changed").select("url", F.posexplode(F.slice("rows", F.lit(2), F.greatest(F.size("rows"), F.lit(1)))).alias("position", "r")).select("url", "position", *(F.get("r", F.lit(i)).alias(h) for i, h in enumerate(headers)))
+    """Rows of every sheet with these headers as columns, with ``sheet`` and ``position`` (from 0 in it).
+
+    Sheets of other headers give no rows; ``sheet_contracts`` names them.
+    """
+    rows = _sheets(df, content).withColumn("known", F.slice("header", 2, 1_000_000) == F.array(*map(F.lit, headers)))
+    kept = rows.filter("known and position > 0")
+    return kept.select("url", "sheet", (F.col("position") - 1).alias("position"), *(F.get("r", F.lit(i + 1)).alias(h) for i, h in enumerate(headers)))
+
+
+def sheet_contracts(df: DataFrame, headers: list[str], content: str = "content") -> DataFrame:
+    """Per sheet whether its headers are others than these (``contract_changed``)."""
+    first = _sheets(df, content).filter("position = 0")
+    return first.select("url", "sheet", (~F.coalesce(F.slice("header", 2, 1_000_000) == F.array(*map(F.lit, headers)), F.lit(False))).alias("contract_changed"))
+
+
+def _sheets(df: DataFrame, content: str) -> DataFrame:
+    """(url, sheet, position in the sheet, header, row) of all sheets; header and row begin with the sheet's number."""
+    parsed = df.select(F.col("url") if "url" in df.columns else F.lit(None).cast("string").alias("url"), xlsx_rows(F.col(content)).alias("rows"))
+    numbers = F.array_distinct(F.transform("rows", lambda r: r[0]))
+    by_sheet = parsed.select("url", "rows", F.explode(numbers).alias("n"))
+    own = by_sheet.select("url", F.col("n").cast("int").alias("sheet"), F.filter("rows", lambda r: r[0] == F.col("n")).alias("own"))
+    return own.select("url", "sheet", F.col("own")[0].alias("header"), F.posexplode("own").alias("position", "r"))
 
 
 def catalog_datasets(body: Column) -> Column:

@@ -60,11 +60,57 @@ DEFAULT_CATEGORIES = [
 ]
 
 
+#: source: search filters that it declares (fixed values); others declare none.
+FILTERS = """
+bnp_pangea: text number courts types all_words any_words without_words exact_phrase updated_from updated_to
+cjf_jurisprudencia: text number types
+cnj_jurisprudencia: text number published_from published_to page
+stf_informativo: text number
+stf_juris: text number published_from published_to updated_from updated_to
+stj_dados_abertos_jurisprudencia: catalog_query rows dataset_id resource_id format max_bytes force
+stj_informativo: text number
+stj_scon: text number
+stm_jurisprudencia: text number
+tce_sp_jurisprudencia: text types
+tcu_jurisprudencia: text number
+tjac_cjsg tjal_cjsg tjam_cjsg tjce_cjsg tjms_cjsg: text number exact_phrase updated_from updated_to types order_by
+tjba_graphql: text exact_phrase number updated_from updated_to published_from published_to order_by
+tjce_informativos: text number types published_from published_to page
+tjce_sjuris: text all_words any_words without_words exact_phrase types source_origins
+tjdf_juris: text exact_phrase all_words any_words without_words rapporteur published_from published_to updated_from updated_to
+tjgo_projudi_jurisprudencia: text number
+tjma_jurisconsult: types catalog
+tjmt_jurisprudencia_api: text published_from published_to types order_by
+tjpa_jurisprudencia_bff: text types source_origins published_from published_to case_class subject rapporteur
+tjpb_pje_jurisprudencia: text number case_class judging_body rapporteur published_from published_to source_origin
+tjpe_jurisprudencia: text number published_from published_to types order_by
+tjpi_juspi: text number types rapporteur source_origin updated_from updated_to
+tjpr_jurisprudencia: text number published_from published_to updated_from updated_to
+tjro_liame: text number published_from published_to types page
+tjrr_juris: text number exact_phrase updated_from updated_to published_from published_to
+tjrs_solr: text exact_phrase number page published_from published_to
+tjsp_cjsg: text number
+tjsp_eproc_jurisprudencia tjrj_eproc_jurisprudencia tjsc_eproc_jurisprudencia tnu_eproc_jurisprudencia trf2_eproc_jurisprudencia trf6_eproc_jurisprudencia: text number published_from published_to updated_from updated_to
+tjsp_nugepnac: text number types
+tjto_jurisprudencia: text exact_phrase number rapporteur source_origin types order_by page fetch_details
+tre_sp_temas: text exact_phrase
+trf4_eproc_jurisprudencia: text number
+trf5_jurisprudencia: text number published_from published_to types
+tst_jurisprudencia: text all_words any_words without_words exact_phrase number published_from published_to updated_from updated_to types
+"""
+
+
+def declared_filters() -> dict[str, list[str]]:
+    lines = [line.split(":") for line in FILTERS.strip().splitlines()]
+    return {source: filters.split() for sources, filters in lines for source in sources.split()}
+
+
 def rows() -> list[dict]:
     names = ("source", "category", "pagination", "formats", "full_text", "unified")
     table = [dict(zip(names, line.split("|"), strict=True)) for line in SOURCES.split()]
-    return [r | {"formats": r["formats"].split("/"), "full_text": r["full_text"] == "Y", "unified": r["unified"] == "Y"} for r in table]
+    declared = declared_filters()
+    return [r | {"formats": r["formats"].split("/"), "full_text": r["full_text"] == "Y", "unified": r["unified"] == "Y", "supported_filters": declared.get(r["source"], [])} for r in table]
 
 
 def capabilities(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rows(), "source string, category string, pagination string, formats array<string>, full_text boolean, unified boolean")
+    return spark.createDataFrame(rows(), "source string, category string, pagination string, formats array<string>, full_text boolean, unified boolean, supported_filters array<string>")

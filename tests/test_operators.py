@@ -119,8 +119,14 @@ def test_xlsx(spark):
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Classe</t></si><si><t>RE</t></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>Data</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="B2"><v>45000</v></c></row></sheetData></worksheet>')
     df = spark.createDataFrame([("u", bytearray(buffer.getvalue()))], "url string, content binary")
-    assert [tuple(r) for r in readers.sheet_table(df, ["Classe", "Data"]).collect()] == [("u", 0, "RE", "45000")]
+    assert [tuple(r) for r in readers.sheet_table(df, ["Classe", "Data"]).collect()] == [("u", 1, 0, "RE", "45000")]
     assert readers.sheet_table(df, ["Outro"]).count() == 0
+    with zipfile.ZipFile(buffer, "a") as z:
+        for n, head in ((2, "Outra"), (10, "Classe")):
+            z.writestr(f"xl/worksheets/sheet{n}.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="inlineStr"><is><t>{head}</t></is></c><c r="B1" t="inlineStr"><is><t>Data</t></is></c></row><row><c r="B2"><v>{n}</v></c></row></sheetData></worksheet>')
+    df = spark.createDataFrame([("u", bytearray(buffer.getvalue())), ("v", None)], "url string, content binary")
+    assert sorted(tuple(r) for r in readers.sheet_table(df, ["Classe", "Data"]).collect()) == [("u", 1, 0, "RE", "45000"), ("u", 10, 0, None, "10")]
+    assert sorted(tuple(r) for r in readers.sheet_contracts(df, ["Classe", "Data"]).collect()) == [("u", 1, False), ("u", 2, True), ("u", 10, False)]
 
 
 def test_envelopes(spark):
