@@ -247,7 +247,7 @@ def _compacted(edges: DataFrame) -> DataFrame:
 def _row_texts(df: DataFrame, key: str, text: str, keep: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """id and text of the rows with the columns of ``keep`` under new names; and each document once, without null ids.
 
-    Where one id holds different texts, ids are spread so that each text has its own, in order of the texts' hashes.
+    Where one id holds different texts, rows are numbered anew so that each text has its own id, in order of ids and the texts' hashes.
     """
     whole = F.col(text).cast("string")
     texts = df.select(*(F.col(c).alias(n) for c, n in (keep or {}).items()), integer_key(df, key).alias("id"), whole.alias("__text"), F.xxhash64(whole).alias("__mark"))
@@ -255,9 +255,9 @@ def _row_texts(df: DataFrame, key: str, text: str, keep: dict[str, str] | None =
     most = seen.agg(F.max("n").alias("n"), F.max("unlike").alias("unlike")).first()
     if most["unlike"]:
         distinct = texts.filter("id is not null").select("id", "__mark").distinct()
-        kinds = distinct.groupBy("id").count().agg(F.max("count")).first()[0]
-        rank = F.row_number().over(Window.partitionBy("id").orderBy("__mark")) - 1
-        own = distinct.select("id", "__mark", (F.col("id") * (1 << kinds.bit_length()) + rank).alias("__row"))
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ordered = distinct.repartitionByRange(partitions, "id", "__mark").sortWithinPartitions("id", "__mark")
+        own = materialize(ordered.withColumn("__row", F.monotonically_increasing_id()), "rows")  # numbers in order of id and text, whatever the ids' size
         texts = texts.join(own, ["id", "__mark"], "left").withColumn("id", F.col("__row")).drop("__row")
     texts = texts.drop("__mark")
     documents = texts.filter("id is not null").select("id", "__text")

@@ -6,7 +6,8 @@ brute-force characters that takes the fewest guesses; values begin at 7 characte
 can take ``10**12``, and a value that still needs ``10**min_log_guesses``
 is a secret of kind ``guess``. Costs are logarithms, so a segmentation costs the sum of its parts. The
 dictionary is the common words of passwords and, behind them, the corpus's own most frequent words.
-Time grows with the square of a value's length.
+Repeats are of units that aren't repeats themselves; they are found as the value's maximal periodic runs, so
+a long value takes time close to its length.
 
 Null is an empty text. Offsets are code points, ends exclusive. Rows that repeat are scanned alike,
 an empty table gives an empty result. A kept column named like an output comes out with an underscore
@@ -18,13 +19,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordlake.llm.periodic_runs import runs_of
 from recordlake.llm.scratch import free_name, tidy
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -77,56 +78,100 @@ def ranks(words: Iterable[str]) -> dict[str, int]:
 _COMMON = ranks(COMMON_WORDS)
 
 
-def _least(best: list[float], end: int, shortest: int, longest: int, price: Callable) -> float:
-    """The least of ``best[end - n] + price(n)`` over all lengths."""
-    n = np.arange(longest, shortest - 1, -1)
-    return float((np.array(best[end - longest : end - shortest + 1]) + price(n)).min())
+class _Starts:
+    """Least of ``cost + log10(at - start + shift)`` over the starts so far; ``at`` only grows.
+
+    The price of length flattens out, so an older start that has become as cheap as a newer one stays so: starts are
+    a stack, newest on top, each with the time from which the one below is no worse.
+    """
+
+    def __init__(self, shift: int):
+        self.shift = shift
+        self.stack: list[tuple[int, float, float]] = []
+
+    def add(self, start: int, cost: float, now: int) -> None:
+        """A start that is asked for from ``now`` on."""
+        stack = self.stack
+        while stack:
+            older, paid, since = stack[-1]
+            more = cost - paid
+            ratio = 10 ** min(more, 15.0) - 1
+            overtaken = start - self.shift + (start - older) / ratio if more > 0 else math.inf
+            if overtaken <= now:
+                return
+            if since <= overtaken and len(stack) > 1 or overtaken == math.inf:
+                stack.pop()
+                continue
+            stack.append((start, cost, overtaken))
+            return
+        stack.append((start, cost, math.inf))
+
+    def least(self, at: int) -> float:
+        stack = self.stack
+        while len(stack) > 1 and stack[-1][2] <= at:
+            stack.pop()
+        start, cost, _ = stack[-1]
+        return cost + math.log10(at - start + self.shift)
 
 
 def log_guesses(value: str, words: dict[str, int] = _COMMON) -> float:
     """log10 of the guesses of the cheapest segmentation of all; ``words`` are ranks of lower-case words.
 
-    Every part that a kind allows is tried: each stretch of a keyboard walk or of one character, each
-    dictionary word, each date and each number of repeats of each unit.
+    Every part that a kind allows is tried: each stretch of a keyboard walk or of one character, each dictionary
+    word, each date, and each number of repeats of a unit that isn't itself a repeat. Time is close to
+    proportional to the length.
     """
     n, single = len(value), _alphabet(value)
     low = value.lower() if len(value.lower()) == n else value
     plain = low.translate(_LEET)
-    codes = np.array([ord(c) for c in value])
     longest_word = max(map(len, words), default=0)
     best = [0.0] + [math.inf] * n
-    dates = {}
+    dates: dict[int, list[tuple[int, float]]] = {}
     for start in range(n):
         for pattern, price in _DATES:
             m = pattern.match(value, start)
             if m:
                 dates.setdefault(m.end(), []).append((start, price))
-    walk = run = 1
-    same = np.zeros(n, np.int64)  # per unit: how many characters up to here equal those a unit before
-    units = np.arange(n)
+    repeats = [(start, start + length, unit) for start, length, unit in runs_of([ord(c) for c in value], 2, 2) if unit > 1]
+    repeats.sort(key=lambda run: run[0] + run[2])
+    active: list[tuple[int, int, int, dict[int, _Starts]]] = []
+    same, same_from, walk, walk_from = _Starts(0), 0, _Starts(0), 0
+    upcoming = 0
     for end in range(1, n + 1):
         cost = best[end - 1] + single
-        if end > 1:
-            walk = walk + 1 if low[end - 2 : end] in _NEXT else 1
-            run = run + 1 if value[end - 1] == value[end - 2] else 1
-            back = same[1:end]
-            equal = codes[end - 2 :: -1][: end - 1] == codes[end - 1]
-            same[1:end] = np.where(equal, back + 1, 0)
-        if run >= 3:
-            cost = min(cost, single + _least(best, end, 3, run, np.log10))
-        if walk >= 4:
-            cost = min(cost, _LOG_WALK + _least(best, end, 4, walk, np.log10))
+        if end > 1 and value[end - 1] != value[end - 2]:
+            same, same_from = _Starts(0), end - 1
+        if end - 3 >= same_from:
+            same.add(end - 3, best[end - 3], end)
+            cost = min(cost, single + same.least(end))
+        if end > 1 and low[end - 2 : end] not in _NEXT:
+            walk, walk_from = _Starts(0), end - 1
+        if end - 4 >= walk_from:
+            walk.add(end - 4, best[end - 4], end)
+            cost = min(cost, _LOG_WALK + walk.least(end))
         for size in range(3, min(longest_word, end) + 1):
             rank = words.get(plain[end - size : end]) or words.get(low[end - size : end])
             if rank:
                 changed = value[end - size : end] not in words
                 cost = min(cost, best[end - size] + math.log10(rank * (size + 1 if changed else 1) + 1))
-        for unit in np.flatnonzero((same >= units) & (units >= 2)).tolist() if end > 3 else ():
-            for times in range(2, int(same[unit]) // unit + 2):
-                cost = min(cost, best[end - (times - 1) * unit] + math.log10(times))
+        while upcoming < len(repeats) and repeats[upcoming][0] + repeats[upcoming][2] <= end:
+            active.append((*repeats[upcoming], {}))
+            upcoming += 1
+        if active and any(stop < end for _, stop, _, _ in active):
+            active = [run for run in active if run[1] >= end]
+        due = []
+        for start, _, unit, ends in active:
+            if end >= start + unit:
+                at, place = divmod(end - start, unit)
+                kept = ends.get(place)
+                if kept is not None:
+                    cost = min(cost, kept.least(at))
+                due.append((ends, place, at))
         for start, price in dates.get(end, ()):
             cost = min(cost, best[start] + price)
         best[end] = cost
+        for ends, place, at in due:
+            ends.setdefault(place, _Starts(1)).add(at, cost, at + 1)
     return best[n]
 
 

@@ -4,6 +4,7 @@ Rules are (host, path) keys. Their 64-bit xxhash digests are stored sorted, with
 string beside them, in one file that executors memory-map. A URL's candidate keys (its host
 suffixes times the path lengths that rules have) are hashed and probed with a vectorised binary
 search; a digest hit counts only if the stored string equals the candidate. The longest hit wins.
+Only suffixes of as many labels as some rule's host has are candidates, so long hosts cost no more.
 
 Null or malformed URLs have an empty host and path and match nothing; verdict is then ``default``.
 Repeated rows are judged alike, an empty table gives an empty result. A kept column named
@@ -13,6 +14,7 @@ like an output comes out with an underscore behind its name, further columns are
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from recordlake.llm.scratch import free_name, tidy
 
-MAGIC = b"SDA1"
+MAGIC = b"SDA2"
 SCHEMA = "host string, path string, rule string, verdict string"
 
 
@@ -35,11 +37,12 @@ def build_digest_file(rules: Iterable[tuple[str, str]], path: str) -> None:
     verdicts = {key: verdict for verdict, key in rules}
     rows = sorted((xxhash.xxh64_intdigest(key.encode()), key.encode(), verdict) for key, verdict in verdicts.items())
     lengths = sorted({len(key.partition(b"/")[2]) for _, key, _ in rows})
+    labels = sorted({key.partition(b"/")[0].count(b".") + 1 for _, key, _ in rows})
     with open(path, "wb") as out:
-        out.write(MAGIC + np.array([len(rows), len(lengths)], "<u4").tobytes() + b"\0" * 4)
+        out.write(MAGIC + np.array([len(rows), len(lengths), len(labels)], "<u4").tobytes())
         out.write(np.array([d for d, _, _ in rows], "<u8").tobytes())
         out.write(np.cumsum([len(k) for _, k, _ in rows], dtype="<u8").tobytes())
-        out.write(np.array(lengths, "<u8").tobytes())
+        out.write(np.array(lengths + labels, "<u8").tobytes())
         out.write(bytes(v == "block" for _, _, v in rows))
         out.write(b"".join(k for _, k, _ in rows))
 
@@ -51,12 +54,13 @@ class DigestArray:
         raw = np.memmap(path, dtype=np.uint8, mode="r")
         if bytes(raw[:4]) != MAGIC:
             raise ValueError("not a digest array file")
-        n, m = (int(x) for x in raw[4:12].view("<u4"))
+        n, m, k = (int(x) for x in raw[4:16].view("<u4"))
         at = 16
         self.digests = raw[at : at + 8 * n].view("<u8")
         self.ends = raw[at + 8 * n : at + 16 * n].view("<u8")
-        self.path_lengths = [int(x) for x in raw[at + 16 * n : at + 16 * n + 8 * m].view("<u8")]
-        at += 16 * n + 8 * m
+        sizes = [int(x) for x in raw[at + 16 * n : at + 16 * n + 8 * (m + k)].view("<u8")]
+        self.path_lengths, self.host_labels = sizes[:m], sizes[m:]
+        at += 16 * n + 8 * (m + k)
         self.block = raw[at : at + n]
         self.strings = raw[at + n :]
 
@@ -78,30 +82,28 @@ class DigestArray:
         return bytes(self.strings[int(self.ends[j - 1]) if j else 0 : int(self.ends[j])])
 
 
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_PARTS = re.compile(r"([^/?#]*)([^?#]*)")
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     _, mark, rest = (url or "").partition("://")
     if not mark:
         return "", ""
-    stop = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
-    host = rest[:stop]
-    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
-    path = rest[stop:]
-    stop = next((i for i, c in enumerate(path) if c in "?#"), len(path))
-    return host, path[:stop]
+    m = _PARTS.match(rest)
+    return m[1].translate(_LOWER), m[2]
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Keys of rules that could fit: host suffixes at label borders, path prefixes of the lengths in use.
+def candidates(host: str, path: str, lengths: list[int], labels: list[int]) -> list[bytes]:
+    """Keys of rules that could fit: host suffixes of the numbers of labels in use, path prefixes of the lengths in use.
 
     A rule's path begins with the slash that also separates it from the host.
     """
-    body = path.encode()
-    if not host or not body.startswith(b"/"):
+    body = path[: max(lengths, default=0) + 1].encode()  # a character has at least one byte
+    if not host or not labels or not body.startswith(b"/"):
         return []
-    suffixes, name = [host], host
-    while "." in name:
-        name = name.partition(".")[2]
-        suffixes.append(name)
+    last = host.rsplit(".", labels[-1])
+    suffixes = [".".join(last[-n:]) for n in labels if n <= len(last)]
     return [s.encode() + body[: n + 1] for s in suffixes if s for n in lengths if n + 1 <= len(body)]
 
 
@@ -116,7 +118,7 @@ def _judge(file_name: str, default: str, keep: int):
                 host, path = split_url(url)
                 hosts.append(host)
                 paths.append(path)
-                keys += candidates(host, path, table.path_lengths)
+                keys += candidates(host, path, table.path_lengths, table.host_labels)
                 spans.append(len(keys))
             hit = table.probe(keys)
             for a, b in zip(spans, spans[1:], strict=False):

@@ -66,8 +66,9 @@ def every_segmentation(value, words):
         for pattern, cost in secret_scan._DATES:
             if pattern.fullmatch(part):
                 out.append(cost)
-        for unit in range(2, i + 1):  # repeats of the unit that ends where the part begins
-            if (j - i) % unit == 0 and part == value[i - unit : i] * ((j - i) // unit):
+        for unit in range(2, i + 1):  # repeats of the unit, no repeat itself, that ends where the part begins
+            whole = value[i - unit : i]
+            if (whole + whole).find(whole, 1) == unit and (j - i) % unit == 0 and part == value[i - unit : i] * ((j - i) // unit):
                 out.append(math.log10((j - i) // unit + 1))
         return min(out, default=math.inf)
 
