@@ -14,8 +14,11 @@ have no order and are refused.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, BinaryType, StringType, StructField
 from pyspark.sql.window import Window
 
 from recordlake.llm.scratch import free_name
@@ -32,12 +35,25 @@ def consistent_shard(key: Column, shards: int, seed: int) -> Column:
     return F.greatest(F.lit(0), F.lit(0), *moves)
 
 
-def write_shuffled(df: DataFrame, path: str, shards: int, key: str = "doc_id", payload: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a whole row: strings and binaries by their length, nested values as JSON, others 8."""
+
+    def one(field: StructField) -> Column:
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(field.name), F.lit(0)) + 8
+        if isinstance(field.dataType, AtomicType):
+            return F.lit(8)
+        return F.octet_length(F.to_json(F.struct(field.name)))
+
+    return reduce(lambda a, b: a + b, map(one, df.schema.fields), F.lit(8)).cast("long")
+
+
+def write_shuffled(df: DataFrame, path: str, shards: int, key: str = "doc_id", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Write ``df`` under ``path``, a folder per shard, rows in shuffled order; returns the written table.
 
-    The bucket count follows the bytes of the table. Columns: those of ``df``, slot, grown_shard, shard.
+    The bucket count follows the bytes of the whole rows. Columns: those of ``df``, slot, grown_shard, shard.
     """
-    total = df.agg(F.sum(F.coalesce(F.octet_length(payload), F.lit(0)) + 16)).first()[0] or 0
+    total = df.agg(F.sum(row_bytes(df))).first()[0] or 0
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
     names = {c: free_name(c, OUTPUTS) for c in [key, *(c for c in df.columns if c != key)]}
     keyed = df.select(F.struct(*(F.col(c).alias(n) for c, n in names.items())).alias("row")).withColumns({

@@ -2,11 +2,14 @@
 
 import random
 import time
+import zlib
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
-from recordlake.llm import debruijn, secret_scan, url_filter
-from recordlake.llm.catalog import URL_RULES
+from recordlake.llm import debruijn, secret_scan, shuffle_shards, url_filter
+from recordlake.llm.catalog import QUERIES, URL_RULES
 
 
 @pytest.mark.parametrize("value", ["ab" * 100_000, "a" * 200_000, "qw" * 100_000, "correcthorse" * 17_000, "".join(random.Random(1).choice("abcdefXYZ0123456789") for _ in range(200_000))])
@@ -56,3 +59,40 @@ def test_large_ids(spark):
     rows = [(top, long[0]), (top, long[1]), (-(2**62), long[0]), (2**62, "new " + long[1])]
     out = debruijn.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
     assert sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in out) == sorted([(-(2**62), 0, long[0]), (2**62, 0, "new " + long[1]), (top, 60, ""), (top, 60, "")])
+
+
+def hashed(values):
+    """A row's 64-bit hash, computed by the hash library: each value's bytes, seeded with the hash so far; nulls are passed over."""
+    h = 42
+    for v, size in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.to_bytes(size, "little", signed=True), seed=h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def shard_of(doc_id, shards, seed=17):
+    return max([0, *(j for j in range(1, shards) if hashed([(doc_id, 8), (j, 4), (seed, 4)]) % (j + 1) == 0)])
+
+
+def test_op8_against_a_second_computation(spark, data):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = QUERIES["op8_shuffle_shards"](spark, data).collect()
+    assert len(rows) == len(texts)
+    slots = {}
+    for r in rows:
+        text = texts[r["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(text) + 16, zlib.crc32(text), "key")
+        assert (r["shard"], r["grown_shard"]) == (shard_of(r["doc_id"], 40), shard_of(r["doc_id"], 41))
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_op8_buckets_are_sized_by_whole_rows(spark, tmp_path):
+    """Rows that are large in another column than the text get more buckets; very long texts and nested columns, too."""
+    df = spark.createDataFrame([(i, "x", "y" * 20_000, [i] * 3, {"a": i}) for i in range(300)] + [(300, "z" * 500_000, None, None, None), (None, None, None, None, None)], "doc_id long, text string, more string, list array<int>, s struct<a: int>")
+    total = df.agg(F.sum(shuffle_shards.row_bytes(df))).first()[0]
+    assert 6_500_000 < total < 6_600_000
+    written = shuffle_shards.write_shuffled(df, f"file://{tmp_path}/a", 2, bucket_bytes=1 << 20)
+    assert written.count() == 302 and sorted(r["slot"] for r in written.filter("shard = 1").collect()) == list(range(written.filter("shard = 1").count()))
+    ids = [r["doc_id"] for r in written.filter("shard = 0").orderBy("slot").collect()]
+    assert ids != sorted(ids, key=lambda i: (i is None, i))
