@@ -10,10 +10,10 @@ MONTHS = ["janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "
 
 
 def _make(year: Column, month: Column, day: Column) -> Column:
-    y, m, d = (x.try_cast("int") for x in (year, month, day))
-    text = F.format_string("%04d-%02d-%02d", y, m, d)
-    known = y.isNotNull() & m.isNotNull() & d.isNotNull()
-    return F.when(known, F.date_format(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), "yyyy-MM-dd"))
+    """ISO date of its parts in digits; null where one is missing or there is no such day."""
+    part = lambda c, n: F.when(F.length(F.trim(c)).between(1, n), F.lpad(F.trim(c), n, "0"))
+    text = F.concat(part(year, 4), F.lit("-"), part(month, 2), F.lit("-"), part(day, 2))
+    return text.try_cast("date").cast("string")
 
 
 def normalize_date(c: Column) -> Column:
@@ -21,26 +21,25 @@ def normalize_date(c: Column) -> Column:
 
     In order: ISO date or timestamp (its own date part), compact ISO, day first with ``/ - .``, year
     first with ``/``, written-out Portuguese; then the first date-like token, two-digit years being 20xx.
+    Each form is told by one test and cut by places or marks; the token is looked for only where they fail.
     """
-    text = F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, " ", " "), r"\s+", " ")))
-    for i, name in enumerate(MONTHS, 1):
-        text = F.regexp_replace(text, name.replace("ç", "[cç]"), str(i))
-    text = F.regexp_replace(text, r"(\d{1,2})º? de (\d{1,2}) de (\d{4})", "$1/$2/$3")
-    part = lambda pattern, i: F.regexp_extract(text, pattern, i)
-    iso = r"^(\d{4})-(\d{2})-(\d{2})(?:$|[t ].*)"
-    compact = r"^(\d{4})(\d{2})(\d{2})$"
-    day_first = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$"
-    year_first = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
-    token = r"(\d{1,4})[./-](\d{1,2})[./-](\d{2,4})"
-    last = F.when(F.length(part(token, 3)) == 2, F.concat(F.lit("20"), part(token, 3))).otherwise(part(token, 3))
-    return F.coalesce(
-        _make(part(iso, 1), part(iso, 2), part(iso, 3)),
-        _make(part(compact, 1), part(compact, 2), part(compact, 3)),
-        _make(part(day_first, 4), part(day_first, 3), part(day_first, 1)),
-        _make(part(year_first, 1), part(year_first, 2), part(year_first, 3)),
-        _make(last, part(token, 2), part(token, 1)),
-        _make(part(token, 1), part(token, 2), part(token, 3)),
+    text = F.lower(F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " ")))
+    cut = lambda i, n: F.substring(text, i, n)
+    parts, slashed = F.split(text, "[/.-]"), F.split(text, "/")
+    months = F.create_map(*(F.lit(x) for i, name in enumerate(MONTHS, 1) for x in (name.replace("ç", "c"), str(i))))
+    spelled = r"(\d{1,2})º? de ([a-zç]+) de (\d{4})"
+    word = lambda i: F.regexp_extract(text, spelled, i)
+    whole = (
+        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}(?:$|[t ])"), _make(cut(1, 4), cut(6, 2), cut(9, 2)))
+        .when(text.rlike(r"^\d{8}$"), _make(cut(1, 4), cut(5, 2), cut(7, 2)))
+        .when(text.rlike(r"^\d{1,2}([/.-])\d{1,2}\1\d{4}$"), _make(parts[2], parts[1], parts[0]))
+        .when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), _make(slashed[0], slashed[1], slashed[2]))
+        .when(text.rlike(spelled), _make(word(3), F.element_at(months, F.replace(word(2), F.lit("ç"), F.lit("c"))), word(1)))
     )
+    token = F.split(F.regexp_extract(text, r"\d{1,4}[./-]\d{1,2}[./-]\d{2,4}", 0), "[/.-]")
+    last = F.when(F.length(F.get(token, F.lit(2))) == 2, F.concat(F.lit("20"), F.get(token, F.lit(2)))).otherwise(F.get(token, F.lit(2)))
+    middle, first = F.get(token, F.lit(1)), F.get(token, F.lit(0))
+    return F.coalesce(whole, _make(last, middle, first), _make(first, middle, F.get(token, F.lit(2))))
 
 
 def excel_serial_date(c: Column) -> Column:

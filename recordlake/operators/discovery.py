@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recordlake.scratch import written
+
 
 def crawl_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth) of everything reachable within ``max_depth`` steps, each node at its least depth.
 
-    One join a level; nodes already visited are left out by an anti-join.
+    One join a level, whose new nodes are written, so that a level's plan holds no earlier one; nodes already visited
+    are left out by an anti-join. It ends early where nothing new is reached.
     """
-    visited = frontier = seeds.select("node").distinct().withColumn("depth", F.lit(0))
+    edges = written(edges.select("src", "dst"), "edges")
+    visited = frontier = written(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")
     for depth in range(1, max_depth + 1):
         reached = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = reached.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = written(reached.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        if frontier.isEmpty():
+            break
         visited = visited.unionByName(frontier)
     return visited
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recordlake.scratch import written
+
 #: Column orders of the exports (fixed values).
 MIXED_CSV = [
     "kind", "id", "source", "court", "case_number", "number", "decision_type", "precedent_type", "subject", "rapporteur", "status", "question", "thesis", "summary",
@@ -67,13 +69,12 @@ def markdown_record(title: Column, **sections: Column) -> Column:
 def markdown_pages(df: DataFrame, group: str, order: str, record: Column, size: int = PAGE_RECORDS) -> DataFrame:
     """(group, page, markdown): per group its records in order, ``size`` to a page, pages from 1.
 
-    Records are ranked within ranges of ``order``, split at values drawn by their hash, and ranges are
-    numbered by their counts, so no group is gathered whole. About 1,000 splits at most for any size.
+    Records are dealt by ranges of group and order and written with their range; ranks within a range and the counts
+    of the ranges before it make the pages, so no group is gathered whole.
     """
     rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), record.alias("m"))
-    every = max(10 * size, rows.count() // 1000)
-    splits = rows.filter(F.pmod(F.xxhash64("o"), F.lit(every)) == 0).agg(F.array_sort(F.collect_set("o")).alias("splits"))
-    ranged = rows.crossJoin(F.broadcast(splits)).select("g", "o", "m", F.size(F.filter("splits", lambda s: s <= F.col("o"))).alias("range"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(partitions, "g", "o").withColumn("range", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("g", "range").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("g").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("g").alias("og"), F.col("range").alias("orange"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
