@@ -12,7 +12,7 @@ from recordlake.plans.search_query import SearchQuery
 from recordlake.plans.views import view, view_sql, with_views
 from recordlake.scratch import fresh_path, written
 from recordlake.shipping import ship
-from recordlake.sources import dom, registry, sites
+from recordlake.sources import dom, registry, sites, split_csv
 from recordlake.streaming import partial
 
 
@@ -244,3 +244,20 @@ def evidence_replay(spark, sf_dir):
     first, _ = replay.replay(path, spark.createDataFrame([], replay.RESULT_SCHEMA), rules(_RULES))
     _, again = replay.replay(path, first, rules(_CHANGED))
     return again.select("content_sha256", "rule", "found")
+
+
+@query("quoted_records", "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, length(coalesce(text, '')) AS n_chars FROM documents WHERE contains(lower(coalesce(text, '')), 'the') OR contains(CAST(doc_id AS VARCHAR), 'the')")
+def quoted_records(spark, sf_dir):
+    """Documents as records of a pipe file whose texts hold quotes and line breaks, found by a word."""
+    ship(spark)
+    path = fresh_path(spark, "pipe")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat(F.col("doc_id").cast("string"), F.lit("|"), quoted)
+    header = F.lit("KEY|TEXT\n")
+    first = F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) == 1
+    parts = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(8))).withColumn("value", F.when(first, F.concat(header, line)).otherwise(line))
+    parts.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    found = split_csv.scan(split_csv.read_quoted(spark, path), "the", 1 << 60)
+    text = F.element_at("values", F.lit("TEXT"))
+    return found.select(F.element_at("values", F.lit("KEY")).cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.length(text).cast("long").alias("n_chars"))
