@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from recordlake.api import RECORD_SCHEMA, Engine
 from recordlake.catalog import query
-from recordlake.operators import replay, robots, store
+from recordlake.operators import replay, robots, routes, store
 from recordlake.plans.search_query import SearchQuery
 from recordlake.plans.views import view, view_sql, with_views
 from recordlake.scratch import fresh_path, written
@@ -261,3 +261,27 @@ def quoted_records(spark, sf_dir):
     found = split_csv.scan(split_csv.read_quoted(spark, path), "the", 1 << 60)
     text = F.element_at("values", F.lit("TEXT"))
     return found.select(F.element_at("values", F.lit("KEY")).cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.length(text).cast("long").alias("n_chars"))
+
+
+_BASE = "regexp_extract(url, '^[a-z]+://[^/?#]*')"
+
+
+@query("route_candidates", f"""WITH p AS (SELECT page_id, {_BASE} AS base, {_ANCHORS} AS a FROM pages), v AS (
+    SELECT page_id, base, {_PLAIN.format("regexp_extract(unnest(a), 'href=\"([^\"]*)\"', 1)")} AS value, 'GET' AS method, 'link' AS source, 1 AS k FROM p
+    UNION ALL SELECT page_id, base, '/main.css', 'GET', 'asset', 2 FROM p WHERE page_id % 2 = 0 UNION ALL SELECT page_id, base, '/app.js', 'GET', 'script', 3 FROM p WHERE page_id % 3 = 0
+    UNION ALL SELECT page_id, base, '/find', 'POST', 'form', 4 FROM p WHERE page_id % 5 = 0 UNION ALL SELECT page_id, base, '/api/x?y=1', 'GET', 'script', 5 FROM p WHERE page_id % 7 = 0 UNION ALL SELECT page_id, base, '/api/last', 'GET', 'text', 7 FROM p WHERE page_id % 11 = 0)
+  SELECT page_id, method, base || trim(value) AS url, arg_min(source, k) AS source FROM v GROUP BY ALL""")
+def route_candidates(spark, sf_dir):
+    ship(spark)
+    part = lambda n, markup: F.when(F.col("page_id") % n == 0, F.lit(markup)).otherwise(F.lit(""))
+    extra = F.concat(part(2, "<link href='/main.css'>"), part(3, "<script src='/app.js'></script>"), part(5, "<form action='/find' method=post></form>"), part(7, "<script>x(); fetch( '/api/x?y=1' )</script>"), part(11, "<p>see /api/last</p>"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("html", F.concat("html", extra)).withColumn("kind", F.lit("text/html"))
+    return routes.route_candidates(pages, "page_id", "url", "html", "kind").select("page_id", "method", "url", "source")
+
+
+@query("json_filter_keys", """SELECT doc_id, name, field_type FROM (SELECT doc_id, unnest(['pageSize', 'searchText', 'Tipo', 'datas']) AS name, unnest(['int', 'str', 'NoneType', 'json_array']) AS field_type FROM documents WHERE doc_id % 3 > 0)""")
+def json_filter_keys(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made = F.to_json(F.struct(F.col("doc_id").alias("pageSize"), F.coalesce("text", F.lit("")).alias("searchText"), F.lit(None).cast("string").alias("Tipo"), F.array("lang").alias("datas"), F.lit(1).alias("other")), {"ignoreNullFields": "false"})
+    body = F.when(F.col("doc_id") % 3 > 0, made).otherwise(F.concat(F.lit("["), made, F.lit("]")))
+    return routes.filter_keys(docs.select("doc_id", body.alias("body")), "doc_id", "body").select("doc_id", "name", "field_type")

@@ -125,6 +125,19 @@ def join_url(urls: pd.Series, bases: pd.Series) -> pd.Series:
     return pd.Series([None if not (u or "").strip() else urljoin(b or "", u.strip()).split("#")[0] or None for u, b in zip(urls, bases, strict=True)])
 
 
+@F.pandas_udf(T.StringType())
+def absolute_url(urls: pd.Series, bases: pd.Series) -> pd.Series:
+    """A possibly relative URL against its base, fragment and all; null where they can't be joined."""
+
+    def one(url: str | None, base: str | None) -> str | None:
+        try:
+            return urljoin(base or "", url or "")
+        except ValueError:
+            return None
+
+    return pd.Series([one(u, b) for u, b in zip(urls, bases, strict=True)])
+
+
 def strip_session(c: Column) -> Column:
     """URL without session path parameters and token arguments."""
     cut = F.regexp_replace(c, r"(?i);jsessionid=[^?#]*", "")
