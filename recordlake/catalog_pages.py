@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recordlake.api import RECORD_SCHEMA, Engine
-from recordlake.catalog import query
-from recordlake.operators import replay, robots, routes, store
+from recordlake.catalog import _capabilities, _contracts, query
+from recordlake.operators import documents, federate, quality, replay, robots, routes, store
 from recordlake.plans.search_query import SearchQuery
 from recordlake.plans.views import view, view_sql, with_views
 from recordlake.scratch import fresh_path, written
@@ -285,3 +285,49 @@ def json_filter_keys(spark, sf_dir):
     made = F.to_json(F.struct(F.col("doc_id").alias("pageSize"), F.coalesce("text", F.lit("")).alias("searchText"), F.lit(None).cast("string").alias("Tipo"), F.array("lang").alias("datas"), F.lit(1).alias("other")), {"ignoreNullFields": "false"})
     body = F.when(F.col("doc_id") % 3 > 0, made).otherwise(F.concat(F.lit("["), made, F.lit("]")))
     return routes.filter_keys(docs.select("doc_id", body.alias("body")), "doc_id", "body").select("doc_id", "name", "field_type")
+
+
+# --- documents by type, depth of fetching, sources by name, bounds of pages, lists of contracts
+
+_KINDS = ["text/html", "application/json", "text/plain", "application/pdf", "application/vnd.api+json", "", "application/xhtml+xml"]
+
+
+@query("text_extraction", """WITH d AS (SELECT doc_id, CAST(doc_id % 7 AS INT) AS k, CASE WHEN doc_id % 10 = 0 THEN '' ELSE coalesce(text, '') END AS t FROM documents), n AS (SELECT *, nullif(trim(regexp_replace(t, '[\\s\\x0B\\x1C-\\x1F\\x{85}\\pZ]+', ' ', 'g')), '') AS visible, nullif(regexp_replace(t, '^[\\s\\x0B\\x1C-\\x1F\\x{85}\\pZ]+|[\\s\\x0B\\x1C-\\x1F\\x{85}\\pZ]+$', '', 'g'), '') AS bare FROM d)
+  SELECT doc_id, sha256(CASE WHEN k IN (0, 6) THEN visible WHEN k IN (1, 2, 4) THEN bare END) AS text_sha256, CASE WHEN t = '' AND k NOT IN (0, 6) THEN 'empty' WHEN k IN (3, 5) THEN 'unsupported_format' WHEN coalesce(CASE WHEN k IN (0, 6) THEN visible ELSE bare END, '') = '' THEN 'empty' ELSE 'complete' END AS status FROM n""")
+def text_extraction(spark, sf_dir):
+    ship(spark)
+    text = F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.coalesce("text", F.lit("")))
+    marked = F.concat(F.lit("<p>"), F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</p><script>x</script>"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % 7 + 1).cast("int"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", kind.alias("kind"), F.when((F.col("doc_id") % 7).isin(0, 6), marked).otherwise(text).cast("binary").alias("content"))
+    return docs.select("doc_id", documents.extract_text(F.col("content"), F.col("kind")).alias("d")).select("doc_id", F.sha2("d.text", 256).alias("text_sha256"), "d.status")
+
+
+@query("fetch_depth", with_views("evidence") + """, p AS (SELECT source, CAST(run AS INT) + 1 AS page, CASE WHEN run = 7 AND source = 's3' THEN 0 ELSE count(*) % 5 + 1 END AS n, source = 's2' AND run = 2 AS is_complete, CASE WHEN source = 's4' THEN 6 END AS total FROM evidence GROUP BY source, run),
+  r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY source ORDER BY page) AS BIGINT) AS records FROM p), e AS (SELECT source, min(page) AS last FROM r WHERE n = 0 OR is_complete OR records >= coalesce(total, 1000000) OR records >= 20 GROUP BY source)
+  SELECT r.source, page, records FROM r LEFT JOIN e ON r.source = e.source WHERE page <= coalesce(last, page)""")
+def fetch_depth(spark, sf_dir):
+    n = F.when((F.col("run") == 7) & (F.col("source") == "s3"), 0).otherwise(F.count(F.lit(1)) % 5 + 1)
+    pages = view(spark, sf_dir, "evidence").groupBy("source", "run").agg(n.alias("n"))
+    pages = pages.select("source", (F.col("run").cast("int") + 1).alias("page"), "n", ((F.col("source") == "s2") & (F.col("run") == 2)).alias("is_complete"), F.when(F.col("source") == "s4", 6).alias("total"))
+    return federate.fetch_depth(pages, 2, 10).select("source", "page", "records")
+
+
+@query("route_requested", with_views("capabilities") + """, q AS (SELECT DISTINCT 's' || l_suppkey * 2 AS source FROM lineitem) SELECT q.source, CASE WHEN c.source IS NULL THEN NULL WHEN NOT unified THEN 'unified_search_not_supported' WHEN category = 'case_lookup' THEN 'outside_jurisprudence_scope' WHEN category = 'judicial_communications' THEN 'not_jurisprudence_source' WHEN category <> 'court_jurisprudence' THEN 'category_not_applicable' END AS skip_reason,
+  c.source IS NULL OR (unified AND category = 'court_jurisprudence') AS searched, c.source IS NOT NULL AS known FROM q LEFT JOIN capabilities c ON q.source = c.source""")
+def route_requested(spark, sf_dir):
+    asked = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("s"), F.col("l_suppkey") * 2).alias("source"))
+    return federate.route_requested(asked, _capabilities(spark, sf_dir), [], ["text"], ["court_jurisprudence"]).select("source", "skip_reason", "searched", "known")
+
+
+@query("window_bounds", with_views("records") + """, t AS (SELECT court, count(*) AS total FROM records GROUP BY court) SELECT court, CAST(CASE WHEN total > 3000 THEN 3001 ELSE 0 END AS BIGINT) AS start, CAST(CASE WHEN total > 3000 THEN least(total, 3100) ELSE 0 END AS BIGINT) AS "end", total FROM t""")
+def window_bounds(spark, sf_dir):
+    totals = view(spark, sf_dir, "records").groupBy("court").agg(F.count(F.lit(1)).alias("n"))
+    return totals.select("court", federate.window_bounds(F.col("n"), 31, 100).alias("w")).select("court", "w.*")
+
+
+@query("contract_lists", with_views("capabilities") + """, l AS (SELECT source, CASE WHEN key % 2 = 0 OR key % 3 = 0 OR (unified AND balance > 2000) THEN 4 WHEN filters <> '' AND key % 7 > 0 THEN 3 WHEN balance > 0 THEN 2 ELSE 1 END AS level, key % 5 IN (0, 1) AS words FROM capabilities)
+  SELECT count(*) AS total_sources, string_agg(source, ',' ORDER BY source) FILTER (level < 4 OR words) AS needs_deepening, '' AS ready_for_agents FROM l""")
+def contract_lists(spark, sf_dir):
+    found = quality.contract_lists(_contracts(spark, sf_dir))
+    return found.select("total_sources", F.array_join("needs_deepening", ",").alias("needs_deepening"), F.array_join("ready_for_agents", ",").alias("ready_for_agents"))

@@ -122,6 +122,34 @@ def fit_remote_page(page: Column, size: Column) -> Column:
     return F.struct(fitted.alias("size"), (F.floor(first / fitted) + 1).cast("int").alias("page"), (first % fitted).cast("int").alias("offset"))
 
 
+def route_requested(requested: DataFrame, capabilities: DataFrame, identifiers: list[str], refinements: list[str], categories: list[str]) -> DataFrame:
+    """Routing of the sources asked for by name; one that declares nothing is searched all the same."""
+    known = route_sources(capabilities, identifiers, refinements, categories).withColumn("known", F.lit(True))
+    joined = requested.select("source").distinct().join(known, "source", "left")
+    return joined.select("source", "skip_reason", F.coalesce("searched", F.lit(True)).alias("searched"), F.coalesce("warnings", F.lit("")).alias("warnings"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def fetch_depth(pages: DataFrame, page: int, page_size: int) -> DataFrame:
+    """Pages (source, page, n, is_complete, total) that a federated page takes of each source, with ``records`` so far.
+
+    A source is read until there are enough records for the global page, a page is empty, the source calls a page
+    its last, or its total is reached.
+    """
+    target = page * page_size
+    upto = Window.partitionBy("source").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("source").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    running = pages.withColumn("records", F.sum("n").over(upto))
+    ends = (F.col("n") == 0) | F.coalesce(F.col("is_complete"), F.lit(False)) | F.coalesce((F.col("total") >= 0) & (F.col("records") >= F.col("total")), F.lit(False)) | (F.col("records") >= target)
+    return running.withColumn("__ended", F.coalesce(F.max(ends).over(earlier), F.lit(False))).filter("not __ended").drop("__ended")
+
+
+def window_bounds(total: Column, page: int, size: int) -> Column:
+    """One-based start and end of a page of a local table, 0 where it is empty."""
+    first = max(page - 1, 0) * size
+    shown = F.greatest(F.lit(0), F.least(F.lit(size), total - first))
+    return F.struct(F.when(shown > 0, first + 1).otherwise(0).cast("long").alias("start"), F.when(shown > 0, first + shown).otherwise(0).cast("long").alias("end"), total.cast("long").alias("total"))
+
+
 def local_window(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
     """A page of a local table with its one-based start and end."""
     rows = df.orderBy(*order).offset((page - 1) * size).limit(size)

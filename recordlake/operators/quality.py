@@ -114,6 +114,14 @@ def contract_risk(limitations: Column, level: Column) -> Column:
     return F.when(low.contains("captcha") | low.contains("controle de acesso"), "alto").when(level >= 5, "baixo").when(level >= 3, "medio").otherwise("alto")
 
 
+def contract_lists(contracts: DataFrame) -> DataFrame:
+    """One row over (source, level, risk): total, sources that need work and sources that agents may use, in order of name."""
+    named = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("source"))))
+    shallow = (F.col("level") < 4) | F.col("risk").isin("alto", "critico")
+    ready = (F.col("level") >= 5) & F.col("risk").isin("baixo", "medio")
+    return contracts.agg(F.count(F.lit(1)).alias("total_sources"), named(shallow).alias("needs_deepening"), named(ready).alias("ready_for_agents"))
+
+
 def maturity(level: Column) -> Column:
     return F.when(level >= 5, "maduro").when(level >= 3, "intermediario").otherwise("inicial")
 

@@ -96,6 +96,13 @@ class SearchQuery:
     def active_values(self) -> dict[str, object]:
         return {f: getattr(self, f) for f in self.active_filters() if is_active(getattr(self, f))}
 
+    def precedent_filter(self) -> dict[str, object]:
+        """The filter of the general precedent search, by its own names (fixed values)."""
+        return {
+            "buscaGeral": self.text, "todasPalavras": self.all_words, "quaisquerPalavras": self.any_words, "semPalavras": self.without_words, "trechoExato": self.exact_phrase, "atualizacaoDesde": self.updated_from, "atualizacaoAte": self.updated_to,
+            "cancelados": self.include_cancelled, "ordenacao": self.order_by, "nr": self.number, "pagina": self.page, "tamanhoPagina": self.page_size, "orgaos": list(self.courts), "tipos": list(self.types),
+        }
+
     def expression(self) -> str:
         """The query as a boolean search expression."""
         parts = [self.text] * bool(self.text) + [f'"{self.exact_phrase}"'] * bool(self.exact_phrase)

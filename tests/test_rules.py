@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from recordlake.operators import federate, probe, quality
+from recordlake.operators import documents, federate, probe, quality
+from recordlake.plans.search_query import SearchQuery
 
 
 def values(spark, rows, schema, column):
@@ -130,3 +131,36 @@ def test_redaction(spark):
     got = values(spark, payloads, "p string", quality.redact_payload("p"))
     assert json.loads(got[0]) == {"a": [{"Token": "<redacted>", "c": "x"}], "l": "z" * 4096 + "…<truncated>"}
     assert got[1:] == ["plain", "<redacted-text>", "p" * 512, None, '"token"']
+
+
+def test_text_by_type(spark):
+    rows = [("<p>a <b>b</b><script>x</script></p>", "text/html"), ("<p></p>", "application/xhtml+xml"), (' {"a": 1}\n', "application/json"), (" x ", "text/csv"), ("  ", "text/plain"), ("%PDF", "application/pdf"), ("[]", "application/ld+json"), ("", "application/pdf"), (None, "text/html"), ("x", None)]
+    df = spark.createDataFrame(rows, "c string, k string").select(documents.extract_text(F.col("c").cast("binary"), F.col("k")).alias("d"))
+    got = [(r["d"]["text"], r["d"]["status"], r["d"]["transformation"]) for r in df.collect()]
+    assert got == [
+        ("a b", "complete", "html_text_extracted"), (None, "empty", "html_text_extracted"), ('{"a": 1}', "complete", "json_text_preserved"), ("x", "complete", "text_decoded_utf8"), (None, "empty", "text_decoded_utf8"), (None, "unsupported_format", None),
+        ("[]", "complete", "json_text_preserved"), (None, "empty", None), (None, "empty", None), (None, "unsupported_format", None),
+    ]
+
+
+def test_depth_of_fetching(spark):
+    rows = [("a", 1, 10, None, None), ("a", 2, 10, None, None), ("a", 3, 10, None, None), ("b", 1, 3, True, None), ("b", 2, 3, None, None), ("c", 1, 0, None, 9), ("c", 2, 5, None, 9), ("d", 1, 4, None, 7), ("d", 2, 3, None, 7), ("d", 3, 1, None, 7), ("e", 1, 5, None, -1), ("e", 2, 5, None, -1)]
+    got = federate.fetch_depth(spark.createDataFrame(rows, "source string, page int, n int, is_complete boolean, total int"), 2, 10)
+    assert sorted((r["source"], r["page"], r["records"]) for r in got.collect()) == [("a", 1, 10), ("a", 2, 20), ("b", 1, 3), ("c", 1, 0), ("d", 1, 4), ("d", 2, 7), ("e", 1, 5), ("e", 2, 10)]
+
+
+def test_sources_asked_for_by_name(spark):
+    caps = spark.createDataFrame([("a", "case_lookup", True, []), ("b", "jurisprudence", True, ["text"])], "source string, category string, unified boolean, supported_filters array<string>")
+    asked = spark.createDataFrame([("a",), ("b",), ("b",), ("new",)], "source string")
+    got = {r["source"]: tuple(r)[1:] for r in federate.route_requested(asked, caps, [], ["text", "types"], ["jurisprudence"]).collect()}
+    assert got == {"a": ("outside_jurisprudence_scope", False, "", True), "b": (None, True, "types", True), "new": (None, True, "", False)}
+
+
+def test_bounds_lists_and_payload(spark):
+    got = spark.createDataFrame([(0,), (5,), (10,), (25,)], "n long").select(federate.window_bounds(F.col("n"), 2, 10).alias("w")).collect()
+    assert [tuple(r["w"]) for r in got] == [(0, 0, 0), (0, 0, 5), (0, 0, 10), (11, 20, 25)]
+    rows = spark.createDataFrame([("b", 5, "baixo"), ("a", 5, "medio"), ("c", 4, "medio"), ("e", 3, "baixo"), ("d", 5, "alto")], "source string, level int, risk string")
+    assert tuple(quality.contract_lists(rows).first()) == (5, ["d", "e"], ["a", "b"])
+    assert quality.contract_lists(rows.limit(0)).first()["total_sources"] == 0
+    payload = SearchQuery.of(text="x", types=("A",), page=2, updated_from="2020-01-01").precedent_filter()
+    assert payload["buscaGeral"] == "x" and payload["tipos"] == ["A"] and payload["pagina"] == 2 and payload["atualizacaoDesde"] == "2020-01-01" and payload["cancelados"] is False and len(payload) == 14
