@@ -153,7 +153,9 @@ class Engine:
         return store.list_runs(self._table("runs", store.RUN_SCHEMA))
 
     def get_document(self, kind: str, id_: str) -> DataFrame:
-        return self.records().filter((F.col("kind") == kind) & (F.col("id") == id_))
+        """One record by its kind and id, from the files that can hold it."""
+        now = store.latest(self.spark, self.root)
+        return store.lookup(now, "records", kind=kind, id=id_)[0] if "records" in now.tables else self.records().limit(0)
 
     # datasets and quality
 

@@ -331,3 +331,17 @@ def window_bounds(spark, sf_dir):
 def contract_lists(spark, sf_dir):
     found = quality.contract_lists(_contracts(spark, sf_dir))
     return found.select("total_sources", F.array_join("needs_deepening", ",").alias("needs_deepening"), F.array_join("ready_for_agents", ",").alias("ready_for_agents"))
+
+
+@query("record_lookup", with_views("records") + """, w AS (SELECT kind, max(position) AS position FROM records WHERE kind <> 'document' GROUP BY kind) SELECT r.kind, id, court, price, TRUE AS few_files FROM records r JOIN w USING (kind, position)""")
+def record_lookup(spark, sf_dir):
+    """One record of each of two kinds out of a stored table, and whether at most a few of its files were opened."""
+    root = fresh_path(spark, "store")
+    records = view(spark, sf_dir, "records")
+    now = store.save_snapshot(spark, {"records": records}, root, "v1")
+    wanted = records.filter("kind != 'document'").groupBy("kind").agg(F.max_by("id", "position").alias("id")).orderBy("kind").collect()
+    parts = []
+    for r in wanted:
+        rows, files = store.lookup(now, "records", kind=r["kind"], id=r["id"])
+        parts.append(rows.select("kind", "id", "court", "price", F.lit(len(files) <= 2).alias("few_files")))
+    return parts[0].unionByName(parts[1])

@@ -205,6 +205,35 @@ def _publish(spark: SparkSession, root: str, seq: int, entry: dict) -> bool:
         fs.delete(aside, False)
 
 
+#: Tables that are laid out for lookups, and by what.
+CLUSTERED = {"records": ["kind", "id"]}
+BLOOM_NDV = 1_000_000
+
+
+def write_clustered(df: DataFrame, keys: list[str], path: str) -> None:
+    """Write ``df`` in ranges of its keys, sorted, with a Bloom filter of the last key, and beside it what each file holds."""
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).write
+    writer.option(f"parquet.bloom.filter.enabled#{keys[-1]}", "true").option(f"parquet.bloom.filter.expected.ndv#{keys[-1]}", str(BLOOM_NDV)).parquet(path)
+    held = spark.read.schema(df.select(*keys).schema).parquet(path).groupBy(F.input_file_name().alias("file"))
+    held.agg(*(f(k).alias(f"{n}_{k}") for k in keys for n, f in (("min", F.min), ("max", F.max))), F.count(F.lit(1)).alias("rows")).write.parquet(f"{path}_files")
+
+
+def lookup(snapshot: Snapshot, name: str, **values: str) -> tuple[DataFrame, list[str]]:
+    """Rows of a clustered table with these key values, and the files that can hold them; no other file is opened."""
+    spark, path = snapshot.spark, snapshot.tables[name]
+    keys = CLUSTERED[name]
+    if set(values) - set(keys):
+        raise InvalidFilterError(f"{name} is laid out by {', '.join(keys)}")
+    fits = [(F.col(f"min_{k}") <= v) & (F.col(f"max_{k}") >= v) for k, v in values.items()]
+    index = spark.read.parquet(f"{path}_files")
+    files = [r["file"] for r in index.filter(reduce(lambda a, b: a & b, fits, F.lit(True))).select("file").collect()]
+    exact = reduce(lambda a, b: a & b, (F.col(k) == v for k, v in values.items()), F.lit(True))
+    rows = spark.read.parquet(*files) if files else spark.read.parquet(path).limit(0)
+    return rows.filter(exact), files
+
+
 def save_snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str, version: str, base: Snapshot | None = None) -> Snapshot:
     """Write tables as a version on top of ``base`` (the last one, unless given); its other tables stay as they are.
 
@@ -213,7 +242,10 @@ def save_snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str,
     base = latest(spark, root) if base is None else base
     paths = {name: f"{root}/{version}/{name}" for name in tables}
     for name, df in tables.items():
-        df.write.parquet(paths[name])
+        if set(CLUSTERED.get(name, ["-"])) <= set(df.columns):
+            write_clustered(df, CLUSTERED[name], paths[name])
+        else:
+            df.write.parquet(paths[name])
     after = base.tables | paths
     if not _publish(spark, root, base.seq + 1, {"version": version, "tables": after}):
         raise CommitConflictError(f"{root}: version {base.seq + 1} is there already")

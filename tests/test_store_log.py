@@ -79,3 +79,24 @@ def test_replay_reads_what_changed(spark, tmp_path):
     seen = spark.read.parquet(path).selectExpr("content_sha256", "decode(content, 'UTF-8') AS t")
     found = {r["t"]: r["signals"] for r in replay.signals(seen, more).collect()}
     assert found["Voto"] == {"a": False, "b": True} and found["ementa"] == {"a": False, "b": False}
+
+
+def test_lookups_open_few_files(spark, tmp_path):
+    root = f"file://{tmp_path}/db"
+    rows = spark.range(20_000).selectExpr("case when id % 3 = 0 then 'd' when id % 3 = 1 then 'p' end AS kind", "concat('r', id) AS id", "id AS n")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        now = store.save_snapshot(spark, {"records": rows, "other": rows}, root, "v1")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    found, files = store.lookup(now, "records", kind="p", id="r7777")
+    assert [r["n"] for r in found.collect()] == [7777] and len(files) <= 2 and len(found.inputFiles()) == len(files)
+    everything = now.table("records")
+    assert everything.count() == 20_000 and len(everything.inputFiles()) >= 10
+    none, files = store.lookup(now, "records", kind="p", id="zzz")
+    assert none.count() == 0 and files == []
+    half, files = store.lookup(now, "records", kind="d")
+    assert half.count() == 6667 and 0 < len(files) < 16
+    with pytest.raises(store.InvalidFilterError):
+        store.lookup(now, "records", court="x")
