@@ -629,7 +629,7 @@ def html_title(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", html.title(F.col("html")).alias("title"))
 
 
-@query("html_visible_text")
+@query("html_visible_text", """SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'), '[\\s\\x0B\\x1C-\\x1F\\x{85}\\pZ]+', ' ', 'g')), '') AS text FROM pages""")
 def html_visible_text(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", html.visible_text(F.col("html")).alias("text"))
 
