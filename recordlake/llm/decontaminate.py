@@ -3,7 +3,7 @@
 Each shard of documents gets a suffix array over its words: suffixes that begin with a benchmark word
 are sorted by tripling their ranks (1, 3, 9, 27 words), words that no test text has being one code.
 Every test suffix is binary-searched in it, word by word, all at once, for all locations of its window;
-windows that follow each other in text and item are chained to the whole verbatim match, of any length.
+each location's longest verbatim match, of any length, is then searched among all sorted test suffixes.
 
 A window is ``width`` consecutive item words, or all words of a shorter item that has any. The test
 texts are sent to the shards in blocks of bounded bytes, so a large test set takes more passes, not
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlake.llm.scratch import free_memory, free_name, tidy
-from recordlake.llm.wordcode import ALNUM_WORDS, slices, split_words
+from recordlake.llm.wordcode import ALNUM_WORDS, mix, powers, slices, split_words
 
 WIDTH = 10
 BLOCK_BYTES = 8 << 20
@@ -33,14 +33,30 @@ SHARD_BYTES = 2 << 20
 OUTPUTS = ["n_words", "spans", "items", "longest"]
 
 
+class Stretches:
+    """Hashes of stretches of codes."""
+
+    def __init__(self, codes: np.ndarray):
+        self.up, self.down = powers(0, len(codes) + 1)
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(mix(codes.astype(np.uint64)) * self.up[: len(codes)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.sums[start + size] - self.sums[start]) * self.down[start]
+
+
 @dataclass
 class TestSuffixes:
-    """A block of test items as codes: ``codes[first[i]:first[i + 1]]`` are the words of item ``i``, all from 1 on."""
+    """A block of test items as codes: ``codes[first[i]:first[i + 1]]`` are the words of item ``i``, all from 1 on.
+
+    ``order`` holds all suffixes, each to its item's end, sorted.
+    """
 
     items: list[str]
     vocabulary: np.ndarray
     codes: np.ndarray
     first: np.ndarray
+    order: np.ndarray
 
     @classmethod
     def build(cls, items: list[str], texts: list[str | None]) -> TestSuffixes:
@@ -51,7 +67,8 @@ class TestSuffixes:
             first += (words.first[1:] + first[-1]).tolist()
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         vocabulary = np.unique(flat)
-        return cls(items, vocabulary, np.searchsorted(vocabulary, flat) + 1, np.array(first))
+        codes, first = np.searchsorted(vocabulary, flat) + 1, np.array(first)
+        return cls(items, vocabulary, codes, first, sorted_suffixes(codes, first))
 
     def suffixes(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per suffix: its start, its item, and the length of the window it begins (0: none)."""
@@ -118,25 +135,63 @@ def match_ranges(codes: np.ndarray, sa: np.ndarray, tests: TestSuffixes, start:
     return found_low, found_high
 
 
-def match_lengths(place: np.ndarray, start: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Words of the verbatim match from ``place`` and test position ``start`` on, given all pairs that match a whole window.
+def sorted_suffixes(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """All suffixes of the items, each to its item's end, in order: ranks are doubled until they tell all apart or items end."""
+    n, sizes = len(codes), np.diff(first)
+    left = np.repeat(first[1:], sizes) - np.arange(n)
+    ranks, reach = codes.astype(np.int64), 1
+    order = np.argsort(ranks, kind="stable")
+    longest = int(sizes.max(initial=0))
+    while reach < longest:
+        later = np.where(left > reach, ranks[np.minimum(np.arange(n) + reach, n - 1)], 0)
+        order = np.lexsort((later, ranks))
+        new = np.concatenate([[True], (np.diff(ranks[order]) != 0) | (np.diff(later[order]) != 0)])
+        ranks = np.empty(n, np.int64)
+        ranks[order] = np.cumsum(new)
+        if new.all():
+            break
+        reach *= 2
+    return order
+
+
+def longest_matches(codes: np.ndarray, tests: TestSuffixes, place: np.ndarray) -> np.ndarray:
+    """Words of the longest match of the texts at each place with any test suffix.
 
-    A match of ``window + k`` words is a run of ``k + 1`` pairs, each one word further in both; it ends
-    with the text, the item or the first word that differs, so the run's last pair matches its window only.
+    It is found beside the place in the order of all test suffixes, by a binary search that compares hashes of
+    stretches.
     """
-    order = np.lexsort((place, place - start))
-    place, start, window = place[order], start[order], window[order]
-    last = np.ones(len(place), bool)
-    last[:-1] = (np.diff(place) != 1) | (np.diff(start) != 1)
-    ends = np.flatnonzero(last)
-    end = ends[np.searchsorted(ends, np.arange(len(place)))]
-    out = np.zeros(len(place), np.int64)
-    out[order] = place[end] - place + window[end]
-    return out
+    order, text, test = tests.order, Stretches(codes), Stretches(tests.codes)
+    ends = np.repeat(tests.first[1:], np.diff(tests.first))
+
+    def common(at: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        low, high = np.zeros(len(at), np.int64), np.minimum(ends[suffix] - suffix, len(codes) - at)
+        while (open_ := low < high).any():
+            mid = (low + high + 1) >> 1
+            same = text.of(at, mid) == test.of(suffix, mid)
+            low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+        return low
+
+    low, high = np.zeros(len(place), np.int64), np.full(len(place), len(order), np.int64)
+    while (open_ := low < high).any():
+        mid = np.minimum((low + high) >> 1, len(order) - 1)
+        suffix = order[mid]
+        k = common(place, suffix)
+        ended = suffix + k >= ends[suffix]
+        less = ended | (tests.codes[np.minimum(suffix + k, len(tests.codes) - 1)] < codes[np.minimum(place + k, len(codes) - 1)])
+        low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
+    best = np.zeros(len(place), np.int64)
+    for beside in (low - 1, low):
+        there = (beside >= 0) & (beside < len(order))
+        best[there] = np.maximum(best[there], common(place[there], order[beside[there]]))
+    return best
 
 
 def shard_matches(codes: np.ndarray, tests: TestSuffixes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, length, item, whole match) of every window occurrence among ``codes``."""
+    """(position, length, item, whole match) of the windows that occur among ``codes``, each once an item.
+
+    Test suffixes whose windows are equal have one range of the suffix array, which is opened once: pairs of test
+    suffix and occurrence are never listed.
+    """
     start, item, window = tests.suffixes(width)
     sa = suffix_array(codes) if codes.any() else np.zeros(0, np.int64)
     if not len(sa) or not len(start):
@@ -144,10 +199,13 @@ def shard_matches(codes: np.ndarray, tests: TestSuffixes, width: int) -> tuple[n
         return empty, empty, empty, empty
     low, high = match_ranges(codes, sa, tests, start, window)
     hit = np.flatnonzero(high > low)
-    many = high[hit] - low[hit]
+    ranges = np.unique(np.column_stack([low[hit], high[hit], window[hit], item[hit]]), axis=0)
+    many = ranges[:, 1] - ranges[:, 0]
     within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    place, length = sa[np.repeat(low[hit], many) + within], np.repeat(window[hit], many)
-    return place, length, np.repeat(item[hit], many), match_lengths(place, np.repeat(start[hit], many), length)
+    place, length = sa[np.repeat(ranges[:, 0], many) + within], np.repeat(ranges[:, 2], many)
+    spots, of = np.unique(place, return_inverse=True)
+    whole = longest_matches(codes, tests, spots)[of]
+    return place, length, np.repeat(ranges[:, 3], many), np.where(whole >= width, whole, length)
 
 
 def _doc_codes(words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
