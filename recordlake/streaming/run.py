@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordlake.scratch import fresh_path
 from recordlake.streaming.collect import collect_new
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share: the cluster's, or a local one where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(named or 'file://' + tempfile.mkdtemp()).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def collected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (source, id) of all events, taken in by a stream over page files."""
-    folder = scratch(spark)
+    folder = fresh_path(spark, "stream")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("source"), F.col("user_id").alias("id"))
     events.repartition(8).write.parquet(f"{folder}/pages")
     collect_new(spark, f"{folder}/pages", "source string, id long", ["source", "id"], f"{folder}/out", f"{folder}/checkpoint")
