@@ -88,9 +88,9 @@ def list_manifests(manifests: DataFrame) -> DataFrame:
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
     """New snapshot: per key the row of largest ``order`` (incoming before existing), ``created_at`` of the oldest."""
     both = existing.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
-    window = Window.partitionBy(*keys)
-    ranked = both.withColumn("created_at", F.min("created_at").over(window)).withColumn("__n", F.row_number().over(window.orderBy(F.desc("__new"), F.desc(order))))
-    return ranked.filter("__n = 1").drop("__n", "__new")
+    last = F.max_by(F.struct(*existing.columns), F.struct("__new", order))
+    kept = both.groupBy(*(F.col(k).alias(f"__key_{k}") for k in keys)).agg(last.alias("r"), F.min("created_at").alias("__born"))
+    return kept.select(*(F.col("__born").alias(c) if c == "created_at" else F.col(f"r.{c}") for c in existing.columns))
 
 
 def upsert_records(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
