@@ -466,7 +466,7 @@ def test_counterfactuals_shrink_identity_weights():
 
 
 def test_queries_are_registered():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_identity_terms_stand_in_one_list():
