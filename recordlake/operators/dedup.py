@@ -13,9 +13,13 @@ def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def last_wins(df: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """The last row of each key, at the place of the first (``first_position``)."""
+    """The last row of each key, at the place of the first (``first_position``).
+
+    Of rows at one position the one with the largest other columns stays, compared in their order (maps are left out).
+    """
     window = Window.partitionBy(*keys)
-    last = df.withColumn("first_position", F.min(position).over(window)).withColumn("__n", F.row_number().over(window.orderBy(F.desc(position))))
+    others = [F.desc(f.name) for f in df.schema if f.name not in (*keys, position) and "map<" not in f.dataType.simpleString()]
+    last = df.withColumn("first_position", F.min(position).over(window)).withColumn("__n", F.row_number().over(window.orderBy(F.desc(position), *others)))
     return last.filter("__n = 1").drop("__n")
 
 
