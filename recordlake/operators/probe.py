@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,8 +55,10 @@ def matches(text: Column, pattern: str) -> Column:
     return F.coalesce(text, F.lit("")).rlike("(?iuU)" + pattern)
 
 
-def _either(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+def matches_any(text: Column, patterns: Iterable[str]) -> Column:
+    """Whether one of several patterns occurs, all of them between word borders: one pass over the text."""
+    inner = [p.removeprefix(r"\b").removesuffix(r"\b") for p in patterns]
+    return matches(text, rf"\b(?:{'|'.join(inner)})\b")
 
 
 def legal_signals(text: Column) -> Column:
@@ -82,8 +84,27 @@ def any_signal(signals: Column) -> Column:
     return F.exists(F.map_values(signals), lambda x: x)
 
 
-def features(content_type: Column, text: Column, visible: Column, legal: Column) -> Column:
-    """Struct of what an answer offers; ``legal`` is the map of its legal signals."""
+def any_legal_signal(text: Column) -> Column:
+    """``any_signal`` of ``legal_signals``, in one pass."""
+    return matches_any(F.lower(text), LEGAL_SIGNALS.values())
+
+
+#: Signals that count in the raw text, and those that count there only with a challenge or a prompt in view.
+RAW_SIGNALS = ("empty_session", "access_denied", "request_blocked")
+HINTED_SIGNALS = ("turnstile", "cloudflare", "recaptcha", "anti_robot")
+
+
+def any_access_signal(raw: Column, visible: Column) -> Column:
+    """``any_signal`` of ``access_signals``: a pass over each text, and single signals only where the raw text hints at them."""
+    low, shown = F.lower(F.coalesce(raw, F.lit(""))), F.lower(F.coalesce(visible, F.lit("")))
+    in_view = matches_any(shown, [*(p for name, p in ACCESS_SIGNALS.items() if name not in RAW_SIGNALS), CAPTCHA_PROMPT])
+    in_raw = matches_any(low, [ACCESS_SIGNALS[name] for name in RAW_SIGNALS]) | low.contains("antirrob") | (low.contains("tokendesafio") & low.contains('"imagem"'))
+    hinted = matches_any(low, [ACCESS_SIGNALS[name] for name in HINTED_SIGNALS])
+    return in_view | in_raw | (hinted & any_signal(access_signals(raw, visible)))
+
+
+def features(content_type: Column, text: Column, visible: Column, legal: Column, full_text: Column) -> Column:
+    """Struct of what an answer offers; ``legal``: any legal signal; ``full_text``: that of a full text."""
     kind, text = F.lower(F.coalesce(content_type, F.lit(""))), F.coalesce(text, F.lit(""))
     bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     json = kind.contains("json") | (bare.startswith("{") & bare.endswith("}")) | (bare.startswith("[") & bare.endswith("]"))
@@ -91,7 +112,7 @@ def features(content_type: Column, text: Column, visible: Column, legal: Column)
     both = F.concat(text, F.lit("\n"), F.coalesce(visible, F.lit("")))
     return F.struct(
         (json | xml).alias("structured_response"), (kind.contains("html") | F.lower(text).contains("<html")).alias("html_response"), (kind.contains("application/pdf") | text.startswith("%PDF")).alias("pdf_response"),
-        _either([matches(both, p) for p in PAGINATION]).alias("pagination"), legal["full_text"].alias("full_text_link"), any_signal(legal).alias("legal_content"),
+        matches_any(both, PAGINATION).alias("pagination"), full_text.alias("full_text_link"), legal.alias("legal_content"),
     )
 
 
@@ -131,17 +152,19 @@ def analyze(answers: DataFrame) -> DataFrame:
     """
     text, visible = F.coalesce("text", F.lit("")), F.coalesce("visible", F.lit(""))
     has = F.transform(F.coalesce("expected_texts", F.array().cast("array<string>")), lambda x: text.contains(x) | visible.contains(x))
+    judged = F.when(visible != "", visible).otherwise(text)
     read = answers.withColumns({
-        "legal_signals": legal_signals(F.when(visible != "", visible).otherwise(text)), "access_signals": access_signals(text, visible),
+        "legal_signals": legal_signals(judged), "access_signals": access_signals(text, visible), "legal": any_legal_signal(judged), "access": any_access_signal(text, visible),
         "expected_all": F.when(F.size(has) > 0, F.forall(has, lambda x: x)),
         "whole": F.coalesce("response_complete", F.lit(True)) & ~F.coalesce("content_truncated", F.lit(False)),
     })
-    read = read.withColumns({"route_features": features(F.col("content_type"), text, visible, F.col("legal_signals")), "access": any_signal(F.col("access_signals"))})
+    full_text = F.col("legal") & matches(F.lower(judged), LEGAL_SIGNALS["full_text"])
+    read = read.withColumn("route_features", features(F.col("content_type"), text, visible, F.col("legal"), full_text))
     found, access, expected, whole = F.col("route_features"), F.col("access"), F.col("expected_all"), F.col("whole")
     carried = whole & (F.coalesce("transport_status", F.lit("complete")) == "complete")
     read = read.withColumns({"score": score(F.col("code"), found, access, expected, F.col("elapsed_ms"), carried), "route_status": status(F.col("code"), found, access, expected, whole)})
     read = read.withColumns({"quality_grade": grade(F.col("score")), "recommendation": advice(F.col("route_status"), F.col("score")), "ok": F.col("route_status") == "live_valid"})
-    return read.drop("expected_all", "whole", "access")
+    return read.drop("expected_all", "whole", "access", "legal")
 
 
 # --- discovery

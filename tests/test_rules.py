@@ -164,3 +164,13 @@ def test_bounds_lists_and_payload(spark):
     assert quality.contract_lists(rows.limit(0)).first()["total_sources"] == 0
     payload = SearchQuery.of(text="x", types=("A",), page=2, updated_from="2020-01-01").precedent_filter()
     assert payload["buscaGeral"] == "x" and payload["tipos"] == ["A"] and payload["pagina"] == 2 and payload["atualizacaoDesde"] == "2020-01-01" and payload["cancelados"] is False and len(payload) == 14
+
+
+def test_signals_are_sought_in_few_passes(spark):
+    parts = ["", "x", "captcha", "g-recaptcha", "turnstile", "cloudflare", "Faça login", "antirrobô", "verificação automatica", "sessão expirada", "acesso negado", "Request blocked", "digite os números", "just a moment", "não sou um robô", "robô", "antirrobot", 'tokendesafio "imagem"', "ementa", "açãoementa", "inteiro teor", "0001234-56.2020.8.26.0100"]
+    df = spark.createDataFrame([(a, b) for a in parts for b in parts], "raw string, seen string")
+    raw, seen = F.col("raw"), F.col("seen")
+    wrong = df.filter((probe.any_access_signal(raw, seen) != probe.any_signal(probe.access_signals(raw, seen))) | (probe.any_legal_signal(seen) != probe.any_signal(probe.legal_signals(seen))))
+    assert wrong.count() == 0
+    passes = df.filter(probe.any_legal_signal(seen))._jdf.queryExecution().optimizedPlan().toString().upper().count("RLIKE")
+    assert passes == 1
