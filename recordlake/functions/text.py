@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recordlake.scratch import tidy
+
 
 def nonblank(c: Column) -> Column:
     """The trimmed value, or null if nothing is left."""
@@ -36,10 +40,11 @@ def _normalized(value: str | None, keep_lines: bool) -> str | None:
     return value or None
 
 
-@F.pandas_udf(T.StringType())
-def normalize_text(values: pd.Series) -> pd.Series:
-    """NFKC, no-break spaces to spaces, white space collapsed, blank to null."""
-    return values.map(lambda v: _normalized(v, False))
+@F.arrow_udf(T.StringType())
+def normalize_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """NFKC, no-break spaces to spaces, white space collapsed, blank to null; memory is given back after a task."""
+    for values in tidy(iter)(batches):
+        yield pa.array((_normalized(v.as_py(), False) for v in values), pa.string())
 
 
 @F.pandas_udf(T.StringType())

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordlake.functions import dates, identity, text
+from recordlake.scratch import bound_batches
 
 
 def one(spark, column, **values):
@@ -53,3 +54,22 @@ def test_keys(spark):
     assert one(spark, identity.record_identity(null, null, null, F.lit("C"), F.lit("s"), F.lit("1"))) == "source:s:1"
     assert one(spark, identity.relevance("Dano dano o moral", F.lit("danodano Moral"))) == 5
     assert one(spark, dates.excel_serial_date(F.lit("45000"))) == "2023-03-15"
+
+
+def test_long_texts_come_to_python_in_small_batches(spark):
+    @F.arrow_udf("int")
+    def rows(v):
+        import pyarrow as pa
+
+        return pa.array([len(v)] * len(v), pa.int32())
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "67108864b")
+        bound_batches(spark)
+        texts = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x "), 100_000).alias("t"))
+        assert texts.select(F.max(rows("t"))).first()[0] < 100
+        assert texts.select(F.sum(F.length(text.normalize_text("t")))).first()[0] == 300 * 199_999
+    finally:
+        spark.conf.set(name, before)
