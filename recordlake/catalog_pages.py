@@ -56,7 +56,7 @@ SELECTORS = {
 
 @query("css_select", " UNION ALL ".join(f"SELECT '{s.replace(chr(39), chr(39) * 2)}' AS selector, page_id, CAST({n} AS BIGINT) AS n FROM pages WHERE {n} > 0" for s, n in SELECTORS.items()))
 def css_select(spark, sf_dir):
-    nodes = dom.elements(_pages(spark, sf_dir))
+    nodes = written(dom.elements(_pages(spark, sf_dir)), "elements")  # pages are parsed once for all selectors
     parts = [dom.select(nodes, s).groupBy(F.col("page").alias("page_id")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(s).alias("selector"), "page_id", "n") for s in SELECTORS]
     out = parts[0]
     for p in parts[1:]:

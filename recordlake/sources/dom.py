@@ -14,12 +14,15 @@ import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Elements, and 64 characters of markup, after which a batch of pages ends.
+BATCH = 8192
 HIDDEN = {"script", "style", "noscript", "template"}
 #: A start tag that ends open elements: which, and at which open elements the search stops.
 _BLOCKS = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "nav", "header", "footer", "main", "form", "fieldset", "blockquote", "pre", "figure", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd"}
@@ -145,14 +148,26 @@ def _columns(pages: list[Page]) -> list[pa.Array]:
     return [one(f.name) for f in NODE]
 
 
+def _batch(keys: list[pa.Array], pages: list[Page | None]) -> pa.RecordBatch:
+    known = [p for p in pages if p is not None]
+    ends = np.cumsum([0, *(0 if p is None else len(p.tag) for p in pages)])
+    nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(_columns(known), fields=list(NODE)))
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array([None if p is None else p.text() for p in pages], pa.binary()), nodes], ["page", "text", "nodes"])
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, pages, held = [], [], 0
     for batch in batches:
         for row in range(batch.num_rows):
             markup = batch.column(1)[row].as_py()
-            page = [] if markup is None else [Page(markup)]
-            count = sum(len(p.tag) for p in page)
-            nodes = pa.ListArray.from_arrays(pa.array([0, count], pa.int32()), pa.StructArray.from_arrays(_columns(page), fields=list(NODE)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([page[0].text() if page else None], pa.binary()), nodes], ["page", "text", "nodes"])
+            keys.append(batch.column(0).slice(row, 1))
+            pages.append(None if markup is None else Page(markup))
+            held += 1 if markup is None else len(markup) // 64 + len(pages[-1].tag)
+            if held >= BATCH:
+                yield _batch(keys, pages)
+                keys, pages, held = [], [], 0
+    if keys:
+        yield _batch(keys, pages)
 
 
 def dom(pages: DataFrame, key: str, markup: str) -> DataFrame:
@@ -314,24 +329,27 @@ def nested(outer: str, inner: str) -> str:
 
 
 def _mark(nodes: DataFrame, steps: list[tuple[str, Column]], name: str) -> DataFrame:
-    """Adds whether an element ends a chain of steps."""
+    """Adds whether an element ends a chain of steps; elements that fit no step may be missing."""
     for i, (combinator, test) in enumerate(steps):
         if i == 0:
             nodes = nodes.withColumn(name, test)
             continue
         seen, earlier = F.col(name), Window.partitionBy("page").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+        if combinator == ">":
+            # an element that was seen also stands in for itself among its children
+            held = nodes.withColumn("__above", F.explode(F.when(seen, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+            held = held.withColumn("__of", F.when(F.col("__above"), F.col("pre")).otherwise(F.col("parent")))
+            held = held.withColumn(name, F.max("__above").over(Window.partitionBy("page", "__of")) & test)
+            nodes = held.filter(~F.col("__above")).drop("__above", "__of")
+            continue
         if combinator == " ":
             # inside an element that began before and ends here or later
             found = F.max(F.when(seen, F.col("last"))).over(earlier) >= F.col("pre")
         elif combinator == "~":
             found = F.max(seen).over(Window.partitionBy("page", "parent").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1))
-        elif combinator == "+":
-            found = F.lag(seen).over(Window.partitionBy("page", "parent").orderBy("pre"))
         else:
-            above = nodes.select(F.col("page").alias("__page"), F.col("pre").alias("__pre"), F.lit(True).alias("__above")).filter(seen)
-            nodes = nodes.join(above, F.col("page").eqNullSafe(F.col("__page")) & (F.col("parent") == F.col("__pre")), "left")
-            nodes = nodes.withColumn(name, F.coalesce("__above", F.lit(False)) & test).drop("__page", "__pre", "__above")
-            continue
+            beside = Window.partitionBy("page", "parent").orderBy("pre")
+            found = F.lag(seen).over(beside) & (F.lag("child").over(beside) == F.col("child") - 1)
         nodes = nodes.withColumn(name, F.coalesce(found, F.lit(False)) & test)
     return nodes
 
@@ -346,11 +364,24 @@ def chains(selector: str) -> list[list[tuple[str, Column]]]:
     return [[(c, compound(t)) for c, t in steps] for steps in _split(selector)]
 
 
-def matched(nodes: DataFrame, chains: list[list[tuple[str, Column]]]) -> DataFrame:
+def marked(nodes: DataFrame, chains: list[list[tuple[str, Column]]]) -> DataFrame:
+    """The elements that fit a step of any chain, with a column ``__0``, ``__1``... a chain: whether they end it.
+
+    Steps are tested where the elements are read; only what fits one meets the others of its page, in one shuffle.
+    """
+    tests = {f"__{i}_{j}": F.coalesce(test, F.lit(False)) for i, steps in enumerate(chains) for j, (_, test) in enumerate(steps)}
+    nodes = nodes.withColumns(tests).filter(F.greatest(F.lit(False), *map(F.col, tests)))
+    if any(len(steps) > 1 for steps in chains):
+        # by number: the windows cost far more than the few bytes of an element tell
+        nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page")
     for i, steps in enumerate(chains):
-        nodes = _mark(nodes, steps, f"__{i}")
+        nodes = _mark(nodes, [(c, F.col(f"__{i}_{j}")) for j, (c, _) in enumerate(steps)], f"__{i}")
+    return nodes.drop(*tests)
+
+
+def matched(nodes: DataFrame, chains: list[list[tuple[str, Column]]]) -> DataFrame:
     names = [f"__{i}" for i in range(len(chains))]
-    return nodes.filter(F.greatest(F.lit(False), *map(F.col, names))).drop(*names)
+    return marked(nodes, chains).filter(F.greatest(F.lit(False), *map(F.col, names))).drop(*names)
 
 
 _STEP = re.compile(rf"(?P<axis>//?)(?P<test>\*|{_NAME})(?P<rest>(?:\[[^\]]*\])*)")

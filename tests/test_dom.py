@@ -158,3 +158,13 @@ def test_unclosed_elements():
     shape = [(t, page.tag[u] if u >= 0 else None) for t, u in zip(page.tag, page.parent, strict=True)]
     assert shape == [("p", None), ("b", "p"), ("br", "b"), ("p", None), ("ul", None), ("li", "ul"), ("li", "ul"), ("ul", "li"), ("li", "ul"), ("table", None), ("tr", "table"), ("td", "tr"), ("td", "tr"), ("tr", "table"), ("td", "tr"), ("dl", None), ("dt", "dl"), ("dd", "dl"), ("dt", "dl")]
     assert re.sub(r"\s+", " ", page.text().decode()) == "one two a b c 1 2 3 k v l"
+
+
+def test_child_steps_parse_once_without_joins(spark):
+    rows = spark.createDataFrame([(1, "<div><p>a</p><b>x</b><p>b</p></div>"), (2, None), (None, "<ul><li><p>c</p></li></ul>")], "page_id long, html string")
+    nodes = dom.elements(dom.dom(rows, "page_id", "html"))
+    found = [dom.select(nodes, "div > p, li > p"), dom.xpath(nodes, "/div/p"), dom.select(nodes, "p + p")]
+    assert [sorted((r["page"] or 0, r["pre"]) for r in f.collect()) for f in found] == [[(0, 2), (1, 1), (1, 3)], [(1, 1), (1, 3)], []]
+    for f in found:
+        text = f._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("MapInArrow") == 1 and "Join" not in text
