@@ -29,6 +29,8 @@ from recordlake.llm.wordcode import ALNUM_WORDS, Words, mix, powers, slices, spl
 BITS = 20
 PREFIXES = (5, 6, 7, 9)
 MAX_ROWS = 12_000
+#: Training rows whose features are counted at once.
+BLOCK_ROWS = 500
 #: Identity terms by list, in English, French, German and Spanish; each term stands in one list only. A counterfactual swaps a term for the next one of its list.
 IDENTITY_TERMS = (
     ("man", "woman"), ("men", "women"), ("male", "female"), ("boy", "girl"), ("he", "she"), ("his", "her"),
@@ -110,6 +112,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def _blocks(features: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) of all features, ``BLOCK_ROWS`` rows at a time: the driver never holds them all as wide integers."""
+    for at in range(0, len(features), BLOCK_ROWS):
+        part = features[at : at + BLOCK_ROWS]
+        yield np.repeat(np.arange(at, at + len(part)), [len(f) for f in part]), np.concatenate(part)
+
+
 def fit_rows(features: list[np.ndarray], toxic: np.ndarray, terms: list[np.ndarray], l1: float = 2e-4, counterfactual: float = 1.0, least_chi2: float = 8.0, steps: int = 400) -> ToxicityModel:
     """Fit on bucket arrays, 0/1 labels and indexes of the identity terms named."""
     n, dims = len(toxic), 1 << BITS
@@ -117,18 +126,22 @@ def fit_rows(features: list[np.ndarray], toxic: np.ndarray, terms: list[np.ndarr
     weights = np.zeros(dims, np.float32)
     if n == 0 or toxic.min() == toxic.max():
         return ToxicityModel(float(np.log(rate / (1 - rate))), weights)
-    flat, sizes = np.concatenate(features), np.array([len(f) for f in features])
-    row = np.repeat(np.arange(n), sizes)
-    seen = np.bincount(flat, minlength=dims).astype(float)
-    bad = np.bincount(flat, weights=toxic[row].astype(float), minlength=dims)
+    seen, bad = np.zeros(dims), np.zeros(dims)
+    for rows, flat in _blocks(features):
+        seen += np.bincount(flat, minlength=dims)
+        bad += np.bincount(flat, weights=toxic[rows].astype(float), minlength=dims)
     expected = seen * rate
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = (bad - expected) ** 2 / (expected * (1 - rate)) * n / (n - seen + 1)
     chosen = np.flatnonzero((seen >= 2) & (chi2 >= least_chi2))
     place = np.full(dims, -1)
     place[chosen] = np.arange(len(chosen))
-    kept = place[flat] >= 0
-    row, column = row[kept], place[flat[kept]]
+    row, column = [], []
+    for rows, flat in _blocks(features):
+        kept = place[flat] >= 0
+        row.append(rows[kept])
+        column.append(place[flat[kept]])
+    row, column = np.concatenate(row), np.concatenate(column)
     # swapped minus original features of each naming text and term
     names = [t for group in IDENTITY_TERMS for t in group]
     step_to, at = {}, 0
@@ -189,8 +202,11 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         documents.select(key, text).join(F.broadcast(bounded), key).select("__toxic", text)
         .mapInArrow(tidy(_training_rows), "toxic int, features binary, terms binary").toArrow()
     )
-    read = lambda name: [np.frombuffer(x, "<i4") for x in rows[name].to_pylist()]
-    return fit_rows(read("features"), rows["toxic"].to_numpy().astype(float), read("terms"))
+    read = lambda name: [np.frombuffer(x.as_buffer(), "<i4") for x in rows[name]]
+    model = fit_rows(read("features"), rows["toxic"].to_numpy().astype(float), read("terms"))
+    del rows
+    free_memory()
+    return model
 
 
 def toxic_score(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:

@@ -2,13 +2,15 @@
 
 import random
 import time
+import tracemalloc
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from recordlake.llm import debruijn, secret_scan, shuffle_shards, url_filter
+from recordlake.llm import debruijn, secret_scan, shuffle_shards, toxicity, url_filter
 from recordlake.llm.catalog import QUERIES, URL_RULES
 
 
@@ -96,3 +98,17 @@ def test_op8_buckets_are_sized_by_whole_rows(spark, tmp_path):
     assert written.count() == 302 and sorted(r["slot"] for r in written.filter("shard = 1").collect()) == list(range(written.filter("shard = 1").count()))
     ids = [r["doc_id"] for r in written.filter("shard = 0").orderBy("slot").collect()]
     assert ids != sorted(ids, key=lambda i: (i is None, i))
+
+
+def test_toxicity_fit_in_the_drivers_memory():
+    """Features are counted in blocks, so that the driver holds little beside them."""
+    rng = np.random.default_rng(4)
+    n, each = 4_000, 1_000
+    toxic = (np.arange(n) % 4 == 0).astype(float)
+    features = [np.append(rng.integers(10, 1 << toxicity.BITS, each, dtype=np.int32), np.int32(bad)) for bad in toxic.astype(int)]
+    tracemalloc.start()
+    model = toxicity.fit_rows(features, toxic, [np.zeros(0, np.int32)] * n, steps=20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.weights[1] > 0 > model.weights[0]
+    assert peak < 24 * n * each
