@@ -47,3 +47,18 @@ def test_a_new_site_needs_rules_only(spark):
     records, outcomes = sites.read_pages(pages, spark.createDataFrame(site, sites.SITE_SCHEMA), spark.createDataFrame(field, sites.FIELD_SCHEMA))
     assert {r["id"]: r["fields"] for r in records.collect()} == {"n-1": {"k": "1", "name": "u"}, "n-2": {"k": "2"}}
     assert {r["page"]: r["outcome"] for r in outcomes.collect()} == {1: "records", 2: "empty", 3: "contract_changed"}
+
+
+def test_pages_are_built_once_for_all_families(spark):
+    """Pages are dear to build: once for all rules together, and once more to name those without a rule."""
+    built = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            built.add(batch.num_rows)
+            yield batch
+
+    pages = spark.createDataFrame(PAGES, "source string, page string, markup string").mapInArrow(counted, "source string, page string, markup string")
+    records, outcomes = sites.read_pages(pages, sites.site_rules(spark), sites.field_rules(spark))
+    assert (records.count(), outcomes.count()) == (8, len(PAGES))
+    assert built.value <= 2 * len(PAGES)
