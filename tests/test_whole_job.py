@@ -67,6 +67,17 @@ def test_source_status_reads_all_evidence(spark, tables):
     assert status == {"s1": ("failed", 0), "s2": ("ok", 2), "s3": ("ok", 2), "s4": ("ssl_error", 2), "s5": ("partial", 1), "s9": ("skipped", 0)}
 
 
+def test_full_text_status_takes_all_results_of_a_source(spark, tables):
+    # results of every third doc_id have no text (3), those of every 97th name a document (97); ids of a source have unlike remainders by 20
+    rows = [(1, "t", "a"), (2, "t", "a"), (4, "t", "b"), (5, "", "b"), (3, "t", "c"), (97, "t", "c"), (11, "t", "src1"), (41, "", "src11"), (7, "t", None)]
+    path = tables(documents=("doc_id long, text string, lang string, source string", [(i, t, "en", s) for i, t, s in rows]))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    want = {"a": "returned", "b": "not_returned", "c": "document_available", "src1": "returned", "src11": "not_returned", None: "returned"}
+    for found in (catalog.QUERIES["full_text_status"](spark, path).collect(), con.sql(catalog.ORACLES["full_text_status"]).select("source", "full_text_status").fetchall()):
+        assert len(found) == len(want) and dict(map(tuple, found)) == want
+
+
 @pytest.mark.parametrize("name", ["upsert_two_keys", "upsert_conflicts"])
 def test_upsert_takes_all_records(spark, data, name):
     base, fresh = catalog._two_key_tables(spark, data)
